@@ -1 +1,171 @@
-"""Registered queries."""
+"""Registered sentiment queries (SEN-1..6, SEN-8, SEN-9, JOIN-1, SRC-6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.sentiment import (label_distribution, lexicon_model_factory, model_scores,
+                                   normalize_classifier, normalize_compound, normalize_polarity,
+                                   scorer_input)
+from ..sources.posts import sentiment_for_entity
+from ..sources.tables import read_table
+from . import oracle as O
+from .catalog import P, analysis, posts, register
+
+
+def lexicon_case(var: str) -> str:
+    if not P.lexicon:
+        return "0.0::DOUBLE"
+    arms = " ".join(f"WHEN {O.q(w.lower())} THEN {float(v)!r}::DOUBLE" for w, v in sorted(P.lexicon.items()))
+    return f"CASE {var} {arms} ELSE 0.0::DOUBLE END"
+
+
+SCORED_SQL = f"""lex AS (
+  SELECT post_id, scope, platform, text,
+    list_reduce(list_transform(
+      regexp_extract_all(lower(substr(coalesce(text, ''), 1, {P.max_score_chars})), '(\\p{{L}}+)', 1),
+      lambda w: {lexicon_case('w')}), lambda a, x: a + x, 0.0::DOUBLE) AS s
+  FROM posts),
+comp AS (SELECT *, s / sqrt(s * s + 15.0::DOUBLE) AS c, (text IS NULL OR text = '') AS blank FROM lex),
+scored_posts AS (
+  SELECT post_id, scope, platform,
+    CASE WHEN blank THEN 'neutral' WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative'
+         ELSE 'neutral' END AS label,
+    CASE WHEN blank THEN 0.0::DOUBLE ELSE round_even(c, 4) END AS score,
+    CASE WHEN blank THEN 0.0::DOUBLE ELSE round_even(abs(c), 4) END AS confidence
+  FROM comp)"""
+
+FANOUT_SQL = """ent_pairs AS (
+  SELECT pr.post_id, pr.name AS entity FROM pairs pr JOIN entities e USING (scope, name)),
+fanout AS (
+  SELECT sp.post_id, sp.scope, sp.platform, coalesce(ep.entity, 'General') AS entity,
+         sp.label, sp.score, sp.confidence
+  FROM scored_posts sp LEFT JOIN ent_pairs ep USING (post_id))"""
+
+
+def full_sql(select: str) -> str:
+    return O.discovery_sql(P, ",\n" + SCORED_SQL + ",\n" + FANOUT_SQL + "\n" + select) \
+        .replace("QUALIFY rank <= %d)\n," % P.top_k, "QUALIFY rank <= %d)," % P.top_k)
+
+
+def scored_sql(select: str) -> str:
+    return f"WITH {O.POSTS_V}, {O.posts_in_scope(P)},\n{SCORED_SQL}\n{select}"
+
+
+# SEN-1 ----------------------------------------------------------------------
+@register("sen1_input", f"""WITH {O.POSTS_V}
+SELECT post_id, length(substr(text, 1, {P.max_score_chars}))::BIGINT AS scored_chars,
+       (text IS NULL OR text = '') AS blank FROM posts_v""")
+def sen1_input(spark, sf):
+    ps = posts(spark, sf)
+    return ps.select("post_id", F.length(scorer_input("text", P.max_score_chars)).cast("long")
+                     .alias("scored_chars"),
+                     (F.col("text").isNull() | (F.col("text") == "")).alias("blank"))
+
+
+# SEN-2: classifier-output normaliser on labels-derived outputs -------------------------
+_CLS_SQL = """WITH cls AS (
+  SELECT doc_id,
+    CASE WHEN toxic = 1 THEN 'NEGATIVE' WHEN quality = 1 THEN 'Positive' ELSE 'neutral' END AS raw_label,
+    ((doc_id * 37) % 100)::DOUBLE / 100.0::DOUBLE AS raw_conf
+  FROM labels)
+SELECT doc_id,
+  CASE WHEN contains(lower(raw_label), 'pos') THEN 'positive'
+       WHEN contains(lower(raw_label), 'neg') THEN 'negative' ELSE 'neutral' END AS label,
+  CASE WHEN contains(lower(raw_label), 'pos') THEN round_even(raw_conf, 4)
+       WHEN contains(lower(raw_label), 'neg') THEN round_even(-raw_conf, 4) + 0.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+  round_even(raw_conf, 4) AS confidence
+FROM cls"""
+
+
+@register("sen2_classifier", _CLS_SQL)
+def sen2_classifier(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    raw_label = (F.when(F.col("toxic") == 1, "NEGATIVE").when(F.col("quality") == 1, "Positive")
+                 .otherwise("neutral"))
+    raw_conf = ((F.col("doc_id") * 37) % 100).cast("double") / 100.0
+    label, score, conf = normalize_classifier(raw_label, raw_conf)
+    return lab.select("doc_id", label.alias("label"), score.alias("score"), conf.alias("confidence"))
+
+
+# SEN-3 / SEN-4: compound and polarity normalisers on events.value ---------------------
+@register("sen3_compound", """SELECT event_id,
+  CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE >= 0.05 THEN 'positive'
+       WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE <= -0.05 THEN 'negative' ELSE 'neutral' END AS label,
+  round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 4) AS score,
+  round_even(abs((value % 2.0::DOUBLE) - 1.0::DOUBLE), 4) AS confidence
+FROM events""")
+def sen3_compound(spark, sf):
+    ev = read_table(spark, sf, "events")
+    label, score, conf = normalize_compound((F.col("value") % 2.0) - 1.0)
+    return ev.select("event_id", label.alias("label"), score.alias("score"), conf.alias("confidence"))
+
+
+@register("sen4_polarity", """SELECT event_id,
+  CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE > 0.1 THEN 'positive'
+       WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE < -0.1 THEN 'negative' ELSE 'neutral' END AS label,
+  round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 4) AS score,
+  round_even(value % 1.0::DOUBLE, 4) AS confidence
+FROM events""")
+def sen4_polarity(spark, sf):
+    ev = read_table(spark, sf, "events")
+    label, score, conf = normalize_polarity((F.col("value") % 2.0) - 1.0, F.col("value") % 1.0)
+    return ev.select("event_id", label.alias("label"), score.alias("score"), conf.alias("confidence"))
+
+
+# SEN-5: lexicon scorer, once per post ---------------------------------------------
+@register("sen5_lexicon", scored_sql("SELECT post_id, scope, label, score, confidence FROM scored_posts"),
+          headline=True)
+def sen5_lexicon(spark, sf):
+    return analysis(spark, sf).scored.select("post_id", "scope", "label", "score", "confidence")
+
+
+# SEN-6 / UDF-1: pluggable batch model through mapInPandas (rows only) ----------------
+@register("sen6_model")
+def sen6_model(spark, sf):
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    return model_scores(ps, lexicon_model_factory(P.lexicon), batch_size=32)
+
+
+# SEN-8: attribution fan-out ----------------------------------------------------------
+@register("sen8_fanout", full_sql("SELECT post_id, scope, entity, label, score, confidence FROM fanout"),
+          headline=True)
+def sen8_fanout(spark, sf):
+    return analysis(spark, sf).sentiment.select("post_id", "scope", "entity", "label", "score",
+                                                "confidence")
+
+
+# SEN-9: label distribution per scope ----------------------------------------------------
+@register("sen9_distribution", full_sql("""SELECT scope,
+  count(*) FILTER (WHERE label = 'positive') AS positive,
+  count(*) FILTER (WHERE label = 'negative') AS negative,
+  count(*) FILTER (WHERE label NOT IN ('positive', 'negative')) AS neutral,
+  count(*) AS total,
+  round_even(count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100, 1) AS positive_pct,
+  round_even(count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100, 1) AS negative_pct,
+  round_even(count(*) FILTER (WHERE label NOT IN ('positive', 'negative'))::DOUBLE / count(*)::DOUBLE * 100, 1)
+    AS neutral_pct
+FROM fanout GROUP BY scope"""))
+def sen9_distribution(spark, sf):
+    return label_distribution(analysis(spark, sf).sentiment)
+
+
+# JOIN-1: sentiment rows joined with their posts --------------------------------------------
+@register("join1_sentiment_posts", full_sql("""SELECT f.post_id, f.entity, f.label, f.score,
+  p.text, p.platform, p.scope, p.ts, p.url
+FROM fanout f JOIN posts_v p USING (post_id)"""))
+def join1_sentiment_posts(spark, sf):
+    a = analysis(spark, sf)
+    cols = posts(spark, sf).select("post_id", "text", "platform", "scope", "ts", "url")
+    return a.sentiment.select("post_id", "entity", "label", "score").join(cols, "post_id")
+
+
+# SRC-6: sentiment of one entity in one scope, with post columns ------------------------------
+@register("src6_entity_sentiment", full_sql("""SELECT f.post_id, f.entity, f.label, f.score,
+  p.text, p.platform, p.scope AS post_scope, p.ts, p.url
+FROM fanout f JOIN posts_v p USING (post_id)
+WHERE f.entity = 'Apache License' AND p.scope = 'en'"""))
+def src6_entity_sentiment(spark, sf):
+    a = analysis(spark, sf)
+    s = a.sentiment.select("post_id", "entity", "label", "score")
+    return sentiment_for_entity(s, posts(spark, sf), "Apache License", "en", ordered=True)
