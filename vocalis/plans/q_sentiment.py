@@ -36,16 +36,17 @@ scored_posts AS (
   FROM comp)"""
 
 FANOUT_SQL = """ent_pairs AS (
-  SELECT pr.post_id, pr.name AS entity FROM pairs pr JOIN entities e USING (scope, name)),
+  SELECT pr.post_id, pr.scope, pr.name AS entity FROM pairs pr JOIN entities e USING (scope, name)),
 fanout AS (
   SELECT sp.post_id, sp.scope, sp.platform, coalesce(ep.entity, 'General') AS entity,
          sp.label, sp.score, sp.confidence
-  FROM scored_posts sp LEFT JOIN ent_pairs ep USING (post_id))"""
+  FROM scored_posts sp LEFT JOIN ent_pairs ep ON ep.post_id = sp.post_id)"""
 
 
-def full_sql(select: str) -> str:
-    return O.discovery_sql(P, ",\n" + SCORED_SQL + ",\n" + FANOUT_SQL + "\n" + select) \
-        .replace("QUALIFY rank <= %d)\n," % P.top_k, "QUALIFY rank <= %d)," % P.top_k)
+def full_sql(select: str, extra_ctes: str = "") -> str:
+    """Discovery + scoring + fan-out CTEs (+ optional extra CTEs), then select."""
+    ctes = ",\n" + SCORED_SQL + ",\n" + FANOUT_SQL + (",\n" + extra_ctes if extra_ctes else "")
+    return O.discovery_sql(P, ctes + "\n" + select)
 
 
 def scored_sql(select: str) -> str:
