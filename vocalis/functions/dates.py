@@ -14,7 +14,8 @@ from .text import col_
 
 # The accepted date formats, in trial order (Java patterns for
 # ISO with fraction, ISO, datetime, date, "Jan 01, 2025", "01 Jan 2025",
-# "January 01, 2025").
+# "January 01, 2025"; then, beyond the original list, the Graph-style
+# "+0000" offset, normalised to UTC instead of being kept unparsed).
 DATE_FORMATS = (
     "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
     "yyyy-M-d'T'H:m:s.SSS'Z'",
@@ -24,6 +25,7 @@ DATE_FORMATS = (
     "MMM d, yyyy",
     "d MMM yyyy",
     "MMMM d, yyyy",
+    "yyyy-M-d'T'H:m:sZ",
 )
 # forum form "1:01pmOnFeb 12" (year taken from the reference date)
 FORUM_RE = r"(?i)^(\d{1,2}:\d{2}(?:am|pm))On(\w{3} \d{1,2})"

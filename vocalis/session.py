@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # pandas UDF batches carry whole documents / pages: keep them small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
