@@ -1 +1,349 @@
-"""Registered queries."""
+"""Registered scalar-function, sink, report, pipeline, tagger and stream
+queries (FN-1..9, 11, 12, SNK-1..7, SRC-10, RPT-1..2, PIPE-1..3, ENT-17)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import text as TX
+from ..operators import normalize as N
+from ..operators import report as R
+from ..operators.mentions import NAME_RE
+from ..session import ensure_checkpoint_dir
+from ..sinks import io as IO
+from ..sources import landed
+from ..sources.tables import read_table
+from . import oracle as O
+from .catalog import P, analysis, joined, posts, register
+from .q_profile import psql
+from .q_sentiment import full_sql
+from .q_sources import ANON, CLEAN, VSQL
+
+
+def scratch_dir(spark, kind: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint directory."""
+    base = ensure_checkpoint_dir(spark)
+    return os.path.join(base, "exports", f"{kind}-{uuid.uuid4().hex}")
+
+
+# FN-1 ----------------------------------------------------------------------
+@register("fn1_clean", f"SELECT conv_id, turn, {CLEAN('text')} AS cleaned FROM conversations")
+def fn1_clean(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", TX.clean_text("text").alias("cleaned"))
+
+
+# FN-2 ----------------------------------------------------------------------
+@register("fn2_anonymize", f"""SELECT conv_id, turn,
+  {ANON("CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 1 THEN '' ELSE role || conv_id::VARCHAR END")} AS author
+FROM conversations""")
+def fn2_anonymize(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    raw = (F.when(F.col("turn") % 5 == 0, F.lit(None)).when(F.col("turn") % 5 == 1, F.lit(""))
+           .otherwise(F.concat(F.col("role"), F.col("conv_id").cast("string"))))
+    return c.select("conv_id", "turn", TX.anonymize_author(raw).alias("author"))
+
+
+# FN-3 / FN-4: date strings in every accepted format, parsed and re-formatted ------------
+_FMT_SQL = """WITH s AS (
+  SELECT event_id, ts, CASE event_id % 7
+    WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')
+    WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+    WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+    WHEN 3 THEN strftime(ts, '%Y-%m-%d')
+    WHEN 4 THEN strftime(ts, '%b %d, %Y')
+    WHEN 5 THEN strftime(ts, '%-I:%M%p') || 'On' || strftime(ts, '%b %d')
+    ELSE 'not a date' END AS raw
+  FROM events),
+p AS (
+  SELECT event_id, raw, CASE event_id % 7
+    WHEN 0 THEN date_trunc('millisecond', ts)
+    WHEN 1 THEN date_trunc('second', ts)
+    WHEN 2 THEN date_trunc('second', ts)
+    WHEN 3 THEN date_trunc('day', ts)
+    WHEN 4 THEN date_trunc('day', ts)
+    WHEN 5 THEN make_timestamp(2024, month(ts), day(ts), hour(ts), minute(ts), 0)
+    ELSE NULL END AS parsed
+  FROM s)"""
+
+
+def _date_strings(spark, sf):
+    ev = read_table(spark, sf, "events")
+    k = F.col("event_id") % 7
+    raw = (F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+           .when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+           .when(k == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+           .when(k == 3, F.date_format("ts", "yyyy-MM-dd"))
+           .when(k == 4, F.date_format("ts", "MMM dd, yyyy"))
+           .when(k == 5, F.concat(F.lower(F.date_format("ts", "h:mma")), F.lit("On"),
+                                  F.date_format("ts", "MMM dd")))
+           .otherwise(F.lit("not a date")))
+    return ev.select("event_id", raw.alias("raw"))
+
+
+@register("fn3_parse_date", _FMT_SQL + " SELECT event_id, parsed FROM p")
+def fn3_parse_date(spark, sf):
+    s = _date_strings(spark, sf)
+    return s.select("event_id", D.parse_date("raw", P.as_of).alias("parsed"))
+
+
+@register("fn4_format_date", _FMT_SQL + """ SELECT event_id,
+  coalesce(strftime(parsed, '%Y-%m-%d %H:%M:%S'), raw) AS date FROM p""")
+def fn4_format_date(spark, sf):
+    s = _date_strings(spark, sf)
+    return s.select("event_id", D.format_date(D.parse_date("raw", P.as_of), F.col("raw")).alias("date"))
+
+
+# FN-5: excerpt truncation and context snippet ---------------------------------------------
+@register("fn5_excerpt", VSQL("""SELECT post_id,
+  CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS excerpt,
+  trim(substr(text, greatest(strpos(text, ' ') - 1 - 50, 0) + 1,
+       least(length(text), strpos(text, ' ') - 1 + 1 + 50) - greatest(strpos(text, ' ') - 1 - 50, 0))) AS snippet
+FROM posts_v WHERE strpos(text, ' ') > 0"""))
+def fn5_excerpt(spark, sf):
+    ps = posts(spark, sf).filter(F.instr("text", " ") > 0)
+    pos0 = F.instr("text", " ") - 1
+    return ps.select("post_id", TX.truncate_excerpt("text", 200).alias("excerpt"),
+                     TX.context_snippet("text", pos0, F.lit(1), 50).alias("snippet"))
+
+
+# FN-6: keyword membership tests -------------------------------------------------------------
+_KWS = ("license", "version", "work")
+
+
+@register("fn6_keywords", VSQL(f"""SELECT post_id,
+  {O.any_in('lower(text)', _KWS)} AS any_kw,
+  {O.count_in('lower(text)', _KWS)}::INT AS n_kw,
+  len(list_filter(['licensed', 'under', 'the'], lambda t: contains(lower(text), t))) >= 2 AS majority
+FROM posts_v"""))
+def fn6_keywords(spark, sf):
+    ps = posts(spark, sf)
+    tl = F.lower("text")
+    return ps.select("post_id", TX.contains_any(tl, _KWS).alias("any_kw"),
+                     TX.count_contained(tl, _KWS).alias("n_kw"),
+                     TX.majority_match(tl, F.lit("licensed under the")).alias("majority"))
+
+
+# FN-7: like-count parse ------------------------------------------------------------------
+@register("fn7_like_count", """SELECT event_id, coalesce(TRY_CAST(trim(replace(replace(
+  CASE event_id % 4 WHEN 0 THEN json_extract(props, '$.k')::VARCHAR || ' Likes'
+                    WHEN 1 THEN '1 Like' WHEN 2 THEN ' ' || event_type ELSE '' END,
+  'Likes', ''), 'Like', '')) AS BIGINT), 0) AS likes
+FROM events""")
+def fn7_like_count(spark, sf):
+    ev = read_table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    raw = (F.when(k == 0, F.concat(F.from_json("props", "k long")["k"].cast("string"), F.lit(" Likes")))
+           .when(k == 1, F.lit("1 Like")).when(k == 2, F.concat(F.lit(" "), F.col("event_type")))
+           .otherwise(F.lit("")))
+    return ev.select("event_id", TX.parse_like_count(raw).alias("likes"))
+
+
+# FN-8 / FN-9: indicator and display formats -----------------------------------------------
+@register("fn9_display", """SELECT event_id,
+  CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE > 0.1 THEN 'Positive'
+       WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE < -0.1 THEN 'Negative' ELSE 'Neutral' END AS indicator,
+  printf('%+.3f', round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 3)) AS signed,
+  printf('%.1f%%', round_even(value, 1)) AS pct,
+  upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) AS cap,
+  replace(lower(event_type || ' Type'), ' ', '-') AS slug
+FROM events""")
+def fn9_display(spark, sf):
+    ev = read_table(spark, sf, "events")
+    x = (F.col("value") % 2.0) - 1.0
+    return ev.select("event_id", TX.score_indicator(x).alias("indicator"),
+                     TX.signed3(F.bround(x, 3)).alias("signed"),
+                     TX.pct1(F.bround("value", 1)).alias("pct"),
+                     TX.capitalize("event_type").alias("cap"),
+                     TX.slug(F.concat(F.col("event_type"), F.lit(" Type"))).alias("slug"))
+
+
+# FN-11: array -> JSON text ----------------------------------------------------------------
+@register("fn11_json", full_sql("SELECT scope, name, to_json(platforms)::VARCHAR AS platforms_json FROM entities"))
+def fn11_json(spark, sf):
+    e = analysis(spark, sf).entities
+    return e.select("scope", "name", TX.array_to_json("platforms").alias("platforms_json"))
+
+
+# FN-12: half-even rounding -------------------------------------------------------------
+@register("fn12_round", """SELECT event_id,
+  round_even((value / 3.0::DOUBLE)::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS r1,
+  round_even((value / 7.0::DOUBLE)::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS r4 FROM events""")
+def fn12_round(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return ev.select("event_id", TX.round_half_even(F.col("value") / 3.0, 1).alias("r1"),
+                     TX.round_half_even(F.col("value") / 7.0, 4).alias("r4"))
+
+
+# SNK-1 / SRC-10: posts appended, read back ---------------------------------------------------
+_P_COLS = ("post_id", "platform", "scope", "text", "author", "ts", "url", "likes", "shares", "keyword")
+
+
+@register("snk1_posts_parquet", VSQL(f"SELECT {', '.join(_P_COLS)} FROM posts_v"))
+def snk1_posts_parquet(spark, sf):
+    path = scratch_dir(spark, "posts")
+    IO.write_posts(posts(spark, sf), path)
+    return spark.read.parquet(path).select(*_P_COLS)
+
+
+# SNK-2: entity upsert, run twice ------------------------------------------------------
+@register("snk2_entities", full_sql("SELECT scope, name, mention_count FROM entities"))
+def snk2_entities(spark, sf):
+    path = scratch_dir(spark, "entities")
+    e = analysis(spark, sf).entities
+    IO.write_entities(e, path, mode="upsert")
+    IO.write_entities(e, path, mode="upsert")
+    return spark.read.parquet(path).select("scope", "name", "mention_count")
+
+
+# SNK-3: sentiment rows; a rerun replaces, never duplicates ----------------------------------
+@register("snk3_sentiment", full_sql("SELECT post_id, scope, entity, label, score FROM fanout"))
+def snk3_sentiment(spark, sf):
+    path = scratch_dir(spark, "sentiment")
+    s = analysis(spark, sf).sentiment.select("post_id", "scope", "entity", "label", "score")
+    IO.write_sentiment(s, path)
+    IO.write_sentiment(s, path)
+    return spark.read.parquet(path).select("post_id", "scope", "entity", "label", "score")
+
+
+# SNK-4 / SRC-10: JSON export and read back ---------------------------------------------
+@register("snk4_posts_json", VSQL("SELECT post_id, platform, scope, text, likes FROM posts_v"))
+def snk4_posts_json(spark, sf):
+    path = scratch_dir(spark, "posts-json")
+    IO.export_posts_json(posts(spark, sf), path)
+    return IO.read_json_export(spark, path, "post_id long, platform string, scope string, "
+                               "text string, likes long")
+
+
+# SNK-5: CSV with header ------------------------------------------------------------
+@register("snk5_posts_csv", VSQL("SELECT post_id, platform, scope, likes FROM posts_v"))
+def snk5_posts_csv(spark, sf):
+    path = scratch_dir(spark, "posts-csv")
+    IO.export_posts_csv(posts(spark, sf).select("post_id", "platform", "scope", "likes"), path)
+    return IO.read_csv_export(spark, path, "post_id long, platform string, scope string, likes long")
+
+
+# SNK-6: sorted sentiment export -------------------------------------------------------
+@register("snk6_sentiment_json", full_sql("""SELECT f.post_id, f.entity, f.score, p.url
+FROM fanout f JOIN posts_v p USING (post_id)"""))
+def snk6_sentiment_json(spark, sf):
+    path = scratch_dir(spark, "sentiment-json")
+    a = analysis(spark, sf)
+    IO.export_sentiment_json(a.sentiment.select("post_id", "entity", "label", "score"),
+                             posts(spark, sf), path)
+    return IO.read_json_export(spark, path, "post_id long, entity string, score double, url string")
+
+
+# SNK-7: nested profiles per scope ------------------------------------------------------
+@register("snk7_profiles_json", psql("""SELECT s.scope, s.entity, s.overall_score, g.post_count
+FROM summary s JOIN engagement g USING (scope, entity)"""))
+def snk7_profiles_json(spark, sf):
+    path = scratch_dir(spark, "profiles-json")
+    IO.export_profiles_json(analysis(spark, sf).part("profiles"), path)
+    back = spark.read.json(path)
+    return back.select("scope", "entity", F.col("sentiment.overall_score").alias("overall_score"),
+                       F.col("post_count").cast("long").alias("post_count"))
+
+
+# RPT-1 ---------------------------------------------------------------------------
+@register("rpt1_ranking", psql("""SELECT s.scope,
+  row_number() OVER (PARTITION BY s.scope ORDER BY s.overall_score DESC, s.entity) AS rank,
+  s.entity, s.overall_score AS score,
+  CASE WHEN s.overall_score > 0.1 THEN 'Positive' WHEN s.overall_score < -0.1 THEN 'Negative'
+       ELSE 'Neutral' END AS indicator,
+  s.positive_pct, s.negative_pct, e.mention_count
+FROM summary s JOIN entities e ON e.scope = s.scope AND e.name = s.entity"""))
+def rpt1_ranking(spark, sf):
+    a = analysis(spark, sf)
+    t = R.ranking_table(a.entities, a.part("summary"))
+    return t.select("scope", F.col("rank").cast("long").alias("rank"), "entity", "score", "indicator",
+                    "positive_pct", "negative_pct", "mention_count")
+
+
+# RPT-2 ---------------------------------------------------------------------------
+@register("rpt2_platform_table", psql("""SELECT scope, entity,
+  upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) AS platform,
+  printf('%+.3f', round_even(score, 3)) AS score, count AS posts,
+  printf('%.1f%%', positive_pct) AS positive, printf('%.1f%%', negative_pct) AS negative
+FROM pbreak"""))
+def rpt2_platform_table(spark, sf):
+    return R.platform_table(analysis(spark, sf).part("platforms"))
+
+
+@register("rpt2_details", psql("""SELECT k.scope, k.entity,
+  coalesce((SELECT string_agg('`' || t.theme || '` (' || t.count || ')', ', ' ORDER BY t.rank)
+            FROM themes t WHERE t.scope = k.scope AND t.entity = k.entity AND t.rank <= 10), '') AS themes,
+  (SELECT count(*) FROM excerpts x WHERE x.scope = k.scope AND x.entity = k.entity
+     AND x.rank <= 3 AND x.label = 'positive') AS shown_positive,
+  (SELECT count(*) FROM excerpts x WHERE x.scope = k.scope AND x.entity = k.entity
+     AND x.rank <= 3 AND x.label = 'negative') AS shown_negative,
+  coalesce((SELECT string_agg(upper(substr(s.category, 1, 1)) || lower(substr(s.category, 2)) || ' ('
+                   || s.strength || ', ' || s.mentions || ' mentions)', ', ' ORDER BY s.mentions DESC, s.ordinal)
+            FROM (SELECT * FROM support s2 WHERE s2.scope = k.scope AND s2.entity = k.entity
+                  ORDER BY s2.mentions DESC, s2.ordinal LIMIT 5) s), '') AS support,
+  format('{:,}', g.total_likes) AS likes, format('{:,}', g.total_shares) AS shares,
+  printf('%.1f', g.avg_likes) AS avg_likes
+FROM ekeys k JOIN engagement g ON g.scope = k.scope AND g.entity = k.entity"""))
+def rpt2_details(spark, sf):
+    a = analysis(spark, sf)
+    return R.detail_table(a.entities, a.part("themes"), a.part("excerpts"), a.part("support"),
+                          a.part("engagement"))
+
+
+# PIPE-1: the whole analysis -> profile summary of every accepted entity -------------------
+@register("pipe1_analysis", psql("""SELECT e.scope, e.name AS entity, e.mention_count, s.overall_score,
+  s.total_analyzed, g.post_count
+FROM entities e JOIN summary s ON s.scope = e.scope AND s.entity = e.name
+JOIN engagement g ON g.scope = e.scope AND g.entity = e.name"""), headline=True)
+def pipe1_analysis(spark, sf):
+    a = analysis(spark, sf)
+    s, g = a.part("summary"), a.part("engagement")
+    return (a.entities.select("scope", F.col("name").alias("entity"), "mention_count")
+            .join(s.select("scope", "entity", "overall_score", "total_analyzed"), ["scope", "entity"])
+            .join(g.select("scope", "entity", "post_count"), ["scope", "entity"]))
+
+
+# PIPE-2: report data per scope (summary + ranking rows) ---------------------------------
+@register("pipe2_report", psql("""SELECT e.scope, count(*) AS entities,
+  coalesce(sum(g.post_count), 0)::BIGINT AS total_posts,
+  string_agg(e.name, ',' ORDER BY s.overall_score DESC, e.name) AS ranking
+FROM entities e JOIN engagement g ON g.scope = e.scope AND g.entity = e.name
+JOIN summary s ON s.scope = e.scope AND s.entity = e.name
+GROUP BY e.scope"""))
+def pipe2_report(spark, sf):
+    from ..operators.profile import executive_summary
+    a = analysis(spark, sf)
+    ex = executive_summary(a.entities, a.part("engagement"))
+    rk = R.ranking_table(a.entities, a.part("summary"))
+    order = (rk.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("rank", "entity"))).alias("_r"))
+             .select("scope", F.array_join(F.transform("_r", lambda x: x["entity"]), ",").alias("ranking")))
+    return ex.join(order, "scope").select("scope", "entities", "total_posts", "ranking")
+
+
+# PIPE-3: ingest -- normalizers -> union -> stored posts, tallied ----------------------------
+@register("pipe3_ingest")
+def pipe3_ingest(spark, sf):
+    from .q_sources import (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts,
+                            nrm6_page_comments)
+    cols = ("platform", "scope", "text", "author", "ts", "url", "likes", "shares", "keyword")
+    frames = [f(spark, sf).select(*cols) for f in
+              (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts, nrm6_page_comments)]
+    path = scratch_dir(spark, "ingest")
+    IO.write_posts(N.union_posts(*frames).withColumn("post_id", F.xxhash64("platform", "url", "text")), path)
+    return N.run_tally(spark.read.parquet(path))
+
+
+# ENT-17 / UDF-2: pluggable entity tagger (stand-in regex tagger) ----------------------------
+@register("ent17_tagger", f"""WITH {O.POSTS_V}, {O.posts_in_scope(P)},
+t AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '{O.ACCENTS}', '0', 'g'),
+                                       '{O.NAME_RE_SQL}', 1)) AS name
+      FROM posts WHERE length(text) <= 5000)
+SELECT name, count(*) AS count FROM t WHERE len(string_split(name, ' ')) >= 2 GROUP BY name""")
+def ent17_tagger(spark, sf):
+    from ..operators.tagger import regex_person_tagger, tag_entities
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    return tag_entities(ps, regex_person_tagger(NAME_RE))
