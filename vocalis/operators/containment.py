@@ -2,43 +2,56 @@
 (JOIN-2), rewritten as an equi-join.
 
 A name has at least two words of at least two characters, so every text that
-contains it also contains the 5-character *anchor* around the name's first
-space ("peter obi" -> "er ob").  The plan is:
-
-1. ``keys``: per post, the distinct 5-character windows centred on a space,
-   exploded with **ids only** ``(post_id, scope, key)`` -- the text is never
-   copied into the exploded rows;
-2. ``keys`` equi-join ``anchors`` on ``(scope, key)`` -> candidate pairs;
-   the anchor side is broadcast only when its row count is under a checked
-   limit, otherwise both sides shuffle on ``(scope, key)``;
-3. candidates re-join the text by ``post_id`` and ``contains`` removes false
-   candidates.  Per-pair work that needs the text (occurrence windows) is
-   done in this same projection, so the text is joined exactly once.
+contains it also contains the *anchor* around the name's first space: the 3
+characters on each side when both neighbouring words have 3 or more ("apache
+license" -> "che lic"), else 2 ("al gore" -> "al go").  The plan is:
+
+1. ``keys``: per post, the distinct space-centred 5- and 7-character
+   windows, exploded with **ids only** ``(post_id, scope, key)`` -- the text
+   is never copied into the exploded rows;
+2. ``keys`` equi-join ``anchors`` on ``(scope, key)`` -> candidate pairs.
+   The anchor side is broadcast only when its row count is under a checked
+   limit (the probe then happens in the scan stage and the keys never
+   shuffle); otherwise both sides shuffle on ``(scope, key)``;
+3. candidates are grouped per post (one small row per post), joined with the
+   post text **once**, and verified row-locally with
+   ``filter(cands, c -> instr(tl, c.nl) > 0)``; per-pair work that needs the
+   text (occurrence windows) is a ``transform`` over the verified names in
+   the same row.  No row ever carries a text per candidate.
 
 The result equals the nested-loop join (checked in the tests).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
 
-# Anchor rows are (scope, key, name): ~60 bytes each.  200k rows ~ 12 MB.
+# Anchor rows are (scope, key, name, nl): ~80 bytes each.  200k rows ~ 16 MB.
 BROADCAST_ANCHOR_ROWS = 200_000
 
-TEXT_KEYS_RE = r"(?s)(?=([^ ]{2} [^ ]{2}))"
+TEXT_KEYS_RE_2 = r"(?s)(?=([^ ]{2} [^ ]{2}))"
+TEXT_KEYS_RE_3 = r"(?s)(?=([^ ]{3} [^ ]{3}))"
 
 
 def anchor_key(nl) -> Column:
-    """The 5 characters around the first space of a lower-cased name."""
-    i = F.instr(col_(nl), " ")
-    return F.substring(col_(nl), i - 2, 5)
+    """The 7 (or 5) characters around the first space of a lower-cased name."""
+    n = col_(nl)
+    i = F.instr(n, " ")
+    wide = ((i - 1 >= 3) & (F.length(n) - i >= 3)
+            & (F.instr(F.substring(n, i + 1, 3), " ") == 0)
+            & (F.instr(F.substring(n, i - 3, 3), " ") == 0))
+    return F.when(wide, F.substring(n, i - 3, 7)).otherwise(F.substring(n, i - 2, 5))
 
 
 def text_keys(tl) -> Column:
-    return F.array_distinct(F.regexp_extract_all(col_(tl), F.lit(TEXT_KEYS_RE), 1))
+    t = col_(tl)
+    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(TEXT_KEYS_RE_2), 1),
+                                     F.regexp_extract_all(t, F.lit(TEXT_KEYS_RE_3), 1)))
 
 
 def candidate_pairs(posts: DataFrame, names: DataFrame,
@@ -47,8 +60,7 @@ def candidate_pairs(posts: DataFrame, names: DataFrame,
 
     ``names`` holds ``(scope, name)`` with names of >= 2 words of >= 2
     characters.  ``name_rows`` is the (already known) number of names; when
-    it is under ``BROADCAST_ANCHOR_ROWS`` the anchors are broadcast and the
-    exploded keys never shuffle.
+    it is under ``BROADCAST_ANCHOR_ROWS`` the anchors are broadcast.
     """
     keys = posts.select("post_id", "scope",
                         F.explode(text_keys(F.lower("text"))).alias("key"))
@@ -60,14 +72,37 @@ def candidate_pairs(posts: DataFrame, names: DataFrame,
     return keys.join(anchors, ["scope", "key"]).select("post_id", "scope", "name", "nl")
 
 
+PairFn = Callable[[Column, Column], Column]
+
+
 def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = None,
-                  post_columns=("platform",)) -> DataFrame:
-    """Verified pairs: ``(post_id, scope, name, nl, tl, *post_columns)`` where
-    the lower-cased post text ``tl`` contains ``nl``."""
+                  post_columns=("platform",), pair_fn: PairFn | None = None,
+                  post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
+                  ) -> DataFrame:
+    """Verified pairs ``(post_id, scope, *post_columns, name, nl, *pair
+    fields, *post fields)`` where the lower-cased text contains ``nl``.
+
+    ``pair_fn(tl, cand)`` (``cand`` a struct with ``name``, ``nl``) returns a
+    struct of extra per-pair fields computed from the text; ``post_fn(tl,
+    scope)`` returns per-post fields (computed once per post, not per pair).
+    """
     cand = candidate_pairs(posts, names, name_rows)
-    texts = posts.select("post_id", F.lower("text").alias("tl"), *post_columns)
-    return (cand.join(texts, "post_id")
-                .filter(F.instr("tl", F.col("nl")) > 0))
+    per_post = cand.groupBy("post_id").agg(F.collect_list(F.struct("name", "nl")).alias("cands"))
+    texts = posts.select("post_id", "scope", F.lower("text").alias("tl"), *post_columns)
+    j = per_post.join(texts, "post_id")
+    tl = F.col("tl")
+    hits = F.filter("cands", lambda c: F.instr(tl, c["nl"]) > 0)
+    if pair_fn is not None:
+        hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),
+                                                    pair_fn(tl, c).alias("x")))
+    extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
+    out = j.select("post_id", "scope", *post_columns,
+                   *[v.alias(k) for k, v in extra.items()],
+                   F.explode(hits).alias("h"))
+    fields = [F.col("h.name").alias("name"), F.col("h.nl").alias("nl")]
+    if pair_fn is not None:
+        fields.append(F.col("h.x").alias("x"))
+    return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields)
 
 
 def contains_join_small(posts: DataFrame, names: DataFrame,

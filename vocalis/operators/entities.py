@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ..params import Params
 from ..session import cut_lineage
 from ..sources.posts import restrict
-from .containment import contains_join, contains_join_small
+from .containment import contains_join_small
 from .mentions import aggregate_mentions, extract_mentions
-from .proximity import entity_score, name_stats, pair_stats, passes_gates
+from .proximity import entity_score, name_stats, pair_stats, pair_stats_join, passes_gates
 from .variants import merge_variants
 
 
@@ -65,8 +65,7 @@ def discover(posts: DataFrame, p: Params) -> Discovery:
     mentions = extract_mentions(posts, p)
     names = cut_lineage(aggregate_mentions(mentions))
     n_names = names.count()
-    pairs = pair_stats(contains_join(posts, names, n_names), p).drop("tl", "nl")
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(pair_stats_join(posts, names, n_names, p))
     stats = name_stats(pairs)
     nodes = recount(names, stats).withColumn("rk", rank_key())
     merged = merge_variants(nodes)

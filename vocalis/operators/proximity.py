@@ -36,21 +36,18 @@ def _any_in(window: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.instr(window, w) > 0)
 
 
-def occurrence_count(tl="tl", nl="nl") -> Column:
+def occurrence_count(tl: Column | str = "tl", nl: Column | str = "nl") -> Column:
     """Overlapping occurrences of nl in tl (a zero-width lookahead count)."""
     quoted = F.replace(col_(nl), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     return F.regexp_count(col_(tl), F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
 
 
-def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
-    """Adds ``occ, role_hits, rival_hits, role_scope_hits, context_score``
-    to verified pairs carrying ``tl`` (lower text), ``nl`` (lower name), scope."""
-    tl, nl = F.col("tl"), F.col("nl")
+def pair_counters(tl: Column, nl: Column, variants: Column, p: Params) -> Column:
+    """``struct(occ, role_hits, rival_hits, role_scope_hits)`` of one name in
+    one lower-cased text: a single fold over the overlapping occurrences."""
     L = F.length(nl)
     role = words_lit(dict.fromkeys(p.role_keywords))
     rival = words_lit(dict.fromkeys(p.rival_keywords))
-    ctx = words_lit(dict.fromkeys(p.context_words))
-    variants = F.col("_variants")
 
     def window(pos: Column, radius: int) -> Column:
         start = F.greatest(F.lit(1), pos - radius)
@@ -72,19 +69,48 @@ def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
 
     init = F.struct(F.lit(0).alias("p"), F.lit(0).alias("g"),
                     F.lit(0).alias("r"), F.lit(0).alias("s"))
-    fold = F.aggregate(F.sequence(F.lit(1), F.col("occ")), init, step)
-    ctx_score = F.when(_any_in(tl, variants),
-                       F.size(F.filter(ctx, lambda w: F.instr(tl, w) > 0))).otherwise(0)
-    return (pairs
-            .withColumn("_variants", scope_variants_col("scope", p))
-            .withColumn("occ", occurrence_count())
-            .withColumn("_f", fold)
-            .select(*[c for c in pairs.columns],
-                    "occ",
-                    F.col("_f.g").alias("role_hits"),
-                    F.col("_f.r").alias("rival_hits"),
-                    F.col("_f.s").alias("role_scope_hits"),
-                    ctx_score.alias("context_score")))
+    occ = occurrence_count(tl, nl)
+    # Exact shortcut: a window can only hold a keyword the whole text holds,
+    # so the occurrence walk runs only for texts with a role/rival keyword.
+    any_kw = _any_in(tl, role) | _any_in(tl, rival)
+    fold = F.when(any_kw, F.aggregate(F.sequence(F.lit(1), occ), init, step)).otherwise(init)
+    return F.struct(occ.alias("occ"), fold["g"].alias("role_hits"), fold["r"].alias("rival_hits"),
+                    fold["s"].alias("role_scope_hits"))
+
+
+def context_score(tl: Column, variants: Column, p: Params) -> Column:
+    """Distinct context words in the text when any scope spelling occurs in it
+    (per post: the same for every name the post contains)."""
+    ctx = words_lit(dict.fromkeys(p.context_words))
+    return F.when(_any_in(tl, variants),
+                  F.size(F.filter(ctx, lambda w: F.instr(tl, w) > 0))).otherwise(0)
+
+
+def pair_stats_join(posts: DataFrame, names: DataFrame, name_rows: int | None,
+                    p: Params) -> DataFrame:
+    """JOIN-2 + ENT-8..10: ``(post_id, scope, platform, name, occ, role_hits,
+    rival_hits, role_scope_hits, context_score)`` for every (post, name) with
+    the name in the post."""
+    from .containment import contains_join
+
+    def pair_fn(tl, c):
+        return pair_counters(tl, c["nl"], scope_variants_col(F.col("scope"), p), p)
+
+    def post_fn(tl, scope):
+        return {"context_score": context_score(tl, scope_variants_col(scope, p), p)}
+
+    j = contains_join(posts, names, name_rows, ("platform",), pair_fn, post_fn)
+    return j.select("post_id", "scope", "platform", "name", "x.occ", "x.role_hits",
+                    "x.rival_hits", "x.role_scope_hits", "context_score")
+
+
+def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
+    """The same counters for pairs that already carry ``tl``, ``nl``, scope."""
+    v = scope_variants_col("scope", p)
+    x = pair_counters(F.col("tl"), F.col("nl"), v, p)
+    return (pairs.withColumn("_x", x)
+            .select(*pairs.columns, "_x.occ", "_x.role_hits", "_x.rival_hits", "_x.role_scope_hits",
+                    context_score(F.col("tl"), v, p).alias("context_score")))
 
 
 def name_stats(stats: DataFrame) -> DataFrame:

@@ -50,16 +50,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysis(spark: SparkSession, sf_dir: str, p: Params = P):
+    """The whole analysis (PIPE-1) over the driver tables, built once per
+    session and reused by every profile / sentiment query."""
     from .pipeline import run_analysis
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, repr(p))
+    key = ("analysis", id(spark), spark.sparkContext.applicationId, sf_dir, repr(p))
     if key not in _MEMO:
-        _MEMO[key] = run_analysis(posts(spark, sf_dir), p)
+        _MEMO[key] = run_analysis(posts(spark, sf_dir), p, discovery=discovery(spark, sf_dir, p))
     return _MEMO[key]
 
 
 def discovery(spark: SparkSession, sf_dir: str, p: Params = P):
-    if p is P:
-        return analysis(spark, sf_dir, p).discovery
     from ..operators.entities import discover
     key = ("discovery", id(spark), spark.sparkContext.applicationId, sf_dir, repr(p))
     if key not in _MEMO:

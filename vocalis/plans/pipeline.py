@@ -54,11 +54,13 @@ class Analysis:
         return self._cache[name]
 
 
-def run_analysis(posts: DataFrame, p: Params, scorer=None) -> Analysis:
+def run_analysis(posts: DataFrame, p: Params, scorer=None,
+                 discovery: Discovery | None = None) -> Analysis:
     """PIPE-1.  ``scorer(posts, params) -> (post_id, scope, platform, label,
-    score, confidence)``; the lexicon scorer by default."""
+    score, confidence)``; the lexicon scorer by default.  A discovery already
+    computed for the same posts and params can be passed in."""
     posts = scoped_posts(posts, p)
-    d = discover(posts, p)
+    d = discovery if discovery is not None else discover(posts, p)
     entities = cut_lineage(entity_table(d))
     scored = (scorer or lexicon_scores)(posts, p)
     scored = cut_lineage(apply_confidence_threshold(scored, p.confidence_threshold))

@@ -107,16 +107,23 @@ FROM occ GROUP BY post_id, scope, name""")
 def ent8_windows(spark, sf):
     ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     names = discovery(spark, sf).names
-    pairs = contains_join(ps, names, names.count())
-    positions = F.aggregate(
-        F.sequence(F.lit(1), F.col("occ")), F.array().cast("array<int>"),
-        lambda acc, _i: F.concat(acc, F.array(F.position(
-            F.col("nl"), F.col("tl"), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1))))
-    return (pairs.withColumn("occ", occurrence_count())
-            .withColumn("positions", positions)
-            .select("post_id", "scope", "name", F.col("occ").cast("long").alias("occ"),
-                    F.col("positions")[0].cast("long").alias("first_pos"),
-                    F.element_at("positions", -1).cast("long").alias("last_pos")))
+
+    def positions(tl, c):
+        nl = c["nl"]
+        occ = occurrence_count(tl, nl)
+        fold = F.aggregate(
+            F.sequence(F.lit(1), occ),
+            F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")),
+            lambda acc, _i: F.transform(
+                F.array(F.position(nl, tl, acc["last"] + 1)),
+                lambda q: F.struct(F.when(acc["first"] == 0, q).otherwise(acc["first"]).alias("first"),
+                                   q.alias("last")))[0])
+        return F.struct(occ.alias("occ"), fold["first"].alias("first"), fold["last"].alias("last"))
+
+    j = contains_join(ps, names, names.count(), (), positions)
+    return j.select("post_id", "scope", "name", F.col("x.occ").cast("long").alias("occ"),
+                    F.col("x.first").cast("long").alias("first_pos"),
+                    F.col("x.last").cast("long").alias("last_pos"))
 
 
 # ENT-9 / ENT-10: proximity counters per pair --------------------------------------------
