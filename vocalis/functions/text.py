@@ -127,5 +127,15 @@ def array_to_json(c) -> Column:
 
 # FN-12 ----------------------------------------------------------------------
 def round_half_even(c, digits: int) -> Column:
-    """Python's round(): half-to-even on the decimal value (Spark ``bround``)."""
-    return F.bround(col_(c), digits)
+    """Python's ``round(x, n)`` on doubles: half-to-even on the *exact* binary
+    value, sign of zero kept (``round(-0.00001, 4) == -0.0``).
+
+    ``bround`` rounds the shortest decimal form ("6.35" -> 6.4) while the
+    binary value is 6.3499...; near such ties the value is formatted with
+    ``format_number`` (``DecimalFormat``, HALF_EVEN on the exact value)."""
+    x = col_(c).cast("double")
+    scaled = x * float(10 ** digits)
+    near_tie = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) < F.lit(1e-6)
+    exact = F.regexp_replace(F.format_number(x, digits), ",", "").cast("double")
+    r = F.when(near_tie, exact).otherwise(F.bround(x, digits))
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)

@@ -60,6 +60,30 @@ def rank_key(cnt="cnt", first_seen="first_seen"):
     return F.struct(F.col(cnt).alias("c"), F.col(first_seen).alias("f"))
 
 
+def score_and_rank(merged: DataFrame, stats: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """ENT-7, ENT-11..13 on merged names ``(scope, name, cnt, platforms, rk)``
+    and per-name proximity sums: (scored, top-k entities)."""
+    scored = (merged.filter(F.col("cnt") >= p.min_mentions)
+              .join(stats.drop("ci_posts", "ci_platforms"), ["scope", "name"])
+              .filter(passes_gates())
+              .withColumnRenamed("cnt", "mention_count")
+              .withColumn("score", entity_score()))
+    w = Window.partitionBy("scope").orderBy(F.col("score").desc(), F.col("rk").desc())
+    entities = (scored.withColumn("rank", F.row_number().over(w))
+                .filter(F.col("rank") <= p.top_k))
+    return scored, entities
+
+
+def filter_entities(merged: DataFrame, posts: DataFrame, p: Params) -> DataFrame:
+    """The proximity filter alone: given (merged) names with counts and
+    platforms, the posts of their scopes -> accepted, scored, ranked names."""
+    posts = scoped_posts(posts, p)
+    names = merged.select("scope", "name")
+    pairs = pair_stats_join(posts, names, None, p)
+    _, entities = score_and_rank(merged, name_stats(pairs), p)
+    return entities
+
+
 def discover(posts: DataFrame, p: Params) -> Discovery:
     posts = scoped_posts(posts, p)
     mentions = extract_mentions(posts, p)
@@ -69,14 +93,7 @@ def discover(posts: DataFrame, p: Params) -> Discovery:
     stats = name_stats(pairs)
     nodes = recount(names, stats).withColumn("rk", rank_key())
     merged = merge_variants(nodes)
-    scored = (merged.filter(F.col("cnt") >= p.min_mentions)
-              .join(stats.drop("ci_posts", "ci_platforms"), ["scope", "name"])
-              .filter(passes_gates())
-              .withColumnRenamed("cnt", "mention_count")
-              .withColumn("score", entity_score()))
-    w = Window.partitionBy("scope").orderBy(F.col("score").desc(), F.col("rk").desc())
-    entities = (scored.withColumn("rank", F.row_number().over(w))
-                .filter(F.col("rank") <= p.top_k))
+    scored, entities = score_and_rank(merged, stats, p)
     return Discovery(mentions, names, pairs, nodes, merged, scored, entities)
 
 

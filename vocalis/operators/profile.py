@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate_excerpt, words_lit
+from ..functions.text import round_half_even, truncate_excerpt, words_lit
 from ..params import Params
 from .mentions import split_words
 
@@ -26,7 +26,7 @@ KEY = ("scope", "entity")
 
 
 def _pct(part: Column, total: Column) -> Column:
-    return F.bround(part / total * 100, 1)
+    return round_half_even(part / total * 100, 1)
 
 
 def entity_keys(entities: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
     out = entity_keys(entities).join(agg, list(KEY), "left")
     return out.select(
         *KEY,
-        F.coalesce(F.bround("_avg", 4), F.lit(0.0)).alias("overall_score"),
+        F.coalesce(round_half_even("_avg", 4), F.lit(0.0)).alias("overall_score"),
         F.coalesce(_pct(F.col("_pos"), t), F.lit(0.0)).alias("positive_pct"),
         F.coalesce(_pct(F.col("_neg"), t), F.lit(0.0)).alias("negative_pct"),
         F.coalesce(_pct(F.col("_neu"), t), F.lit(0.0)).alias("neutral_pct"),
@@ -69,7 +69,7 @@ def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
 def platform_breakdown(sentiment: DataFrame) -> DataFrame:
     c = F.count(F.lit(1))
     return (sentiment.groupBy(*KEY, "platform")
-            .agg(F.bround(F.avg("score"), 4).alias("score"), c.alias("count"),
+            .agg(round_half_even(F.avg("score"), 4).alias("score"), c.alias("count"),
                  _pct(F.count_if(F.col("label") == "positive"), c).alias("positive_pct"),
                  _pct(F.count_if(F.col("label") == "negative"), c).alias("negative_pct")))
 
@@ -173,7 +173,7 @@ def engagement(entities: DataFrame, ep: DataFrame) -> DataFrame:
             .select(*KEY,
                     F.coalesce("total_likes", F.lit(0)).cast("long").alias("total_likes"),
                     F.coalesce("total_shares", F.lit(0)).cast("long").alias("total_shares"),
-                    F.coalesce(F.bround("_avg", 1), F.lit(0.0)).alias("avg_likes"),
+                    F.coalesce(round_half_even("_avg", 1), F.lit(0.0)).alias("avg_likes"),
                     F.coalesce("post_count", F.lit(0)).cast("long").alias("post_count")))
 
 

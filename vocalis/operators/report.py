@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalize, score_indicator, signed3, thousands
+from ..functions.text import capitalize, round_half_even, score_indicator, signed3, thousands
 from .profile import rank_profiles
 
 
@@ -22,7 +22,7 @@ def ranking_table(entities: DataFrame, summary: DataFrame) -> DataFrame:
     return r.select(
         "scope", F.col("profile_rank").alias("rank"), "entity", s.alias("score"),
         score_indicator(s).alias("indicator"), "positive_pct", "negative_pct", "mention_count",
-        F.concat(signed3(F.bround(s, 3)), F.lit(" ("), score_indicator(s), F.lit(")")).alias("score_text"),
+        F.concat(signed3(round_half_even(s, 3)), F.lit(" ("), score_indicator(s), F.lit(")")).alias("score_text"),
         F.format_string("%.1f%%", "positive_pct").alias("positive_text"),
         F.format_string("%.1f%%", "negative_pct").alias("negative_text"))
 
@@ -32,7 +32,7 @@ def platform_table(platforms: DataFrame) -> DataFrame:
     s = F.col("score")
     return platforms.select(
         "scope", "entity", capitalize("platform").alias("platform"),
-        signed3(F.bround(s, 3)).alias("score"), F.col("count").alias("posts"),
+        signed3(round_half_even(s, 3)).alias("score"), F.col("count").alias("posts"),
         F.format_string("%.1f%%", "positive_pct").alias("positive"),
         F.format_string("%.1f%%", "negative_pct").alias("negative"))
 

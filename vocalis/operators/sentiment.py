@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import col_
+from ..functions.text import col_, round_half_even
 from ..params import Params
 
 TOKEN_RE = r"(\p{L}+)"
@@ -48,23 +48,23 @@ def normalize_classifier(label, confidence) -> tuple[Column, Column, Column]:
     c = col_(confidence).cast("double")
     out_label = (F.when(F.instr(lab, "pos") > 0, "positive")
                  .when(F.instr(lab, "neg") > 0, "negative").otherwise("neutral"))
-    score = (F.when(out_label == "positive", F.bround(c, 4))
-             .when(out_label == "negative", F.bround(-c, 4)).otherwise(F.lit(0.0)))
-    return out_label, score, F.bround(c, 4)
+    score = (F.when(out_label == "positive", round_half_even(c, 4))
+             .when(out_label == "negative", round_half_even(-c, 4)).otherwise(F.lit(0.0)))
+    return out_label, score, round_half_even(c, 4)
 
 
 # SEN-3 ----------------------------------------------------------------------
 def normalize_compound(compound) -> tuple[Column, Column, Column]:
     c = col_(compound).cast("double")
     label = (F.when(c >= 0.05, "positive").when(c <= -0.05, "negative").otherwise("neutral"))
-    return label, F.bround(c, 4), F.bround(F.abs(c), 4)
+    return label, round_half_even(c, 4), round_half_even(F.abs(c), 4)
 
 
 # SEN-4 ----------------------------------------------------------------------
 def normalize_polarity(polarity, subjectivity) -> tuple[Column, Column, Column]:
     p = col_(polarity).cast("double")
     label = (F.when(p > 0.1, "positive").when(p < -0.1, "negative").otherwise("neutral"))
-    return label, F.bround(p, 4), F.bround(col_(subjectivity).cast("double"), 4)
+    return label, round_half_even(p, 4), round_half_even(col_(subjectivity).cast("double"), 4)
 
 
 # SEN-5 ----------------------------------------------------------------------
@@ -227,5 +227,5 @@ def label_distribution(sentiment: DataFrame) -> DataFrame:
         F.count_if(~F.col("label").isin("positive", "negative")).alias("neutral"),
         total.alias("total"))
     for lab in ("positive", "negative", "neutral"):
-        out = out.withColumn(f"{lab}_pct", F.bround(F.col(lab) / F.col("total") * 100, 1))
+        out = out.withColumn(f"{lab}_pct", round_half_even(F.col(lab) / F.col("total") * 100, 1))
     return out

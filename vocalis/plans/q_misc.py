@@ -147,8 +147,8 @@ def fn7_like_count(spark, sf):
 @register("fn9_display", """SELECT event_id,
   CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE > 0.1 THEN 'Positive'
        WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE < -0.1 THEN 'Negative' ELSE 'Neutral' END AS indicator,
-  printf('%+.3f', round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 3)) AS signed,
-  printf('%.1f%%', round_even(value, 1)) AS pct,
+  printf('%+.3f', (CASE WHEN round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 3)::DOUBLE = 0 THEN ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 3)::DOUBLE END)) AS signed,
+  printf('%.1f%%', (CASE WHEN round_even(printf('%.25f', (value)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (value)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (value)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END)) AS pct,
   upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) AS cap,
   replace(lower(event_type || ' Type'), ' ', '-') AS slug
 FROM events""")
@@ -156,8 +156,8 @@ def fn9_display(spark, sf):
     ev = read_table(spark, sf, "events")
     x = (F.col("value") % 2.0) - 1.0
     return ev.select("event_id", TX.score_indicator(x).alias("indicator"),
-                     TX.signed3(F.bround(x, 3)).alias("signed"),
-                     TX.pct1(F.bround("value", 1)).alias("pct"),
+                     TX.signed3(TX.round_half_even(x, 3)).alias("signed"),
+                     TX.pct1(TX.round_half_even("value", 1)).alias("pct"),
                      TX.capitalize("event_type").alias("cap"),
                      TX.slug(F.concat(F.col("event_type"), F.lit(" Type"))).alias("slug"))
 
@@ -171,8 +171,8 @@ def fn11_json(spark, sf):
 
 # FN-12: half-even rounding -------------------------------------------------------------
 @register("fn12_round", """SELECT event_id,
-  round_even((value / 3.0::DOUBLE)::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS r1,
-  round_even((value / 7.0::DOUBLE)::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS r4 FROM events""")
+  (CASE WHEN round_even(printf('%.25f', (value / 3.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (value / 3.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (value / 3.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS r1,
+  (CASE WHEN round_even(printf('%.25f', (value / 7.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (value / 7.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (value / 7.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS r4 FROM events""")
 def fn12_round(spark, sf):
     ev = read_table(spark, sf, "events")
     return ev.select("event_id", TX.round_half_even(F.col("value") / 3.0, 1).alias("r1"),
@@ -267,7 +267,7 @@ def rpt1_ranking(spark, sf):
 # RPT-2 ---------------------------------------------------------------------------
 @register("rpt2_platform_table", psql("""SELECT scope, entity,
   upper(substr(platform, 1, 1)) || lower(substr(platform, 2)) AS platform,
-  printf('%+.3f', round_even(score, 3)) AS score, count AS posts,
+  printf('%+.3f', (CASE WHEN round_even(printf('%.25f', (score)::DOUBLE)::DECIMAL(38, 25), 3)::DOUBLE = 0 THEN (score)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (score)::DOUBLE)::DECIMAL(38, 25), 3)::DOUBLE END)) AS score, count AS posts,
   printf('%.1f%%', positive_pct) AS positive, printf('%.1f%%', negative_pct) AS negative
 FROM pbreak"""))
 def rpt2_platform_table(spark, sf):

@@ -23,19 +23,25 @@ ep AS (
   FROM ent_pairs e JOIN posts_v p ON p.post_id = e.post_id),
 summary AS (
   SELECT k.scope, k.entity,
-    coalesce(round_even(avg(es.score), 4), 0.0::DOUBLE) AS overall_score,
-    coalesce(round_even(count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
-                        / count(es.post_id)::DOUBLE * 100, 1), 0.0::DOUBLE) AS positive_pct,
-    coalesce(round_even(count(es.post_id) FILTER (WHERE es.label = 'negative')::DOUBLE
-                        / count(es.post_id)::DOUBLE * 100, 1), 0.0::DOUBLE) AS negative_pct,
-    coalesce(round_even(count(es.post_id) FILTER (WHERE es.label = 'neutral')::DOUBLE
-                        / count(es.post_id)::DOUBLE * 100, 1), 0.0::DOUBLE) AS neutral_pct,
+    coalesce((CASE WHEN round_even(printf('%.25f', (avg(es.score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (avg(es.score))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (avg(es.score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END), 0.0::DOUBLE) AS overall_score,
+    coalesce((CASE WHEN round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END), 0.0::DOUBLE) AS positive_pct,
+    coalesce((CASE WHEN round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'negative')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(es.post_id) FILTER (WHERE es.label = 'negative')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'negative')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END), 0.0::DOUBLE) AS negative_pct,
+    coalesce((CASE WHEN round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'neutral')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(es.post_id) FILTER (WHERE es.label = 'neutral')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'neutral')::DOUBLE
+                        / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END), 0.0::DOUBLE) AS neutral_pct,
     count(es.post_id) AS total_analyzed
   FROM ekeys k LEFT JOIN es USING (scope, entity) GROUP BY k.scope, k.entity),
 pbreak AS (
-  SELECT scope, entity, platform, round_even(avg(score), 4) AS score, count(*) AS count,
-    round_even(count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100, 1) AS positive_pct,
-    round_even(count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100, 1) AS negative_pct
+  SELECT scope, entity, platform, (CASE WHEN round_even(printf('%.25f', (avg(score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (avg(score))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (avg(score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS score, count(*) AS count,
+    (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS positive_pct,
+    (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS negative_pct
   FROM es GROUP BY scope, entity, platform),
 excerpts AS (
   SELECT x.scope, x.entity, x.label, x.rank, x.post_id,
@@ -62,7 +68,7 @@ themes AS (
   FROM tcount QUALIFY rank <= {P.themes_top}),
 audience AS (
   SELECT scope, entity, platform, count(*) AS posts,
-    round_even(count(*)::DOUBLE / (sum(count(*)) OVER (PARTITION BY scope, entity))::DOUBLE * 100, 1) AS share_pct
+    (CASE WHEN round_even(printf('%.25f', (count(*)::DOUBLE / (sum(count(*)) OVER (PARTITION BY scope, entity))::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*)::DOUBLE / (sum(count(*)) OVER (PARTITION BY scope, entity))::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*)::DOUBLE / (sum(count(*)) OVER (PARTITION BY scope, entity))::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS share_pct
   FROM ep GROUP BY scope, entity, platform),
 support AS (
   SELECT scope, entity, c.category, c.ordinal, count(*) AS mentions,
@@ -83,7 +89,7 @@ regions AS (
 engagement AS (
   SELECT k.scope, k.entity, coalesce(sum(ep.likes), 0)::BIGINT AS total_likes,
     coalesce(sum(ep.shares), 0)::BIGINT AS total_shares,
-    coalesce(round_even(avg(ep.likes), 1), 0.0::DOUBLE) AS avg_likes,
+    coalesce((CASE WHEN round_even(printf('%.25f', (avg(ep.likes))::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (avg(ep.likes))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (avg(ep.likes))::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END), 0.0::DOUBLE) AS avg_likes,
     count(ep.post_id) AS post_count
   FROM ekeys k LEFT JOIN ep USING (scope, entity) GROUP BY k.scope, k.entity)"""
 

@@ -31,8 +31,8 @@ scored_posts AS (
   SELECT post_id, scope, platform,
     CASE WHEN blank THEN 'neutral' WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative'
          ELSE 'neutral' END AS label,
-    CASE WHEN blank THEN 0.0::DOUBLE ELSE round_even(c, 4) END AS score,
-    CASE WHEN blank THEN 0.0::DOUBLE ELSE round_even(abs(c), 4) END AS confidence
+    CASE WHEN blank THEN 0.0::DOUBLE ELSE (CASE WHEN round_even(printf('%.25f', (c)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (c)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (c)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) END AS score,
+    CASE WHEN blank THEN 0.0::DOUBLE ELSE (CASE WHEN round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (abs(c))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) END AS confidence
   FROM comp)"""
 
 FANOUT_SQL = """ent_pairs AS (
@@ -73,9 +73,9 @@ _CLS_SQL = """WITH cls AS (
 SELECT doc_id,
   CASE WHEN contains(lower(raw_label), 'pos') THEN 'positive'
        WHEN contains(lower(raw_label), 'neg') THEN 'negative' ELSE 'neutral' END AS label,
-  CASE WHEN contains(lower(raw_label), 'pos') THEN round_even(raw_conf, 4)
-       WHEN contains(lower(raw_label), 'neg') THEN round_even(-raw_conf, 4) + 0.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
-  round_even(raw_conf, 4) AS confidence
+  CASE WHEN contains(lower(raw_label), 'pos') THEN (CASE WHEN round_even(printf('%.25f', (raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (raw_conf)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END)
+       WHEN contains(lower(raw_label), 'neg') THEN (CASE WHEN round_even(printf('%.25f', (-raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (-raw_conf)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (-raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) ELSE 0.0::DOUBLE END AS score,
+  (CASE WHEN round_even(printf('%.25f', (raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (raw_conf)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (raw_conf)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS confidence
 FROM cls"""
 
 
@@ -93,8 +93,8 @@ def sen2_classifier(spark, sf):
 @register("sen3_compound", """SELECT event_id,
   CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE >= 0.05 THEN 'positive'
        WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE <= -0.05 THEN 'negative' ELSE 'neutral' END AS label,
-  round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 4) AS score,
-  round_even(abs((value % 2.0::DOUBLE) - 1.0::DOUBLE), 4) AS confidence
+  (CASE WHEN round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS score,
+  (CASE WHEN round_even(printf('%.25f', (abs((value % 2.0::DOUBLE) - 1.0::DOUBLE))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (abs((value % 2.0::DOUBLE) - 1.0::DOUBLE))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (abs((value % 2.0::DOUBLE) - 1.0::DOUBLE))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS confidence
 FROM events""")
 def sen3_compound(spark, sf):
     ev = read_table(spark, sf, "events")
@@ -105,8 +105,8 @@ def sen3_compound(spark, sf):
 @register("sen4_polarity", """SELECT event_id,
   CASE WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE > 0.1 THEN 'positive'
        WHEN (value % 2.0::DOUBLE) - 1.0::DOUBLE < -0.1 THEN 'negative' ELSE 'neutral' END AS label,
-  round_even((value % 2.0::DOUBLE) - 1.0::DOUBLE, 4) AS score,
-  round_even(value % 1.0::DOUBLE, 4) AS confidence
+  (CASE WHEN round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', ((value % 2.0::DOUBLE) - 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS score,
+  (CASE WHEN round_even(printf('%.25f', (value % 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (value % 1.0::DOUBLE)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (value % 1.0::DOUBLE)::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS confidence
 FROM events""")
 def sen4_polarity(spark, sf):
     ev = read_table(spark, sf, "events")
@@ -142,9 +142,9 @@ def sen8_fanout(spark, sf):
   count(*) FILTER (WHERE label = 'negative') AS negative,
   count(*) FILTER (WHERE label NOT IN ('positive', 'negative')) AS neutral,
   count(*) AS total,
-  round_even(count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100, 1) AS positive_pct,
-  round_even(count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100, 1) AS negative_pct,
-  round_even(count(*) FILTER (WHERE label NOT IN ('positive', 'negative'))::DOUBLE / count(*)::DOUBLE * 100, 1)
+  (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS positive_pct,
+  (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS negative_pct,
+  (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label NOT IN ('positive', 'negative'))::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label NOT IN ('positive', 'negative'))::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label NOT IN ('positive', 'negative'))::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END)
     AS neutral_pct
 FROM fanout GROUP BY scope"""))
 def sen9_distribution(spark, sf):
