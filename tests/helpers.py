@@ -18,7 +18,7 @@ def make_posts(spark, rows, scope="Lagos"):
     out = []
     base = dt.datetime(2024, 1, 1)
     for i, r in enumerate(rows):
-        if isinstance(r, str):
+        if r is None or isinstance(r, str):
             r = {"text": r}
         elif isinstance(r, tuple):
             r = dict(zip(("text", "platform", "scope"), r))

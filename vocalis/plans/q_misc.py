@@ -186,8 +186,9 @@ _P_COLS = ("post_id", "platform", "scope", "text", "author", "ts", "url", "likes
 @register("snk1_posts_parquet", VSQL(f"SELECT {', '.join(_P_COLS)} FROM posts_v"))
 def snk1_posts_parquet(spark, sf):
     path = scratch_dir(spark, "posts")
-    IO.write_posts(posts(spark, sf), path)
-    return spark.read.parquet(path).select(*_P_COLS)
+    ps = posts(spark, sf)
+    IO.write_posts(ps, path)
+    return spark.read.schema(ps.schema).parquet(path).select(*_P_COLS)
 
 
 # SNK-2: entity upsert, run twice ------------------------------------------------------
@@ -197,7 +198,7 @@ def snk2_entities(spark, sf):
     e = analysis(spark, sf).entities
     IO.write_entities(e, path, mode="upsert")
     IO.write_entities(e, path, mode="upsert")
-    return spark.read.parquet(path).select("scope", "name", "mention_count")
+    return spark.read.schema(e.schema).parquet(path).select("scope", "name", "mention_count")
 
 
 # SNK-3: sentiment rows; a rerun replaces, never duplicates ----------------------------------
@@ -207,7 +208,7 @@ def snk3_sentiment(spark, sf):
     s = analysis(spark, sf).sentiment.select("post_id", "scope", "entity", "label", "score")
     IO.write_sentiment(s, path)
     IO.write_sentiment(s, path)
-    return spark.read.parquet(path).select("post_id", "scope", "entity", "label", "score")
+    return spark.read.schema(s.schema).parquet(path).select("post_id", "scope", "entity", "label", "score")
 
 
 # SNK-4 / SRC-10: JSON export and read back ---------------------------------------------
@@ -243,8 +244,9 @@ def snk6_sentiment_json(spark, sf):
 FROM summary s JOIN engagement g USING (scope, entity)"""))
 def snk7_profiles_json(spark, sf):
     path = scratch_dir(spark, "profiles-json")
-    IO.export_profiles_json(analysis(spark, sf).part("profiles"), path)
-    back = spark.read.json(path)
+    prof = analysis(spark, sf).part("profiles")
+    IO.export_profiles_json(prof, path)
+    back = spark.read.schema(prof.schema).json(path)
     return back.select("scope", "entity", F.col("sentiment.overall_score").alias("overall_score"),
                        F.col("post_count").cast("long").alias("post_count"))
 
@@ -333,8 +335,9 @@ def pipe3_ingest(spark, sf):
     frames = [f(spark, sf).select(*cols) for f in
               (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts, nrm6_page_comments)]
     path = scratch_dir(spark, "ingest")
-    IO.write_posts(N.union_posts(*frames).withColumn("post_id", F.xxhash64("platform", "url", "text")), path)
-    return N.run_tally(spark.read.parquet(path))
+    u = N.union_posts(*frames).withColumn("post_id", F.xxhash64("platform", "url", "text"))
+    IO.write_posts(u, path)
+    return N.run_tally(spark.read.schema(u.schema).parquet(path))
 
 
 # ENT-17 / UDF-2: pluggable entity tagger (stand-in regex tagger) ----------------------------

@@ -33,7 +33,8 @@ def write_entities(entities: DataFrame, path: str, mode: str = "overwrite") -> N
     if mode == "upsert":
         spark = entities.sparkSession
         try:
-            old = spark.read.parquet(path)
+            old = spark.read.schema(entities.schema).parquet(path)
+            old.limit(1).collect()
         except Exception:  # noqa: BLE001 - first run: nothing stored yet
             old = None
         if old is not None:
@@ -42,7 +43,7 @@ def write_entities(entities: DataFrame, path: str, mode: str = "overwrite") -> N
             # materialise before overwriting the files it reads from
             tmp = path.rstrip("/") + "__upsert_tmp"
             merged.write.mode("overwrite").partitionBy("scope").parquet(tmp)
-            merged = spark.read.parquet(tmp)
+            merged = spark.read.schema(entities.schema).parquet(tmp)
             _dynamic(entities)
             merged.write.mode("overwrite").partitionBy("scope").parquet(path)
             return
