@@ -350,3 +350,32 @@ def ent17_tagger(spark, sf):
     from ..operators.tagger import regex_person_tagger, tag_entities
     ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     return tag_entities(ps, regex_person_tagger(NAME_RE))
+
+
+# SRC-10: read back the exports (posts JSON) with an explicit schema -------------------------
+@register("src10_read_exports", VSQL("SELECT post_id, scope, author, url FROM posts_v"))
+def src10_read_exports(spark, sf):
+    path = scratch_dir(spark, "posts-export")
+    ps = posts(spark, sf)
+    IO.export_posts_json(ps, path)
+    return IO.read_json_export(spark, path, "post_id long, scope string, author string, url string")
+
+
+# SNK-8: export switches (posts JSON off, the rest on); rows per written export -------------
+@register("snk8_exports", full_sql("""SELECT 'posts_csv' AS export, (SELECT count(*) FROM posts_v) AS n
+UNION ALL SELECT 'sentiment_json', (SELECT count(*) FROM fanout f JOIN posts_v p ON p.post_id = f.post_id)
+UNION ALL SELECT 'profiles_json', (SELECT count(*) FROM entities)"""))
+def snk8_exports(spark, sf):
+    a = analysis(spark, sf)
+    out = scratch_dir(spark, "exports")
+    done = IO.export_all(posts(spark, sf), a.sentiment.select("post_id", "entity", "label", "score"),
+                         a.part("profiles"), out, posts_json=False)
+    frames = []
+    for name, path in sorted(done.items()):
+        reader = spark.read.option("header", True).csv if name.endswith("csv") else spark.read.json
+        try:
+            n = reader(path).count()
+        except Exception:  # noqa: BLE001 - an export with no rows has no files to infer from
+            n = 0
+        frames.append((name, n))
+    return spark.createDataFrame(frames, "export string, n long")

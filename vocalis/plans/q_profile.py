@@ -294,3 +294,31 @@ def join10_scope_profiles(spark, sf):
     a = A(spark, sf)
     scopes = read_table(spark, sf, "documents").select(F.col("lang").alias("scope")).distinct()
     return scopes.join(a.part("summary").select(*KEY, "overall_score"), "scope", "left")
+
+
+# JOIN-5: post x support category hits (before counting) -----------------------------------
+@register("join5_support_hits", psql(f"""SELECT ep.post_id, ep.entity, c.category FROM ep,
+  (VALUES {_CATS_VALUES}) c(category, ordinal, kws)
+WHERE contains(lower(ep.text), lower(ep.entity))
+  AND list_bool_or(list_transform(c.kws, lambda k: contains(lower(ep.text), k)))"""))
+def join5_support_hits(spark, sf):
+    ep = A(spark, sf).entity_posts
+    tl = F.lower("text")
+    cats = F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.lit(k) for k in kws]).alias("kws"))
+                     for c, kws in P.support_categories.items()])
+    hits = F.filter(cats, lambda c: F.exists(c["kws"], lambda k: F.instr(tl, k) > 0))
+    return (ep.filter(F.instr(tl, F.lower("entity")) > 0)
+            .select("post_id", "entity", F.explode(hits).alias("c"))
+            .select("post_id", "entity", F.col("c.category").alias("category")))
+
+
+# WIN-9: the sorted sentiment export (scope, entity, score desc) ------------------------------
+@register("win9_sorted_export", psql("""SELECT p.scope, f.entity, f.score, f.post_id
+FROM fanout f JOIN posts_v p ON p.post_id = f.post_id"""))
+def win9_sorted_export(spark, sf):
+    from .catalog import posts
+    a = A(spark, sf)
+    p = posts(spark, sf).select("post_id", "scope")
+    return (a.sentiment.select("post_id", "entity", "score").join(p, "post_id")
+            .orderBy("scope", "entity", F.col("score").desc(), "post_id")
+            .select("scope", "entity", "score", "post_id"))

@@ -170,3 +170,11 @@ def src6_entity_sentiment(spark, sf):
     a = analysis(spark, sf)
     s = a.sentiment.select("post_id", "entity", "label", "score")
     return sentiment_for_entity(s, posts(spark, sf), "Apache License", "en", ordered=True)
+
+
+# SEN-7: tier resolution (configured tier first, then the next available one) -------------
+@register("sen7_tier", scored_sql("SELECT post_id, label, score, 'lexicon' AS tier FROM scored_posts"))
+def sen7_tier(spark, sf):
+    from ..operators.sentiment import available_tiers, resolve_tier
+    tier = resolve_tier("transformers", [t for t in available_tiers() if t == "lexicon"])
+    return analysis(spark, sf).scored.select("post_id", "label", "score", F.lit(tier).alias("tier"))

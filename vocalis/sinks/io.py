@@ -105,3 +105,26 @@ def dedupe_posts(posts: DataFrame, keys) -> DataFrame:
     rest = [c for c in posts.columns if c not in keys]
     agg = posts.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col("post_id")).alias("_r"))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+# SNK-8
+def export_all(posts: DataFrame, sentiment: DataFrame, profiles: DataFrame, out_dir: str,
+               posts_json: bool = True, posts_csv: bool = True, sentiment_json: bool = True,
+               profiles_json: bool = True) -> dict[str, str]:
+    """The export step of the pipeline, each export behind its switch.
+    Returns the written folders by export name."""
+    import os
+    done = {}
+    if posts_json:
+        done["posts_json"] = os.path.join(out_dir, "posts_json")
+        export_posts_json(posts, done["posts_json"])
+    if posts_csv:
+        done["posts_csv"] = os.path.join(out_dir, "posts_csv")
+        export_posts_csv(posts, done["posts_csv"])
+    if sentiment_json:
+        done["sentiment_json"] = os.path.join(out_dir, "sentiment_json")
+        export_sentiment_json(sentiment, posts, done["sentiment_json"])
+    if profiles_json:
+        done["profiles_json"] = os.path.join(out_dir, "profiles_json")
+        export_profiles_json(profiles, done["profiles_json"])
+    return done
