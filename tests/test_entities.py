@@ -208,5 +208,5 @@ def test_whole_discovery_inline(spark):
     # "Babajide Sanwo-Olu Lagos" (2 matches) is a 3-word name of its own; it is
     # absorbed by "Babajide Sanwo-Olu" (3 posts after the recount): 3 + 2.
     assert got == [("Babajide Sanwo-Olu", 5, ["nairaland", "twitter"])]
-    merged = {r["name"]: r["merged_names"] for r in d.merged.collect()}
-    assert merged == {"Babajide Sanwo-Olu": ["Babajide Sanwo-Olu", "Babajide Sanwo-Olu Lagos"]}
+    merged = {r["name"]: r["n_variants"] for r in d.merged.collect()}
+    assert merged == {"Babajide Sanwo-Olu": 2}

@@ -257,10 +257,14 @@ def executive_summary(entities: DataFrame, eng: DataFrame) -> DataFrame:
     counts twice), sorted union of the entities' platforms."""
     j = entities.select("scope", F.col("name").alias("entity"), "platforms").join(
         eng.select(*KEY, "post_count"), list(KEY), "left")
-    return j.groupBy("scope").agg(
+    counts = j.groupBy("scope").agg(
         F.count(F.lit(1)).alias("entities"),
-        F.coalesce(F.sum("post_count"), F.lit(0)).cast("long").alias("total_posts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("platforms"))
+        F.coalesce(F.sum("post_count"), F.lit(0)).cast("long").alias("total_posts"))
+    plats = (j.select("scope", F.explode("platforms").alias("p")).groupBy("scope")
+             .agg(F.array_sort(F.collect_set("p")).alias("platforms")))
+    return counts.join(plats, "scope", "left").select(
+        "scope", "entities", "total_posts",
+        F.coalesce("platforms", F.array().cast("array<string>")).alias("platforms"))
 
 
 # AGG-12 ---------------------------------------------------------------------

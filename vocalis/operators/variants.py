@@ -9,8 +9,8 @@ That is the lexicographically-first maximal independent set of the
 "word-set inclusion" graph in rank order, with each absorbed node owned by
 its earliest kept neighbour.  It is computed in rounds:
 
-* edges come from an equi-join (JOIN-3): the smaller name's rarest word
-  against every word of the larger name, verified with ``array_except``;
+* edges come from an exact equi-join (JOIN-3): a name's whole word set
+  against every subset of the other name's word set (<= 7 per name);
 * a node is decided once all its earlier neighbours are decided: absorbed
   (owner = earliest kept earlier neighbour) if any is kept, else kept;
 * each round is a join + aggregate over the *undecided* nodes only, its
@@ -32,25 +32,29 @@ MAX_ROUNDS = 10_000
 
 
 def word_set(name_col="name"):
-    return F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.col(name_col)), WS_RE, " ")), " "))
+    """Sorted distinct lower-case words of a name (its word *set*)."""
+    return F.array_sort(F.array_distinct(
+        F.split(F.trim(F.regexp_replace(F.lower(F.col(name_col)), WS_RE, " ")), " ")))
+
+
+def subset_keys(words: str) -> F.Column:
+    """Every non-empty subset of a (sorted) word set, as a space-joined key.
+    Names have at most 3 words, so at most 7 keys per name."""
+    return F.expr(f"transform(sequence(1, shiftleft(1, size({words})) - 1), "
+                  f"m -> array_join(filter({words}, (x, i) -> (shiftright(m, i) & 1) = 1), ' '))")
 
 
 def inclusion_edges(nodes: DataFrame) -> DataFrame:
     """Undirected edges ``(scope, a, b)`` (both directions) between names whose
-    word sets are equal or nested.  ``nodes``: (scope, name, words)."""
-    words = nodes.select("scope", "name", "words")
-    exploded = words.select("scope", "name", F.explode("words").alias("word"))
-    freq = exploded.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("wf"))
-    # rarest word of each name (ties: smallest word) = its join key
-    keyed = (exploded.join(freq, ["scope", "word"])
-             .groupBy("scope", "name")
-             .agg(F.min(F.struct("wf", "word"))["word"].alias("key")))
-    small = keyed.join(words, ["scope", "name"]).select(
-        "scope", F.col("name").alias("a"), F.col("words").alias("wa"), F.col("key").alias("word"))
-    large = exploded.join(words, ["scope", "name"]).select(
-        "scope", "word", F.col("name").alias("b"), F.col("words").alias("wb"))
-    sub = (small.join(large, ["scope", "word"])
-           .filter((F.col("a") != F.col("b")) & (F.size(F.array_except("wa", "wb")) == 0))
+    word sets are equal or nested.  ``nodes``: (scope, name, words).
+
+    Exact equi-join: ``a``'s whole word set is a key; ``b`` emits all subsets
+    of its word set; a key match means set(a) is a subset of set(b).  Only
+    true pairs are produced -- no candidate blow-up on common words."""
+    small = nodes.select("scope", F.col("name").alias("a"), F.array_join("words", " ").alias("key"))
+    large = nodes.select("scope", F.col("name").alias("b"), F.explode(subset_keys("words")).alias("key"))
+    sub = (small.join(large, ["scope", "key"])
+           .filter(F.col("a") != F.col("b"))
            .select("scope", "a", "b"))
     both = sub.unionByName(sub.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
     return both.distinct()
@@ -62,7 +66,8 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
     ``nodes``: ``(scope, name, cnt long, platforms array<string>, rk)`` where
     ``rk`` is an orderable rank key (larger = earlier in the ranking; unique
     per scope).  Returns the kept names with summed counts and unioned
-    platforms: ``(scope, name, cnt, platforms, rk, merged_names)``.
+    platforms: ``(scope, name, cnt, platforms, rk, n_variants)``.  Word sets
+    have at most 3 words (the extraction pattern), so subset keys stay <= 7.
     """
     base = nodes.withColumn("words", word_set())
     base = cut_lineage(base)
@@ -114,10 +119,13 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
     owner = F.when(F.col("status") == "K", F.col("name")).otherwise(F.col("owner"))
     assigned = base.join(status, ["scope", "name"]).withColumn("label", owner)
     kept = base.select("scope", F.col("name").alias("label"), F.col("rk").alias("rk_label"))
-    return (assigned.groupBy("scope", "label")
-            .agg(F.sum("cnt").alias("cnt"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("platforms")))).alias("platforms"),
-                 F.array_sort(F.collect_list("name")).alias("merged_names"))
-            .join(kept, ["scope", "label"])
-            .select("scope", F.col("label").alias("name"), "cnt", "platforms",
-                    F.col("rk_label").alias("rk"), "merged_names"))
+    counts = assigned.groupBy("scope", "label").agg(F.sum("cnt").alias("cnt"),
+                                                    F.count(F.lit(1)).alias("n_variants"))
+    # platform union: explode + collect_set keeps each group bounded by the
+    # number of distinct platforms, however many names a label absorbed
+    plats = (assigned.select("scope", "label", F.explode("platforms").alias("platform"))
+             .groupBy("scope", "label").agg(F.array_sort(F.collect_set("platform")).alias("platforms")))
+    return (counts.join(plats, ["scope", "label"], "left").join(kept, ["scope", "label"])
+            .select("scope", F.col("label").alias("name"), "cnt",
+                    F.coalesce("platforms", F.array().cast("array<string>")).alias("platforms"),
+                    F.col("rk_label").alias("rk"), "n_variants"))

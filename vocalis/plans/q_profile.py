@@ -272,8 +272,8 @@ def agg13_listing(spark, sf):
 FROM merged GROUP BY scope"""))
 def agg14_platform_sets(spark, sf):
     m = A(spark, sf).discovery.merged
-    return m.groupBy("scope").agg(F.array_join(F.array_sort(F.array_distinct(
-        F.flatten(F.collect_list("platforms")))), ",").alias("platforms"))
+    return (m.select("scope", F.explode("platforms").alias("p")).groupBy("scope")
+            .agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("platforms")))
 
 
 # AGG-15: breakdown listing with the first five themes ----------------------------------------
