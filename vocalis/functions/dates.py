@@ -35,6 +35,18 @@ def _try_ts(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt))
 
 
+def epoch_to_ntz(seconds) -> Column:
+    """UTC wall-clock ``timestamp_ntz`` of epoch seconds, whatever the
+    session time zone."""
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col_(seconds).cast("decimal(18,6)")))
+
+
+def _to_utc_ntz(ltz: Column) -> Column:
+    """An instant (``timestamp``) as UTC wall-clock ``timestamp_ntz``."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ltz.cast("timestamp_ntz"))
+
+
 def parse_date(c, as_of: str = "2024-02-12") -> Column:
     """Parse a raw date string to ``timestamp_ntz``; unparsable -> null."""
     s = F.trim(col_(c))
@@ -44,10 +56,12 @@ def parse_date(c, as_of: str = "2024-02-12") -> Column:
     forum = F.when(
         forum_time != "",
         _try_ts(F.concat_ws(" ", forum_day, year, forum_time), "MMM d yyyy h:mma"))
-    tries = [forum] + [_try_ts(s, f) for f in DATE_FORMATS]
-    out = F.coalesce(*tries)
-    return F.when((s.isNull()) | (s == ""), F.lit(None)).otherwise(
-        out.cast("timestamp_ntz"))
+    # wall-clock formats: parsed and cast in the same (session) zone, so the
+    # wall clock is kept; the offset format is an instant, converted to UTC
+    local = [forum] + [_try_ts(s, f) for f in DATE_FORMATS if "Z'" in f or "Z" not in f]
+    offset = [_try_ts(s, f) for f in DATE_FORMATS if f.endswith("Z") and not f.endswith("'Z'")]
+    out = F.coalesce(*[t.cast("timestamp_ntz") for t in local], *[_to_utc_ntz(t) for t in offset])
+    return F.when((s.isNull()) | (s == ""), F.lit(None)).otherwise(out)
 
 
 def format_date(ts, raw) -> Column:

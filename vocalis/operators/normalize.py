@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import format_date, parse_date, within_range
+from ..functions.dates import epoch_to_ntz, format_date, parse_date, within_range
 from ..functions.text import anonymize_author, clean_text, col_, majority_match, parse_like_count
 from ..params import Params
 from .html_posts import raw_posts
@@ -86,7 +86,7 @@ def forum_posts(pages: DataFrame, scope, p: Params, tag: str = "div", cls: str |
 def submission_posts(subs: DataFrame, scope, keyword, p: Params) -> DataFrame:
     """Landed submissions -> posts: title + ' ' + body (when non-empty)."""
     text = F.concat_ws(" ", F.col("title"), F.nullif(F.col("selftext"), F.lit("")))
-    ts = F.timestamp_seconds(F.col("created_utc")).cast("timestamp_ntz")
+    ts = epoch_to_ntz("created_utc")
     return to_posts(subs, post_id=F.col("id"), platform="reddit", scope=scope, text=text,
                     author=F.col("author"), date_raw=F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
                     url=F.concat(F.lit("https://reddit.com"), F.col("permalink")),
@@ -101,7 +101,7 @@ def comment_posts(comments: DataFrame, scope, keyword, p: Params, max_comments:
     ``row_number() <= k`` filter, planned as a window group limit, so a huge
     thread is never gathered into one row or task."""
     c = cap_per_group(comments, ["parent_id"], [F.col("ord").asc(), F.col("id").asc()], max_comments)
-    ts = F.timestamp_seconds(F.col("created_utc")).cast("timestamp_ntz")
+    ts = epoch_to_ntz("created_utc")
     return to_posts(c, post_id=F.col("id"), platform="reddit", scope=scope, text=F.col("body"),
                     author=F.col("author"), date_raw=F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
                     url=F.concat(F.lit("https://reddit.com"), F.col("permalink")),
