@@ -108,17 +108,20 @@ def aggregate_mentions(mentions: DataFrame) -> DataFrame:
 
 def mention_contexts(mentions: DataFrame, posts: DataFrame, radius: int = 50,
                      per_name: int = 3) -> DataFrame:
-    """Optional: up to ``per_name`` +-radius snippets around the first occurrence
-    of the raw match in each post, first-seen order (never used downstream).
-    """
+    """Optional: up to ``per_name`` snippets per name, taken in first-seen
+    order (newest post first, then match order); each is the text +-radius
+    characters around the first occurrence of the raw match in its post.
+    ``row_number() <= k`` is planned as a window group limit, and the text
+    is joined to the <= k winners only."""
     from pyspark.sql import Window
     w = Window.partitionBy("scope", "name").orderBy(first_seen_key().desc())
-    first = (mentions.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_name))
+    first = (mentions.select("scope", "name", "post_id", "ts", "pos", "raw")
+             .withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_name))
     t = posts.select("post_id", "text")
-    snip = F.expr(f"""trim(substring(text,
-        greatest(instr(text, raw) - 1 - {radius}, 0) + 1,
-        least(length(text), instr(text, raw) - 1 + length(raw) + {radius})
-          - greatest(instr(text, raw) - 1 - {radius}, 0)))""")
+    idx = F.instr(F.col("text"), F.col("raw")) - 1
+    start = F.greatest(idx - radius, F.lit(0))
+    end = F.least(F.length("text"), idx + F.length("raw") + radius)
+    snippet = F.trim(F.substring(F.col("text"), start + 1, end - start))
     return (first.join(t, "post_id")
-            .filter(F.instr("text", F.col("raw")) > 0)
-            .select("scope", "name", "k", snip.alias("context")))
+            .filter(idx >= 0)
+            .select("scope", "name", F.col("k").cast("long").alias("k"), snippet.alias("context")))

@@ -226,3 +226,21 @@ def ent16_roles(spark, sf):
     return role_detection(ps, names, P).select(
         "scope", "name", F.col("role_hits").cast("long").alias("role_hits"),
         F.col("rival_hits").cast("long").alias("rival_hits"), "verdict")
+
+
+# ENT-4 (optional column): up to 3 context snippets per name ---------------------------------
+@register("ent4_contexts", "WITH " + O.mention_ctes(P) + """,
+ranked AS (
+  SELECT scope, name, post_id, raw,
+    row_number() OVER (PARTITION BY scope, name ORDER BY ts DESC, post_id, pos) AS k
+  FROM m QUALIFY k <= 3)
+SELECT r.scope, r.name, r.k::BIGINT AS k,
+  trim(substr(p.text, greatest(strpos(p.text, r.raw) - 1 - 50, 0) + 1,
+       least(length(p.text), strpos(p.text, r.raw) - 1 + length(r.raw) + 50)
+       - greatest(strpos(p.text, r.raw) - 1 - 50, 0))) AS context
+FROM ranked r JOIN posts p ON p.post_id = r.post_id
+WHERE strpos(p.text, r.raw) > 0""")
+def ent4_contexts(spark, sf):
+    from ..operators.mentions import mention_contexts
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    return mention_contexts(discovery(spark, sf).mentions, ps)
