@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..params import Params, driver_params
 from ..sources.tables import posts_view
-from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
