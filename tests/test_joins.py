@@ -32,11 +32,17 @@ def test_anchor_join_equals_nested_loop(spark, texts, names):
     assert run(spark, texts, names, 10) == brute(texts, names)
 
 
-def test_anchor_join_shuffle_path(spark):
+def test_anchor_join_shuffle_paths(spark, monkeypatch):
+    import vocalis.operators.containment as C
     rnd = random.Random(3)
     names = ["ab ba", "aab bba", "ab ab ab", "ba ab", "abb aab ba"]
     texts = ["".join(rnd.choice("ab ") for _ in range(60)) for _ in range(30)]
-    assert run(spark, texts, names, None) == brute(texts, names)   # no broadcast hint
+    want = brute(texts, names)
+    assert run(spark, texts, names, None) == want                  # plain shuffle join
+    monkeypatch.setattr(C, "BROADCAST_ANCHOR_ROWS", 1)
+    assert run(spark, texts, names, len(names)) == want            # broadcast key-set filter
+    monkeypatch.setattr(C, "BROADCAST_KEY_ROWS", 1)
+    assert run(spark, texts, names, len(names)) == want            # shuffle, sizes checked
 
 
 def test_anchor_keys(spark):

@@ -33,6 +33,8 @@ from ..functions.text import col_
 
 # Anchor rows are (scope, key, name, nl): ~80 bytes each.  200k rows ~ 16 MB.
 BROADCAST_ANCHOR_ROWS = 200_000
+# Distinct (scope, key) rows: ~30 bytes each.  1M rows ~ 30 MB.
+BROADCAST_KEY_ROWS = 1_000_000
 
 TEXT_KEYS_RE_2 = r"(?s)(?=([^ ]{2} [^ ]{2}))"
 TEXT_KEYS_RE_3 = r"(?s)(?=([^ ]{3} [^ ]{3}))"
@@ -59,8 +61,15 @@ def candidate_pairs(posts: DataFrame, names: DataFrame,
     """Candidate ``(post_id, scope, name, nl)`` pairs sharing the anchor key.
 
     ``names`` holds ``(scope, name)`` with names of >= 2 words of >= 2
-    characters.  ``name_rows`` is the (already known) number of names; when
-    it is under ``BROADCAST_ANCHOR_ROWS`` the anchors are broadcast.
+    characters.  ``name_rows`` is the (already known) number of names.
+    Three tiers, each behind a size check:
+
+    * names <= ``BROADCAST_ANCHOR_ROWS``: the anchors are broadcast and the
+      text keys are probed in the scan stage (no shuffle of keys at all);
+    * else, distinct anchor keys <= ``BROADCAST_KEY_ROWS``: the key set is
+      broadcast as a semi-join filter, so only text keys that can match any
+      name reach the shuffle join with the (large) anchor table;
+    * else: both sides shuffle on ``(scope, key)`` (AQE splits hot keys).
     """
     keys = posts.select("post_id", "scope",
                         F.explode(text_keys(F.lower("text"))).alias("key"))
@@ -69,6 +78,10 @@ def candidate_pairs(posts: DataFrame, names: DataFrame,
                     .withColumn("key", anchor_key("nl")))
     if name_rows is not None and name_rows <= BROADCAST_ANCHOR_ROWS:
         anchors = F.broadcast(anchors)
+    elif name_rows is not None:
+        key_set = anchors.select("scope", "key").distinct()
+        if key_set.count() <= BROADCAST_KEY_ROWS:
+            keys = keys.join(F.broadcast(key_set), ["scope", "key"], "left_semi")
     return keys.join(anchors, ["scope", "key"]).select("post_id", "scope", "name", "nl")
 
 
