@@ -12,7 +12,10 @@ license" -> "che lic"), else 2 ("al gore" -> "al go").  The plan is:
 2. ``keys`` equi-join ``anchors`` on ``(scope, key)`` -> candidate pairs.
    The anchor side is broadcast only when its row count is under a checked
    limit (the probe then happens in the scan stage and the keys never
-   shuffle); otherwise both sides shuffle on ``(scope, key)``;
+   shuffle); above it, the distinct anchor-key set is broadcast as a
+   semi-join filter when *it* is under a checked limit, so only keys that
+   can match reach the shuffle; otherwise both sides shuffle on
+   ``(scope, key)``;
 3. candidates are grouped per post (one small row per post), joined with the
    post text **once**, and verified row-locally with
    ``filter(cands, c -> instr(tl, c.nl) > 0)``; per-pair work that needs the

@@ -13,15 +13,17 @@ its earliest kept neighbour.  It is computed in rounds:
   against every subset of the other name's word set (<= 7 per name);
 * a node is decided once all its earlier neighbours are decided: absorbed
   (owner = earliest kept earlier neighbour) if any is kept, else kept;
-* each round is a join + aggregate over the *undecided* nodes only, its
-  result written to the reliable checkpoint folder; the loop stops when no
-  node is undecided (one ``count`` per round on the driver).
+* each round is a join + aggregate over the *undecided* nodes only; the
+  round state is persisted, and every ``CHECKPOINT_EVERY`` rounds written to
+  the reliable checkpoint folder so its lineage stays bounded; the loop
+  stops when no node is undecided (one ``count`` per round on the driver).
 
 Names without any neighbour never enter the loop.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from ..session import cut_lineage
 from .mentions import WS_RE
 
 MAX_ROUNDS = 10_000
+# the round state's lineage grows by one join per round: cut it this often
+CHECKPOINT_EVERY = 3
 
 
 def word_set(name_col="name"):
@@ -69,8 +73,9 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
     platforms: ``(scope, name, cnt, platforms, rk, n_variants)``.  Word sets
     have at most 3 words (the extraction pattern), so subset keys stay <= 7.
     """
-    base = nodes.withColumn("words", word_set())
-    base = cut_lineage(base)
+    # base and edges have a short lineage (checkpointed names and pair stats):
+    # persisted for reuse, recomputed from that lineage if an executor is lost
+    base = nodes.withColumn("words", word_set()).persist(StorageLevel.MEMORY_AND_DISK)
     edges = inclusion_edges(base)
     rk = base.select("scope", "name", "rk")
     # directed: e (earlier) -> l (later)
@@ -80,8 +85,7 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
                            ["scope", "b"])
                      .filter(F.col("rk_a") > F.col("rk_b"))
                      .select("scope", F.col("a").alias("e"), F.col("rk_a").alias("rk_e"),
-                             F.col("b").alias("l")))
-    directed = cut_lineage(directed)
+                             F.col("b").alias("l"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     later = directed.select("scope", F.col("l").alias("name")).distinct()
     # status: K kept, A absorbed (owner set), U undecided
@@ -90,7 +94,7 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
               .select("scope", "name",
                       F.when(F.col("has_earlier"), F.lit("U")).otherwise(F.lit("K")).alias("status"),
                       F.lit(None).cast("string").alias("owner")))
-    status = cut_lineage(status)
+    status = status.persist(StorageLevel.MEMORY_AND_DISK)
 
     rounds = 0
     while True:
@@ -110,11 +114,17 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
                            F.when(F.col("best_k").isNotNull(), F.lit("A")).otherwise(F.lit("K"))
                             .alias("new_status"),
                            F.col("best_k.e").alias("new_owner")))
-        status = cut_lineage(
-            status.join(decided, ["scope", "name"], "left")
-                  .select("scope", "name",
-                          F.coalesce("new_status", "status").alias("status"),
-                          F.coalesce("new_owner", "owner").alias("owner")))
+        nxt = (status.join(decided, ["scope", "name"], "left")
+                     .select("scope", "name",
+                             F.coalesce("new_status", "status").alias("status"),
+                             F.coalesce("new_owner", "owner").alias("owner")))
+        if rounds % CHECKPOINT_EVERY == 0:
+            nxt = cut_lineage(nxt)
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            nxt.count()
+        status.unpersist()
+        status = nxt
 
     owner = F.when(F.col("status") == "K", F.col("name")).otherwise(F.col("owner"))
     assigned = base.join(status, ["scope", "name"]).withColumn("label", owner)
