@@ -106,3 +106,11 @@ def test_confidence_threshold_optional(spark):
     assert S.apply_confidence_threshold(scored, None).count() == 2
     assert [r[0] for r in S.apply_confidence_threshold(scored, 0.5).select("post_id").collect()] == [2]
     assert F is not None
+
+
+def test_large_lexicon_join_path_equals_inline(spark, monkeypatch):
+    texts = ["great good day", "terrible bad", "a plain sentence", None, "no good no"]
+    inline = scores(spark, texts)
+    monkeypatch.setattr(S, "INLINE_LEXICON_MAX", 0)
+    joined = scores(spark, texts)
+    assert [(a[0], a[1]) for a in joined] == [(a[0], a[1]) for a in inline]

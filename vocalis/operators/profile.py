@@ -96,16 +96,20 @@ def top_excerpts(sentiment: DataFrame, posts: DataFrame, p: Params,
 # JOIN-7 / AGG-3 / WIN-3 ---------------------------------------------------------
 def theme_tokens(ep: DataFrame, p: Params) -> DataFrame:
     """Whitespace tokens of lower-cased text, >= min length, wholly
-    alphabetic, minus theme stop words and the entity's own name words."""
-    stop = words_lit(dict.fromkeys(p.theme_stop_words))
+    alphabetic, minus theme stop words (a broadcast anti-join: one hash probe
+    per token) and the entity's own name words (<= 3 per row)."""
     name_words = F.transform(split_words(F.col("entity")), lambda w: F.lower(w))
     toks = ep.select(*KEY, F.explode(split_words(F.lower("text"))).alias("token"),
                      name_words.alias("_nw"))
-    return (toks.filter((F.length("token") >= p.theme_min_len)
+    toks = (toks.filter((F.length("token") >= p.theme_min_len)
                         & F.col("token").rlike(r"^\p{L}+$")
-                        & ~F.array_contains(stop, F.col("token"))
                         & ~F.array_contains(F.col("_nw"), F.col("token")))
             .drop("_nw"))
+    stop = list(dict.fromkeys(p.theme_stop_words))
+    if not stop:
+        return toks
+    stop_df = ep.sparkSession.createDataFrame([(w,) for w in stop], "token string")
+    return toks.join(F.broadcast(stop_df), "token", "left_anti").select(*KEY, "token")
 
 
 def key_themes(ep: DataFrame, p: Params) -> DataFrame:

@@ -89,12 +89,35 @@ def compound(s: Column, alpha: float = 15.0) -> Column:
     return s / F.sqrt(s * s + F.lit(alpha))
 
 
+# Lexicons up to this size are looked up in-row (a map literal); larger ones
+# (e.g. a full sentiment lexicon) go through a broadcast hash join.
+INLINE_LEXICON_MAX = 256
+
+
+def lexicon_sums_joined(posts: DataFrame, lexicon: dict[str, float], max_chars: int = 1000) -> DataFrame:
+    """``(post_id, s)`` for a large lexicon: tokens exploded with the post id
+    only, a broadcast hash join with the lexicon, and a per-post sum whose
+    partial aggregation combines map-side (a post's tokens never leave its
+    partition before the combine)."""
+    lex = posts.sparkSession.createDataFrame(
+        [(w.lower(), float(v)) for w, v in lexicon.items()], "token string, weight double")
+    toks = posts.select("post_id", F.explode(F.regexp_extract_all(
+        F.lower(F.coalesce(scorer_input("text", max_chars), F.lit(""))), F.lit(TOKEN_RE), 1)).alias("token"))
+    return toks.join(F.broadcast(lex), "token").groupBy("post_id").agg(F.sum("weight").alias("s"))
+
+
 def lexicon_scores(posts: DataFrame, p: Params, keep=("post_id", "scope", "platform")) -> DataFrame:
     """Score every post once: ``(*keep, label, score, confidence)``."""
-    c = compound(lexicon_sum(F.col("text"), p.lexicon, p.max_score_chars))
+    base = posts.select(*keep, "text")
+    if len(p.lexicon) <= INLINE_LEXICON_MAX:
+        base = base.withColumn("_s", lexicon_sum(F.col("text"), p.lexicon, p.max_score_chars))
+    else:
+        sums = lexicon_sums_joined(posts, p.lexicon, p.max_score_chars)
+        base = (base.join(sums, "post_id", "left")
+                .withColumn("_s", F.coalesce(F.col("s"), F.lit(0.0))).drop("s"))
     label, score, conf = normalize_compound(F.col("_c"))
     blank = is_blank(F.col("text"))
-    return (posts.select(*keep, "text").withColumn("_c", c)
+    return (base.withColumn("_c", compound(F.col("_s")))
             .select(*keep,
                     F.when(blank, "neutral").otherwise(label).alias("label"),
                     F.when(blank, 0.0).otherwise(score).alias("score"),
