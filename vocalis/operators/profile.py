@@ -95,16 +95,16 @@ def top_excerpts(sentiment: DataFrame, posts: DataFrame, p: Params,
 
 # JOIN-7 / AGG-3 / WIN-3 ---------------------------------------------------------
 def theme_tokens(ep: DataFrame, p: Params) -> DataFrame:
-    """Whitespace tokens of lower-cased text, >= min length, wholly
-    alphabetic, minus theme stop words (a broadcast anti-join: one hash probe
-    per token) and the entity's own name words (<= 3 per row)."""
+    """Whitespace-delimited tokens of the lower-cased text that are wholly
+    alphabetic and at least ``theme_min_len`` long -- one regex pass per post
+    (``(?<!\\S)\\p{L}{n,}(?!\\S)``), no per-token test -- minus theme stop words
+    (a broadcast anti-join: one hash probe per token) and the entity's own
+    name words (<= 3 per row)."""
+    token_re = rf"(?U)(?<!\S)(\p{{L}}{{{p.theme_min_len},}})(?!\S)"
     name_words = F.transform(split_words(F.col("entity")), lambda w: F.lower(w))
-    toks = ep.select(*KEY, F.explode(split_words(F.lower("text"))).alias("token"),
-                     name_words.alias("_nw"))
-    toks = (toks.filter((F.length("token") >= p.theme_min_len)
-                        & F.col("token").rlike(r"^\p{L}+$")
-                        & ~F.array_contains(F.col("_nw"), F.col("token")))
-            .drop("_nw"))
+    toks = ep.select(*KEY, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(token_re), 1))
+                     .alias("token"), name_words.alias("_nw"))
+    toks = toks.filter(~F.array_contains(F.col("_nw"), F.col("token"))).drop("_nw")
     stop = list(dict.fromkeys(p.theme_stop_words))
     if not stop:
         return toks
