@@ -184,11 +184,11 @@ def model_scores(posts: DataFrame, model_factory: ModelFactory, batch_size: int
 def lexicon_model_factory(lexicon: dict[str, float]) -> ModelFactory:
     """A tiny stand-in classifier (numpy) with the model contract: returns
     POSITIVE/NEGATIVE/NEUTRAL with a confidence in [0, 1]."""
-    import re as _re
     lex = {k.lower(): float(v) for k, v in lexicon.items()}
 
     def factory():
-        tok = _re.compile(r"[^\W\d_]+")
+        import regex  # Unicode property classes, same token rule as TOKEN_RE
+        tok = regex.compile(r"\p{L}+")
 
         def predict(texts: list[str]) -> list[dict]:
             out = []

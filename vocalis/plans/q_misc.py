@@ -326,7 +326,22 @@ def pipe2_report(spark, sf):
 
 
 # PIPE-3: ingest -- normalizers -> union -> stored posts, tallied ----------------------------
-@register("pipe3_ingest")
+def _pipe3_sql() -> str:
+    from .q_sources import (COM_SQL, N2_SQL, N3_SQL, N4_SQL, N5_SQL, N6_SQL, PC_SQL, PP_SQL, START,
+                            SUBS_SQL, TW_SQL)
+    cols = "platform, scope"
+    return f"""WITH {SUBS_SQL}, {N2_SQL}, {COM_SQL}, {N3_SQL}, {TW_SQL}, {N4_SQL},
+{PP_SQL}, {N5_SQL}, {PC_SQL}, {N6_SQL},
+u AS (
+  SELECT {cols} FROM n2 WHERE length(text) >= 20 AND ts >= {START}
+  UNION ALL SELECT {cols} FROM n3 WHERE length(text) >= 20 AND ts >= {START}
+  UNION ALL SELECT {cols} FROM n4 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START})
+  UNION ALL SELECT {cols} FROM n5 WHERE length(text) >= 20 AND ts >= {START}
+  UNION ALL SELECT {cols} FROM n6 WHERE length(text) >= 10)
+SELECT platform, scope, count(*) AS posts FROM u GROUP BY ROLLUP (platform, scope)"""
+
+
+@register("pipe3_ingest", _pipe3_sql())
 def pipe3_ingest(spark, sf):
     from .q_sources import (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts,
                             nrm6_page_comments)

@@ -122,7 +122,13 @@ def sen5_lexicon(spark, sf):
 
 
 # SEN-6 / UDF-1: pluggable batch model through mapInPandas (rows only) ----------------
-@register("sen6_model")
+@register("sen6_model", scored_sql("""SELECT post_id, scope, platform,
+  CASE WHEN blank THEN 'neutral' WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative'
+       ELSE 'neutral' END AS label,
+  CASE WHEN blank THEN 0.0::DOUBLE WHEN c >= 0.05 THEN (CASE WHEN round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (abs(c))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END)
+       WHEN c <= -0.05 THEN (CASE WHEN round_even(printf('%.25f', (-abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (-abs(c))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (-abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN blank THEN 0.0::DOUBLE ELSE (CASE WHEN round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (abs(c))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (abs(c))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) END AS confidence
+FROM comp"""))
 def sen6_model(spark, sf):
     ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     return model_scores(ps, lexicon_model_factory(P.lexicon), batch_size=32)
