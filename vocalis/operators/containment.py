@@ -121,23 +121,38 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
     return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields)
 
 
-def contains_join_small(posts: DataFrame, names: DataFrame,
-                        max_names: int = 10_000) -> DataFrame:
-    """For a small, user-supplied name list (any length, single words
-    allowed): the list is broadcast and tested with ``contains`` on each
-    post.  ``names`` has ``name`` and optionally ``scope`` (then a name only
-    matches posts of its scope).  The list size is checked."""
+def contains_join_small(posts: DataFrame, names: DataFrame, max_names: int = 1_000,
+                        pair_fn: PairFn | None = None,
+                        post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
+                        ) -> DataFrame:
+    """For a small, user-supplied name list (any length, single words allowed,
+    so no anchor): the list (size-checked) becomes an array literal and each
+    post keeps ``filter(names, n -> instr(tl, n.nl) > 0)`` -- one pass over the
+    posts, no join, no text copied per pair.  ``names`` has ``name`` and
+    optionally ``scope`` (then a name only matches posts of its scope).
+    Output as ``contains_join``: ``(post_id, scope, platform, [post fields],
+    name, nl[, x])``."""
     n_rows = names.count()
     if n_rows > max_names:
         raise ValueError(f"supplied name list has {n_rows} rows (> {max_names}); "
                          "use contains_join (anchor join) for derived name tables")
-    cols = ["name"] + (["scope"] if "scope" in names.columns else [])
-    n = names.select(*cols).withColumn("nl", F.lower("name"))
-    if "scope" in cols:
-        n = n.withColumnRenamed("scope", "_nscope")
-    p = posts.select("post_id", "scope", F.lower("text").alias("tl"), "platform")
-    cond = F.instr(p.tl, n.nl) > 0
-    if "scope" in cols:
-        cond = cond & (p.scope == n._nscope)
-    out = p.join(F.broadcast(n), cond)
-    return out.drop("_nscope") if "scope" in cols else out
+    has_scope = "scope" in names.columns
+    rows = names.select("name", *(["scope"] if has_scope else [])).collect()
+    lit = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["name"].lower()).alias("nl"),
+                             F.lit(r["scope"] if has_scope else None).cast("string").alias("scope"))
+                    for r in rows]) if rows else F.array().cast(
+        "array<struct<name:string,nl:string,scope:string>>")
+    p = posts.select("post_id", "scope", "platform", F.lower("text").alias("tl"))
+    tl = F.col("tl")
+    hits = F.filter(lit, lambda n: (F.instr(tl, n["nl"]) > 0)
+                    & (n["scope"].isNull() | (n["scope"] == F.col("scope"))))
+    if pair_fn is not None:
+        hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),
+                                                    pair_fn(tl, c).alias("x")))
+    extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
+    out = p.select("post_id", "scope", "platform", *[v.alias(k) for k, v in extra.items()],
+                   F.explode(hits).alias("h"))
+    fields = [F.col("h.name").alias("name"), F.col("h.nl").alias("nl")]
+    if pair_fn is not None:
+        fields.append(F.col("h.x").alias("x"))
+    return out.select("post_id", "scope", "platform", *extra.keys(), *fields)

@@ -22,7 +22,7 @@ from ..session import cut_lineage
 from ..sources.posts import restrict
 from .containment import contains_join_small
 from .mentions import aggregate_mentions, extract_mentions
-from .proximity import entity_score, name_stats, pair_stats, pair_stats_join, passes_gates
+from .proximity import entity_score, name_stats, pair_stats_join, passes_gates
 from .variants import merge_variants
 
 
@@ -125,8 +125,13 @@ def stage_funnel(d: Discovery) -> DataFrame:
 def role_detection(posts: DataFrame, supplied: DataFrame, p: Params) -> DataFrame:
     """Role / rival hits of supplied ``(scope, name)`` rows and a verdict;
     rows with no hit of either kind are hidden."""
-    pairs = contains_join_small(scoped_posts(posts, p), supplied)
-    stats = pair_stats(pairs, p)
+    from .proximity import pair_counters, scope_variants_col
+
+    def pair_fn(tl, c):
+        return pair_counters(tl, c["nl"], scope_variants_col(F.col("scope"), p), p)
+
+    stats = (contains_join_small(scoped_posts(posts, p), supplied, pair_fn=pair_fn)
+             .select("scope", "name", "x.role_hits", "x.rival_hits"))
     agg = (stats.groupBy("scope", "name")
            .agg(F.sum("role_hits").alias("role_hits"), F.sum("rival_hits").alias("rival_hits")))
     verdict = (F.when(F.col("role_hits") > F.col("rival_hits"), "more role")

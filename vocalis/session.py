@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...);
-    it is used as is.  Only when it is unset (local runs, tests) a fresh
-    temporary folder is created.
+    it is used as is, and its absence is an error.  Only in local mode (runs on
+    one machine, tests) an unset directory is replaced by a fresh temporary
+    folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...): "
+                               "a machine-local folder does not survive on a cluster")
         configured = tempfile.mkdtemp(prefix="vocalis-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
