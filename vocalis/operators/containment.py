@@ -16,11 +16,13 @@ license" -> "che lic"), else 2 ("al gore" -> "al go").  The plan is:
    semi-join filter when *it* is under a checked limit, so only keys that
    can match reach the shuffle; otherwise both sides shuffle on
    ``(scope, key)``;
-3. candidates are grouped per post (one small row per post), joined with the
-   post text **once**, and verified row-locally with
-   ``filter(cands, c -> instr(tl, c.nl) > 0)``; per-pair work that needs the
-   text (occurrence windows) is a ``transform`` over the verified names in
-   the same row.  No row ever carries a text per candidate.
+3. broadcast tier: the probe, the ``instr`` verification and the per-pair
+   work happen in the scan stage itself (the explode references the post
+   text without copying it in whole-stage codegen; only matches are
+   materialised).  Shuffle tiers: candidates are grouped per post, joined
+   with the post text **once**, and verified row-locally with
+   ``filter(cands, c -> instr(tl, c.nl) > 0)``; per-pair work is a
+   ``transform`` over the verified names in the same row.
 
 The result equals the nested-loop join (checked in the tests).
 """
@@ -59,26 +61,19 @@ def text_keys(tl) -> Column:
                                      F.regexp_extract_all(t, F.lit(TEXT_KEYS_RE_3), 1)))
 
 
+def anchors_of(names: DataFrame) -> DataFrame:
+    return (names.select("scope", "name")
+                 .withColumn("nl", F.lower("name"))
+                 .withColumn("key", anchor_key("nl")))
+
+
 def candidate_pairs(posts: DataFrame, names: DataFrame,
                     name_rows: int | None = None) -> DataFrame:
-    """Candidate ``(post_id, scope, name, nl)`` pairs sharing the anchor key.
-
-    ``names`` holds ``(scope, name)`` with names of >= 2 words of >= 2
-    characters.  ``name_rows`` is the (already known) number of names.
-    Three tiers, each behind a size check:
-
-    * names <= ``BROADCAST_ANCHOR_ROWS``: the anchors are broadcast and the
-      text keys are probed in the scan stage (no shuffle of keys at all);
-    * else, distinct anchor keys <= ``BROADCAST_KEY_ROWS``: the key set is
-      broadcast as a semi-join filter, so only text keys that can match any
-      name reach the shuffle join with the (large) anchor table;
-    * else: both sides shuffle on ``(scope, key)`` (AQE splits hot keys).
-    """
+    """Candidate ``(post_id, scope, name, nl)`` pairs sharing the anchor key,
+    for the shuffle tiers (see ``contains_join``)."""
     keys = posts.select("post_id", "scope",
                         F.explode(text_keys(F.lower("text"))).alias("key"))
-    anchors = (names.select("scope", "name")
-                    .withColumn("nl", F.lower("name"))
-                    .withColumn("key", anchor_key("nl")))
+    anchors = anchors_of(names)
     if name_rows is not None and name_rows <= BROADCAST_ANCHOR_ROWS:
         anchors = F.broadcast(anchors)
     elif name_rows is not None:
@@ -95,18 +90,45 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
                   post_columns=("platform",), pair_fn: PairFn | None = None,
                   post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
                   ) -> DataFrame:
-    """Verified pairs ``(post_id, scope, *post_columns, name, nl, *pair
-    fields, *post fields)`` where the lower-cased text contains ``nl``.
+    """Verified pairs ``(post_id, scope, *post_columns, *post fields, name,
+    nl[, x])`` where the lower-cased text contains ``nl``.
 
     ``pair_fn(tl, cand)`` (``cand`` a struct with ``name``, ``nl``) returns a
-    struct of extra per-pair fields computed from the text; ``post_fn(tl,
-    scope)`` returns per-post fields (computed once per post, not per pair).
+    struct of per-pair fields computed from the text (column ``x``);
+    ``post_fn(tl, scope)`` returns per-post fields.
+
+    Three tiers, each behind a size check on ``name_rows``:
+
+    * names <= ``BROADCAST_ANCHOR_ROWS``: **fused in the scan stage** -- the
+      text keys are exploded next to the (referenced, not copied) post text,
+      probed against the broadcast anchors with the ``instr`` verification in
+      the join condition, and the per-pair work runs on the matches; no
+      exchange at all, the text is read once and never shuffled;
+    * else distinct anchor keys <= ``BROADCAST_KEY_ROWS``: the key set is
+      broadcast as a semi-join filter before the shuffle join on the key;
+    * else both sides shuffle on ``(scope, key)``.
+
+    In the shuffle tiers candidates are grouped per post, joined with the
+    text once per post and verified row-locally.
     """
+    tl = F.col("tl")
+    if name_rows is not None and name_rows <= BROADCAST_ANCHOR_ROWS:
+        base = posts.select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
+        keyed = base.select(*base.columns, F.explode(text_keys(tl)).alias("key"))
+        anchors = F.broadcast(anchors_of(names))
+        j = keyed.join(anchors, (keyed.scope == anchors.scope) & (keyed.key == anchors.key)
+                       & (F.instr(keyed.tl, anchors.nl) > 0)).drop(anchors.scope).drop("key")
+        extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
+        cols = ["post_id", "scope", *post_columns, *[v.alias(k) for k, v in extra.items()],
+                "name", "nl"]
+        if pair_fn is not None:
+            cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
+        return j.select(*cols)
+
     cand = candidate_pairs(posts, names, name_rows)
     per_post = cand.groupBy("post_id").agg(F.collect_list(F.struct("name", "nl")).alias("cands"))
     texts = posts.select("post_id", "scope", F.lower("text").alias("tl"), *post_columns)
     j = per_post.join(texts, "post_id")
-    tl = F.col("tl")
     hits = F.filter("cands", lambda c: F.instr(tl, c["nl"]) > 0)
     if pair_fn is not None:
         hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),

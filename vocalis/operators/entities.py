@@ -131,7 +131,7 @@ def role_detection(posts: DataFrame, supplied: DataFrame, p: Params) -> DataFram
         return pair_counters(tl, c["nl"], scope_variants_col(F.col("scope"), p), p)
 
     stats = (contains_join_small(scoped_posts(posts, p), supplied, pair_fn=pair_fn)
-             .select("scope", "name", "x.role_hits", "x.rival_hits"))
+             .select("scope", "name", F.col("x.g").alias("role_hits"), F.col("x.r").alias("rival_hits")))
     agg = (stats.groupBy("scope", "name")
            .agg(F.sum("role_hits").alias("role_hits"), F.sum("rival_hits").alias("rival_hits")))
     verdict = (F.when(F.col("role_hits") > F.col("rival_hits"), "more role")

@@ -43,8 +43,11 @@ def occurrence_count(tl: Column | str = "tl", nl: Column | str = "nl") -> Column
 
 
 def pair_counters(tl: Column, nl: Column, variants: Column, p: Params) -> Column:
-    """``struct(occ, role_hits, rival_hits, role_scope_hits)`` of one name in
-    one lower-cased text: a single fold over the overlapping occurrences."""
+    """``struct(p, g, r, s, n)`` of one name in one lower-cased text: one fold
+    over the overlapping occurrences; ``n`` = occurrences, ``g`` / ``r`` /
+    ``s`` = role, rival and role+scope window hits.  Returned as one struct
+    so that the fold is evaluated once (consumers read its fields in a later
+    projection)."""
     L = F.length(nl)
     role = words_lit(dict.fromkeys(p.role_keywords))
     rival = words_lit(dict.fromkeys(p.rival_keywords))
@@ -64,18 +67,20 @@ def pair_counters(tl: Column, nl: Column, variants: Column, p: Params) -> Column
                 (acc["g"] + _any_in(rw, role).cast("int")).alias("g"),
                 (acc["r"] + _any_in(rw, rival).cast("int")).alias("r"),
                 (acc["s"] + (_any_in(sw, role) & _any_in(sw, variants)).cast("int")).alias("s"),
+                (acc["n"] + 1).alias("n"),
             )
         return F.transform(nxt, bind)[0]
 
-    init = F.struct(F.lit(0).alias("p"), F.lit(0).alias("g"),
-                    F.lit(0).alias("r"), F.lit(0).alias("s"))
-    occ = occurrence_count(tl, nl)
+    zero = F.lit(0)
+    init = F.struct(zero.alias("p"), zero.alias("g"), zero.alias("r"), zero.alias("s"), zero.alias("n"))
     # Exact shortcut: a window can only hold a keyword the whole text holds,
-    # so the occurrence walk runs only for texts with a role/rival keyword.
+    # so the occurrence walk runs only for texts with a role/rival keyword;
+    # otherwise only the occurrences are counted (one regex pass).
     any_kw = _any_in(tl, role) | _any_in(tl, rival)
-    fold = F.when(any_kw, F.aggregate(F.sequence(F.lit(1), occ), init, step)).otherwise(init)
-    return F.struct(occ.alias("occ"), fold["g"].alias("role_hits"), fold["r"].alias("rival_hits"),
-                    fold["s"].alias("role_scope_hits"))
+    walk = F.aggregate(F.sequence(F.lit(1), occurrence_count(tl, nl)), init, step)
+    count_only = F.struct(zero.alias("p"), zero.alias("g"), zero.alias("r"), zero.alias("s"),
+                          occurrence_count(tl, nl).alias("n"))
+    return F.when(any_kw, walk).otherwise(count_only)
 
 
 def context_score(tl: Column, variants: Column, p: Params) -> Column:
@@ -100,8 +105,9 @@ def pair_stats_join(posts: DataFrame, names: DataFrame, name_rows: int | None,
         return {"context_score": context_score(tl, scope_variants_col(scope, p), p)}
 
     j = contains_join(posts, names, name_rows, ("platform",), pair_fn, post_fn)
-    return j.select("post_id", "scope", "platform", "name", "x.occ", "x.role_hits",
-                    "x.rival_hits", "x.role_scope_hits", "context_score")
+    return j.select("post_id", "scope", "platform", "name", F.col("x.n").alias("occ"),
+                    F.col("x.g").alias("role_hits"), F.col("x.r").alias("rival_hits"),
+                    F.col("x.s").alias("role_scope_hits"), "context_score")
 
 
 def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
@@ -109,7 +115,8 @@ def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
     v = scope_variants_col("scope", p)
     x = pair_counters(F.col("tl"), F.col("nl"), v, p)
     return (pairs.withColumn("_x", x)
-            .select(*pairs.columns, "_x.occ", "_x.role_hits", "_x.rival_hits", "_x.role_scope_hits",
+            .select(*pairs.columns, F.col("_x.n").alias("occ"), F.col("_x.g").alias("role_hits"),
+                    F.col("_x.r").alias("rival_hits"), F.col("_x.s").alias("role_scope_hits"),
                     context_score(F.col("tl"), v, p).alias("context_score")))
 
 

@@ -110,18 +110,17 @@ def ent8_windows(spark, sf):
 
     def positions(tl, c):
         nl = c["nl"]
-        occ = occurrence_count(tl, nl)
-        fold = F.aggregate(
-            F.sequence(F.lit(1), occ),
-            F.struct(F.lit(0).alias("first"), F.lit(0).alias("last")),
+        return F.aggregate(
+            F.sequence(F.lit(1), occurrence_count(tl, nl)),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last")),
             lambda acc, _i: F.transform(
                 F.array(F.position(nl, tl, acc["last"] + 1)),
-                lambda q: F.struct(F.when(acc["first"] == 0, q).otherwise(acc["first"]).alias("first"),
+                lambda q: F.struct((acc["n"] + 1).alias("n"),
+                                   F.when(acc["first"] == 0, q).otherwise(acc["first"]).alias("first"),
                                    q.alias("last")))[0])
-        return F.struct(occ.alias("occ"), fold["first"].alias("first"), fold["last"].alias("last"))
 
     j = contains_join(ps, names, names.count(), (), positions)
-    return j.select("post_id", "scope", "name", F.col("x.occ").cast("long").alias("occ"),
+    return j.select("post_id", "scope", "name", F.col("x.n").cast("long").alias("occ"),
                     F.col("x.first").cast("long").alias("first_pos"),
                     F.col("x.last").cast("long").alias("last_pos"))
 
