@@ -350,13 +350,20 @@ def flt2_time_range(spark, sf):
     return ev.filter(within_range("ts", P.as_of, P.months)).select("event_id", "ts")
 
 
-# FLT-3: originals, one language, exact phrase -------------------------------------------------
-@register("flt3_originals", VSQL("""SELECT post_id FROM posts_v
-WHERE post_id % 7 <> 0 AND scope = 'en' AND contains(lower(text), 'apache license')"""))
+# FLT-3: originals, one language, exact phrase ---------------------------------------------
+# A repost is a post whose exact text already appeared in an earlier post
+# (the documents hold exact copies); the flag is derived with a partial
+# aggregate on a 32-byte digest of the text, never on the text itself.
+@register("flt3_originals", VSQL("""SELECT p.post_id FROM posts_v p
+JOIN (SELECT sha256(text) AS h, min(post_id) AS first_id FROM posts_v GROUP BY sha256(text)) f
+  ON f.h = sha256(p.text)
+WHERE p.post_id = f.first_id AND p.scope = 'en' AND contains(lower(p.text), 'apache license')"""))
 def flt3_originals(spark, sf):
-    ps = posts(spark, sf).withColumn("is_repost", F.col("post_id") % 7 == 0)
-    return ps.filter(~F.col("is_repost") & (F.col("scope") == "en")
-                     & (F.instr(F.lower("text"), "apache license") > 0)).select("post_id")
+    ps = posts(spark, sf).withColumn("h", F.sha2("text", 256))
+    first = ps.groupBy("h").agg(F.min("post_id").alias("first_id"))
+    flagged = ps.join(first, "h").withColumn("is_repost", F.col("post_id") != F.col("first_id"))
+    return flagged.filter(~F.col("is_repost") & (F.col("scope") == "en")
+                          & (F.instr(F.lower("text"), "apache license") > 0)).select("post_id")
 
 
 # FLT-6: label filter on the fan-out ----------------------------------------------------------
