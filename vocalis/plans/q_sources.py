@@ -373,11 +373,14 @@ def flt6_label_filter(spark, sf):
         "post_id", "entity", "score")
 
 
-# SET-2: duplicates kept by default; optional dedupe (first post id per key) --------------------------
-@register("set2_dedupe", VSQL("SELECT scope, min(post_id) AS post_id FROM posts_v GROUP BY scope, text"))
+# SET-2: duplicates kept by default; optional dedupe (first post id per key) --------------------
+# the text enters the key as a 32-byte digest, so copies are grouped
+# without shuffling whole texts
+@register("set2_dedupe", VSQL("SELECT scope, min(post_id) AS post_id FROM posts_v GROUP BY scope, sha256(text)"))
 def set2_dedupe(spark, sf):
     from ..sinks.io import dedupe_posts
-    return dedupe_posts(posts(spark, sf), ["scope", "text"]).select("scope", "post_id")
+    ps = posts(spark, sf).select("post_id", "scope", F.sha2("text", 256).alias("text_digest"))
+    return dedupe_posts(ps, ["scope", "text_digest"]).select("scope", "post_id")
 
 
 # WIN-7: caps per group ------------------------------------------------------------------
