@@ -114,3 +114,10 @@ def test_large_lexicon_join_path_equals_inline(spark, monkeypatch):
     monkeypatch.setattr(S, "INLINE_LEXICON_MAX", 0)
     joined = scores(spark, texts)
     assert [(a[0], a[1]) for a in joined] == [(a[0], a[1]) for a in inline]
+
+
+def test_scores_in_range_and_one_per_post(spark):
+    texts = ["Great work by the governor!", "Terrible performance in office.", "This is a test."]
+    got = scores(spark, texts)
+    assert len(got) == 3
+    assert all(lab in ("positive", "negative", "neutral") and -1.0 <= sc <= 1.0 for lab, sc, _ in got)
