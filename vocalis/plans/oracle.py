@@ -1,8 +1,8 @@
 """DuckDB reference SQL for the registered queries.
 
-The SQL is deliberately brute force (nested-loop ``contains``, a per-character
-scan for occurrences, a recursive greedy walk for the variant merge) so that
-it checks the Spark plans (anchor join, position fold, merge rounds)
+The SQL is deliberately brute force (nested-loop ``contains``, a recursive
+occurrence-by-occurrence walk, a recursive greedy walk for the variant merge)
+so that it checks the Spark plans (anchor join, position fold, merge rounds)
 independently.  The builders take the same ``Params`` as the Spark side.
 """
 
@@ -111,7 +111,8 @@ names AS (
 
 
 def pair_ctes(p: Params) -> str:
-    """Brute-force pairs, occurrences, windows and per-name stats."""
+    """Brute-force pairs (nested loop), occurrences (a recursive walk, one row
+    per overlapping occurrence), windows and per-name stats."""
     L = "length(nl)"
     rw = (f"substr(tl, greatest(1, pos - {p.role_window}), "
           f"pos + {L} + {p.role_window} - greatest(1, pos - {p.role_window}))")
@@ -120,10 +121,11 @@ def pair_ctes(p: Params) -> str:
     return f"""pairs AS (
   SELECT ps.post_id, ps.scope, ps.platform, n.name, lower(ps.text) AS tl, lower(n.name) AS nl
   FROM posts ps JOIN names n ON ps.scope = n.scope AND contains(lower(ps.text), lower(n.name))),
-occ AS (
-  SELECT post_id, scope, name, tl, nl, g.i AS pos
-  FROM pairs, generate_series(1, length(tl) - length(nl) + 1) AS g(i)
-  WHERE substr(tl, g.i, length(nl)) = nl),
+occ(post_id, scope, name, tl, nl, pos) AS (
+  SELECT post_id, scope, name, tl, nl, instr(tl, nl) FROM pairs
+  UNION ALL
+  SELECT post_id, scope, name, tl, nl, pos + instr(substr(tl, pos + 1), nl)
+  FROM occ WHERE instr(substr(tl, pos + 1), nl) > 0),
 win AS (
   SELECT post_id, scope, name, pos, {rw} AS rw, {sw} AS sw FROM occ),
 occ_stats AS (

@@ -56,7 +56,7 @@ def ent4_mentions(spark, sf):
 
 
 # JOIN-2: verified posts x names pairs ----------------------------------------------
-@register("join2_contains", "WITH " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+@register("join2_contains", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT post_id, scope, name, platform FROM pairs""")
 def join2_contains(spark, sf):
     ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
@@ -65,7 +65,7 @@ def join2_contains(spark, sf):
 
 
 # ENT-5: case-insensitive recount ----------------------------------------------------
-@register("ent5_recount", "WITH " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+@register("ent5_recount", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT scope, name, cnt, array_to_string(platforms, ',') AS platforms FROM nodes""")
 def ent5_recount(spark, sf):
     return discovery(spark, sf).nodes.select("scope", "name", "cnt", joined("platforms"))
@@ -100,7 +100,7 @@ def ent7_min_mentions(spark, sf):
 
 
 # ENT-8: overlapping occurrences per pair ---------------------------------------------
-@register("ent8_windows", "WITH " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+@register("ent8_windows", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT post_id, scope, name, count(*)::BIGINT AS occ, min(pos)::BIGINT AS first_pos,
        max(pos)::BIGINT AS last_pos
 FROM occ GROUP BY post_id, scope, name""")
@@ -126,7 +126,7 @@ def ent8_windows(spark, sf):
 
 
 # ENT-9 / ENT-10: proximity counters per pair --------------------------------------------
-@register("ent9_proximity", "WITH " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+@register("ent9_proximity", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT post_id, scope, name, occ::BIGINT AS occ, role_hits::BIGINT AS role_hits,
        rival_hits::BIGINT AS rival_hits, role_scope_hits::BIGINT AS role_scope_hits,
        context_score::BIGINT AS context_score
@@ -138,7 +138,7 @@ def ent9_proximity(spark, sf):
                             ("occ", "role_hits", "rival_hits", "role_scope_hits", "context_score")])
 
 
-@register("ent10_context", "WITH " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+@register("ent10_context", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT scope, name, context_score FROM name_stats""")
 def ent10_context(spark, sf):
     d = discovery(spark, sf)
@@ -199,14 +199,16 @@ def ent15_funnel(spark, sf):
 
 
 # ENT-16: role detection for supplied names ---------------------------------------------
-_ROLE_SQL = f"""WITH {O.POSTS_V}, {O.posts_in_scope(P)},
+_ROLE_SQL = f"""WITH RECURSIVE {O.POSTS_V}, {O.posts_in_scope(P)},
 sup AS (SELECT s.scope, n.name FROM (SELECT DISTINCT scope FROM posts) s,
         (SELECT unnest({O.lst(ROLE_NAMES)}) AS name) n),
 pr AS (SELECT ps.post_id, ps.scope, s.name, lower(ps.text) AS tl, lower(s.name) AS nl
        FROM posts ps JOIN sup s ON ps.scope = s.scope AND contains(lower(ps.text), lower(s.name))),
-occ AS (SELECT post_id, scope, name, tl, nl, g.i AS pos
-        FROM pr, generate_series(1, length(tl) - length(nl) + 1) AS g(i)
-        WHERE substr(tl, g.i, length(nl)) = nl),
+occ(post_id, scope, name, tl, nl, pos) AS (
+        SELECT post_id, scope, name, tl, nl, instr(tl, nl) FROM pr
+        UNION ALL
+        SELECT post_id, scope, name, tl, nl, pos + instr(substr(tl, pos + 1), nl)
+        FROM occ WHERE instr(substr(tl, pos + 1), nl) > 0),
 win AS (SELECT scope, name,
         substr(tl, greatest(1, pos - {P.role_window}), pos + length(nl) + {P.role_window} - greatest(1, pos - {P.role_window})) AS rw
         FROM occ),
