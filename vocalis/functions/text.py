@@ -139,3 +139,21 @@ def round_half_even(c, digits: int) -> Column:
     exact = F.regexp_replace(F.format_number(x, digits), ",", "").cast("double")
     r = F.when(near_tie, exact).otherwise(F.bround(x, digits))
     return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
+def exact_mean(c, digits: int) -> Column:
+    """Aggregate: mean of values that carry at most ``digits`` decimals,
+    rounded half-to-even at ``digits`` *exactly* (integer arithmetic on the
+    scaled sum), so the result does not depend on the summation order.
+    A negative mean that rounds to zero keeps its sign, like Python."""
+    scale = 10 ** digits
+    x = col_(c).cast("double")
+    s = F.sum(F.bround(x * float(scale), 0).cast("long"))
+    n = F.count(x)
+    r = ((s % n) + n) % n
+    q = ((s - r) / n).cast("long")
+    up = (r * 2 > n) | ((r * 2 == n) & (((q % 2) + 2) % 2 == 1))
+    k = q + up.cast("long")
+    mean = k.cast("double") / float(scale)
+    return F.when(n == 0, F.lit(None).cast("double")).when(
+        (k == 0) & (s < 0), F.lit(-0.0)).otherwise(mean)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import round_half_even, truncate_excerpt, words_lit
+from ..functions.text import exact_mean, round_half_even, truncate_excerpt, words_lit
 from ..params import Params
 from .mentions import split_words
 
@@ -50,7 +50,7 @@ def entity_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
 def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     agg = (sentiment.groupBy(*KEY)
-           .agg(F.avg("score").alias("_avg"), n.alias("total_analyzed"),
+           .agg(exact_mean("score", 4).alias("_avg"), n.alias("total_analyzed"),
                 F.count_if(F.col("label") == "positive").alias("_pos"),
                 F.count_if(F.col("label") == "negative").alias("_neg"),
                 F.count_if(F.col("label") == "neutral").alias("_neu")))
@@ -58,7 +58,7 @@ def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
     out = entity_keys(entities).join(agg, list(KEY), "left")
     return out.select(
         *KEY,
-        F.coalesce(round_half_even("_avg", 4), F.lit(0.0)).alias("overall_score"),
+        F.coalesce(F.col("_avg"), F.lit(0.0)).alias("overall_score"),
         F.coalesce(_pct(F.col("_pos"), t), F.lit(0.0)).alias("positive_pct"),
         F.coalesce(_pct(F.col("_neg"), t), F.lit(0.0)).alias("negative_pct"),
         F.coalesce(_pct(F.col("_neu"), t), F.lit(0.0)).alias("neutral_pct"),
@@ -69,7 +69,7 @@ def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
 def platform_breakdown(sentiment: DataFrame) -> DataFrame:
     c = F.count(F.lit(1))
     return (sentiment.groupBy(*KEY, "platform")
-            .agg(round_half_even(F.avg("score"), 4).alias("score"), c.alias("count"),
+            .agg(exact_mean("score", 4).alias("score"), c.alias("count"),
                  _pct(F.count_if(F.col("label") == "positive"), c).alias("positive_pct"),
                  _pct(F.count_if(F.col("label") == "negative"), c).alias("negative_pct")))
 

@@ -207,3 +207,16 @@ entities AS (
 def discovery_sql(p: Params, select: str) -> str:
     return ("WITH RECURSIVE " + mention_ctes(p) + ",\n" + pair_ctes(p) + ",\n"
             + merge_ctes() + ",\n" + scored_ctes(p) + "\n" + select)
+
+
+def exact_mean(expr: str, digits: int) -> str:
+    """SQL twin of ``functions.text.exact_mean`` (integer half-even division)."""
+    scale = 10 ** digits
+    s = f"sum(round(({expr}) * {scale})::BIGINT)"
+    n = f"count({expr})"
+    r = f"((({s}) % ({n}) + ({n})) % ({n}))"
+    q = f"((({s}) - {r}) // ({n}))"
+    k = (f"({q} + CASE WHEN 2 * {r} > ({n}) OR (2 * {r} = ({n}) AND ((({q}) % 2) + 2) % 2 = 1) "
+         f"THEN 1 ELSE 0 END)")
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN {k} = 0 AND {s} < 0 THEN -1.0::DOUBLE * 0.0::DOUBLE "
+            f"ELSE {k}::DOUBLE / {scale}.0::DOUBLE END)")

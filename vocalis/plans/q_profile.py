@@ -23,7 +23,7 @@ ep AS (
   FROM ent_pairs e JOIN posts_v p ON p.post_id = e.post_id),
 summary AS (
   SELECT k.scope, k.entity,
-    coalesce((CASE WHEN round_even(printf('%.25f', (avg(es.score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (avg(es.score))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (avg(es.score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END), 0.0::DOUBLE) AS overall_score,
+    coalesce({O.exact_mean('es.score', 4)}, 0.0::DOUBLE) AS overall_score,
     coalesce((CASE WHEN round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
                         / count(es.post_id)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
                         / count(es.post_id)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(es.post_id) FILTER (WHERE es.label = 'positive')::DOUBLE
@@ -39,7 +39,7 @@ summary AS (
     count(es.post_id) AS total_analyzed
   FROM ekeys k LEFT JOIN es USING (scope, entity) GROUP BY k.scope, k.entity),
 pbreak AS (
-  SELECT scope, entity, platform, (CASE WHEN round_even(printf('%.25f', (avg(score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE = 0 THEN (avg(score))::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (avg(score))::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE END) AS score, count(*) AS count,
+  SELECT scope, entity, platform, {O.exact_mean('score', 4)} AS score, count(*) AS count,
     (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'positive')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS positive_pct,
     (CASE WHEN round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE = 0 THEN (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE * 0.0::DOUBLE ELSE round_even(printf('%.25f', (count(*) FILTER (WHERE label = 'negative')::DOUBLE / count(*)::DOUBLE * 100)::DOUBLE)::DECIMAL(38, 25), 1)::DOUBLE END) AS negative_pct
   FROM es GROUP BY scope, entity, platform),
