@@ -41,11 +41,25 @@ def entity_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def entity_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
-    """Posts mentioning each entity with the post columns the profile needs."""
+    """Posts mentioning each entity with the post columns the profile needs
+    (a join on ``post_id``; see ``entity_posts_scan`` for the shuffle-free form)."""
     cols = posts.select("post_id", "platform", "text", "ts", "likes", "shares")
     return pairs.join(cols, "post_id")
 
 
+def entity_posts_scan(posts: DataFrame, entities: DataFrame, entity_rows: int) -> DataFrame:
+    """The same rows as ``entity_posts`` -- posts whose lower-cased text
+    contains an accepted entity -- produced by the fused contains-join in the
+    scan stage: the entity table is bounded (top_k x configured scopes), so
+    it is always broadcast, and the (lower-cased) text stays on the matches
+    for the token / keyword work that follows, without a text shuffle."""
+    from .containment import contains_join
+    j = contains_join(posts, entities.select("scope", "name"), entity_rows,
+                      ("platform", "ts", "likes", "shares"), keep_text=True)
+    return j.select("post_id", "scope", F.col("name").alias("entity"), "platform",
+                    F.col("tl").alias("text"), "ts", "likes", "shares")
+
+
 # AGG-1 ----------------------------------------------------------------------
 def sentiment_summary(entities: DataFrame, sentiment: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))

@@ -31,7 +31,7 @@ class Analysis:
     sentiment: DataFrame         # fan-out incl. General
     entity_sentiment: DataFrame  # fan-out rows of accepted entities
     pairs: DataFrame             # (post_id, scope, entity)
-    entity_posts: DataFrame      # pairs + post columns
+    entity_posts: DataFrame      # posts mentioning an entity + post columns (lower-cased text)
     _cache: dict = field(default_factory=dict)
 
     def part(self, name: str) -> DataFrame:
@@ -67,5 +67,7 @@ def run_analysis(posts: DataFrame, p: Params, scorer=None,
     pairs = cut_lineage(prof.entity_pairs(d.pairs, entities))
     sentiment = attribute(scored, pairs)
     entity_sentiment = sentiment.filter(F.col("entity") != "General")
-    ep = prof.entity_posts(pairs, posts)
+    # the entity table is bounded (top_k per configured scope): the posts that
+    # mention an entity come from a fused scan-stage join, not a text shuffle
+    ep = prof.entity_posts_scan(posts, entities, entities.count())
     return Analysis(p, posts, d, entities, scored, sentiment, entity_sentiment, pairs, ep)
