@@ -88,16 +88,14 @@ PairFn = Callable[[Column, Column], Column]
 
 def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = None,
                   post_columns=("platform",), pair_fn: PairFn | None = None,
-                  post_fn: Callable[[Column, Column], dict[str, Column]] | None = None,
-                  keep_text: bool = False) -> DataFrame:
+                  post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
+                  ) -> DataFrame:
     """Verified pairs ``(post_id, scope, *post_columns, *post fields, name,
     nl[, x])`` where the lower-cased text contains ``nl``.
 
     ``pair_fn(tl, cand)`` (``cand`` a struct with ``name``, ``nl``) returns a
     struct of per-pair fields computed from the text (column ``x``);
-    ``post_fn(tl, scope)`` returns per-post fields; ``keep_text`` adds the
-    lower-cased text ``tl`` to each verified pair (for work that follows in
-    the same stage, e.g. token counts).
+    ``post_fn(tl, scope)`` returns per-post fields.
 
     Three tiers, each behind a size check on ``name_rows``:
 
@@ -122,7 +120,7 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
                        & (F.instr(keyed.tl, anchors.nl) > 0)).drop(anchors.scope).drop("key")
         extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
         cols = ["post_id", "scope", *post_columns, *[v.alias(k) for k, v in extra.items()],
-                "name", "nl", *(["tl"] if keep_text else [])]
+                "name", "nl"]
         if pair_fn is not None:
             cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
         return j.select(*cols)
@@ -136,14 +134,13 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
         hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),
                                                     pair_fn(tl, c).alias("x")))
     extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
-    out = j.select("post_id", "scope", *post_columns, *(["tl"] if keep_text else []),
+    out = j.select("post_id", "scope", *post_columns,
                    *[v.alias(k) for k, v in extra.items()],
                    F.explode(hits).alias("h"))
     fields = [F.col("h.name").alias("name"), F.col("h.nl").alias("nl")]
     if pair_fn is not None:
         fields.append(F.col("h.x").alias("x"))
-    return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields,
-                      *(["tl"] if keep_text else []))
+    return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields)
 
 
 def contains_join_small(posts: DataFrame, names: DataFrame, max_names: int = 1_000,
