@@ -67,5 +67,11 @@ def run_analysis(posts: DataFrame, p: Params, scorer=None,
     pairs = cut_lineage(prof.entity_pairs(d.pairs, entities))
     sentiment = attribute(scored, pairs)
     entity_sentiment = sentiment.filter(F.col("entity") != "General")
+    # Posts mentioning an accepted entity: the (id-only) pairs joined with the
+    # post columns by post_id.  Spark's runtime bloom filter prunes the posts
+    # side to the ids present, so only the posts that mention an entity are
+    # shuffled -- usually a small share of the corpus.  (Re-running the
+    # fused contains-join on the bounded entity table would avoid that
+    # shuffle but re-scan every text; measured slower.)
     ep = prof.entity_posts(pairs, posts)
     return Analysis(p, posts, d, entities, scored, sentiment, entity_sentiment, pairs, ep)
