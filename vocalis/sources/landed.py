@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..operators.normalize import PAGE_POST_SCHEMA, TWEET_SCHEMA
 
+PAGE_POST_SCHEMA_STRUCT = "struct<" + PAGE_POST_SCHEMA.replace(" string", ":string").replace(
+    " struct<", ":struct<").replace(" long", ":long") + ">"
+
 # 2024-02-12 00:00:00 UTC: submissions are dated conv_id hours before it.
 ANCHOR_EPOCH = 1707696000
 
@@ -66,10 +69,14 @@ def tweets(events: DataFrame) -> DataFrame:
 
 
 def page_posts(documents: DataFrame) -> DataFrame:
+    """Graph-style page posts with the nested ``from`` / ``reactions`` /
+    ``shares`` shape of ``PAGE_POST_SCHEMA``, built as structs directly (the
+    tweets above exercise the JSON text round trip; whole document texts are
+    not serialised here)."""
     d = documents
     ts = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
           + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"), F.lit(0), F.lit(0)))
-    payload = F.to_json(F.struct(
+    g = F.struct(
         F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("id"),
         F.col("text").alias("message"),
         F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")).alias("created_time"),
@@ -80,9 +87,8 @@ def page_posts(documents: DataFrame) -> DataFrame:
                F.struct(F.struct((F.col("n_chars") % 97).alias("total_count")).alias("summary")))
          .alias("reactions"),
         F.when(F.col("doc_id") % 4 != 0, F.struct((F.col("doc_id") % 13).alias("count"))).alias("shares"),
-    ))
-    return d.select(F.col("lang").alias("scope"),
-                    F.from_json(payload, PAGE_POST_SCHEMA).alias("g")).select("scope", "g.*")
+    ).cast(PAGE_POST_SCHEMA_STRUCT)
+    return d.select(F.col("lang").alias("scope"), g.alias("g")).select("scope", "g.*")
 
 
 def page_comments(conversations: DataFrame) -> DataFrame:
