@@ -56,3 +56,14 @@ def test_job_entry_point(spark, tmp_out):
     # rerun replaces, never duplicates
     job.run(spark, args, base=EP.with_(lexicon=LEX))
     assert spark.read.parquet(done["sentiment"]).count() == first
+
+
+def test_demo_data_end_to_end(spark):
+    from vocalis.sources.demo import DEMO_POSTS, demo_posts
+    posts = demo_posts(spark)
+    assert posts.count() == len(DEMO_POSTS) and posts.select("url").distinct().count() == len(DEMO_POSTS)
+    again = demo_posts(spark).select("author", "ts").collect()
+    assert again == posts.select("author", "ts").collect()           # deterministic
+    a = run_analysis(posts, EP.with_(lexicon=LEX))
+    got = {(r["scope"], r["name"]) for r in a.entities.collect()}
+    assert got == {("Lagos", "Ada Okafor"), ("Lagos", "Tunde Bakare-Lawal"), ("Kano", "Musa Garba")}
