@@ -113,3 +113,14 @@ def test_tally_and_first_seen(spark):
     ids = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")], "id long, ordinal long, keyword string")
     got = {r["id"]: r["keyword"] for r in N.first_seen(ids, ["id"], ["ordinal"]).collect()}
     assert got == {1: "a", 2: "c"}
+
+
+def test_page_posts_keyword_majority(spark):
+    rows = [("p1", "The Lagos governorship race is heating up now", "2025-02-01T10:00:00+0000",
+             {"name": "a", "id": "1"}, None, None),
+            ("p2", "Nothing relevant in this page post at all here", "2025-02-01T10:00:00+0000",
+             {"name": "b", "id": "2"}, None, None)]
+    g = spark.createDataFrame(rows, N.PAGE_POST_SCHEMA)
+    out = N.page_posts(g, "Lagos", None, P, templates=["{state} governorship election",
+                                                        "{state} governor 2027"]).collect()
+    assert [(r["url"], r["keyword"]) for r in out] == [("https://facebook.com/p1", "Lagos governorship election")]

@@ -120,10 +120,25 @@ def tweet_posts(tweets: DataFrame, scope, keyword, p: Params) -> DataFrame:
 
 
 # NRM-5 ----------------------------------------------------------------------
-def page_posts(graph: DataFrame, scope, keyword, p: Params) -> DataFrame:
-    """Graph-style page posts -> posts (author = from.name else from.id)."""
+def page_posts(graph: DataFrame, scope, keyword, p: Params,
+               templates: list[str] | None = None) -> DataFrame:
+    """Graph-style page posts -> posts (author = from.name else from.id).
+
+    With ``templates`` (keyword templates with a ``{state}`` placeholder), a
+    post is kept only when the majority of some expanded keyword's terms occur
+    in its lower-cased message; the first such keyword (template order)
+    becomes the post's keyword (JOIN-4).  Expansion is per row, from the
+    scope, so there is no join."""
     f = F.col("from")
-    return to_posts(graph, post_id=F.xxhash64("id"), platform="facebook", scope=scope,
+    sc = F.lit(scope) if isinstance(scope, str) else scope
+    if templates:
+        arr = F.array(*[F.struct(F.lit(i).alias("i"), F.replace(F.lit(t), F.lit("{state}"), sc).alias("kw"))
+                        for i, t in enumerate(templates)])
+        ml = F.lower(F.coalesce(F.col("message"), F.lit("")))
+        hits = F.filter(arr, lambda k: majority_match(ml, F.lower(k["kw"])))
+        graph = graph.withColumn("_kw", hits[0]["kw"]).filter(F.size(hits) > 0)
+        keyword = F.col("_kw")
+    return to_posts(graph, post_id=F.xxhash64("id"), platform="facebook", scope=sc,
                     text=F.col("message"), author=F.coalesce(f["name"], f["id"]),
                     date_raw=F.col("created_time"),
                     url=F.when(F.col("id").isNotNull() & (F.col("id") != ""),
