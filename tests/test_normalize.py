@@ -124,3 +124,17 @@ def test_page_posts_keyword_majority(spark):
     out = N.page_posts(g, "Lagos", None, P, templates=["{state} governorship election",
                                                         "{state} governor 2027"]).collect()
     assert [(r["url"], r["keyword"]) for r in out] == [("https://facebook.com/p1", "Lagos governorship election")]
+
+
+def test_collect_search_hits(spark):
+    rows = []
+    for kw in range(3):                                  # 3 keywords x 4 results, ids overlap
+        for rank in range(4):
+            rows.append(("twitter", "Lagos", kw, rank, (kw + rank) % 6))
+    hits = spark.createDataFrame(rows, "platform string, scope string, keyword_ordinal int, "
+                                       "hit_rank int, id long")
+    got = N.collect_search_hits(hits, range(3), per_keyword_cap=2, total_cap=5).orderBy(
+        "keyword_ordinal", "hit_rank").collect()
+    # keyword 0 takes ids 0, 1 (2, 3 are cut, so still free); keyword 1 skips
+    # id 1 and takes 2, 3; keyword 2 skips 2, 3 and takes 4 (5 is over the total cap)
+    assert [(r["keyword_ordinal"], r["id"]) for r in got] == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)]

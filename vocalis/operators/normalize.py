@@ -259,3 +259,33 @@ def first_seen(df: DataFrame, keys, order_cols) -> DataFrame:
     order = F.struct(*[F.col(c) for c in order_cols])
     agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def collect_search_hits(hits: DataFrame, keyword_ordinals, per_keyword_cap: int = 100,
+                        total_cap: int = 500, run_keys=("platform", "scope"), id_col: str = "id",
+                        ordinal_col: str = "keyword_ordinal", rank_col: str = "hit_rank") -> DataFrame:
+    """Landed search results -> the hits a collection run keeps (WIN-7, WIN-8).
+
+    ``hits`` has one row per (keyword, result): the keyword's template
+    ordinal and the result's rank.  Keywords are taken in template order;
+    each keeps its first ``per_keyword_cap`` results whose id no earlier
+    keyword took (so an id found by several keywords keeps the first one
+    that took it, and results cut by a keyword's cap stay available to later
+    keywords); then at most ``total_cap`` hits per run (platform, scope) in
+    keyword-then-rank order.  ``keyword_ordinals`` is the (small) template
+    ordinal list: one anti-join + window-group-limited cap per keyword, no
+    driver-side data.  Apply the validity filters (length, time range) to
+    ``hits`` first: validity depends on the hit only, so an invalid id can
+    never be taken by any keyword and filtering early is equivalent."""
+
+    keys = list(run_keys)
+    taken = None
+    for k in sorted(keyword_ordinals):
+        cand = hits.filter(F.col(ordinal_col) == k)
+        if taken is not None:
+            cand = cand.join(taken.select(*keys, id_col), keys + [id_col], "left_anti")
+        kept = cap_per_group(cand, keys, [F.col(rank_col), F.col(id_col)], per_keyword_cap)
+        taken = kept if taken is None else taken.unionByName(kept)
+    if taken is None:
+        return hits.limit(0)
+    return cap_per_group(taken, keys, [F.col(ordinal_col), F.col(rank_col), F.col(id_col)], total_cap)
