@@ -277,7 +277,6 @@ def collect_search_hits(hits: DataFrame, keyword_ordinals, per_keyword_cap: int
     driver-side data.  Apply the validity filters (length, time range) to
     ``hits`` first: validity depends on the hit only, so an invalid id can
     never be taken by any keyword and filtering early is equivalent."""
-
     keys = list(run_keys)
     taken = None
     for k in sorted(keyword_ordinals):
