@@ -115,9 +115,11 @@ def slug(c) -> Column:
 
 
 # FN-10 ----------------------------------------------------------------------
-def absolute_url(href, base: str) -> Column:
+def absolute_url(href, base) -> Column:
+    """An href made absolute against ``base`` (a string or a column)."""
     h = col_(href)
-    return F.when(h.startswith("http"), h).otherwise(F.concat(F.lit(base), h))
+    b = F.lit(base) if isinstance(base, str) else base
+    return F.when(h.startswith("http"), h).otherwise(F.concat(b, h))
 
 
 # FN-11 ----------------------------------------------------------------------

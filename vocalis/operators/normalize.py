@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import epoch_to_ntz, format_date, parse_date, within_range
-from ..functions.text import anonymize_author, clean_text, col_, majority_match, parse_like_count
+from ..functions.text import (absolute_url, anonymize_author, clean_text, col_, majority_match,
+                              parse_like_count)
 from ..params import Params
 from .html_posts import raw_posts
 
@@ -190,9 +191,8 @@ def is_thread_url(href, base) -> Column:
 
 def absolute_links(links: DataFrame) -> DataFrame:
     base = base_of("url")
-    abs_url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(
-        F.concat(base, F.col("href")))
-    return links.withColumn("abs_url", abs_url).withColumn("is_thread", is_thread_url("href", base))
+    return (links.withColumn("abs_url", absolute_url("href", base))
+            .withColumn("is_thread", is_thread_url("href", base)))
 
 
 def distinct_links(links: DataFrame, keys=("page_id",)) -> DataFrame:

@@ -180,9 +180,9 @@ SELECT s.scope, e.name, e.mention_count, array_to_string(e.platforms, ',') AS pl
        round(e.score, 6) AS score, e.context_score, e.rank::BIGINT AS rank
 FROM {_SCOPES_SQL} s LEFT JOIN entities e USING (scope)"""), headline=True)
 def ent14_discover(spark, sf):
-    e = discovery(spark, sf).entities
+    from ..operators.entities import entities_by_scope_list
     scopes = spark.createDataFrame([(s,) for s in P.scopes], "scope string")
-    return scopes.join(e, "scope", "left").select(
+    return entities_by_scope_list(discovery(spark, sf), scopes).select(
         "scope", "name", "mention_count", joined("platforms"), F.round("score", 6).alias("score"),
         "context_score", F.col("rank").cast("long").alias("rank"))
 
