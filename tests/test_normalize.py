@@ -138,3 +138,13 @@ def test_collect_search_hits(spark):
     # keyword 0 takes ids 0, 1 (2, 3 are cut, so still free); keyword 1 skips
     # id 1 and takes 2, 3; keyword 2 skips 2, 3 and takes 4 (5 is over the total cap)
     assert [(r["keyword_ordinal"], r["id"]) for r in got] == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)]
+
+
+def test_collect_search_hits_repeated_id_within_keyword(spark):
+    rows = [("t", "L", 0, 0, 7), ("t", "L", 0, 1, 7), ("t", "L", 0, 2, 8), ("t", "L", 1, 0, 8),
+            ("t", "L", 1, 1, 9)]
+    hits = spark.createDataFrame(rows, "platform string, scope string, keyword_ordinal int, "
+                                       "hit_rank int, id long")
+    got = N.collect_search_hits(hits, [0, 1], per_keyword_cap=2, total_cap=10).orderBy(
+        "keyword_ordinal", "hit_rank").collect()
+    assert [(r["keyword_ordinal"], r["id"]) for r in got] == [(0, 7), (0, 8), (1, 9)]

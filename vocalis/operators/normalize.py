@@ -280,7 +280,8 @@ def collect_search_hits(hits: DataFrame, keyword_ordinals, per_keyword_cap: int
     keys = list(run_keys)
     taken = None
     for k in sorted(keyword_ordinals):
-        cand = hits.filter(F.col(ordinal_col) == k)
+        # an id repeated within one keyword's results counts once (first rank)
+        cand = first_seen(hits.filter(F.col(ordinal_col) == k), keys + [id_col], [rank_col])
         if taken is not None:
             cand = cand.join(taken.select(*keys, id_col), keys + [id_col], "left_anti")
         kept = cap_per_group(cand, keys, [F.col(rank_col), F.col(id_col)], per_keyword_cap)
