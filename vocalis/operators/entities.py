@@ -6,8 +6,10 @@
 
 No loop over scopes: every step is keyed by ``scope``.  Three
 intermediate results are written to the reliable checkpoint folder (names,
-pair stats, merge state) because each is reused several times; the text is
-scanned twice (regex extraction, then the single verified re-join).
+pair stats, merge state) because each is reused several times.  The text is
+scanned twice: once for the name regex, once for the anchor probe, which up
+to ``BROADCAST_ANCHOR_ROWS`` names is fused with the verification and the
+window counters in the scan stage (no text shuffle).
 """
 
 from __future__ import annotations
