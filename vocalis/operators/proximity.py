@@ -4,9 +4,10 @@
 Per pair, a single left fold over the occurrence ordinals walks the
 **overlapping** occurrences (``position(nl, tl, last + 1)``) and counts, in
 the same step, role / rival hits in the +-role_window window and role +
-scope-variant hits in the +-scope_window window.  The accumulator is a
-4-field struct, so the fold is linear in the number of occurrences.  All of
-it is JVM-side higher-order functions.
+scope-variant hits in the +-scope_window window.  The accumulator is a small
+struct (last position, three counters, occurrence count), so the fold is
+linear in the number of occurrences, and it is returned whole so that it is
+evaluated once.  All of it is JVM-side higher-order functions.
 """
 
 from __future__ import annotations
