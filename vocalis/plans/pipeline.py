@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,5 +74,7 @@ def run_analysis(posts: DataFrame, p: Params, scorer=None,
     # shuffled -- usually a small share of the corpus.  (Re-running the
     # fused contains-join on the bounded entity table would avoid that
     # shuffle but re-scan every text; measured slower.)
-    ep = prof.entity_posts(pairs, posts)
+    # Five profile parts read it: persisted once (recomputed from the
+    # checkpointed pairs and a posts scan if an executor is lost).
+    ep = prof.entity_posts(pairs, posts).persist(StorageLevel.MEMORY_AND_DISK)
     return Analysis(p, posts, d, entities, scored, sentiment, entity_sentiment, pairs, ep)
