@@ -66,7 +66,8 @@ def run_analysis(posts: DataFrame, p: Params, scorer=None,
     scored = (scorer or lexicon_scores)(posts, p)
     scored = cut_lineage(apply_confidence_threshold(scored, p.confidence_threshold))
     pairs = cut_lineage(prof.entity_pairs(d.pairs, entities))
-    sentiment = attribute(scored, pairs)
+    # narrow rows (ids, label, score) read by many parts: persisted once
+    sentiment = attribute(scored, pairs).persist(StorageLevel.MEMORY_AND_DISK)
     entity_sentiment = sentiment.filter(F.col("entity") != "General")
     # Posts mentioning an accepted entity: the (id-only) pairs joined with the
     # post columns by post_id.  Spark's runtime bloom filter prunes the posts
