@@ -1,5 +1,5 @@
-"""Batch job entry point (the original's ``main.py --skip-scraping`` re-aimed
-as a Spark application).
+"""Batch job entry point (the original's analysis-only command-line run,
+re-aimed as a Spark application).
 
     spark-submit -m vocalis.plans.job --posts s3://bucket/posts \
         --out s3://bucket/analysis --scopes Lagos Kano --stop-words stop.txt
