@@ -1,8 +1,9 @@
 """Batch job entry point (the original's analysis-only command-line run,
 re-aimed as a Spark application).
 
-    spark-submit -m vocalis.plans.job --posts s3://bucket/posts \
-        --out s3://bucket/analysis --scopes Lagos Kano --stop-words stop.txt
+    python -m vocalis.plans.job --posts /shared/posts --out /shared/analysis \
+        --scopes Lagos Kano --stop-words stop.txt
+    (or ``spark-submit --py-files vocalis.zip vocalis/plans/job.py ...``)
 
 Reads stored posts (Parquet written by ``sinks.io.write_posts``), runs the
 whole analysis (PIPE-1) with the election binding, writes the entity and
