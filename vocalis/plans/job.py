@@ -3,7 +3,8 @@ re-aimed as a Spark application).
 
     python -m vocalis.plans.job --posts /shared/posts --out /shared/analysis \
         --scopes Lagos Kano --stop-words stop.txt
-    (or ``spark-submit --py-files vocalis.zip vocalis/plans/job.py ...``)
+    (with spark-submit: ship the package with ``--py-files`` and submit a
+    launcher that calls ``vocalis.plans.job.main()``)
 
 Reads stored posts (Parquet written by ``sinks.io.write_posts``), runs the
 whole analysis (PIPE-1) with the election binding, writes the entity and
