@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding
 
 QUERIES = {
+    "op4_sharding": sharding.op4_sharding,
     "op9_mixing": mixing.op9_mixing,
 }
 
