@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, pii, sharding
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
+    "op5_pii": pii.op5_pii,
     "op9_mixing": mixing.op9_mixing,
 }
 
