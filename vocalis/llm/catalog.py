@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, sharding
+from . import mixing, pii, sharding, toxicity
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
