@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, sharding, toxicity
+from . import bpe, langid, mixing, pii, sharding, toxicity
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
     "op7_bpe": bpe.op7_bpe,
+    "op8_langid": langid.op8_langid,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
