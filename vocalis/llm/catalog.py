@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, sharding, toxicity
+from . import bpe, langid, mixing, pii, sharding, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
     "op7_bpe": bpe.op7_bpe,
