@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, sharding, substring_dedup, toxicity
+from . import bpe, jaccard_join, langid, mixing, pii, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
     "op7_bpe": bpe.op7_bpe,
