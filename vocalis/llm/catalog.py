@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, langid, mixing, pii, sharding, substring_dedup, toxicity
+from . import ann, bpe, embedding_dedup, jaccard_join, langid, mixing, pii, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_ann": ann.op3_ann,
     "op4_sharding": sharding.op4_sharding,
     "op5_pii": pii.op5_pii,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_langid": langid.op8_langid,
     "op9_mixing": mixing.op9_mixing,
