@@ -47,7 +47,9 @@ PIECE_AHEAD = 3
 #: pieces up to this many bytes are merged in batches and kept
 SHORT = 256
 CHUNK = 1 << 16
-KEPT_PIECES = 400_000
+KEPT_PIECES = 300_000
+#: texts that are cut into pieces together
+BATCH_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -380,6 +382,19 @@ def _encoder(tables: Tables, key) -> Encoder:
     return _OF_PROCESS[key]
 
 
+def _by_size(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of an Arrow batch in runs of about BATCH_CHARS characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py() or "")
+        size += len(run[-1])
+        if size >= BATCH_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 class Codec:
     """``encode`` and ``decode`` as column functions over one tokenizer file."""
 
@@ -393,8 +408,13 @@ class Codec:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             e = _encoder(tables.value, id(tables.value))
             for texts in batches:
-                ids, offsets = e.encode_batch([t or "" for t in texts.to_pylist()])
-                yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+                for some in _by_size(texts):
+                    ids, offsets = e.encode_batch(some)
+                    parts.append(ids)
+                    ends.append(offsets[1:] + ends[-1][-1])
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)),
+                                               pa.array(np.concatenate(parts)))
 
         return run(text)
 
@@ -405,10 +425,10 @@ class Codec:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             d = Decoder(tables.value)
             for lists in batches:
-                flat = lists.values.to_numpy(zero_copy_only=False).tolist()
+                flat = lists.values.to_numpy(zero_copy_only=False)
                 at = lists.offsets.to_pylist()
-                yield pa.array([d.feed(flat[a:b]) + d.finish() for a, b in zip(at, at[1:])],
-                               pa.string())
+                yield pa.array((d.feed(flat[a:b].tolist()) + d.finish() for a, b in zip(at, at[1:])),
+                               pa.string(), size=len(lists))
 
         return run(ids)
 
