@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut_lineage, documents, running_total, word_count
+from .common import WORD, buckets_for, cut_lineage, documents, running_total, word_count
 
 SHARE, WEIGHTS, CAP, BLOCK_WORDS, SEED = 1.5, (5, 2, 1), 2, 4096, "mix-1"
 #: the source table is broadcast up to this many counted rows
@@ -110,11 +110,12 @@ class Mix:
 
 
 def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
-        block_words: int = BLOCK_WORDS, seed: str = SEED) -> Mix:
-    """Plan and schedule the mix of ``docs`` (doc_id, text, source)."""
+        block_words: int = BLOCK_WORDS, seed: str = SEED, keep: tuple[str, ...] = ()) -> Mix:
+    """Plan and schedule the mix of ``docs`` (doc_id, text, source); ``keep``
+    names further columns that ``rows`` carries."""
     spark = docs.sparkSession
     sized = cut_lineage(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        "doc_id", "source", *keep, word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"),
                                                      F.lit("null")))).alias("_h")))
     by_source = cut_lineage(targets(
@@ -135,8 +136,8 @@ def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
     small = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
     rows = (sized.join(small.withColumnRenamed("source", "_src"),
                        F.col("source").eqNullSafe(F.col("_src"))).drop("_src"))
-    rows = running_total(rows, ["source_no"], "_b", ["_h", "doc_id", "size"], F.col("size"), "start")
-    rows = cut_lineage(rows.select("doc_id", "source", "source_no", "size", "source_size", "target",
+    rows = running_total(rows, ["source_no"], "_b", ["_h", "doc_id", "size", *keep], F.col("size"), "start")
+    rows = cut_lineage(rows.select("doc_id", "source", *keep, "source_no", "size", "source_size", "target",
                                    "_take", "start"))
     schedule = slots(spark, plan, m)
     rounds = rows.filter("size > 0").withColumn(
@@ -156,11 +157,34 @@ def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with the rows the mix takes: a document of which any word is
-    taken stays, repeats do not multiply rows."""
-    taken = mix(docs, **params).taken().filter("taken > 0").select("doc_id").distinct()
-    known = docs.join(taken, "doc_id", "left_semi")
-    return known
+    """The rows that the mix takes, with the columns of ``docs``.
+
+    A document appears once per round in which words of it are taken, so a
+    source's words add up to what the mix takes.  Where a source's target ends
+    inside a document, that row's text holds the first words taken, joined by a
+    blank, and n_chars (if there is one) their length.
+    """
+    columns = docs.columns
+    same = Window.partitionBy("doc_id", "source", "__size").orderBy(F.md5("text"))
+    numbered = (docs.withColumn("__size", word_count(F.col("text")))
+                .withColumn("__copy", F.row_number().over(same)))
+    made = mix(numbered.select("doc_id", "source", "text", "__copy"), keep=("__copy",), **params)
+    taken = (made.pieces.groupBy("source_no", "start", "epoch").agg(F.sum("n_words").alias("__n"))
+             .join(made.rows.filter("size > 0")
+                   .select("source_no", "start", F.col("doc_id").alias("__id"),
+                           F.col("source").alias("__src"), F.col("size").alias("__sz"),
+                           F.col("__copy").alias("__c")), ["source_no", "start"]))
+    rows = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))
+                         & F.col("source").eqNullSafe(F.col("__src"))
+                         & (F.col("__size") == F.col("__sz")) & (F.col("__copy") == F.col("__c")))
+    cut = F.col("__n") < F.col("__size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
+                                 F.col("__n").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long"))
+                               .otherwise(F.col("n_chars")))
+    return rows.select(*columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
