@@ -78,11 +78,14 @@ def test_model_scores_batches_and_fallback(spark):
     assert got[3] == ("neutral", 0.0) and got[4] == ("neutral", 0.0) and got[5] == ("positive", 0.75)
 
 
-def test_tier_resolution():
+def test_tier_resolution(spark):
     assert S.resolve_tier("transformers", ["lexicon"]) == "lexicon"
     assert S.resolve_tier("vader", ["vader", "lexicon"]) == "vader"
     assert S.resolve_tier("transformers", ["textblob", "lexicon"]) == "textblob"
-    assert "lexicon" in S.available_tiers()
+    assert S.resolve_tier("textblob", ["transformers", "vader"]) == "none"      # never back
+    posts = make_posts(spark, ["good", "bad"])
+    none = S.tier_scores(posts, EP, "lexicon", {"vader": S.lexicon_scores})
+    assert [(r.label, r.score, r.tier) for r in none.collect()] == [("neutral", 0.0, "none")] * 2
 
 
 def test_attribution_fanout(spark):
@@ -108,12 +111,17 @@ def test_confidence_threshold_optional(spark):
     assert F is not None
 
 
-def test_large_lexicon_join_path_equals_inline(spark, monkeypatch):
-    texts = ["great good day", "terrible bad", "a plain sentence", None, "no good no"]
-    inline = scores(spark, texts)
-    monkeypatch.setattr(S, "INLINE_LEXICON_MAX", 0)
-    joined = scores(spark, texts)
-    assert [(a[0], a[1]) for a in joined] == [(a[0], a[1]) for a in inline]
+def test_lexicon_is_one_path_for_any_size(spark, monkeypatch):
+    """Rows are scored one by one (also with one id), words fold to lower
+    case once, and the size of the list only changes the join's plan."""
+    posts = make_posts(spark, ["great good day", "terrible bad", None, "good"]).withColumn("post_id", F.lit(1))
+    small = EP.with_(lexicon={"Good": 1.0, "good": 2.0, "terrible": -2.0})
+    want = sorted((r.label, r.score) for r in S.lexicon_scores(posts, small).collect())
+    assert want == sorted([("positive", 0.4588), ("positive", 0.4588), ("negative", -0.4588), ("neutral", 0.0)])
+    big = small.with_(lexicon={**small.lexicon, **{f"x{'y' * i}": 1.0 for i in range(400)}})
+    assert sorted((r.label, r.score) for r in S.lexicon_scores(posts, big).collect()) == want
+    monkeypatch.setattr(S, "BROADCAST_LEXICON_ROWS", 0)
+    assert sorted((r.label, r.score) for r in S.lexicon_scores(posts, big).collect()) == want
 
 
 def test_scores_in_range_and_one_per_post(spark):

@@ -1,7 +1,7 @@
 """Date parsing, formatting and the time-range filter (FN-3, FN-4, FLT-2).
 
-Parsing is a ``coalesce`` of ``try_to_timestamp`` attempts in the original
-order of formats, so it is one codegen'd expression.  The clock is never read:
+The shape of a string (a regular expression) picks the one format it is parsed
+with, so no attempt fails by an exception.  The clock is never read:
 the reference date ``as_of`` is an argument.
 """
 
@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 
 from .text import col_
 
-# The accepted date formats, in trial order (Java patterns for
-# ISO with fraction, ISO, datetime, date, "Jan 01, 2025", "01 Jan 2025",
-# "January 01, 2025"; then, beyond the original list, the Graph-style
-# "+0000" offset, normalised to UTC instead of being kept unparsed).
+# The accepted date forms (Java patterns) and the shape of text
+# each applies to.  The shapes exclude one another, so a string is parsed
+# once: ISO with fraction, ISO, datetime, date, "Jan 01, 2025", "01 Jan 2025",
+# "January 01, 2025"; then, beyond the original list, the Graph-style "+0000"
+# offset, normalised to UTC instead of being kept unparsed.
+_DAY = r"\d{4}-\d{1,2}-\d{1,2}"
+_TIME = r"\d{1,2}:\d{1,2}:\d{1,2}"
 DATE_FORMATS = (
-    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
-    "yyyy-M-d'T'H:m:s.SSS'Z'",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "MMMM d, yyyy",
-    "yyyy-M-d'T'H:m:sZ",
+    ("yyyy-M-d'T'H:m:s.SSSSSS'Z'", rf"^{_DAY}T{_TIME}\.\d{{1,6}}Z$"),
+    ("yyyy-M-d'T'H:m:s'Z'", rf"^{_DAY}T{_TIME}Z$"),
+    ("yyyy-M-d H:m:s", rf"^{_DAY} {_TIME}$"),
+    ("yyyy-M-d", rf"^{_DAY}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"),
+    ("yyyy-M-d'T'H:m:sZ", rf"^{_DAY}T{_TIME}[+-]\d{{4}}$"),
 )
 # forum form "1:01pmOnFeb 12" (year taken from the reference date)
 FORUM_RE = r"(?i)^(\d{1,2}:\d{2}(?:am|pm))On(\w{3} \d{1,2})"
@@ -42,6 +44,12 @@ def epoch_to_ntz(seconds) -> Column:
             + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col_(seconds).cast("decimal(18,6)")))
 
 
+def hours(n) -> Column:
+    """A day-time interval of ``n`` hours, for any long ``n`` of up to 10^11."""
+    h = col_(n).cast("long")
+    return F.make_dt_interval(F.floor(h / 24).cast("int"), (h % 24).cast("int"), F.lit(0), F.lit(0))
+
+
 def _to_utc_ntz(ltz: Column) -> Column:
     """An instant (``timestamp``) as UTC wall-clock ``timestamp_ntz``."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ltz.cast("timestamp_ntz"))
@@ -51,17 +59,17 @@ def parse_date(c, as_of: str = "2024-02-12") -> Column:
     """Parse a raw date string to ``timestamp_ntz``; unparsable -> null."""
     s = F.trim(col_(c))
     year = F.lit(as_of[:4])
-    forum_time = F.upper(F.regexp_extract(s, FORUM_RE, 1))
-    forum_day = F.regexp_extract(s, FORUM_RE, 2)
-    forum = F.when(
-        forum_time != "",
-        _try_ts(F.concat_ws(" ", forum_day, year, forum_time), "MMM d yyyy h:mma"))
-    # wall-clock formats: parsed and cast in the same (session) zone, so the
-    # wall clock is kept; the offset format is an instant, converted to UTC
-    local = [forum] + [_try_ts(s, f) for f in DATE_FORMATS if "Z'" in f or "Z" not in f]
-    offset = [_try_ts(s, f) for f in DATE_FORMATS if f.endswith("Z") and not f.endswith("'Z'")]
-    out = F.coalesce(*[t.cast("timestamp_ntz") for t in local], *[_to_utc_ntz(t) for t in offset])
-    return F.when((s.isNull()) | (s == ""), F.lit(None)).otherwise(out)
+    is_forum = s.rlike(FORUM_RE)
+    forum = _try_ts(F.concat_ws(" ", F.regexp_extract(s, FORUM_RE, 2), year,
+                                F.upper(F.regexp_extract(s, FORUM_RE, 1))), "MMM d yyyy h:mma")
+    out = F.when(is_forum, forum.cast("timestamp_ntz"))
+    for fmt, shape in DATE_FORMATS:
+        t = _try_ts(s, fmt)
+        # wall-clock forms are parsed and cast in the same (session) zone, so
+        # the wall clock is kept; the offset form is an instant, put in UTC
+        instant = fmt.endswith("Z")
+        out = out.when(s.rlike(shape), _to_utc_ntz(t) if instant else t.cast("timestamp_ntz"))
+    return out
 
 
 def format_date(ts, raw) -> Column:

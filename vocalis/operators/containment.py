@@ -40,6 +40,8 @@ from ..functions.text import col_
 BROADCAST_ANCHOR_ROWS = 200_000
 # Distinct (scope, key) rows: ~30 bytes each.  1M rows ~ 30 MB.
 BROADCAST_KEY_ROWS = 1_000_000
+# A post's candidates are verified in so many rows in the shuffle tiers.
+CANDIDATE_RUNS = 8
 
 TEXT_KEYS_RE_2 = r"(?s)(?=([^ ]{2} [^ ]{2}))"
 TEXT_KEYS_RE_3 = r"(?s)(?=([^ ]{3} [^ ]{3}))"
@@ -55,10 +57,29 @@ def anchor_key(nl) -> Column:
     return F.when(wide, F.substring(n, i - 3, 7)).otherwise(F.substring(n, i - 2, 5))
 
 
-def text_keys(tl) -> Column:
+def text_keys(tl, narrow: bool = True, wide: bool = True) -> Column:
+    """The windows of a text; a pass is left out when no anchor has its width."""
     t = col_(tl)
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(TEXT_KEYS_RE_2), 1),
-                                     F.regexp_extract_all(t, F.lit(TEXT_KEYS_RE_3), 1)))
+    passes = [F.regexp_extract_all(t, F.lit(r), 1) for r, want in
+              ((TEXT_KEYS_RE_2, narrow), (TEXT_KEYS_RE_3, wide)) if want]
+    if not passes:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*passes))
+
+
+def spread(posts: DataFrame) -> DataFrame:
+    """Deal the posts anew when the scan has fewer partitions than there are
+    cores; a large scan stays as it is."""
+    cores = posts.sparkSession.sparkContext.defaultParallelism
+    return posts.repartition(2 * cores) if posts.rdd.getNumPartitions() < cores else posts
+
+
+def anchor_sizes(names: DataFrame) -> tuple[int, bool, bool]:
+    """(rows, any narrow anchor, any wide anchor) of a name table."""
+    n = F.length("key")
+    r = anchors_of(names).agg(F.count(F.lit(1)).alias("n"), F.max(n < 7).alias("narrow"),
+                              F.max(n >= 7).alias("wide")).first()
+    return int(r["n"]), bool(r["narrow"]), bool(r["wide"])
 
 
 def anchors_of(names: DataFrame) -> DataFrame:
@@ -67,16 +88,17 @@ def anchors_of(names: DataFrame) -> DataFrame:
                  .withColumn("key", anchor_key("nl")))
 
 
-def candidate_pairs(posts: DataFrame, names: DataFrame,
-                    name_rows: int | None = None) -> DataFrame:
+def candidate_pairs(posts: DataFrame, names: DataFrame, name_rows: int,
+                    narrow: bool = True, wide: bool = True) -> DataFrame:
     """Candidate ``(post_id, scope, name, nl)`` pairs sharing the anchor key,
-    for the shuffle tiers (see ``contains_join``)."""
+    for the shuffle tiers (see ``contains_join``).  Only keys that some anchor
+    has reach the shuffle."""
     keys = posts.select("post_id", "scope",
-                        F.explode(text_keys(F.lower("text"))).alias("key"))
+                        F.explode(text_keys(F.lower("text"), narrow, wide)).alias("key"))
     anchors = anchors_of(names)
-    if name_rows is not None and name_rows <= BROADCAST_ANCHOR_ROWS:
+    if name_rows <= BROADCAST_ANCHOR_ROWS:
         anchors = F.broadcast(anchors)
-    elif name_rows is not None:
+    else:
         key_set = anchors.select("scope", "key").distinct()
         if key_set.count() <= BROADCAST_KEY_ROWS:
             keys = keys.join(F.broadcast(key_set), ["scope", "key"], "left_semi")
@@ -112,9 +134,11 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
     text once per post and verified row-locally.
     """
     tl = F.col("tl")
-    if name_rows is not None and name_rows <= BROADCAST_ANCHOR_ROWS:
-        base = posts.select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
-        keyed = base.select(*base.columns, F.explode(text_keys(tl)).alias("key"))
+    counted, narrow, wide = anchor_sizes(names)
+    name_rows = counted if name_rows is None else name_rows
+    if name_rows <= BROADCAST_ANCHOR_ROWS:
+        base = spread(posts).select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
+        keyed = base.select(*base.columns, F.explode(text_keys(tl, narrow, wide)).alias("key"))
         anchors = F.broadcast(anchors_of(names))
         j = keyed.join(anchors, (keyed.scope == anchors.scope) & (keyed.key == anchors.key)
                        & (F.instr(keyed.tl, anchors.nl) > 0)).drop(anchors.scope).drop("key")
@@ -125,8 +149,11 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
             cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
         return j.select(*cols)
 
-    cand = candidate_pairs(posts, names, name_rows)
-    per_post = cand.groupBy("post_id").agg(F.collect_list(F.struct("name", "nl")).alias("cands"))
+    cand = candidate_pairs(posts, names, name_rows, narrow, wide)
+    # candidates in runs, so a long post with common keys is no single wide row
+    run = F.pmod(F.xxhash64("name"), F.lit(CANDIDATE_RUNS))
+    per_post = (cand.groupBy("post_id", run.alias("_run"))
+                .agg(F.collect_list(F.struct("name", "nl")).alias("cands")).drop("_run"))
     texts = posts.select("post_id", "scope", F.lower("text").alias("tl"), *post_columns)
     j = per_post.join(texts, "post_id")
     hits = F.filter("cands", lambda c: F.instr(tl, c["nl"]) > 0)
@@ -143,38 +170,34 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
     return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields)
 
 
-def contains_join_small(posts: DataFrame, names: DataFrame, max_names: int = 1_000,
-                        pair_fn: PairFn | None = None,
+def contains_join_small(posts: DataFrame, names: DataFrame, pair_fn: PairFn | None = None,
                         post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
                         ) -> DataFrame:
-    """For a small, user-supplied name list (any length, single words allowed,
-    so no anchor): the list (size-checked) becomes an array literal and each
-    post keeps ``filter(names, n -> instr(tl, n.nl) > 0)`` -- one pass over the
-    posts, no join, no text copied per pair.  ``names`` has ``name`` and
-    optionally ``scope`` (then a name only matches posts of its scope).
-    Output as ``contains_join``: ``(post_id, scope, platform, [post fields],
-    name, nl[, x])``."""
-    n_rows = names.count()
-    if n_rows > max_names:
-        raise ValueError(f"supplied name list has {n_rows} rows (> {max_names}); "
-                         "use contains_join (anchor join) for derived name tables")
+    """For user-supplied names of any form and number (single words allowed,
+    so no anchor around a space): a name's first ``min(3, length)`` characters
+    are its key, joined with the distinct windows of these lengths of the
+    text; a match is verified with ``instr``.  ``names`` has ``name`` and
+    optionally ``scope`` (then a name only matches posts of its scope).  The
+    names are counted and broadcast up to ``BROADCAST_ANCHOR_ROWS``, beyond
+    that both sides shuffle on the key.  Output as ``contains_join``:
+    ``(post_id, scope, platform, [post fields], name, nl[, x])``."""
     has_scope = "scope" in names.columns
-    rows = names.select("name", *(["scope"] if has_scope else [])).collect()
-    lit = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["name"].lower()).alias("nl"),
-                             F.lit(r["scope"] if has_scope else None).cast("string").alias("scope"))
-                    for r in rows]) if rows else F.array().cast(
-        "array<struct<name:string,nl:string,scope:string>>")
-    p = posts.select("post_id", "scope", "platform", F.lower("text").alias("tl"))
+    nl = F.lower("name")
+    heads = (names.filter(F.length("name") > 0)
+             .select("name", nl.alias("nl"), F.substring(nl, 1, 3).alias("key"),
+                     (F.col("scope") if has_scope else F.lit(None).cast("string")).alias("_of")).distinct())
+    n_rows, widths = heads.agg(F.count(F.lit(1)), F.collect_set(F.length("key"))).first()
+    if n_rows <= BROADCAST_ANCHOR_ROWS:
+        heads = F.broadcast(heads)
     tl = F.col("tl")
-    hits = F.filter(lit, lambda n: (F.instr(tl, n["nl"]) > 0)
-                    & (n["scope"].isNull() | (n["scope"] == F.col("scope"))))
-    if pair_fn is not None:
-        hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),
-                                                    pair_fn(tl, c).alias("x")))
+    base = spread(posts).select("post_id", "scope", "platform", F.lower("text").alias("tl"))
+    windows = [F.regexp_extract_all(tl, F.lit(rf"(?s)(?=(.{{{w}}}))"), 1) for w in sorted(widths)]
+    keys = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+    keyed = base.select(*base.columns, F.explode(keys).alias("key"))
+    j = keyed.join(heads, "key").filter((F.instr(tl, F.col("nl")) > 0)
+                                        & (F.col("_of").isNull() | (F.col("_of") == F.col("scope"))))
     extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
-    out = p.select("post_id", "scope", "platform", *[v.alias(k) for k, v in extra.items()],
-                   F.explode(hits).alias("h"))
-    fields = [F.col("h.name").alias("name"), F.col("h.nl").alias("nl")]
+    cols = ["post_id", "scope", "platform", *[v.alias(k) for k, v in extra.items()], "name", "nl"]
     if pair_fn is not None:
-        fields.append(F.col("h.x").alias("x"))
-    return out.select("post_id", "scope", "platform", *extra.keys(), *fields)
+        cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
+    return j.select(*cols)

@@ -81,7 +81,7 @@ def filter_entities(merged: DataFrame, posts: DataFrame, p: Params) -> DataFrame
     platforms, the posts of their scopes -> accepted, scored, ranked names."""
     posts = scoped_posts(posts, p)
     names = merged.select("scope", "name")
-    pairs = pair_stats_join(posts, names, None, p)
+    pairs = pair_stats_join(posts, names, names.count(), p)
     _, entities = score_and_rank(merged, name_stats(pairs), p)
     return entities
 

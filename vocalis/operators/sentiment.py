@@ -3,9 +3,8 @@
 Scorers produce ``(label, score, confidence)`` per post, **once per post**,
 before the fan-out to entities:
 
-* ``lexicon_scores`` (SEN-5): a word -> weight lexicon applied as a
-  JVM-side fold over the post's tokens (map lookup per token, no explode, no
-  shuffle), then the compound normalisation ``s / sqrt(s^2 + 15)`` and the
+* ``lexicon_scores`` (SEN-5): a word -> weight lexicon joined with the row's
+  tokens and summed per row (combined before the shuffle), then the compound normalisation ``s / sqrt(s^2 + 15)`` and the
   +-0.05 thresholds (SEN-3).
 * ``model_scores`` (SEN-6 / UDF-1): a user-supplied batch model run with
   ``mapInPandas``; the model is built once per task and called on chunks of
@@ -68,56 +67,41 @@ def normalize_polarity(polarity, subjectivity) -> tuple[Column, Column, Column]:
 
 
 # SEN-5 ----------------------------------------------------------------------
-def lexicon_map(lexicon: dict[str, float]) -> Column:
-    if not lexicon:
-        return F.create_map().cast("map<string,double>")
-    kv = []
-    for w, v in sorted(lexicon.items()):
-        kv += [F.lit(w.lower()), F.lit(float(v))]
-    return F.create_map(*kv)
-
-
-def lexicon_sum(text, lexicon: dict[str, float], max_chars: int = 1000) -> Column:
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(scorer_input(text, max_chars), F.lit(""))),
-                                  F.lit(TOKEN_RE), 1)
-    lex = lexicon_map(lexicon)
-    return F.aggregate(tokens, F.lit(0.0),
-                       lambda acc, w: acc + F.coalesce(F.try_element_at(lex, w), F.lit(0.0)))
+def normalized_lexicon(lexicon: dict[str, float]) -> dict[str, float]:
+    """Lower-cased words; of words that fold together the last one counts."""
+    return {w.lower(): float(v) for w, v in lexicon.items()}
 
 
 def compound(s: Column, alpha: float = 15.0) -> Column:
     return s / F.sqrt(s * s + F.lit(alpha))
 
 
-# Lexicons up to this size are looked up in-row (a map literal); larger ones
-# (e.g. a full sentiment lexicon) go through a broadcast hash join.
-INLINE_LEXICON_MAX = 256
-
-
-def lexicon_sums_joined(posts: DataFrame, lexicon: dict[str, float], max_chars: int = 1000) -> DataFrame:
-    """``(post_id, s)`` for a large lexicon: tokens exploded with the post id
-    only, a broadcast hash join with the lexicon, and a per-post sum whose
-    partial aggregation combines map-side (a post's tokens never leave its
-    partition before the combine)."""
-    lex = posts.sparkSession.createDataFrame(
-        [(w.lower(), float(v)) for w, v in lexicon.items()], "token string, weight double")
-    toks = posts.select("post_id", F.explode(F.regexp_extract_all(
-        F.lower(F.coalesce(scorer_input("text", max_chars), F.lit(""))), F.lit(TOKEN_RE), 1)).alias("token"))
-    return toks.join(F.broadcast(lex), "token").groupBy("post_id").agg(F.sum("weight").alias("s"))
+# Lexicon rows (a word and a weight, ~40 bytes) up to which the list is broadcast.
+BROADCAST_LEXICON_ROWS = 500_000
 
 
 def lexicon_scores(posts: DataFrame, p: Params, keep=("post_id", "scope", "platform")) -> DataFrame:
-    """Score every post once: ``(*keep, label, score, confidence)``."""
-    base = posts.select(*keep, "text")
-    if len(p.lexicon) <= INLINE_LEXICON_MAX:
-        base = base.withColumn("_s", lexicon_sum(F.col("text"), p.lexicon, p.max_score_chars))
-    else:
-        sums = lexicon_sums_joined(posts, p.lexicon, p.max_score_chars)
-        base = (base.join(sums, "post_id", "left")
-                .withColumn("_s", F.coalesce(F.col("s"), F.lit(0.0))).drop("s"))
+    """Score every row once: ``(*keep, label, score, confidence)``.
+
+    One path for lexicons of any size: each row's tokens are joined with the
+    lexicon and summed per *row* (a row number, not an id, so copies that
+    share an id are scored on their own).  A row's tokens sit in one partition,
+    so the partial sum combines them before the shuffle, which carries the
+    narrow ``keep`` columns and one number per row."""
+    lex = normalized_lexicon(p.lexicon)
+    words = posts.sparkSession.createDataFrame(list(lex.items()), "token string, weight double")
+    if len(lex) <= BROADCAST_LEXICON_ROWS:
+        words = F.broadcast(words)
+    text = scorer_input("text", p.max_score_chars)
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 1)
+    numbered = posts.select(*keep, "text", F.monotonically_increasing_id().alias("_row"))
+    rows = (numbered.select(*keep, "_row", is_blank(F.col("text")).alias("_blank"),
+                            F.explode_outer(tokens).alias("token"))
+            .join(words, "token", "left")
+            .groupBy("_row", "_blank", *keep).agg(F.sum("weight").alias("_s")))
     label, score, conf = normalize_compound(F.col("_c"))
-    blank = is_blank(F.col("text"))
-    return (base.withColumn("_c", compound(F.col("_s")))
+    blank = F.col("_blank")
+    return (rows.withColumn("_c", compound(F.coalesce(F.col("_s"), F.lit(0.0))))
             .select(*keep,
                     F.when(blank, "neutral").otherwise(label).alias("label"),
                     F.when(blank, 0.0).otherwise(score).alias("score"),
@@ -139,61 +123,55 @@ def model_scores(posts: DataFrame, model_factory: ModelFactory, batch_size: int
     keep = list(keep)
     in_schema = posts.select(*keep).schema
     out_schema = T.StructType(list(in_schema.fields) + [
-        T.StructField("label", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("confidence", T.DoubleType())])
-
-    def normalize(res) -> tuple[str, float, float]:
-        lab = str(res.get("label", "")).lower()
-        c = float(res.get("score", 0.0))
-        if "pos" in lab:
-            return "positive", round(c, 4), round(c, 4)
-        if "neg" in lab:
-            return "negative", round(-c, 4), round(c, 4)
-        return "neutral", 0.0, round(c, 4)
+        T.StructField("raw_label", T.StringType()), T.StructField("raw_confidence", T.DoubleType())])
+
+    def answer(predict, texts):
+        res = predict(texts)
+        if len(res) != len(texts):
+            raise ValueError(f"model gave {len(res)} results for {len(texts)} texts")
+        return [(str(r.get("label", "")), float(r.get("score", 0.0))) for r in res]
 
     def run(batches):
         predict = model_factory()
-        neutral = ("neutral", 0.0, 0.0)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            out = [neutral] * len(texts)
+            out = [("neutral", 0.0)] * len(texts)
             for i in range(0, len(texts), batch_size):
                 chunk = texts[i:i + batch_size]
                 idx = [j for j, t in enumerate(chunk) if t]
                 cut = [chunk[j][:max_chars] for j in idx]
                 try:
-                    res = predict(cut) if cut else []
-                    for j, r in zip(idx, res):
-                        out[i + j] = normalize(r)
-                except Exception:
+                    for j, r in zip(idx, answer(predict, cut) if cut else []):
+                        out[i + j] = r
+                except Exception:  # noqa: BLE001 - the chunk is tried text by text
                     for j, t in zip(idx, cut):
                         try:
-                            out[i + j] = normalize(predict([t])[0])
-                        except Exception:
-                            out[i + j] = neutral
+                            out[i + j] = answer(predict, [t])[0]
+                        except Exception:  # noqa: BLE001 - a failing text is neutral
+                            out[i + j] = ("neutral", 0.0)
             res = pdf[keep].copy()
-            res["label"] = [o[0] for o in out]
-            res["score"] = [float(o[1]) for o in out]
-            res["confidence"] = [float(o[2]) for o in out]
+            res["raw_label"] = [o[0] for o in out]
+            res["raw_confidence"] = [o[1] for o in out]
             yield res
 
-    return posts.select(*keep, "text").mapInPandas(run, out_schema)
+    raw = posts.select(*keep, "text").mapInPandas(run, out_schema)
+    label, score, conf = normalize_classifier("raw_label", "raw_confidence")
+    return raw.select(*keep, label.alias("label"), score.alias("score"), conf.alias("confidence"))
 
 
 def lexicon_model_factory(lexicon: dict[str, float]) -> ModelFactory:
     """A tiny stand-in classifier (numpy) with the model contract: returns
     POSITIVE/NEGATIVE/NEUTRAL with a confidence in [0, 1]."""
-    lex = {k.lower(): float(v) for k, v in lexicon.items()}
+    lex = normalized_lexicon(lexicon)
 
     def factory():
-        import regex  # Unicode property classes, same token rule as TOKEN_RE
-        tok = regex.compile(r"\p{L}+")
+        def letters(t: str) -> list[str]:            # runs of letters, as TOKEN_RE
+            return "".join(c if c.isalpha() else " " for c in t).split()
 
         def predict(texts: list[str]) -> list[dict]:
             out = []
             for t in texts:
-                s = sum(lex.get(w, 0.0) for w in tok.findall(t.lower()))
+                s = sum(lex.get(w, 0.0) for w in letters(t.lower()))
                 c = s / math.sqrt(s * s + 15.0)
                 lab = "POSITIVE" if c >= 0.05 else "NEGATIVE" if c <= -0.05 else "NEUTRAL"
                 out.append({"label": lab, "score": abs(c)})
@@ -203,27 +181,29 @@ def lexicon_model_factory(lexicon: dict[str, float]) -> ModelFactory:
 
 
 # SEN-7 ----------------------------------------------------------------------
+TIERS = ("transformers", "vader", "textblob", "lexicon")
+
+
 def resolve_tier(preferred: str, available: Iterable[str]) -> str:
-    """Configured tier first, then the next available one in tier order."""
-    order = ["transformers", "vader", "textblob", "lexicon"]
+    """The configured tier, else the next available one after it ('none' if
+    there is none); an unknown tier starts at the first."""
     avail = set(available)
-    start = order.index(preferred) if preferred in order else 0
-    for tier in order[start:] + order[:start]:
-        if tier in avail:
-            return tier
-    return "none"
-
-
-def available_tiers() -> list[str]:
-    tiers = ["lexicon"]
-    for tier, mod in (("transformers", "transformers"), ("vader", "vaderSentiment"),
-                      ("textblob", "textblob")):
-        try:
-            __import__(mod)
-            tiers.append(tier)
-        except Exception:
-            pass
-    return tiers
+    start = TIERS.index(preferred) if preferred in TIERS else 0
+    return next((t for t in TIERS[start:] if t in avail), "none")
+
+
+def tier_scores(posts: DataFrame, p: Params, preferred: str, scorers: dict,
+                keep=("post_id", "scope", "platform")) -> DataFrame:
+    """Scores by the scorer of the resolved tier, with the tier's name.
+    ``scorers``: tier -> ``(posts, params) -> (*keep, label, score,
+    confidence)``; without any every post is neutral."""
+    tier = resolve_tier(preferred, scorers)
+    if tier == "none":
+        scored = posts.select(*keep, F.lit("neutral").alias("label"), F.lit(0.0).alias("score"),
+                              F.lit(0.0).alias("confidence"))
+    else:
+        scored = scorers[tier](posts, p)
+    return scored.withColumn("tier", F.lit(tier))
 
 
 def apply_confidence_threshold(scored: DataFrame, threshold: float | None) -> DataFrame:

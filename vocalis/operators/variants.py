@@ -13,23 +13,24 @@ its earliest kept neighbour.  It is computed in rounds:
   against every subset of the other name's word set (<= 7 per name);
 * a node is decided once all its earlier neighbours are decided: absorbed
   (owner = earliest kept earlier neighbour) if any is kept, else kept;
-* each round is a join + aggregate over the *undecided* nodes only, its
-  result written to the reliable checkpoint folder; the loop stops when no
-  node is undecided (one ``count`` per round on the driver).
+* each round is a join + aggregate over the *undecided* nodes only; what it
+  decides and what is left are written to the reliable checkpoint folder, and
+  the loop ends when nothing is left (each round decides at least the
+  earliest node left, so it does end).
 
-Names without any neighbour never enter the loop.
+Names without an earlier neighbour never enter the loop.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .mentions import WS_RE
 
-MAX_ROUNDS = 10_000
-
 
 def word_set(name_col="name"):
     """Sorted distinct lower-case words of a name (its word *set*)."""
@@ -83,38 +84,34 @@ def merge_variants(nodes: DataFrame) -> DataFrame:
                              F.col("b").alias("l")))
     directed = cut_lineage(directed)
 
+    # Nodes without an earlier neighbour are kept at once; only the others
+    # enter the rounds, each of which decides at least the earliest of them.
     later = directed.select("scope", F.col("l").alias("name")).distinct()
-    # status: K kept, A absorbed (owner set), U undecided
-    status = (base.select("scope", "name")
-              .join(later.withColumn("has_earlier", F.lit(True)), ["scope", "name"], "left")
-              .select("scope", "name",
-                      F.when(F.col("has_earlier"), F.lit("U")).otherwise(F.lit("K")).alias("status"),
-                      F.lit(None).cast("string").alias("owner")))
-    status = cut_lineage(status)
-
-    rounds = 0
-    while True:
-        undecided = status.filter(F.col("status") == "U").count()
-        if undecided == 0 or rounds >= MAX_ROUNDS:
-            break
-        rounds += 1
-        # statuses of the earlier neighbours of every undecided node
-        u = status.filter(F.col("status") == "U").select("scope", F.col("name").alias("l"))
-        e = status.select("scope", F.col("name").alias("e"), F.col("status").alias("st_e"))
-        nb = (directed.join(u, ["scope", "l"]).join(e, ["scope", "e"])
+    undecided = cut_lineage(later)
+    earlier = directed.select("scope", F.col("e").alias("name")).distinct()
+    # heads that can own an undecided node; the rest of the names are not carried
+    done = cut_lineage(
+        earlier.join(undecided, ["scope", "name"], "left_anti")
+        .select("scope", "name", F.lit("K").alias("status"), F.lit(None).cast("string").alias("owner")))
+    parts = [done]
+    while not undecided.isEmpty():
+        u = undecided.select("scope", F.col("name").alias("l"))
+        e = reduce(DataFrame.unionAll, parts).select("scope", F.col("name").alias("e"),
+                                                     F.col("status").alias("st_e"))
+        nb = (directed.join(u, ["scope", "l"]).join(e, ["scope", "e"], "left")
               .groupBy("scope", "l")
-              .agg(F.sum((F.col("st_e") == "U").cast("int")).alias("n_u"),
+              .agg(F.sum(F.col("st_e").isNull().cast("int")).alias("n_u"),
                    F.max(F.when(F.col("st_e") == "K", F.struct("rk_e", "e"))).alias("best_k")))
-        decided = (nb.filter(F.col("n_u") == 0)
-                   .select("scope", F.col("l").alias("name"),
-                           F.when(F.col("best_k").isNotNull(), F.lit("A")).otherwise(F.lit("K"))
-                            .alias("new_status"),
-                           F.col("best_k.e").alias("new_owner")))
-        status = cut_lineage(
-            status.join(decided, ["scope", "name"], "left")
-                  .select("scope", "name",
-                          F.coalesce("new_status", "status").alias("status"),
-                          F.coalesce("new_owner", "owner").alias("owner")))
+        decided = cut_lineage(
+            nb.filter(F.col("n_u") == 0)
+            .select("scope", F.col("l").alias("name"),
+                    F.when(F.col("best_k").isNotNull(), F.lit("A")).otherwise(F.lit("K")).alias("status"),
+                    F.col("best_k.e").alias("owner")))
+        parts.append(decided)
+        undecided = cut_lineage(undecided.join(decided.select("scope", "name"), ["scope", "name"], "left_anti"))
+    found = reduce(DataFrame.unionAll, parts).join(later, ["scope", "name"], "left_semi")
+    status = (base.select("scope", "name").join(found, ["scope", "name"], "left")
+              .select("scope", "name", F.coalesce("status", F.lit("K")).alias("status"), "owner"))
 
     owner = F.when(F.col("status") == "K", F.col("name")).otherwise(F.col("owner"))
     assigned = base.join(status, ["scope", "name"]).withColumn("label", owner)

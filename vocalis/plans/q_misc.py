@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -187,7 +189,8 @@ def snk1_posts_parquet(spark, sf):
     path = scratch_dir(spark, "posts")
     ps = posts(spark, sf)
     IO.write_posts(ps, path)
-    return spark.read.schema(ps.schema).parquet(path).select(*_P_COLS)
+    stored = spark.read.parquet(path).drop("post_id").withColumnRenamed("native_id", "post_id")
+    return stored.select(*_P_COLS)
 
 
 # SNK-2: entity upsert, run twice ------------------------------------------------------
@@ -219,12 +222,41 @@ def snk4_posts_json(spark, sf):
                                "text string, likes long")
 
 
-# SNK-5: CSV with header ------------------------------------------------------------
-@register("snk5_posts_csv", VSQL("SELECT post_id, platform, scope, likes FROM posts_v"))
+# SNK-5: CSV with header; raw texts with line breaks, quotes and outer blanks --------------
+_CSV_TEXT = """'"' || role || '" said' || chr(10) || text || CASE WHEN turn % 3 = 0 THEN ' ' ELSE '' END"""
+
+
+@register("snk5_posts_csv", f"""SELECT conv_id, turn, role,
+  CASE turn % 5 WHEN 1 THEN NULL WHEN 2 THEN '' ELSE {_CSV_TEXT} END AS text FROM conversations""")
 def snk5_posts_csv(spark, sf):
     path = scratch_dir(spark, "posts-csv")
-    IO.export_posts_csv(posts(spark, sf).select("post_id", "platform", "scope", "likes"), path)
-    return IO.read_csv_export(spark, path, "post_id long, platform string, scope string, likes long")
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    raw = F.concat(F.lit('"'), "role", F.lit('" said\n'), "text",
+                   F.when(F.col("turn") % 3 == 0, F.lit(" ")).otherwise(F.lit("")))
+    k = F.col("turn") % 5
+    c = c.withColumn("text", F.when(k == 1, F.lit(None)).when(k == 2, F.lit("")).otherwise(raw))
+    IO.export_posts_csv(c, path)
+    return IO.read_csv_export(spark, path, c.schema)
+
+
+@register("snk5_all_columns", VSQL(f"SELECT {', '.join(_P_COLS)} FROM posts_v"))
+def snk5_all_columns(spark, sf):
+    path = scratch_dir(spark, "posts-csv")
+    ps = posts(spark, sf).select(*_P_COLS)
+    IO.export_posts_csv(ps, path)
+    return IO.read_csv_export(spark, path, ps.schema)
+
+
+# SNK-2: an upsert that changes one scope keeps the other ------------------------------------
+@register("snk2_upsert_scope", full_sql("""SELECT scope, name,
+  CASE WHEN scope = 'en' THEN mention_count + 1 ELSE mention_count END AS mention_count FROM entities"""))
+def snk2_upsert_scope(spark, sf):
+    path = scratch_dir(spark, "entities")
+    e = analysis(spark, sf).entities
+    IO.write_entities(e, path, mode="upsert")
+    new = e.filter(F.col("scope") == "en").withColumn("mention_count", F.col("mention_count") + 1)
+    IO.write_entities(new, path, mode="upsert")
+    return spark.read.schema(e.schema).parquet(path).select("scope", "name", "mention_count")
 
 
 # SNK-6: sorted sentiment export -------------------------------------------------------
@@ -384,12 +416,9 @@ def snk8_exports(spark, sf):
     out = scratch_dir(spark, "exports")
     done = IO.export_all(posts(spark, sf), a.sentiment.select("post_id", "entity", "label", "score"),
                          a.part("profiles"), out, posts_json=False)
-    frames = []
+    rows = []
     for name, path in sorted(done.items()):
-        reader = spark.read.option("header", True).csv if name.endswith("csv") else spark.read.json
-        try:
-            n = reader(path).count()
-        except Exception:  # noqa: BLE001 - an export with no rows has no files to infer from
-            n = 0
-        frames.append((name, n))
-    return spark.createDataFrame(frames, "export string, n long")
+        back = (IO.read_csv_export(spark, path, posts(spark, sf).schema) if name.endswith("csv")
+                else IO.read_json_export(spark, path, "scope string"))
+        rows.append(back.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("export"), "n"))
+    return reduce(DataFrame.unionAll, rows)

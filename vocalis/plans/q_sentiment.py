@@ -179,8 +179,52 @@ def src6_entity_sentiment(spark, sf):
 
 
 # SEN-7: tier resolution (configured tier first, then the next available one) -------------
-@register("sen7_tier", scored_sql("SELECT post_id, label, score, 'lexicon' AS tier FROM scored_posts"))
+# A model is at hand for the 'vader' tier only.  English asks for
+# 'transformers' and falls forward to it; the other scopes ask for 'textblob',
+# behind it in the order, and fall forward to the lexicon.
+def _model_score(c: str) -> str:
+    r = (f"round_even(printf('%.25f', ({c})::DOUBLE)::DECIMAL(38, 25), 4)::DOUBLE")
+    return f"(CASE WHEN {r} = 0 THEN ({c})::DOUBLE * 0.0::DOUBLE ELSE {r} END)"
+
+
+@register("sen7_tier", scored_sql(f"""SELECT s.post_id, s.label,
+  CASE WHEN s.scope <> 'en' THEN s.score WHEN c.blank THEN 0.0::DOUBLE
+       WHEN c.c >= 0.05 THEN {_model_score('abs(c.c)')} WHEN c.c <= -0.05 THEN {_model_score('-abs(c.c)')}
+       ELSE 0.0::DOUBLE END AS score,
+  CASE WHEN s.scope = 'en' THEN 'vader' ELSE 'lexicon' END AS tier
+FROM scored_posts s JOIN comp c USING (post_id)"""))
 def sen7_tier(spark, sf):
-    from ..operators.sentiment import available_tiers, resolve_tier
-    tier = resolve_tier("transformers", [t for t in available_tiers() if t == "lexicon"])
-    return analysis(spark, sf).scored.select("post_id", "label", "score", F.lit(tier).alias("tier"))
+    from ..operators.sentiment import lexicon_scores, tier_scores
+    scorers = {"vader": lambda ps, p: model_scores(ps, lexicon_model_factory(p.lexicon)),
+               "lexicon": lexicon_scores}
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    en = tier_scores(ps.filter("scope = 'en'"), P, "transformers", scorers)
+    rest = tier_scores(ps.filter("scope <> 'en'"), P, "textblob", scorers)
+    return en.unionByName(rest).select("post_id", "label", "score", "tier")
+
+
+# SEN-5 with a lexicon of many words (every word of the texts that starts with a letter
+# group gets a weight), on rows that share a post id
+_BIG_LEX = """lexw AS (
+  SELECT DISTINCT w, (CASE WHEN length(w) % 2 = 0 THEN 0.5 ELSE -0.25 END)::DOUBLE AS weight
+  FROM (SELECT unnest(regexp_extract_all(lower(left(text, 400)), '(\\p{L}+)', 1)) AS w FROM benchmark))"""
+
+
+@register("sen5_large_lexicon", f"""WITH {_BIG_LEX},
+t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(substr(text, 1, 1000)), '(\\p{{L}}+)', 1)) AS w
+      FROM conversations),
+s AS (SELECT conv_id, turn, sum(weight) AS s FROM t JOIN lexw USING (w) GROUP BY conv_id, turn),
+c AS (SELECT c.conv_id AS post_id, c.turn, coalesce(s.s, 0.0) / sqrt(coalesce(s.s, 0.0) * coalesce(s.s, 0.0) + 15.0::DOUBLE) AS c
+      FROM conversations c LEFT JOIN s USING (conv_id, turn))
+SELECT post_id, turn, CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS label
+FROM c""")
+def sen5_large_lexicon(spark, sf):
+    from ..operators.sentiment import lexicon_scores
+    b = read_table(spark, sf, "benchmark")
+    # the lexicon of a run is a parameter: one distinct word list, read once
+    words = [r[0] for r in b.select(F.explode(F.regexp_extract_all(
+        F.lower(F.substring("text", 1, 400)), F.lit(r"(\p{L}+)"), 1)).alias("w")).distinct().collect()]
+    lexicon = {w: 0.5 if len(w) % 2 == 0 else -0.25 for w in words}
+    c = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("post_id"), "turn", "text")
+    return lexicon_scores(c, P.with_(lexicon=lexicon), keep=("post_id", "turn")).select(
+        "post_id", "turn", "label")

@@ -3,24 +3,63 @@
 All writes are Spark writers into a directory (a shared filesystem or object
 store on a cluster): Parquet partitioned by scope for the tables, JSON lines
 and CSV for the exports.  Re-running a job overwrites the scopes it wrote
-(dynamic partition overwrite) instead of appending duplicates.
+(dynamic partition overwrite, asked for by the writer, so no session setting
+changes) instead of appending duplicates.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def _dynamic(df: DataFrame):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+# The dialect of the csv module: quotes doubled, texts kept as they are.
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False, "emptyValue": '""', "nullValue": ""}
+
+
+def read_if_stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path``, None if nothing is stored there yet; any other
+    failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _replace_scopes(df: DataFrame, path: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("scope").parquet(path))
 
 
 # SNK-1
+def assign_post_ids(posts: DataFrame, after: int = -1) -> DataFrame:
+    """A new ``post_id`` per row, larger than ``after`` and unique in the
+    result; the platform's own id stays as ``native_id``.  The ids settle when
+    the rows are stored: read them back before joining on them."""
+    return (posts.withColumnRenamed("post_id", "native_id")
+            .withColumn("post_id", F.monotonically_increasing_id() + F.lit(after + 1)))
+
+
 def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
-    """Append posts (defaults: likes/shares 0), partitioned by scope."""
-    out = posts.withColumn("likes", F.coalesce("likes", F.lit(0)).cast("long")) \
-               .withColumn("shares", F.coalesce("shares", F.lit(0)).cast("long"))
+    """Store posts (defaults: likes/shares 0), partitioned by scope.
+
+    Every stored row gets its own ``post_id``: copies of a post and equal ids
+    of two platforms stay apart in all later joins.  An append goes on after
+    the largest stored id (a footer statistic); one writer at a time."""
+    spark = posts.sparkSession
+    after = -1
+    if mode == "append":
+        old = read_if_stored(spark, path, "post_id long")
+        after = -1 if old is None else old.agg(F.max("post_id")).first()[0]
+        after = -1 if after is None else after
+    out = (assign_post_ids(posts, after)
+           .withColumn("likes", F.coalesce("likes", F.lit(0)).cast("long"))
+           .withColumn("shares", F.coalesce("shares", F.lit(0)).cast("long")))
     out.write.mode(mode).partitionBy("scope").parquet(path)
 
 
@@ -31,33 +70,20 @@ def write_entities(entities: DataFrame, path: str, mode: str = "overwrite") -> N
     (scope, name) is not recomputed are kept, as the original's INSERT OR
     REPLACE does."""
     if mode == "upsert":
-        spark = entities.sparkSession
-        try:
-            old = spark.read.schema(entities.schema).parquet(path)
-            old.limit(1).collect()
-        except Exception:  # noqa: BLE001 - first run: nothing stored yet
-            old = None
+        old = read_if_stored(entities.sparkSession, path, entities.schema)
         if old is not None:
-            kept = old.join(entities.select("scope", "name"), ["scope", "name"], "left_anti")
-            merged = kept.unionByName(entities.select(*old.columns))
-            # materialise before overwriting the files it reads from
-            tmp = path.rstrip("/") + "__upsert_tmp"
-            merged.write.mode("overwrite").partitionBy("scope").parquet(tmp)
-            merged = spark.read.schema(entities.schema).parquet(tmp)
-            _dynamic(entities)
-            merged.write.mode("overwrite").partitionBy("scope").parquet(path)
-            return
-        entities.write.mode("overwrite").partitionBy("scope").parquet(path)
-        return
-    _dynamic(entities)
-    entities.write.mode("overwrite").partitionBy("scope").parquet(path)
+            # only the scopes of this run are read and rewritten
+            touched = old.join(entities.select("scope").distinct(), "scope", "left_semi")
+            kept = touched.join(entities.select("scope", "name"), ["scope", "name"], "left_anti")
+            # materialised (in the checkpoint folder) before the files it reads are replaced
+            entities = cut_lineage(kept.select(*entities.columns).unionByName(entities))
+    _replace_scopes(entities, path)
 
 
 # SNK-3
 def write_sentiment(sentiment: DataFrame, path: str) -> None:
     """Sentiment rows; a rerun replaces the scope instead of duplicating rows."""
-    _dynamic(sentiment)
-    sentiment.write.mode("overwrite").partitionBy("scope").parquet(path)
+    _replace_scopes(sentiment, path)
 
 
 # SNK-4
@@ -68,9 +94,10 @@ def export_posts_json(posts: DataFrame, path: str) -> None:
 
 # SNK-5
 def export_posts_csv(posts: DataFrame, path: str) -> None:
-    """Posts as CSV with a header -- also when there are no rows."""
-    posts.coalesce(1).write.mode("overwrite").option("header", True).csv(path) \
-        if posts.isEmpty() else posts.write.mode("overwrite").option("header", True).csv(path)
+    """Posts as CSV with a header -- also when there are no rows.  Quotes are
+    doubled, line breaks and outer blanks stay, an empty text differs from null."""
+    out = posts.coalesce(1) if posts.isEmpty() else posts
+    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 # SNK-6
@@ -84,8 +111,10 @@ def export_sentiment_json(sentiment: DataFrame, posts: DataFrame, path: str) ->
 
 # SNK-7
 def export_profiles_json(profiles: DataFrame, path: str) -> None:
-    """Nested profiles as JSON lines, one folder per scope."""
-    profiles.write.mode("overwrite").partitionBy("scope").json(path)
+    """Nested profiles as JSON lines, one folder per scope; an earlier export
+    is replaced as a whole, so no scope of it survives."""
+    (profiles.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("scope").json(path))
 
 
 # SRC-10
@@ -94,7 +123,9 @@ def read_json_export(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_csv_export(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A CSV export with all its texts, whatever line breaks they hold."""
+    return (spark.read.schema(schema).options(**CSV_OPTIONS)
+            .option("multiLine", True).csv(path))
 
 
 # SET-2

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import hours
 from ..operators.normalize import PAGE_POST_SCHEMA, TWEET_SCHEMA
 
 PAGE_POST_SCHEMA_STRUCT = "struct<" + PAGE_POST_SCHEMA.replace(" string", ":string").replace(
@@ -75,7 +76,7 @@ def page_posts(documents: DataFrame) -> DataFrame:
     not serialised here)."""
     d = documents
     ts = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-          + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"), F.lit(0), F.lit(0)))
+          + hours("doc_id"))
     g = F.struct(
         F.concat(F.lit("page_"), F.col("doc_id").cast("string")).alias("id"),
         F.col("text").alias("message"),

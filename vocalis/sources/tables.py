@@ -15,6 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import hours
 from ..functions.text import clean_text
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -49,8 +50,7 @@ def posts_from_documents(documents: DataFrame) -> DataFrame:
         F.substring(F.sha2(F.concat(F.lit("user"), (F.col("doc_id") % 50).cast("string")), 256),
                     1, 12).alias("author"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-         + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"), F.lit(0), F.lit(0))
-         ).alias("ts"),
+         + hours("doc_id")).alias("ts"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example/post/"),
                  F.col("doc_id").cast("string")).alias("url"),
         (F.col("n_chars") % 97).alias("likes"),

@@ -49,13 +49,17 @@ def attribution_batch(entities: DataFrame, p: Params, out_path: str) -> Callable
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        scored = lexicon_scores(batch, p)
-        pairs = (contains_join(batch, ent, None, ())
-                 .select("post_id", F.col("name").alias("entity")))
-        out = attribute(scored, pairs).withColumn("batch_id", F.lit(batch_id))
-        (out.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(out_path))
+        batch = batch.persist()                # scored, joined and counted below
+        try:
+            scored = lexicon_scores(batch, p)
+            pairs = (contains_join(batch, ent, ent.count(), ())
+                     .select("post_id", F.col("name").alias("entity")))
+            out = attribute(scored, pairs).withColumn("batch_id", F.lit(batch_id))
+            (out.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id").parquet(out_path))
+        finally:
+            batch.unpersist()
     return run
 
 
