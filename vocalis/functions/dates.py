@@ -33,10 +33,6 @@ DATE_FORMATS = (
 FORUM_RE = r"(?i)^(\d{1,2}:\d{2}(?:am|pm))On(\w{3} \d{1,2})"
 
 
-def _try_ts(s: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(s, F.lit(fmt))
-
-
 def epoch_to_ntz(seconds) -> Column:
     """UTC wall-clock ``timestamp_ntz`` of epoch seconds, whatever the
     session time zone."""
@@ -60,16 +56,15 @@ def parse_date(c, as_of: str = "2024-02-12") -> Column:
     s = F.trim(col_(c))
     year = F.lit(as_of[:4])
     is_forum = s.rlike(FORUM_RE)
-    forum = _try_ts(F.concat_ws(" ", F.regexp_extract(s, FORUM_RE, 2), year,
-                                F.upper(F.regexp_extract(s, FORUM_RE, 1))), "MMM d yyyy h:mma")
-    out = F.when(is_forum, forum.cast("timestamp_ntz"))
-    for fmt, shape in DATE_FORMATS:
-        t = _try_ts(s, fmt)
-        # wall-clock forms are parsed and cast in the same (session) zone, so
-        # the wall clock is kept; the offset form is an instant, put in UTC
-        instant = fmt.endswith("Z")
-        out = out.when(s.rlike(shape), _to_utc_ntz(t) if instant else t.cast("timestamp_ntz"))
-    return out
+    raw = F.when(is_forum, F.concat_ws(" ", F.regexp_extract(s, FORUM_RE, 2), year,
+                                       F.upper(F.regexp_extract(s, FORUM_RE, 1)))).otherwise(s)
+    fmt = F.when(is_forum, "MMM d yyyy h:mma")
+    for f, shape in DATE_FORMATS:
+        fmt = fmt.when(s.rlike(shape), f)
+    # wall-clock forms are parsed and cast in the same (session) zone, so the
+    # wall clock is kept; the offset form is an instant, put in UTC
+    t = F.try_to_timestamp(raw, fmt)
+    return F.when(s.rlike(r"[+-]\d{4}$") & s.contains("T"), _to_utc_ntz(t)).otherwise(t.cast("timestamp_ntz"))
 
 
 def format_date(ts, raw) -> Column:

@@ -9,6 +9,8 @@ crawler landed (JSON with an explicit nested schema, or raw HTML).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from ..functions.dates import epoch_to_ntz, format_date, parse_date, within_rang
 from ..functions.text import (absolute_url, anonymize_author, clean_text, col_, majority_match,
                               parse_like_count)
 from ..params import Params
+from ..session import cut_lineage
 from .html_posts import raw_posts
 
 POST_SCHEMA = T.StructType([
@@ -33,7 +36,8 @@ SUBMISSION_SCHEMA = ("id long, title string, selftext string, author string, cre
                      "score long, num_comments long, permalink string")
 COMMENT_SCHEMA = ("parent_id long, ord long, id long, body string, author string, "
                   "created_utc long, score long, permalink string")
-TWEET_SCHEMA = ("id long, text string, created_at string, author_id long, "
+TWEET_SCHEMA = ("id long, text string, created_at string, author_id long, lang string, "
+                "referenced_tweets array<struct<type:string, id:long>>, "
                 "public_metrics struct<like_count:long, retweet_count:long, reply_count:long, "
                 "quote_count:long>")
 PAGE_POST_SCHEMA = ("id string, message string, created_time string, "
@@ -70,14 +74,21 @@ def to_posts(df: DataFrame, *, post_id, platform, scope, text, author, date_raw,
                       "shares", "keyword")
 
 
+def pair_id(a, b) -> Column:
+    """One long for two non-negative ones (Cantor pairing: no two pairs share it)."""
+    s = col_(a).cast("long") + col_(b).cast("long")
+    return F.shiftright(s * (s + 1), 1) + col_(b).cast("long")
+
+
 # NRM-1 ----------------------------------------------------------------------
 def forum_posts(pages: DataFrame, scope, p: Params, tag: str = "div", cls: str | None = "narrow",
                 keyword: Column | str | None = None) -> DataFrame:
-    """Thread pages ``(page_id, url, html)`` -> posts; post id = page_id*10^4+ordinal."""
+    """Thread pages ``(page_id, url, html)`` -> posts; the native id pairs page
+    and ordinal, whatever the number of posts on a page."""
     sc = F.lit(scope) if isinstance(scope, str) else scope
     raw = raw_posts(pages.withColumn("scope", sc.cast("string")), tag, cls)
     kw = keyword if keyword is not None else F.concat(F.col("scope"), F.lit(" governorship election"))
-    return to_posts(raw, post_id=F.col("page_id") * 10000 + F.col("ord"), platform="nairaland",
+    return to_posts(raw, post_id=pair_id("page_id", "ord"), platform="nairaland",
                     scope=F.col("scope"), text=F.col("text_raw"), author=F.col("author_raw"),
                     date_raw=F.col("date_raw"), url=F.col("url"),
                     likes=parse_like_count(F.col("likes_raw")), shares=F.lit(0), keyword=kw, p=p)
@@ -110,8 +121,21 @@ def comment_posts(comments: DataFrame, scope, keyword, p: Params, max_comments:
 
 
 # NRM-4 ----------------------------------------------------------------------
-def tweet_posts(tweets: DataFrame, scope, keyword, p: Params) -> DataFrame:
-    """Landed tweets (nested ``public_metrics``) -> posts; an empty date is allowed."""
+def original_tweets(tweets: DataFrame, lang: str | None = "en") -> DataFrame:
+    """FLT-3: no reposts, and one language (None: any).  A tweet that carries
+    no language or no references passes, as a search result does that never had
+    the field."""
+    refs = F.coalesce(F.exists("referenced_tweets", lambda r: r["type"] == "retweeted"), F.lit(False))
+    out = tweets.filter(~refs)
+    return out if lang is None else out.filter(F.coalesce(F.col("lang"), F.lit(lang)) == lang)
+
+
+def tweet_posts(tweets: DataFrame, scope, keyword, p: Params, originals_only: bool = True,
+                lang: str | None = "en") -> DataFrame:
+    """Landed tweets (nested ``public_metrics``) -> posts; an empty date is
+    allowed; reposts and other languages are left out (FLT-3)."""
+    if originals_only:
+        tweets = original_tweets(tweets, lang)
     m = F.col("public_metrics")
     return to_posts(tweets, post_id=F.col("id"), platform="twitter", scope=scope,
                     text=F.col("text"), author=F.col("author_id").cast("string"),
@@ -163,18 +187,41 @@ def page_comment_posts(comments: DataFrame, scope, keyword, p: Params, max_comme
 
 
 # NRM-7 / FLT-5 / FN-10 ------------------------------------------------------------
-LINK_RE = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-
-
-def page_links(pages: DataFrame) -> DataFrame:
-    """All ``<a href>`` of each page with their lower-cased text:
-    ``(page_id, url, ord, href, title)``; empty href or title skipped."""
-    hrefs = F.regexp_extract_all("html", F.lit(LINK_RE), 1)
-    titles = F.regexp_extract_all("html", F.lit(LINK_RE), 2)
-    z = pages.select("page_id", "url", F.posexplode(F.arrays_zip(hrefs.alias("h"), titles.alias("t")))
-                     .alias("ord", "z"))
-    title = F.lower(F.trim(F.regexp_replace(F.col("z.t"), r"<[^>]*>", "")))
-    return (z.select("page_id", "url", "ord", F.col("z.h").alias("href"), title.alias("title"))
+# an anchor element with a href: double-quoted, single-quoted or bare
+LINK_RE = r'(?is)<a\s[^>]*?href\s*=[^>]*>.*?</a>'
+HREF_RE = r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+
+def decode_entities(c) -> Column:
+    """Character references of an attribute value, each decoded once."""
+    s = col_(c)
+    ref = r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+    code = F.regexp_extract_all(s, F.lit(ref), 1)
+    n = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x",
+                         F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("long")
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(n(x)), 8, "0")), "UTF-32")
+    gaps = F.split(s, ref, -1)
+    numeric = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(code)), F.transform(code, char),
+                                               lambda g, x: F.concat(g, x)), ""),
+                       F.get(gaps, F.size(gaps) - 1))
+    out = F.when(s.rlike(ref), numeric).otherwise(s)
+    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                     ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(ch))
+    return out
+
+
+def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All ``<a href>`` of each page with their lower-cased text: ``(page_id,
+    url, *keep, ord, href, title)``; empty href or title skipped.  The page is
+    read by one regular expression, the rest works on the anchors."""
+    z = pages.select("page_id", "url", *keep, F.posexplode(
+        F.regexp_extract_all("html", F.lit(LINK_RE), F.lit(0))).alias("ord", "a"))
+    quoted = [F.regexp_extract("a", HREF_RE, k) for k in (1, 2, 3)]
+    href = decode_entities(F.concat(*quoted))
+    inner = F.regexp_extract("a", r"(?is)^<a\s[^>]*>(.*?)</a>$", 1)
+    title = F.lower(F.trim(F.regexp_replace(inner, r"<[^>]*>", "")))
+    return (z.select("page_id", "url", *keep, "ord", href.alias("href"), title.alias("title"))
             .filter((F.col("href") != "") & (F.col("title") != "")))
 
 
@@ -278,14 +325,19 @@ def collect_search_hits(hits: DataFrame, keyword_ordinals, per_keyword_cap: int
     ``hits`` first: validity depends on the hit only, so an invalid id can
     never be taken by any keyword and filtering early is equivalent."""
     keys = list(run_keys)
-    taken = None
+    # an id repeated within one keyword's results counts once (first rank).  The
+    # hits are scanned once; each keyword's step is stored, so step k reads the
+    # stored hits and the k - 1 stored steps before it.
+    hits = cut_lineage(first_seen(hits, keys + [ordinal_col, id_col], [rank_col]))
+    taken: list[DataFrame] = []
     for k in sorted(keyword_ordinals):
-        # an id repeated within one keyword's results counts once (first rank)
-        cand = first_seen(hits.filter(F.col(ordinal_col) == k), keys + [id_col], [rank_col])
-        if taken is not None:
-            cand = cand.join(taken.select(*keys, id_col), keys + [id_col], "left_anti")
-        kept = cap_per_group(cand, keys, [F.col(rank_col), F.col(id_col)], per_keyword_cap)
-        taken = kept if taken is None else taken.unionByName(kept)
-    if taken is None:
+        cand = hits.filter(F.col(ordinal_col) == k)
+        if taken:
+            before = reduce(DataFrame.unionByName, [t.select(*keys, id_col) for t in taken])
+            cand = cand.join(before, keys + [id_col], "left_anti")
+        taken.append(cut_lineage(cap_per_group(cand, keys, [F.col(rank_col), F.col(id_col)],
+                                               per_keyword_cap)))
+    if not taken:
         return hits.limit(0)
+    taken = reduce(DataFrame.unionByName, taken)
     return cap_per_group(taken, keys, [F.col(ordinal_col), F.col(rank_col), F.col(id_col)], total_cap)

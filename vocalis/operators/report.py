@@ -63,3 +63,22 @@ def detail_table(entities: DataFrame, themes: DataFrame, excerpts: DataFrame,
                     F.coalesce("shown_positive", F.lit(0)).cast("long").alias("shown_positive"),
                     F.coalesce("shown_negative", F.lit(0)).cast("long").alias("shown_negative"),
                     F.coalesce("support", F.lit("")).alias("support"), "likes", "shares", "avg_likes"))
+
+
+def excerpt_table(excerpts: DataFrame, shown_excerpts: int = 3) -> DataFrame:
+    """The excerpts shown per entity and label: text, platform, score, date."""
+    return (excerpts.filter(F.col("rank") <= shown_excerpts)
+            .select("scope", "entity", "label", F.col("rank").cast("long").alias("rank"), "text",
+                    capitalize("platform").alias("platform"),
+                    signed3(round_half_even(F.col("score"), 3)).alias("score"), "date"))
+
+
+def audience_table(audience: DataFrame) -> DataFrame:
+    """Posts and share per platform of an entity's audience."""
+    return audience.select("scope", "entity", capitalize("platform").alias("platform"), "posts",
+                           F.format_string("%.1f%%", "share_pct").alias("share"))
+
+
+def region_table(regions: DataFrame) -> DataFrame:
+    return regions.select("scope", "entity", F.col("rank").cast("long").alias("rank"),
+                          capitalize("region").alias("region"), "mentions")

@@ -74,4 +74,4 @@ def joined(c: str, alias: str | None = None):
 # import the query modules (they register themselves)
 # ---------------------------------------------------------------------------
 def load_all() -> None:
-    from . import q_entities, q_sources, q_sentiment, q_profile, q_misc  # noqa: F401
+    from . import q_entities, q_sources, q_sentiment, q_profile, q_misc, q_ids  # noqa: F401

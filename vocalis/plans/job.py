@@ -8,8 +8,8 @@ re-aimed as a Spark application).
 
 Reads stored posts (Parquet written by ``sinks.io.write_posts``), runs the
 whole analysis (PIPE-1) with the election binding, writes the entity and
-sentiment tables partitioned by scope (rerun-safe), and the exports behind
-their switches (SNK-8).  Scraping is not part of it: landed payloads are
+sentiment tables partitioned by scope (rerun-safe), the report tables (PIPE-2)
+and the exports behind their switches (SNK-8).  Scraping is not part of it: landed payloads are
 normalized by the ``operators.normalize`` functions beforehand (PIPE-3).
 """
 
@@ -24,7 +24,7 @@ from ..params import Params, election_params, load_word_list
 from ..session import get_spark
 from ..sinks import io as IO
 from ..sources.posts import restrict
-from .pipeline import run_analysis
+from .pipeline import run_analysis, write_report
 
 
 def parse_args(argv=None) -> argparse.Namespace:
@@ -60,6 +60,8 @@ def run(spark: SparkSession, args: argparse.Namespace, base: Params | None = Non
         a.part("profiles"), os.path.join(args.out, "exports"),
         posts_json=not args.no_posts_json, posts_csv=not args.no_posts_csv,
         sentiment_json=not args.no_sentiment_json, profiles_json=not args.no_profiles_json)
+    report = {f"report_{k}": v for k, v in write_report(a, os.path.join(args.out, "report")).items()}
+    exports.update(report)
     return {"entities": os.path.join(args.out, "entities"),
             "sentiment": os.path.join(args.out, "sentiment"), **exports}
 

@@ -12,14 +12,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import normalize as N
 from ..operators import profile as prof
+from ..operators import report as R
 from ..operators.entities import Discovery, discover, entity_table, scoped_posts
 from ..operators.sentiment import apply_confidence_threshold, attribute, lexicon_scores
 from ..params import Params
 from ..session import cut_lineage
+from ..sinks import io as IO
 
 
 @dataclass
@@ -79,3 +82,64 @@ def run_analysis(posts: DataFrame, p: Params, scorer=None,
     # checkpointed pairs and a posts scan if an executor is lost).
     ep = prof.entity_posts(pairs, posts).persist(StorageLevel.MEMORY_AND_DISK)
     return Analysis(p, posts, d, entities, scored, sentiment, entity_sentiment, pairs, ep)
+
+
+# PIPE-2 ---------------------------------------------------------------------
+def generate_report(a: Analysis) -> dict[str, DataFrame]:
+    """The tables a report per scope is made of, by name."""
+    summary = a.part("summary")
+    return {
+        "executive_summary": prof.executive_summary(a.entities, a.part("engagement")),
+        "ranking": R.ranking_table(a.entities, summary),
+        "platforms": R.platform_table(a.part("platforms")),
+        "details": R.detail_table(a.entities, a.part("themes"), a.part("excerpts"), a.part("support"),
+                                  a.part("engagement")),
+        "excerpts": R.excerpt_table(a.part("excerpts")),
+        "audience": R.audience_table(a.part("audience")),
+        "regions": R.region_table(a.part("regions")),
+    }
+
+
+def write_report(a: Analysis, path: str) -> dict[str, str]:
+    """Write each report table below ``path``, one folder per scope; returns the folders."""
+    done = {}
+    for name, table in generate_report(a).items():
+        done[name] = f"{path.rstrip('/')}/{name}"
+        table.write.mode("overwrite").option("partitionOverwriteMode", "static") \
+            .partitionBy("scope").json(done[name])
+    return done
+
+
+# PIPE-3 ---------------------------------------------------------------------
+@dataclass
+class Landed:
+    """What the crawlers landed, one frame per payload; None is left out."""
+    forum_pages: DataFrame | None = None
+    submissions: DataFrame | None = None
+    comments: DataFrame | None = None
+    tweets: DataFrame | None = None
+    page_posts: DataFrame | None = None
+    page_comments: DataFrame | None = None
+
+
+def normalized_posts(landed: Landed, p: Params, scope, keyword, page_scope=None,
+                     graph_scope=None) -> DataFrame:
+    """All payloads as one frame of posts (native ids)."""
+    build = {
+        "forum_pages": lambda d: N.forum_posts(d, scope if page_scope is None else page_scope, p),
+        "submissions": lambda d: N.submission_posts(d, scope, keyword, p),
+        "comments": lambda d: N.comment_posts(d, scope, keyword, p),
+        "tweets": lambda d: N.tweet_posts(d, scope, keyword, p),
+        "page_posts": lambda d: N.page_posts(d, scope if graph_scope is None else graph_scope, keyword, p),
+        "page_comments": lambda d: N.page_comment_posts(d, scope, keyword, p),
+    }
+    frames = [f(getattr(landed, k)) for k, f in build.items() if getattr(landed, k) is not None]
+    return N.union_posts(*frames)
+
+
+def ingest(spark: SparkSession, landed: Landed, path: str, p: Params, scope, keyword,
+           page_scope=None, graph_scope=None) -> DataFrame:
+    """Normalise, store (each row gets its own ``post_id``) and tally what the
+    store then holds."""
+    IO.write_posts(normalized_posts(landed, p, scope, keyword, page_scope, graph_scope), path)
+    return N.run_tally(spark.read.parquet(path).select("platform", "scope"))

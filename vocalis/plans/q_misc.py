@@ -327,6 +327,36 @@ def rpt2_details(spark, sf):
                           a.part("engagement"))
 
 
+def _signed(c: str) -> str:
+    r = f"round_even(printf('%.25f', ({c})::DOUBLE)::DECIMAL(38, 25), 3)::DOUBLE"
+    return f"printf('%+.3f', (CASE WHEN {r} = 0 THEN ({c})::DOUBLE * 0.0::DOUBLE ELSE {r} END))"
+
+
+def _cap(c: str) -> str:
+    return f"upper(substr({c}, 1, 1)) || lower(substr({c}, 2))"
+
+
+@register("rpt2_excerpts", psql(f"""SELECT scope, entity, label, rank::BIGINT AS rank, text,
+  {_cap('platform')} AS platform, {_signed('score')} AS score, date FROM excerpts WHERE rank <= 3"""))
+def rpt2_excerpts(spark, sf):
+    from .pipeline import generate_report
+    return generate_report(analysis(spark, sf))["excerpts"]
+
+
+@register("rpt2_audience", psql(f"""SELECT scope, entity, {_cap('platform')} AS platform, posts,
+  printf('%.1f%%', share_pct) AS share FROM audience"""))
+def rpt2_audience(spark, sf):
+    from .pipeline import generate_report
+    return generate_report(analysis(spark, sf))["audience"]
+
+
+@register("rpt2_regions", psql(f"""SELECT scope, entity, rank::BIGINT AS rank, {_cap('region')} AS region,
+  mentions FROM regions"""))
+def rpt2_regions(spark, sf):
+    from .pipeline import generate_report
+    return generate_report(analysis(spark, sf))["regions"]
+
+
 # PIPE-1: the whole analysis -> profile summary of every accepted entity -------------------
 @register("pipe1_analysis", psql("""SELECT e.scope, e.name AS entity, e.mention_count, s.overall_score,
   s.total_analyzed, g.post_count
@@ -359,12 +389,13 @@ def pipe2_report(spark, sf):
 
 # PIPE-3: ingest -- normalizers -> union -> stored posts, tallied ----------------------------
 def _pipe3_sql() -> str:
-    from .q_sources import (COM_SQL, N2_SQL, N3_SQL, N4_SQL, N5_SQL, N6_SQL, PC_SQL, PP_SQL, START,
-                            SUBS_SQL, TW_SQL)
+    from .q_sources import (COM_SQL, FORUM_SQL, N1_SQL, N2_SQL, N3_SQL, N4_SQL, N5_SQL, N6_SQL, PC_SQL,
+                            PP_SQL, START, SUBS_SQL, TW_SQL)
     cols = "platform, scope"
-    return f"""WITH {SUBS_SQL}, {N2_SQL}, {COM_SQL}, {N3_SQL}, {TW_SQL}, {N4_SQL},
+    return f"""WITH {FORUM_SQL}, {N1_SQL}, {SUBS_SQL}, {N2_SQL}, {COM_SQL}, {N3_SQL}, {TW_SQL}, {N4_SQL},
 {PP_SQL}, {N5_SQL}, {PC_SQL}, {N6_SQL},
 u AS (
+  SELECT {cols} FROM n1 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START}) UNION ALL
   SELECT {cols} FROM n2 WHERE length(text) >= 20 AND ts >= {START}
   UNION ALL SELECT {cols} FROM n3 WHERE length(text) >= 20 AND ts >= {START}
   UNION ALL SELECT {cols} FROM n4 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START})
@@ -375,15 +406,18 @@ SELECT platform, scope, count(*) AS posts FROM u GROUP BY ROLLUP (platform, scop
 
 @register("pipe3_ingest", _pipe3_sql())
 def pipe3_ingest(spark, sf):
-    from .q_sources import (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts,
-                            nrm6_page_comments)
-    cols = ("platform", "scope", "text", "author", "ts", "url", "likes", "shares", "keyword")
-    frames = [f(spark, sf).select(*cols) for f in
-              (nrm2_submissions, nrm3_comments, nrm4_tweets, nrm5_page_posts, nrm6_page_comments)]
+    from ..sources import landed
+    from .pipeline import Landed, ingest
+    docs = read_table(spark, sf, "documents")
+    conv = read_table(spark, sf, "conversations")
+    payloads = Landed(
+        forum_pages=landed.forum_pages(docs.select("doc_id", "text", "lang")),
+        submissions=landed.submissions(conv), comments=landed.comments(conv),
+        tweets=landed.tweets(read_table(spark, sf, "events")),
+        page_posts=landed.page_posts(docs), page_comments=landed.page_comments(conv))
     path = scratch_dir(spark, "ingest")
-    u = N.union_posts(*frames).withColumn("post_id", F.xxhash64("platform", "url", "text"))
-    IO.write_posts(u, path)
-    return N.run_tally(spark.read.schema(u.schema).parquet(path))
+    return ingest(spark, payloads, path, P, scope="en", keyword="en release",
+                  page_scope=landed.page_lang(F.col("html")), graph_scope=F.col("scope"))
 
 
 # ENT-17 / UDF-2: pluggable entity tagger (stand-in regex tagger) ----------------------------

@@ -103,9 +103,32 @@ def src9_restrict(spark, sf):
     return S.restrict(posts(spark, sf), ["en", "de"], _PLATS).select("post_id", "scope", "platform")
 
 
-# NRM-1: forum HTML pages -> posts (post element = <p> on the driver pages) --------------------
-@register("nrm1_forum_html")
+# NRM-1: thread pages in the forum's markup, made from the documents --------------------------
+FORUM_SQL = """fp AS (
+  SELECT doc_id, lang, text, doc_id // 2 AS page_id,
+    row_number() OVER (PARTITION BY doc_id // 2, lang ORDER BY doc_id) - 1 AS ord,
+    TIMESTAMP '2024-01-20 00:00:00' + (doc_id % 480) * INTERVAL 1 HOUR AS ts0 FROM documents)"""
+N1_SQL = f"""n1 AS (
+  SELECT ((page_id + ord) * (page_id + ord + 1) // 2 + ord)::BIGINT AS post_id, 'nairaland' AS platform, lang AS scope,
+    {CLEAN("coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' ' || (doc_id % 9)::VARCHAR || ' Likes' ELSE '' END")} AS text,
+    {ANON("'user' || (doc_id % 50)::VARCHAR")} AS author,
+    CASE WHEN doc_id % 2 = 0 THEN ts0 END AS ts, 'https://forum.example/' || page_id::VARCHAR AS url,
+    CASE WHEN doc_id % 2 = 0 THEN doc_id % 9 ELSE 0 END::BIGINT AS likes, 0::BIGINT AS shares,
+    lang || ' governorship election' AS keyword
+  FROM fp)"""
+
+
+@register("nrm1_forum_html", f"""WITH {FORUM_SQL}, {N1_SQL}
+SELECT post_id, platform, scope, text, author, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, ts, url, likes, shares, keyword
+FROM n1 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START})""")
 def nrm1_forum_html(spark, sf):
+    pages = landed.forum_pages(read_table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return N.forum_posts(pages, landed.page_lang(F.col("html")), P)
+
+
+# the same parser on the driver's raw pages (post element = <p>; no SQL can read them)
+@register("nrm1_page_paragraphs")
+def nrm1_page_paragraphs(spark, sf):
     pages = read_table(spark, sf, "pages")
     return N.forum_posts(pages, landed.page_lang(F.col("html")), P.with_(months=1200),
                          tag="p", cls=None)
@@ -140,7 +163,7 @@ def nrm2_submissions(spark, sf):
 
 # NRM-3 / WIN-6: comments, first 10 per submission -------------------------------------------
 COM_SQL = """com AS (
-  SELECT conv_id AS parent_id, turn AS ord, conv_id * 1000 + turn AS id, text AS body, role AS author,
+  SELECT conv_id AS parent_id, turn AS ord, ((conv_id + turn) * (conv_id + turn + 1) // 2 + turn)::BIGINT AS id, text AS body, role AS author,
     1707696000 - conv_id * 3600 + turn * 60 AS created_utc, (length(text) % 10)::BIGINT AS score,
     '/r/forum/comments/' || conv_id::VARCHAR || '/c' || turn::VARCHAR AS permalink
   FROM conversations WHERE turn >= 1),
@@ -173,7 +196,8 @@ TW_SQL = """tw AS (
     event_type || ' event from user ' || user_id::VARCHAR || ' in session ' || (event_id % 100)::VARCHAR AS text,
     CASE WHEN event_id % 11 <> 0 THEN date_trunc('millisecond', ts) END AS ts0,
     user_id AS author_id, json_extract(props, '$.k')::BIGINT AS like_count, user_id % 7 AS retweet_count
-  FROM events)"""
+  FROM events
+  WHERE event_id % 17 <> 0 AND NOT (event_id % 13 = 0 AND event_id % 2 = 0))"""
 N4_SQL = f"""n4 AS (
   SELECT id AS post_id, 'twitter' AS platform, 'en' AS scope, {CLEAN('text')} AS text,
     {ANON('author_id::VARCHAR')} AS author, ts0 AS ts,
@@ -241,20 +265,21 @@ def nrm6_page_comments(spark, sf):
 
 
 # NRM-8: union of every platform's posts --------------------------------------------------------
-_U = ("platform", "scope", "text", "author", "url", "likes", "shares")
+_U = ("platform", "scope", "text", "author", "ts", "url", "likes", "shares", "keyword")
 _UCOLS = ", ".join(_U)
 
 
-@register("nrm8_union", f"""WITH {SUBS_SQL}, {N2_SQL}, {COM_SQL}, {N3_SQL}, {TW_SQL}, {N4_SQL},
+@register("nrm8_union", f"""WITH {FORUM_SQL}, {N1_SQL}, {SUBS_SQL}, {N2_SQL}, {COM_SQL}, {N3_SQL}, {TW_SQL}, {N4_SQL},
 {PP_SQL}, {N5_SQL}, {PC_SQL}, {N6_SQL}
-SELECT {_UCOLS} FROM n2 WHERE length(text) >= 20 AND ts >= {START}
+SELECT {_UCOLS} FROM n1 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START})
+UNION ALL SELECT {_UCOLS} FROM n2 WHERE length(text) >= 20 AND ts >= {START}
 UNION ALL SELECT {_UCOLS} FROM n3 WHERE length(text) >= 20 AND ts >= {START}
 UNION ALL SELECT {_UCOLS} FROM n4 WHERE length(text) >= 20 AND (ts IS NULL OR ts >= {START})
 UNION ALL SELECT {_UCOLS} FROM n5 WHERE length(text) >= 20 AND ts >= {START}
 UNION ALL SELECT {_UCOLS} FROM n6 WHERE length(text) >= 10""")
 def nrm8_union(spark, sf):
-    frames = [nrm2_submissions(spark, sf), nrm3_comments(spark, sf), nrm4_tweets(spark, sf),
-              nrm5_page_posts(spark, sf), nrm6_page_comments(spark, sf)]
+    frames = [nrm1_forum_html(spark, sf), nrm2_submissions(spark, sf), nrm3_comments(spark, sf),
+              nrm4_tweets(spark, sf), nrm5_page_posts(spark, sf), nrm6_page_comments(spark, sf)]
     return N.union_posts(*[f.select(*_U) for f in frames])
 
 
@@ -286,9 +311,7 @@ alinks AS (
 
 def links_with_scope(spark, sf):
     pages = read_table(spark, sf, "pages").withColumn("scope", landed.page_lang(F.col("html")))
-    hrefs = N.page_links(pages.select("page_id", "url", "html"))
-    lang = pages.select("page_id", "scope")
-    return N.absolute_links(hrefs.join(lang, "page_id"))
+    return N.absolute_links(N.page_links(pages, keep=("scope",)))
 
 
 @register("nrm7_links", f"""WITH {LINKS_SQL}
@@ -298,6 +321,15 @@ def nrm7_links(spark, sf):
     return N.distinct_links(l).select("page_id", "abs_url", F.col("ord").cast("long").alias("ord"))
 
 
+# the three forms of a link target, with encoded queries; the SQL takes the plain pages
+@register("nrm7_link_forms", f"""WITH {LINKS_SQL}
+SELECT page_id, ord::BIGINT AS ord,
+  CASE WHEN regexp_matches(href, '\\s') THEN href ELSE href || '?a=1&b=2' END AS href, title FROM alinks""")
+def nrm7_link_forms(spark, sf):
+    pages = landed.links_in_other_forms(read_table(spark, sf, "pages"))
+    return N.page_links(pages).select("page_id", F.col("ord").cast("long").alias("ord"), "href", "title")
+
+
 @register("fn10_abs_url", f"""WITH {LINKS_SQL}
 SELECT page_id, ord::BIGINT AS ord, href, title, abs_url FROM alinks""")
 def fn10_abs_url(spark, sf):

@@ -17,7 +17,8 @@ from ..session import cut_lineage
 
 # The dialect of the csv module: quotes doubled, texts kept as they are.
 CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False,
-               "ignoreTrailingWhiteSpace": False, "emptyValue": '""', "nullValue": ""}
+               "ignoreTrailingWhiteSpace": False}
+EMPTY = "\x00empty\x00"          # what the reader puts for "", before it is put right
 
 
 def read_if_stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
@@ -123,9 +124,13 @@ def read_json_export(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_csv_export(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A CSV export with all its texts, whatever line breaks they hold."""
-    return (spark.read.schema(schema).options(**CSV_OPTIONS)
-            .option("multiLine", True).csv(path))
+    """A CSV export with all its texts, whatever line breaks they hold; an
+    empty text ("" in the file) stays apart from null (nothing in the file)."""
+    back = (spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True)
+            .option("emptyValue", EMPTY).csv(path))
+    return back.withColumns({f.name: F.when(F.col(f.name) != EMPTY, F.col(f.name))
+                             .when(F.col(f.name).isNotNull(), F.lit(""))
+                             for f in back.schema.fields if f.dataType.simpleString() == "string"})
 
 
 # SET-2

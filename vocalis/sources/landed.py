@@ -16,10 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import hours
-from ..operators.normalize import PAGE_POST_SCHEMA, TWEET_SCHEMA
-
-PAGE_POST_SCHEMA_STRUCT = "struct<" + PAGE_POST_SCHEMA.replace(" string", ":string").replace(
-    " struct<", ":struct<").replace(" long", ":long") + ">"
+from ..operators.normalize import TWEET_SCHEMA, pair_id
 
 # 2024-02-12 00:00:00 UTC: submissions are dated conv_id hours before it.
 ANCHOR_EPOCH = 1707696000
@@ -46,7 +43,7 @@ def comments(conversations: DataFrame) -> DataFrame:
     c = conversations.filter(F.col("turn") >= 1)
     return c.select(
         F.col("conv_id").alias("parent_id"), F.col("turn").alias("ord"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        pair_id("conv_id", "turn").alias("id"),
         F.col("text").alias("body"), F.col("role").alias("author"),
         (F.lit(ANCHOR_EPOCH) - F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_utc"),
         (F.length("text") % 10).cast("long").alias("score"),
@@ -64,6 +61,10 @@ def tweets(events: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 11 != 0,
                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("created_at"),
         F.col("user_id").alias("author_id"),
+        F.when(F.col("event_id") % 17 == 0, "de").when(F.col("event_id") % 19 != 0, "en").alias("lang"),
+        F.when(F.col("event_id") % 13 == 0, F.array(F.struct(
+            F.when(F.col("event_id") % 2 == 0, "retweeted").otherwise("quoted").alias("type"),
+            F.col("user_id").alias("id")))).alias("referenced_tweets"),
         F.struct(F.from_json("props", "k long")["k"].alias("like_count"),
                  (F.col("user_id") % 7).alias("retweet_count")).alias("public_metrics")))
     return e.select(F.from_json(payload, TWEET_SCHEMA).alias("t")).select("t.*")
@@ -88,7 +89,7 @@ def page_posts(documents: DataFrame) -> DataFrame:
                F.struct(F.struct((F.col("n_chars") % 97).alias("total_count")).alias("summary")))
          .alias("reactions"),
         F.when(F.col("doc_id") % 4 != 0, F.struct((F.col("doc_id") % 13).alias("count"))).alias("shares"),
-    ).cast(PAGE_POST_SCHEMA_STRUCT)
+    )
     return d.select(F.col("lang").alias("scope"), g.alias("g")).select("scope", "g.*")
 
 
@@ -104,5 +105,43 @@ def page_comments(conversations: DataFrame) -> DataFrame:
         (F.length("text") % 7).cast("long").alias("like_count"))
 
 
+def forum_pages(documents: DataFrame) -> DataFrame:
+    """Thread pages in the forum's markup, two documents' worth of posts each:
+    a header cell with the author link and the date, a body cell with the post
+    and its likes.  Even documents have a date and likes in the forum's forms."""
+    d = documents
+    esc = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")),
+                              F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    ts = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") + hours(F.col("doc_id") % 480)
+    date = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lower(F.date_format(ts, "h:mma")), F.lit("On"),
+                                                     F.date_format(ts, "MMM dd")))
+    post = F.concat(
+        F.lit('<table summary="posts"><tr><td><a class="user" href="/u">user'),
+        (F.col("doc_id") % 50).cast("string"), F.lit("</a>"),
+        F.coalesce(F.concat(F.lit(' <span class="s">'), date, F.lit("</span>")), F.lit("")),
+        F.lit('<div class="narrow">'), esc,
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<span class="likes">'), (F.col("doc_id") % 9).cast("string"),
+                                                 F.lit(" Likes</span>"))).otherwise(F.lit("")),
+        F.lit("</div></td></tr></table>"))
+    page = F.floor(F.col("doc_id") / 2)
+    pages = (d.groupBy(page.alias("page_id"), "lang")
+             .agg(F.array_sort(F.collect_list(F.struct("doc_id", post.alias("post")))).alias("posts")))
+    html = F.concat(F.lit('<html lang="'), F.col("lang"), F.lit('"><body>'),
+                    F.array_join(F.transform("posts", lambda p: p["post"]), ""), F.lit("</body></html>"))
+    return pages.select("page_id", F.concat(F.lit("https://forum.example/"), F.col("page_id").cast("string"))
+                        .alias("url"), html.alias("html"))
+
+
+def links_in_other_forms(pages: DataFrame) -> DataFrame:
+    """The pages with their link targets in single quotes, bare or in double
+    quotes by page, each with an encoded query."""
+    k = F.col("page_id") % 3
+    old = r'href="([^"\s]+)"'
+    html = (F.when(k == 0, F.regexp_replace("html", old, "href='$1?a=1&amp;b=2'"))
+            .when(k == 1, F.regexp_replace("html", old, "href=$1?a=1&#38;b=2"))
+            .otherwise(F.regexp_replace("html", old, 'href="$1?a=1&#x26;b=2"')))
+    return pages.withColumn("html", html)
+
+
 def page_lang(html) -> F.Column:
     return F.regexp_extract(html, r'<html[^>]*\blang="([^"]*)"', 1)
