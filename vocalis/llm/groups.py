@@ -38,16 +38,15 @@ def bucket_bits(n_bytes: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n_bytes / 6 / BUCKET_HASHES))))
 
 
-def to_buckets(g: int, h: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Rows of BLOBS for sorted hashes (and one byte each of ``extra``)."""
+def to_buckets(g: int, h: np.ndarray, bits: int) -> pa.Table:
+    """Rows of BLOBS for sorted hashes."""
     if bits:
         bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
     else:
         bucket = np.zeros(len(h), np.int64)
     names, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(h))
-    blobs = [pack(h[a:b]) + (extra[a:b].tobytes() if extra is not None else b"")
-             for a, b in zip(first, ends)]
+    blobs = [pack(h[a:b]) for a, b in zip(first, ends)]
     return pa.table({"bucket": pa.array(names, pa.int32()),
                      "g": pa.array(np.full(len(names), g), pa.int32()),
                      "blob": pa.array(blobs, pa.binary())})

@@ -131,3 +131,14 @@ def pack(sorted_hashes: np.ndarray) -> bytes:
 def unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack32(sorted_values: np.ndarray) -> bytes:
+    """``pack`` for sorted values below 2^32."""
+    gaps = np.diff(sorted_values, prepend=np.uint64(0))
+    return gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack32(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64)

@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, documents
 from .components import components
-from .groups import BLOBS, bucket_bits, group_count, sizes, to_buckets
-from .hashing import buffers, lower_table, mix, unpack, windows, word_hashes, words
+from .groups import BLOBS, bucket_bits, group_count, sizes
+from .hashing import buffers, lower_table, mix, pack32, unpack32, windows, word_hashes, words
 
 WIDTH, THRESHOLD = 5, 75
 #: nodes of an inverted list that one task lists pairs of; longer lists are dealt in parts
@@ -81,10 +81,23 @@ class _Sets:
         self.size = np.bincount(self.owner, minlength=len(n))
 
 
+def _counted(token: np.ndarray, bits: int) -> np.ndarray:
+    """What a shingle is counted by: its bucket and 32 more bits of its hash.
+    Two shingles that share them are counted together, which can only make
+    them look more frequent: the order stays one order, and nothing that could
+    link is left out."""
+    return token >> np.uint64(32 - bits)
+
+
 def _send(width: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        token, n = np.unique(_Sets(table, width).token, return_counts=True)
-        return to_buckets(key[0].as_py(), token, bits, np.minimum(n, 255).astype(np.uint8))
+        t, n = np.unique(_counted(_Sets(table, width).token, bits), return_counts=True)
+        names, first = np.unique(t >> np.uint64(32), return_index=True)
+        blobs = [pack32(t[a:b] & np.uint64(0xFFFFFFFF)) + np.minimum(n[a:b], 255).astype(np.uint8).tobytes()
+                 for a, b in zip(first, np.append(first[1:], len(t)))]
+        return pa.table({"bucket": pa.array(names.astype(np.int64), pa.int32()),
+                         "g": pa.array(np.full(len(names), key[0].as_py()), pa.int32()),
+                         "blob": pa.array(blobs, pa.binary())})
     return run
 
 
@@ -92,9 +105,9 @@ def _frequency_classes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each blob: per hash 0 if it occurs in one text, else 1 + log2 of how many."""
     hs, ns = [], []
     for b in table["blob"].to_pylist():
-        n = len(b) // 9
-        hs.append(unpack(b[:8 * n]))
-        ns.append(np.frombuffer(b, np.uint8, n, 8 * n))
+        n = len(b) // 5
+        hs.append(unpack32(b[:4 * n]))
+        ns.append(np.frombuffer(b, np.uint8, n, 4 * n))
     h = np.concatenate(hs)
     names, back = np.unique(h, return_inverse=True)
     total = np.bincount(back, np.concatenate(ns).astype(float))
@@ -104,10 +117,10 @@ def _frequency_classes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                      "blob": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def _prune(width: int, threshold: int):
+def _prune(width: int, threshold: int, bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         sets = _Sets(table, width)
-        names, back = np.unique(sets.token, return_inverse=True)
+        names, back = np.unique(_counted(sets.token, bits), return_inverse=True)
         order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
         blobs = answers["blob"].to_pylist()
         cls = np.frombuffer(b"".join([blobs[i] for i in order]), np.uint8)
@@ -145,7 +158,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
     sent = rows.groupBy("g").applyInArrow(_send(width, bits), BLOBS)
     classes = sent.groupBy("bucket").applyInArrow(_frequency_classes, BLOBS)
     return (rows.groupBy("g").cogroup(classes.groupBy("g"))
-            .applyInArrow(_prune(width, threshold), "doc_id long, n long, sig long, toks binary"))
+            .applyInArrow(_prune(width, threshold, bits), "doc_id long, n long, sig long, toks binary"))
 
 
 # ------------------------------------------------------------------ postings
