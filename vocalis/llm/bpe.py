@@ -29,6 +29,7 @@ nothing; a null list decodes to the empty text.  Extra columns are kept.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -68,6 +69,7 @@ class Tables:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
+        self.key = hashlib.md5(json.dumps(spec["model"]["merges"]).encode()).hexdigest()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -371,15 +373,15 @@ class Decoder:
         return text
 
 
-#: per worker process: tables by broadcast id, and the encoder with its known pieces
+#: per worker process: the encoder with the pieces it knows, by its merge list
 _OF_PROCESS: dict = {}
 
 
-def _encoder(tables: Tables, key) -> Encoder:
-    if key not in _OF_PROCESS:
+def _encoder(tables: Tables) -> Encoder:
+    if tables.key not in _OF_PROCESS:
         _OF_PROCESS.clear()
-        _OF_PROCESS[key] = Encoder(tables)
-    return _OF_PROCESS[key]
+        _OF_PROCESS[tables.key] = Encoder(tables)
+    return _OF_PROCESS[tables.key]
 
 
 def _by_size(texts: pa.Array) -> Iterator[list[str]]:
@@ -406,7 +408,7 @@ class Codec:
 
         @F.arrow_udf("array<int>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            e = _encoder(tables.value, id(tables.value))
+            e = _encoder(tables.value)
             for texts in batches:
                 parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
                 for some in _by_size(texts):
