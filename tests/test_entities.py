@@ -210,3 +210,54 @@ def test_whole_discovery_inline(spark):
     assert got == [("Babajide Sanwo-Olu", 5, ["nairaland", "twitter"])]
     merged = {r["name"]: r["n_variants"] for r in d.merged.collect()}
     assert merged == {"Babajide Sanwo-Olu": 2}
+
+
+def test_long_texts_are_walked_in_chunks(spark, monkeypatch):
+    """Windows across chunk borders count once, where their occurrence starts."""
+    from vocalis.operators import proximity as X
+    filler = "plain words go on here and there "
+    texts = [filler * k + "governor Ada Obi for governor " + filler * (k % 3) + "Ada Obi Ada Obi" for k in range(12)]
+    posts = make_posts(spark, texts)
+    names = spark.createDataFrame([("Lagos", "Ada Obi")], "scope string, name string")
+
+    def run():
+        rows = X.pair_stats_join(posts, names, 1, EP).collect()
+        return sorted(tuple(sorted(r.asDict(recursive=True).items(), key=lambda kv: kv[0])) for r in rows)
+
+    want = repr(run())
+    for size in (7, 40, 100):
+        monkeypatch.setattr(X, "CHUNK_CHARS", size)
+        assert repr(run()) == want
+
+
+def test_long_chain_of_variants_loses_no_name(spark):
+    """A chain of names, each decided only after the one before it."""
+    words = [chr(65 + i) + chr(97 + i) for i in range(12)]
+    names = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    chain = []
+    for i, (a, b) in enumerate(zip(names, names[1:])):
+        chain += [(a, 100 - 2 * i), (a + " " + b.split()[1], 99 - 2 * i)]
+    nodes = spark.createDataFrame([("s", n, c, ["p"], (c, i)) for i, (n, c) in enumerate(dict(chain).items())],
+                                  "scope string, name string, cnt long, platforms array<string>, "
+                                  "rk struct<c:long,f:long>")
+    from vocalis.operators.variants import merge_variants
+    got = merge_variants(nodes).collect()
+    assert sum(r.cnt for r in got) == sum(dict(chain).values())
+    assert sum(r.n_variants for r in got) == len(dict(chain))
+
+
+def test_supplied_names_of_any_number(spark):
+    from vocalis.operators.entities import role_detection
+    posts = make_posts(spark, ["governor Zed here", "nothing"])
+    many = spark.createDataFrame([("Lagos", f"name{i}") for i in range(1500)] + [("Lagos", "Zed")],
+                                 "scope string, name string")
+    got = role_detection(posts, many, EP).collect()
+    assert [(r.name, r.verdict) for r in got] == [("Zed", "more role")]
+
+
+def test_election_binding_wants_stop_words():
+    import pytest
+    from vocalis.params import election_params
+    with pytest.raises(ValueError):
+        election_params()
+    assert election_params(stop_words=()).stop_words == ()

@@ -61,7 +61,7 @@ def test_submissions_and_comments(spark):
 
 
 def test_tweets_nested(spark):
-    tw = spark.createDataFrame([(5, "Governor race heats up in Lagos", "2025-02-01T10:00:00.000Z", 9,
+    tw = spark.createDataFrame([(5, "Governor race heats up in Lagos", "2025-02-01T10:00:00.000Z", 9, "en", None,
                                  {"like_count": 4, "retweet_count": 2, "reply_count": 0, "quote_count": 0}),
                                 (6, "Tweet without a date but long", None, 9, None)], N.TWEET_SCHEMA)
     rows = {r["post_id"]: r for r in N.tweet_posts(tw, "Lagos", "kw", P).collect()}
@@ -148,3 +148,36 @@ def test_collect_search_hits_repeated_id_within_keyword(spark):
     got = N.collect_search_hits(hits, [0, 1], per_keyword_cap=2, total_cap=10).orderBy(
         "keyword_ordinal", "hit_rank").collect()
     assert [(r["keyword_ordinal"], r["id"]) for r in got] == [(0, 7), (0, 8), (1, 9)]
+
+
+def test_link_forms_and_entities(spark):
+    html = ("<a href='/12/t'>One</a><a class=x href=/13/u?a=1&amp;b=2>Two</a>"
+            '<a href="/14/v?q=&#39;&#x263A;&lt;&amp;amp;">Three</a><a name="x">no</a>')
+    pages = spark.createDataFrame([(1, "https://f.example/", html)], "page_id long, url string, html string")
+    got = [(r.href, r.title) for r in N.page_links(pages).orderBy("ord").collect()]
+    assert got == [("/12/t", "one"), ("/13/u?a=1&b=2", "two"), ("/14/v?q='\u263a<&amp;", "three")]
+
+
+def test_pair_ids_are_unique(spark):
+    df = spark.range(40).selectExpr("id a").crossJoin(spark.range(40).selectExpr("id b"))
+    assert df.select(N.pair_id("a", "b").alias("i")).distinct().count() == 1600
+
+
+def test_reposts_and_other_languages_are_left_out(spark):
+    rows = [(1, "an original tweet about it", None, 1, "en", None), (2, "a repost of this one", None, 1, "en", [("retweeted", 5)]),
+            (3, "ein deutscher Beitrag hier", None, 1, "de", None), (4, "quoting another tweet now", None, 1, None, [("quoted", 5)])]
+    df = spark.createDataFrame(rows, "id long, text string, created_at string, author_id long, lang string, "
+                               "referenced_tweets array<struct<type:string,id:long>>")
+    assert sorted(r.id for r in N.original_tweets(df).collect()) == [1, 4]
+    assert sorted(r.id for r in N.original_tweets(df, None).collect()) == [1, 3, 4]
+
+
+def test_search_scans_grow_with_the_keywords(spark):
+    """Each step reads the stored hits and the stored steps before it."""
+    hits = spark.createDataFrame([("p", "s", i % 7, i, i) for i in range(60)],
+                                 "platform string, scope string, keyword_ordinal int, id long, hit_rank int")
+    scans = []
+    for k in (3, 7):
+        plan = N.collect_search_hits(hits, range(k), 5, 100)._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("LogicalRDD") + plan.count("LocalRelation"))
+    assert scans == [3, 7]

@@ -82,3 +82,38 @@ def test_sentiment_export_sorted(spark, tmp_out):
     IO.export_sentiment_json(s, posts, path)
     back = spark.read.json(path).select("post_id", "score").collect()
     assert len(back) == 2 and F is not None
+
+
+def test_every_stored_row_has_its_own_id(spark, tmp_out):
+    path = os.path.join(tmp_out, "ids")
+    posts = make_posts(spark, ["one text here", "two texts here"])
+    for _ in range(3):
+        IO.write_posts(posts, path)
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 6 and len({r["post_id"] for r in rows}) == 6
+    assert sorted(r["native_id"] for r in rows) == [1, 1, 1, 2, 2, 2]
+
+
+def test_upsert_of_another_type_fails_and_keeps_the_table(spark, tmp_out):
+    import pytest
+    path = os.path.join(tmp_out, "ent")
+    ddl = "scope string, name string, mention_count long"
+    IO.write_entities(spark.createDataFrame([("en", "A B", 1), ("de", "C D", 2)], ddl), path)
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    other = spark.createDataFrame([("en", "A B", "x")], "scope string, name string, mention_count string")
+    with pytest.raises(Exception):
+        IO.write_entities(other, path, mode="upsert")
+    new = spark.createDataFrame([("en", "A B", 9)], ddl)
+    IO.write_entities(new, path, mode="upsert")
+    got = sorted((r["scope"], r["mention_count"]) for r in spark.read.parquet(path).collect())
+    assert got == [("de", 2), ("en", 9)]
+    assert os.listdir(tmp_out) == ["ent"]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_csv_keeps_every_text(spark, tmp_out):
+    path = os.path.join(tmp_out, "csv")
+    texts = ["a\nb", '"q" and, comma', " blanks ", "", None, "back\\slash"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    IO.export_posts_csv(df, path)
+    assert {r["i"]: r["text"] for r in IO.read_csv_export(spark, path, df.schema).collect()} == dict(enumerate(texts))

@@ -37,6 +37,10 @@ def _any_in(window: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.instr(window, w) > 0)
 
 
+#: characters of a chunk in which occurrences of a long text are walked
+CHUNK_CHARS = 4096
+
+
 def occurrence_count(tl: Column | str = "tl", nl: Column | str = "nl") -> Column:
     """Overlapping occurrences of nl in tl (a zero-width lookahead count)."""
     quoted = F.replace(col_(nl), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
@@ -53,35 +57,57 @@ def pair_counters(tl: Column, nl: Column, variants: Column, p: Params) -> Column
     role = words_lit(dict.fromkeys(p.role_keywords))
     rival = words_lit(dict.fromkeys(p.rival_keywords))
 
-    def window(pos: Column, radius: int) -> Column:
-        start = F.greatest(F.lit(1), pos - radius)
-        return F.substring(tl, start, pos + L + radius - start)
-
-    def step(acc, _i):
-        nxt = F.array(F.position(nl, tl, acc["p"] + 1))
-
-        def bind(q):
-            rw = window(q, p.role_window)
-            sw = window(q, p.scope_window)
-            return F.struct(
-                q.alias("p"),
-                (acc["g"] + _any_in(rw, role).cast("int")).alias("g"),
-                (acc["r"] + _any_in(rw, rival).cast("int")).alias("r"),
-                (acc["s"] + (_any_in(sw, role) & _any_in(sw, variants)).cast("int")).alias("s"),
-                (acc["n"] + 1).alias("n"),
-            )
-        return F.transform(nxt, bind)[0]
+    def walk(t: Column, lo: Column, hi: Column) -> Column:
+        """Counters of the occurrences in ``t`` that start in (lo, hi]."""
+        def window(pos: Column, radius: int) -> Column:
+            start = F.greatest(F.lit(1), pos - radius)
+            return F.substring(t, start, pos + L + radius - start)
+
+        def step(acc, _i):
+            nxt = F.array(F.position(nl, t, acc["p"] + 1))
+
+            def bind(q):
+                rw, sw = window(q, p.role_window), window(q, p.scope_window)
+                own = ((q > lo) & (q <= hi)).cast("int")
+                return F.struct(
+                    q.alias("p"),
+                    (acc["g"] + own * _any_in(rw, role).cast("int")).alias("g"),
+                    (acc["r"] + own * _any_in(rw, rival).cast("int")).alias("r"),
+                    (acc["s"] + own * (_any_in(sw, role) & _any_in(sw, variants)).cast("int")).alias("s"),
+                    (acc["n"] + own).alias("n"),
+                )
+            return F.transform(nxt, bind)[0]
+
+        return F.aggregate(F.sequence(F.lit(1), occurrence_count(t, nl)), init, step)
 
     zero = F.lit(0)
     init = F.struct(zero.alias("p"), zero.alias("g"), zero.alias("r"), zero.alias("s"), zero.alias("n"))
+    # A search or a cut at a position walks the text up to it, so a long text is
+    # cut into chunks first, each with room for the windows around it; an
+    # occurrence counts in the chunk it starts in.
+    margin = max(p.role_window, p.scope_window)
+    n = F.length(tl)
+
+    def of_chunk(k):
+        first = F.greatest(zero, k * CHUNK_CHARS - margin)
+        lo = k * CHUNK_CHARS - first
+        cut = F.substring(tl, first + 1, lo + CHUNK_CHARS + L + margin)
+        # an array of one names the cut, so that it is made once
+        return F.transform(F.array(cut), lambda t: F.when(F.instr(t, nl) > 0, walk(t, lo, lo + CHUNK_CHARS))
+                           .otherwise(init))[0]
+
+    parts = F.transform(F.sequence(zero, F.floor((n - 1) / CHUNK_CHARS).cast("int")), of_chunk)
+    chunked = F.aggregate(parts, init, lambda a, x: F.struct(
+        a["p"].alias("p"), (a["g"] + x["g"]).alias("g"), (a["r"] + x["r"]).alias("r"),
+        (a["s"] + x["s"]).alias("s"), (a["n"] + x["n"]).alias("n")))
     # Exact shortcut: a window can only hold a keyword the whole text holds,
     # so the occurrence walk runs only for texts with a role/rival keyword;
     # otherwise only the occurrences are counted (one regex pass).
     any_kw = _any_in(tl, role) | _any_in(tl, rival)
-    walk = F.aggregate(F.sequence(F.lit(1), occurrence_count(tl, nl)), init, step)
     count_only = F.struct(zero.alias("p"), zero.alias("g"), zero.alias("r"), zero.alias("s"),
                           occurrence_count(tl, nl).alias("n"))
-    return F.when(any_kw, walk).otherwise(count_only)
+    return (F.when(~any_kw, count_only).when(n > 2 * CHUNK_CHARS, chunked)
+            .otherwise(walk(tl, zero, n)))
 
 
 def context_score(tl: Column, variants: Column, p: Params) -> Column:

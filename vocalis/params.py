@@ -182,8 +182,14 @@ def load_word_list(path: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def election_params(scopes=("Lagos", "Kano"), stop_words=(), **kw) -> Params:
-    """The original use case; ``stop_words`` is the caller's general stop list."""
+def election_params(scopes=("Lagos", "Kano"), stop_words=None, **kw) -> Params:
+    """The original use case; ``stop_words`` is the caller's general stop list.
+
+    Without it ordinary capitalised phrases pass as people, so leaving it out
+    is an error; an empty list says that none is wanted."""
+    if stop_words is None:
+        raise ValueError("the election binding needs a general stop-word list: pass stop_words "
+                         "(see load_word_list), or () to run without one")
     p = Params(
         scopes=tuple(scopes),
         scope_variants=dict(ELECTION_SCOPE_VARIANTS),

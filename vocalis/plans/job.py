@@ -42,8 +42,8 @@ def parse_args(argv=None) -> argparse.Namespace:
 
 
 def params_from(args: argparse.Namespace, base: Params | None = None) -> Params:
-    stop = load_word_list(args.stop_words) if args.stop_words else ()
-    p = base or election_params(stop_words=stop)
+    p = base or election_params(
+        stop_words=load_word_list(args.stop_words) if args.stop_words else None)
     if args.scopes:
         p = p.with_(scopes=tuple(args.scopes))
     return p
