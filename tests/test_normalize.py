@@ -63,7 +63,7 @@ def test_submissions_and_comments(spark):
 def test_tweets_nested(spark):
     tw = spark.createDataFrame([(5, "Governor race heats up in Lagos", "2025-02-01T10:00:00.000Z", 9, "en", None,
                                  {"like_count": 4, "retweet_count": 2, "reply_count": 0, "quote_count": 0}),
-                                (6, "Tweet without a date but long", None, 9, None)], N.TWEET_SCHEMA)
+                                (6, "Tweet without a date but long", None, 9, None, None, None)], N.TWEET_SCHEMA)
     rows = {r["post_id"]: r for r in N.tweet_posts(tw, "Lagos", "kw", P).collect()}
     assert rows[5]["likes"] == 4 and rows[5]["shares"] == 2
     assert rows[6]["likes"] == 0 and rows[6]["date"] == ""
