@@ -2,13 +2,12 @@
 
 from helpers import make_posts
 from vocalis.operators.mentions import NAME_RE
-from vocalis.operators.tagger import regex_person_tagger, spacy_tagger, tag_entities
+from vocalis.operators.tagger import regex_person_tagger, tag_entities
 
 
-def test_no_tagger_without_library_is_empty(spark):
+def test_no_tagger_is_empty(spark):
     posts = make_posts(spark, ["Peter Obi met Bola Tinubu"])
-    if spacy_tagger() is None:                      # spaCy is not installed here
-        assert tag_entities(posts).count() == 0
+    assert tag_entities(posts).count() == 0
 
 
 def test_stand_in_tagger_counts_multiword_names(spark):

@@ -25,6 +25,10 @@ from .mentions import split_words
 KEY = ("scope", "entity")
 
 
+# Rows of two short strings (~60 bytes) up to which a list is broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def _pct(part: Column, total: Column) -> Column:
     return round_half_even(part / total * 100, 1)
 
@@ -35,9 +39,13 @@ def entity_keys(entities: DataFrame) -> DataFrame:
 
 def entity_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """JOIN-2 pairs of accepted entities: ``(post_id, scope, entity)``.
-    The entity side is bounded (top_k per scope), so it is broadcast."""
+    The entity side (top_k per scope of the data) is counted, and broadcast up
+    to ``BROADCAST_ROWS``; beyond, the join shuffles ids and names."""
+    keys = entity_keys(entities)
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
     return (pairs.select("post_id", "scope", F.col("name").alias("entity"))
-            .join(F.broadcast(entity_keys(entities)), ["scope", "entity"]))
+            .join(keys, ["scope", "entity"]))
 
 
 def entity_posts(pairs: DataFrame, posts: DataFrame) -> DataFrame:
@@ -109,7 +117,8 @@ def theme_tokens(ep: DataFrame, p: Params) -> DataFrame:
     if not stop:
         return toks
     stop_df = ep.sparkSession.createDataFrame([(w,) for w in stop], "token string")
-    return toks.join(F.broadcast(stop_df), "token", "left_anti").select(*KEY, "token")
+    stop_df = F.broadcast(stop_df) if len(stop) <= BROADCAST_ROWS else stop_df
+    return toks.join(stop_df, "token", "left_anti").select(*KEY, "token")
 
 
 def key_themes(ep: DataFrame, p: Params) -> DataFrame:

@@ -3,8 +3,8 @@
 A user-supplied tagger runs over the posts with ``mapInPandas``; it is built
 once per task and returns PERSON names per text.  Names of at least two
 words from posts of at most ``max_chars`` characters are counted with a
-(partial) ``groupBy``.  Without a tagger and without spaCy the result is
-empty, as in the original.
+(partial) ``groupBy``.  Without a tagger the result is empty, as in the
+original.
 """
 
 from __future__ import annotations
@@ -17,19 +17,6 @@ from pyspark.sql import functions as F
 TaggerFactory = Callable[[], Callable[[str], list[str]]]
 
 
-def spacy_tagger(model: str = "en_core_web_sm") -> TaggerFactory | None:
-    try:
-        import spacy  # noqa: F401
-    except Exception:  # noqa: BLE001
-        return None
-
-    def factory():
-        import spacy
-        nlp = spacy.load(model)
-        return lambda t: [e.text for e in nlp(t).ents if e.label_ == "PERSON"]
-    return factory
-
-
 def regex_person_tagger(pattern: str) -> TaggerFactory:
     """Stand-in tagger: every match of a Java-style name pattern (the
     ``(?U)`` prefix is Python's default for str patterns)."""
@@ -44,7 +31,6 @@ def regex_person_tagger(pattern: str) -> TaggerFactory:
 
 def tag_entities(posts: DataFrame, tagger: TaggerFactory | None = None,
                  max_chars: int = 5000) -> DataFrame:
-    tagger = tagger or spacy_tagger()
     spark = posts.sparkSession
     if tagger is None:
         return spark.createDataFrame([], "name string, count long")
