@@ -48,7 +48,7 @@ PIECE_AHEAD = 3
 #: pieces up to this many bytes are merged in batches and kept
 SHORT = 256
 CHUNK = 1 << 16
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: texts that are cut into pieces together
 BATCH_CHARS = 1 << 20
 
@@ -435,6 +435,31 @@ class Codec:
         return run(ids)
 
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: a text's ids and what they decode to, both in
+        one pass over the texts, so the ids are not sent to Python again."""
+        tables = self.tables
+
+        @F.arrow_udf("ids array<int>, decoded string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            e, d = _encoder(tables.value), Decoder(tables.value)
+            for texts in batches:
+                parts, ends, decoded = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
+                for some in _by_size(texts):
+                    ids, offsets = e.encode_batch(some)
+                    parts.append(ids)
+                    ends.append(offsets[1:] + ends[-1][-1])
+                    decoded.append(pa.array([d.feed(ids[a:b].tolist()) + d.finish()
+                                             for a, b in zip(offsets, offsets[1:])], pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)),
+                                                 pa.array(np.concatenate(parts)))
+                del parts, ends
+                yield pa.StructArray.from_arrays(
+                    [lists, pa.concat_arrays(decoded or [pa.array([], pa.string())])], ["ids", "decoded"])
+
+        return run(text)
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -450,9 +475,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = Codec(spark, default_path())
     coded = documents(spark, sf_dir).select(
-        "doc_id", codec.encode(F.coalesce(F.col("text"), F.lit(""))).alias("ids"))
-    back = coded.select("doc_id", "ids", codec.decode(F.col("ids")).alias("decoded"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-                       .alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+        "doc_id", codec.round_trip(F.coalesce(F.col("text"), F.lit(""))).alias("r"))
+    return coded.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), ","), 256)
+                        .alias("ids_sha256"),
+                        F.sha2("r.decoded", 256).alias("decoded_sha256"))
