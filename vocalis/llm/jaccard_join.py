@@ -50,6 +50,8 @@ from .hashing import buffers, lower_table, mix, pack32, unpack32, windows, word_
 WIDTH, THRESHOLD = 5, 75
 #: nodes of an inverted list that one task lists pairs of; longer lists are dealt in parts
 LIST_PART = 2_000
+#: ids (8 bytes each) of dropped documents up to which they are broadcast
+BROADCAST_IDS = 3_000_000
 
 
 # --------------------------------------------------------------- shingle sets
@@ -329,7 +331,10 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
 def keep_first(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with the smallest document of each component; rows with a null id stay."""
     found = link(docs.select("doc_id", "text"), width, threshold)
-    out = (found.filter("doc_id <> component_id").select("doc_id").distinct())
+    out = cut_lineage(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    # ids only, counted: up to the bound no text is shuffled for them
+    if out.count() <= BROADCAST_IDS:
+        out = F.broadcast(out)
     return docs.join(out, "doc_id", "left_anti")
 
 

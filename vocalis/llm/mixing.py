@@ -165,18 +165,24 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     blank, and n_chars (if there is one) their length.
     """
     columns = docs.columns
-    same = Window.partitionBy("doc_id", "source", "__size").orderBy(F.md5("text"))
-    numbered = (docs.withColumn("__size", word_count(F.col("text")))
-                .withColumn("__copy", F.row_number().over(same)))
-    made = mix(numbered.select("doc_id", "source", "text", "__copy"), keep=("__copy",), **params)
+    keyed = docs.withColumn("__h", F.md5("text"))
+    made = mix(keyed.select("doc_id", "source", "text", "__h"), keep=("__h",), **params)
+    # rows alike in id, source and text are interchangeable: they are numbered,
+    # and the texts only where there are any such rows
+    alike = Window.partitionBy("doc_id", "source", "__h").orderBy("start")
+    spans = made.rows.filter("size > 0").select(
+        "source_no", "start", F.col("doc_id").alias("__id"), F.col("source").alias("__src"),
+        F.col("__h").alias("__hash"), F.col("size").alias("__size"), F.row_number().over(alike).alias("__c"))
+    copies = spans.agg(F.max("__c")).first()[0] or 1
     taken = (made.pieces.groupBy("source_no", "start", "epoch").agg(F.sum("n_words").alias("__n"))
-             .join(made.rows.filter("size > 0")
-                   .select("source_no", "start", F.col("doc_id").alias("__id"),
-                           F.col("source").alias("__src"), F.col("size").alias("__sz"),
-                           F.col("__copy").alias("__c")), ["source_no", "start"]))
-    rows = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))
-                         & F.col("source").eqNullSafe(F.col("__src"))
-                         & (F.col("__size") == F.col("__sz")) & (F.col("__copy") == F.col("__c")))
+             .join(spans, ["source_no", "start"]))
+    match = (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
+             & (F.col("__h") == F.col("__hash")))
+    if copies > 1:
+        keyed = keyed.withColumn("__copy", F.row_number().over(
+            Window.partitionBy("doc_id", "source", "__h").orderBy("__h")))
+        match = match & (F.col("__copy") == F.col("__c"))
+    rows = keyed.join(taken, match)
     cut = F.col("__n") < F.col("__size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
                                  F.col("__n").cast("int")), " ")
