@@ -75,11 +75,13 @@ class Lexicon:
     coef: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
 
     def automaton(self):
+        """Entries with twice the letters they fix, a whole word before the stem
+        it consists of; exceptions with 0."""
         import ahocorasick
         a = ahocorasick.Automaton()
         for e, w in self.entries.items():
             key = " " + e[:-1] if e.endswith("*") else f" {e} "
-            a.add_word(key, (len(e), w, len(key)))
+            a.add_word(key, (2 * len(e) - e.endswith("*") * 3, w, len(key)))
         for p in self.exceptions:
             a.add_word(f" {p} ", (0, 0.0, len(p) + 2))
         if len(a):
