@@ -314,7 +314,8 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with each span of the text replaced by [KIND]; spans that
     overlap are replaced as one, under the kind of the first."""
     columns = docs.columns
-    found = detect(docs, model)
+    own = {c: f"__own_{c}" for c in ("base", "spans") if c in columns}
+    found = detect(docs.withColumnsRenamed(own), model)
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
     text = F.col("text")
     steps = F.aggregate("spans", zero, lambda a, s: F.when(s.start >= a.p, F.struct(
@@ -325,7 +326,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     cleaned = F.transform(F.array(steps), lambda a: F.concat(
         F.array_join(a.o, ""), F.substring(text, a.p + 1, F.length(text))))[0]
     out = found.withColumn("text", F.when(F.size("spans") > 0, cleaned).otherwise(text))
-    return out.select(*columns)
+    return out.drop("base", "spans").withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
 
 
 def _listed(spans: str) -> Column:
