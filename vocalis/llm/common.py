@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from ..sources.tables import read_table
 
 __all__ = ["cut_lineage", "documents", "read_table", "running_total", "word_count", "buckets_for",
-           "shared_path"]
+           "shared_path", "stored"]
 
 #: words of a text: maximal runs without ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: cuts the
+    lineage like a checkpoint, compressed and readable by column."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def word_count(text) -> F.Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents
+from .common import cut_lineage, documents, stored
 from .components import components
 from .groups import BLOBS, bucket_bits, group_count, sizes
 from .hashing import buffers, lower_table, mix, pack32, unpack32, windows, word_hashes, words
@@ -275,17 +275,18 @@ def _list_pairs(threshold: int):
 # ------------------------------------------------------------------- the join
 def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    rows = cut_lineage(shingle_sets(docs, width, threshold))
+    rows = stored(shingle_sets(docs, width, threshold), "sets")
     alive = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
     # one node per distinct set; a copy's hashes may have come with a null id
     sets = rows.filter("toks IS NOT NULL").groupBy("sig").agg(
         F.first("toks").alias("toks"), F.first("n").alias("n"))
-    nodes = cut_lineage(alive.groupBy("sig").agg(F.min("doc_id").alias("doc")).join(sets, "sig"))
+    nodes = stored(alive.groupBy("sig").agg(F.min("doc_id").alias("doc")).join(sets, "sig"), "nodes")
     post = nodes.mapInArrow(_postings(threshold), "tok long, sig long, doc long, n long, pos int")
     heads = post.groupBy("tok").agg(F.min(F.struct("doc", "sig", "n")).alias("head"),
                                     F.count("*").alias("len")).filter("len > 1")
-    post = cut_lineage(post.join(heads, "tok").select(
-        "tok", "sig", "n", "pos", "len", F.col("head.sig").alias("lead"), F.col("head.n").alias("ln")))
+    post = stored(post.join(heads, "tok").select(
+        "tok", "sig", "n", "pos", "len", F.col("head.sig").alias("lead"), F.col("head.n").alias("ln")),
+        "postings")
     near = (100 * F.least("n", "ln") >= threshold * F.greatest("n", "ln")) & (F.col("sig") != F.col("lead"))
     votes = post.filter(near).groupBy("sig", "lead").agg(F.count("*").alias("v"))
     best = votes.groupBy("sig").agg(F.max(F.struct("v", "lead")).alias("m"))
