@@ -20,7 +20,7 @@ from ..sinks import io as IO
 from ..sources.tables import read_table
 from . import oracle as O
 from .catalog import P, analysis, posts, register
-from .q_profile import psql
+from .q_profile import NESTED_SQL, nested_rows, psql
 from .q_sentiment import full_sql
 from .q_sources import ANON, CLEAN, VSQL
 
@@ -282,6 +282,30 @@ def snk7_profiles_json(spark, sf):
                        F.col("post_count").cast("long").alias("post_count"))
 
 
+@register("snk7_nested", psql(NESTED_SQL))
+def snk7_nested(spark, sf):
+    """An export that held one scope more, then the export of the run: nothing
+    of the first survives, and every nested value comes back."""
+    path = scratch_dir(spark, "profiles-json")
+    prof = analysis(spark, sf).part("profiles")
+    IO.export_profiles_json(prof.unionByName(prof.withColumn("scope", F.lit("old")).limit(1)), path)
+    IO.export_profiles_json(prof, path)
+    return nested_rows(IO.read_json_export(spark, path, prof.schema))
+
+
+# SNK-6 / SRC-10: every column of the sentiment export, read back
+@register("src10_sentiment_export", full_sql("""SELECT f.post_id, f.entity, f.label, f.score, f.confidence,
+  p.text, p.platform, p.scope AS post_scope, p.ts, p.url FROM fanout f JOIN posts_v p USING (post_id)"""))
+def src10_sentiment_export(spark, sf):
+    path = scratch_dir(spark, "sentiment-json")
+    a = analysis(spark, sf)
+    IO.export_sentiment_json(a.sentiment.select("post_id", "entity", "label", "score", "confidence"),
+                             posts(spark, sf), path)
+    return IO.read_json_export(spark, path, "post_id long, entity string, label string, score double, "
+                               "confidence double, text string, platform string, post_scope string, "
+                               "ts timestamp_ntz, url string")
+
+
 # RPT-1 ---------------------------------------------------------------------------
 @register("rpt1_ranking", psql("""SELECT s.scope,
   row_number() OVER (PARTITION BY s.scope ORDER BY s.overall_score DESC, s.entity) AS rank,

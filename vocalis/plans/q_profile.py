@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile as prof
@@ -227,6 +230,61 @@ def agg10_profiles(spark, sf):
         g["avg_likes"].alias("avg_likes"), "post_count")
 
 
+# AGG-10 / SNK-7: every nested value of the profiles, one row each ----------------------------
+NESTED_SQL = """SELECT scope, entity, 'platforms' AS section, platform AS name, NULL::VARCHAR AS txt, count AS n,
+  score AS x, positive_pct AS y, negative_pct AS z FROM pbreak
+UNION ALL SELECT scope, entity, label, platform, text || ' @ ' || date, rank, score, NULL, NULL FROM excerpts
+UNION ALL SELECT scope, entity, 'themes', theme, NULL, count, rank::DOUBLE, NULL, NULL FROM themes
+UNION ALL SELECT scope, entity, 'audience', platform, NULL, posts, share_pct, NULL, NULL FROM audience
+UNION ALL SELECT scope, entity, 'support', category, strength, mentions,
+  (row_number() OVER (PARTITION BY scope, entity ORDER BY mentions DESC, ordinal))::DOUBLE, NULL, NULL FROM support
+UNION ALL SELECT scope, entity, 'regions', region, NULL, mentions, rank::DOUBLE, NULL, NULL FROM regions
+UNION ALL SELECT scope, entity, 'sentiment', NULL, NULL, total_analyzed, overall_score, positive_pct, negative_pct
+  FROM summary
+UNION ALL SELECT scope, entity, 'engagement', NULL, NULL, post_count, avg_likes, total_likes::DOUBLE, total_shares::DOUBLE
+  FROM engagement"""
+
+
+def nested_rows(pr):
+    """(scope, entity, section, name, txt, n, x, y, z): the nested values of profile rows."""
+    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    d = F.col("demographic_insights")
+
+    def rows(section, items, name, txt, n, x, y=None, z=None):
+        v, i = F.col("v"), F.col("i") + 1
+        e = pr.select(*KEY, F.posexplode(items).alias("i", "v"))
+        pick = lambda f: none_s if f is None else f(v, i)
+        num = lambda f: none_d if f is None else f(v, i).cast("double")
+        return e.select(*KEY, F.lit(section).alias("section"), pick(name).alias("name"), pick(txt).alias("txt"),
+                        n(v, i).cast("long").alias("n"), num(x).alias("x"), num(y).alias("y"), num(z).alias("z"))
+
+    excerpt = lambda v, i: F.concat(v["text"], F.lit(" @ "), v["date"])
+    parts = [
+        rows("platforms", F.map_entries("platform_breakdown"), lambda v, i: v["key"], None,
+             lambda v, i: v["value"]["count"], lambda v, i: v["value"]["score"],
+             lambda v, i: v["value"]["positive_pct"], lambda v, i: v["value"]["negative_pct"]),
+        *[rows(label, F.col(f"top_{label}_excerpts"), lambda v, i: v["platform"], excerpt, lambda v, i: i,
+               lambda v, i: v["score"]) for label in ("positive", "negative")],
+        rows("themes", F.col("key_themes"), lambda v, i: v["theme"], None, lambda v, i: v["count"], lambda v, i: i),
+        rows("audience", F.map_entries(d["platform_audience"]), lambda v, i: v["key"], None,
+             lambda v, i: v["value"]["posts"], lambda v, i: v["value"]["share_pct"]),
+        rows("support", d["support_indicators"], lambda v, i: v["category"], lambda v, i: v["strength"],
+             lambda v, i: v["mentions"], lambda v, i: i),
+        rows("regions", d["regional_mentions"], lambda v, i: v["region"], None, lambda v, i: v["mentions"],
+             lambda v, i: i),
+        rows("sentiment", F.array("sentiment"), None, None, lambda v, i: v["total_analyzed"],
+             lambda v, i: v["overall_score"], lambda v, i: v["positive_pct"], lambda v, i: v["negative_pct"]),
+        rows("engagement", F.array(F.struct("engagement.*", "post_count")), None, None, lambda v, i: v["post_count"],
+             lambda v, i: v["avg_likes"], lambda v, i: v["total_likes"], lambda v, i: v["total_shares"]),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@register("agg10_nested", psql(NESTED_SQL))
+def agg10_nested(spark, sf):
+    return nested_rows(A(spark, sf).part("profiles"))
+
+
 # WIN-5: profiles ranked by mean score within a scope ----------------------------------------
 @register("win5_profile_rank", psql("""SELECT scope, entity, overall_score,
   row_number() OVER (PARTITION BY scope ORDER BY overall_score DESC, entity) AS profile_rank
