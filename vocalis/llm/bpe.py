@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import by_size, documents
 
 PIECES = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: characters after a piece that can still change it ("'" before "re", a blank before a word)
@@ -384,19 +384,6 @@ def _encoder(tables: Tables) -> Encoder:
     return _OF_PROCESS[tables.key]
 
 
-def _by_size(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts of an Arrow batch in runs of about BATCH_CHARS characters."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t.as_py() or "")
-        size += len(run[-1])
-        if size >= BATCH_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 class Codec:
     """``encode`` and ``decode`` as column functions over one tokenizer file."""
 
@@ -411,8 +398,8 @@ class Codec:
             e = _encoder(tables.value)
             for texts in batches:
                 parts, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-                for some in _by_size(texts):
-                    ids, offsets = e.encode_batch(some)
+                for some in by_size(texts, BATCH_CHARS):
+                    ids, offsets = e.encode_batch([t or "" for t in some])
                     parts.append(ids)
                     ends.append(offsets[1:] + ends[-1][-1])
                 yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)),
@@ -445,8 +432,8 @@ class Codec:
             e, d = _encoder(tables.value), Decoder(tables.value)
             for texts in batches:
                 parts, ends, decoded = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
-                for some in _by_size(texts):
-                    ids, offsets = e.encode_batch(some)
+                for some in by_size(texts, BATCH_CHARS):
+                    ids, offsets = e.encode_batch([t or "" for t in some])
                     parts.append(ids)
                     ends.append(offsets[1:] + ends[-1][-1])
                     decoded.append(pa.array([d.feed(ids[a:b].tolist()) + d.finish()

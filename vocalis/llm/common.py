@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from ..sources.tables import read_table
 
 __all__ = ["cut_lineage", "documents", "read_table", "running_total", "word_count", "buckets_for",
-           "shared_path", "stored"]
+           "by_size", "shared_path", "stored"]
 
 #: words of a text: maximal runs without ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_size(texts, chars: int = 1 << 20):
+    """The texts of an Arrow array in lists of about ``chars`` characters, so
+    that what a task makes of them stays small; a null text stays null."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py())
+        size += len(run[-1] or "")
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def word_count(text) -> F.Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
