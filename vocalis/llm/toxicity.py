@@ -129,11 +129,14 @@ def _signature(words: list[str]) -> str:
 
 def _signed(batches):
     for b in batches:
-        words = [folded_words(t) for t in b["text"].to_pylist()]
+        joined, sigs = [], []
+        for t in b["text"]:
+            words = folded_words(t.as_py())
+            joined.append(" ".join(words))
+            sigs.append(_signature(words))
         yield pa.RecordBatch.from_pydict({
             "doc_id": b["doc_id"], "toxic": b["toxic"], "part": b["part"],
-            "words": pa.array([" ".join(w) for w in words], pa.string()),
-            "sig": pa.array([_signature(w) for w in words], pa.string())})
+            "words": pa.array(joined, pa.string()), "sig": pa.array(sigs, pa.string())})
 
 
 def _texts(b):
