@@ -56,7 +56,7 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
+def buckets_for(rows: int, per_bucket: int = 5_000) -> int:
     return max(1, math.ceil(rows / per_bucket))
 
 
