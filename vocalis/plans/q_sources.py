@@ -477,8 +477,12 @@ def join8_scope_variants(spark, sf):
 _SEARCH_CAP, _SEARCH_TOTAL = 5, 8
 
 
-def _search_sql() -> str:
-    tmpl = ", ".join(f"({i}, {O.q(t)})" for i, t in enumerate(P.keyword_templates))
+# as many templates as a full run has
+_SEVEN = (*P.keyword_templates, "licensed under {state}", "version of {state}", "the {state} work", "de la {state}")[:7]
+
+
+def _search_sql(templates) -> str:
+    tmpl = ", ".join(f"({i}, {O.q(t)})" for i, t in enumerate(templates))
     hits = f"""hits AS (
   SELECT p.scope, t.i AS keyword_ordinal, p.post_id AS id, p.ts
   FROM posts_v p, (VALUES {tmpl}) t(i, tmpl)
@@ -487,25 +491,24 @@ def _search_sql() -> str:
                         lambda w: contains(lower(p.text), w)))
         >= len(string_split(replace(t.tmpl, '{{state}}', p.scope), ' ')) // 2 + 1)"""
     steps, prev = [], []
-    for i in range(len(P.keyword_templates)):
+    for i in range(len(templates)):
         anti = "".join(f" AND NOT EXISTS (SELECT 1 FROM k{j} WHERE k{j}.scope = h.scope AND k{j}.id = h.id)"
                        for j in prev)
         steps.append(f"""k{i} AS (
   SELECT scope, keyword_ordinal, id, ts FROM hits h WHERE keyword_ordinal = {i}{anti}
   QUALIFY row_number() OVER (PARTITION BY scope ORDER BY ts DESC, id) <= {_SEARCH_CAP})""")
         prev.append(i)
-    union = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(P.keyword_templates)))
+    union = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(templates)))
     return f"""WITH {O.POSTS_V}, {hits}, {", ".join(steps)}
 SELECT scope, keyword_ordinal, id FROM ({union})
 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY keyword_ordinal, ts DESC, id) <= {_SEARCH_TOTAL}"""
 
 
-@register("win8_search_run", _search_sql())
-def win8_search_run(spark, sf):
+def _search_run(spark, sf, templates):
     ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     arr = F.array(*[F.struct(F.lit(i).alias("i"),
                              F.replace(F.lit(t), F.lit("{state}"), F.col("scope")).alias("kw"))
-                    for i, t in enumerate(P.keyword_templates)])
+                    for i, t in enumerate(templates)])
     tl = F.lower("text")
     hits = (ps.select("scope", "post_id", "ts",
                       F.explode(F.filter(arr, lambda k: N.majority_match(tl, F.lower(k["kw"])))).alias("k"))
@@ -514,6 +517,16 @@ def win8_search_run(spark, sf):
                     # newest first, then id: an orderable value, no sort window
                     F.struct((-F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
                              .alias("t"), F.col("post_id").alias("p")).alias("hit_rank")))
-    out = N.collect_search_hits(hits, range(len(P.keyword_templates)), per_keyword_cap=_SEARCH_CAP,
+    out = N.collect_search_hits(hits, range(len(templates)), per_keyword_cap=_SEARCH_CAP,
                                 total_cap=_SEARCH_TOTAL)
     return out.select("scope", "keyword_ordinal", "id")
+
+
+@register("win8_search_run", _search_sql(P.keyword_templates))
+def win8_search_run(spark, sf):
+    return _search_run(spark, sf, P.keyword_templates)
+
+
+@register("win8_search_run_7", _search_sql(_SEVEN))
+def win8_search_run_7(spark, sf):
+    return _search_run(spark, sf, _SEVEN)
