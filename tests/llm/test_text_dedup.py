@@ -44,6 +44,15 @@ def test_substring_dedup_is_the_brute_force(spark, width):
     assert sorted(rows, key=repr) == removed_by_hand(data, width)
 
 
+def test_ranges_in_equal_steps_keep_the_order(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MAX_RANGES", 2)
+    data = cases.rows()
+    got = substring_dedup.remove_repeats(cases.frame(spark, data), 3)
+    rows = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest())
+            for r in got.collect()]
+    assert sorted(rows, key=repr) == removed_by_hand(data, 3)
+
+
 def test_removed_intervals_are_maximal(spark):
     got = substring_dedup.remove_repeats(cases.frame(spark)).collect()
     for r in got:

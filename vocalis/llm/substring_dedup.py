@@ -34,15 +34,18 @@ from .groups import BLOBS, bucket_bits, group_count, sizes, to_buckets
 from .hashing import buffers, pack, unpack, windows, word_hashes, words
 
 WIDTH = 50
+#: quantiles of the ids that the driver asks for, at most
+MAX_RANGES = 4_096
 
 
 def by_id_range(docs: DataFrame, n_groups: int) -> tuple[DataFrame, int]:
     """(g, doc_id, raw) and the number of ranges: groups are ranges of doc_id;
     null ids go to groups of their own behind all others, dealt by text."""
+    n_cuts = min(n_groups, MAX_RANGES)
     cuts: list[float] = []
-    if n_groups > 1:
-        steps = [i / n_groups for i in range(1, n_groups)]
-        cuts = sorted(set(docs.approxQuantile("doc_id", steps, 0.25 / n_groups)))
+    if n_cuts > 1:
+        steps = [i / n_cuts for i in range(1, n_cuts)]
+        cuts = sorted(set(docs.approxQuantile("doc_id", steps, 0.25 / n_cuts)))
     keyed = docs.select("doc_id", F.col("text").cast("binary").alias("raw"),
                         F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("_k"))
     if cuts:
@@ -50,10 +53,20 @@ def by_id_range(docs: DataFrame, n_groups: int) -> tuple[DataFrame, int]:
                            outputCol="_g").transform(keyed)
     else:
         keyed = keyed.withColumn("_g", F.lit(0.0))
-    behind = F.lit(len(cuts) + 1) + F.pmod(F.xxhash64("raw"), F.lit(n_groups)).cast("int")
-    return keyed.select(F.when(F.col("doc_id").isNull(), behind)
-                        .otherwise(F.col("_g").cast("int")).alias("g"),
-                        "doc_id", "raw"), len(cuts) + 1
+    # a corpus of more groups than quantiles are asked for: each range is cut
+    # into steps of equal width
+    parts = -(-n_groups // n_cuts)
+    n_ranges = (len(cuts) + 1) * parts
+    g = F.col("_g").cast("int")
+    if parts > 1:
+        ends = docs.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
+        edges = F.split(F.lit(",".join(map(repr, [ends.lo or 0.0, *cuts, (ends.hi or 0.0) + 1]))), ",").cast("array<double>")
+        lo, hi = F.get(edges, g), F.get(edges, g + 1)
+        step = F.floor((F.col("_k") - lo) / F.greatest(hi - lo, F.lit(1e-9)) * parts).cast("int")
+        g = g * parts + F.greatest(F.lit(0), F.least(step, F.lit(parts - 1)))
+    behind = F.lit(n_ranges) + F.pmod(F.xxhash64("raw"), F.lit(n_groups)).cast("int")
+    return keyed.select(F.when(F.col("doc_id").isNull(), behind).otherwise(g).alias("g"),
+                        "doc_id", "raw"), n_ranges
 
 
 class _Group:
