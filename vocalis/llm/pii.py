@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents
+from .common import cut_lineage, documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
 RUN = 256
@@ -242,6 +242,7 @@ def fit(docs: DataFrame) -> Model | None:
     rows = rows.select(x.kind.alias("kind"), confirmed.cast("double").alias("label"),
                        F.array(*features(x, text)).alias("f"),
                        F.md5(F.concat(x.value, F.substring(text, 1, 64))).alias("h"))
+    rows = stored(rows, "pii-candidates")          # one scan of the texts
     kept = []
     for kind in KINDS:
         kept.append(rows.filter(F.col("kind") == kind).orderBy("h").limit(SAMPLE_CANDIDATES))
