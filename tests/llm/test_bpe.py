@@ -107,6 +107,7 @@ def test_columns_round_trip(spark, reference):
     for r in got.withColumn("back", codec.decode(got["ids"])).collect():
         assert r.ids == reference.encode(r.text or "", add_special_tokens=False).ids
         assert r.back == (r.text or "") and r.n_tokens == len(r.ids)
-    both = docs.select("text", codec.round_trip(docs["text"]).alias("r")).collect()
-    assert all(x.r.decoded == (x.text or "") for x in both)
+    both = codec.round_trip(docs, keep=("doc_id", "text", "score")).collect()
+    assert len(both) == docs.count() and all(x.decoded == (x.text or "") and x.score == 1 for x in both)
+    assert all(x.ids == reference.encode(x.text or "", add_special_tokens=False).ids for x in both)
     assert bpe.encoded(cases.frame(spark, [])).count() == 0

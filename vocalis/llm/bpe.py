@@ -48,7 +48,7 @@ PIECE_AHEAD = 3
 #: pieces up to this many bytes are merged in batches and kept
 SHORT = 256
 CHUNK = 1 << 16
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 #: texts that are cut into pieces together
 BATCH_CHARS = 1 << 20
 
@@ -422,29 +422,33 @@ class Codec:
         return run(ids)
 
 
-    def round_trip(self, text: Column) -> Column:
-        """struct<ids, decoded>: a text's ids and what they decode to, both in
-        one pass over the texts, so the ids are not sent to Python again."""
+    def round_trip(self, df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        """The columns ``keep`` of ``df``, the ids of its texts (null: empty)
+        and what they decode to, in one pass.  What goes out is cut to about
+        BATCH_CHARS of text at a time, so a task holds little of it."""
+        from pyspark.sql import types as T
         tables = self.tables
+        fields = [df.schema[c] for c in keep]
+        kind = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                             T.StructField("decoded", T.StringType())])
+        keep = list(keep)
 
-        @F.arrow_udf("ids array<int>, decoded string")
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches):
             e, d = _encoder(tables.value), Decoder(tables.value)
-            for texts in batches:
-                parts, ends, decoded = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
-                for some in by_size(texts, BATCH_CHARS):
-                    ids, offsets = e.encode_batch([t or "" for t in some])
-                    parts.append(ids)
-                    ends.append(offsets[1:] + ends[-1][-1])
-                    decoded.append(pa.array([d.feed(ids[a:b].tolist()) + d.finish()
-                                             for a, b in zip(offsets, offsets[1:])], pa.string()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)),
-                                                 pa.array(np.concatenate(parts)))
-                del parts, ends
-                yield pa.StructArray.from_arrays(
-                    [lists, pa.concat_arrays(decoded or [pa.array([], pa.string())])], ["ids", "decoded"])
-
-        return run(text)
+            for batch in batches:
+                at = 0
+                for some in by_size(batch.column(text), BATCH_CHARS):
+                    ids, ends = e.encode_batch([t or "" for t in some])
+                    back = pa.array([d.feed(ids[a:b].tolist()) + d.finish()
+                                     for a, b in zip(ends, ends[1:])], pa.string())
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).slice(at, len(some)) for c in keep), lists, back],
+                        [*keep, "ids", "decoded"])
+                    at += len(some)
+
+        columns = list(dict.fromkeys([*keep, text]))
+        return df.select(*columns).mapInArrow(run, kind)
 
 
 def default_path() -> str:
@@ -461,9 +465,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = Codec(spark, default_path())
-    coded = documents(spark, sf_dir).select(
-        "doc_id", codec.round_trip(F.coalesce(F.col("text"), F.lit(""))).alias("r"))
-    return coded.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), ","), 256)
+    coded = codec.round_trip(documents(spark, sf_dir), keep=("doc_id",))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
                         .alias("ids_sha256"),
-                        F.sha2("r.decoded", 256).alias("decoded_sha256"))
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .hashing import pack
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: buckets of hash space are a power of two and hold about so many hashes
 BUCKET_HASHES = 1_000_000
 

@@ -64,7 +64,7 @@ class _Sets:
         h = word_hashes(data, s, e, lower_table())
         n = np.diff(first)
         count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-        owner = np.repeat(np.arange(len(n)), count)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), count)
         before = np.cumsum(count) - count
         at = np.arange(len(owner)) - before[owner] + first[:-1][owner]
         token = np.zeros(len(owner), np.uint64)
@@ -75,6 +75,7 @@ class _Sets:
             some = n[owner] == k
             if some.any():
                 token[some] = mix(windows(h, k)[at[some]] + np.uint64(k))
+        del h, at
         by = np.lexsort((token, owner))
         token, owner = token[by], owner[by]
         fresh = np.ones(len(token), bool)
