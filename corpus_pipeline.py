@@ -41,11 +41,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(spark, bpe.default_path())
-    text = F.coalesce(F.col("text"), F.lit(""))
-    coded = docs.select("doc_id", "lang", "source", text.alias("text"), codec.round_trip(text).alias("r"))
-    return coded.select("doc_id", "lang", "source", F.size("r.ids").cast("long").alias("n_tokens"),
-                        F.col("r.ids").alias("ids"),
-                        (F.col("r.decoded") == F.col("text")).alias("round_trip"))
+    coded = codec.round_trip(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)),
+                             keep=("doc_id", "lang", "source", "digest"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [("toxicity", reject_toxic), ("near_copies", drop_near_copies), ("pii", redact_pii),
