@@ -52,6 +52,7 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray):
         self.x = x
+        self.square = (x * x).sum(axis=1)
         self.order = np.arange(len(x))
         self.centre, self.radius, self.lo, self.hi, self.kids = [], [], [], [], []
         if len(x):
@@ -74,14 +75,19 @@ class CoverTree:
             if hi - lo <= LEAF or r < 1e-6:
                 continue
             own, target = self.order[lo:hi], r / 2
-            near = np.linalg.norm(self.x[own] - self.x[self.centre[node]], axis=1)
+            # distances to a centre from one product each; off by rounding only,
+            # and the nodes' radii are taken exactly afterwards
+            x, sq = self.x[own], self.square[own]
+            to = lambda c: np.sqrt(np.maximum(0.0, sq + self.square[c] - 2 * (x @ self.x[c])))
+            near = to(self.centre[node])
             of = np.zeros(len(own), np.int64)
             centres = [self.centre[node]]
             while True:
                 far = int(near.argmax())
                 if near[far] <= target:
                     break
-                d = np.linalg.norm(self.x[own] - self.x[own[far]], axis=1)
+                d = to(own[far])
+                d[far] = 0.0
                 closer = d < near
                 near[closer], of[closer] = d[closer], len(centres)
                 centres.append(int(own[far]))
