@@ -56,6 +56,43 @@ def test_model_is_interpolated_kneser_ney(spark):
         assert model.word_logp([w])[0] == pytest.approx(want, rel=1e-4)
 
 
+def many_words(n=12_000):
+    rng = random.Random(3)
+    return ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(6, 10))) for _ in range(n)]
+
+
+def test_every_ngram_counts(spark):
+    words = many_words()
+    data = [(i, " ".join(words[i::40]), "x", "a", 0) for i in range(40)] + [(99, "zebra abba", "y", "a", 0)]
+    model = langid.build(cases.frame(spark, data))
+    grams = {p[i:i + langid.ORDER] for w in words for p in [langid.START * (langid.ORDER - 1) + w + langid.END]
+             for i in range(len(p) - langid.ORDER + 1)}
+    assert len(grams) > 60_000 and len(model.keys[-1]) >= len(grams)
+    p, size = kneser_ney(words, langid.ORDER), 27 + 1
+    for w in (words[0], words[-1]):
+        padded = langid.START * (langid.ORDER - 1) + w + langid.END
+        want = sum(math.log(p(padded[i:i + langid.ORDER], 1 / size)) for i in range(len(w) + 1))
+        assert model.word_logp([w])[0][0] == pytest.approx(want, rel=1e-4)
+
+
+def test_model_as_tables_gives_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    odd = [(-1, None, None), (-2, "en", ""), (-3, "en", "12 34"), (None, "zz", "qux \u65e5\u672c \u0436"),
+           (-4, "de", "the " * 3000), (-4, "de", "the " * 3000)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = []
+    for cells in (langid.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(langid, "BROADCAST_CELLS", cells)
+        model = langid.train(docs)
+        assert isinstance(model, langid.Tables if cells == 0 else langid.Model)
+        rows = langid.identify(docs, model).collect()
+        got.append(sorted((str(r.doc_id), r.text or "", r.lang_pred, r.accepted, r.score) for r in rows))
+    assert len(got[0]) == len(got[1]) == docs.count()
+    for a, b in zip(*got):
+        assert a[:3] == b[:3] and a[4] == pytest.approx(b[4], rel=1e-4, abs=1e-6)
+    assert np.mean([a[3] == b[3] for a, b in zip(*got)]) > 0.99      # a score may lie on the threshold
+
+
 def test_held_out_languages_are_found(spark):
     from vocalis.llm.catalog import QUERIES
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
