@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from vocalis.llm import langid, toxicity
@@ -93,6 +94,21 @@ def test_model_as_tables_gives_the_same(spark, monkeypatch):
     assert np.mean([a[3] == b[3] for a, b in zip(*got)]) > 0.99      # a score may lie on the threshold
 
 
+def test_all_training_documents_are_counted(spark):
+    of = lambda i: zlib.crc32(str(i).encode()) % 4
+    rare = [i for i in range(400) if of(i) == 3][:6]
+    data = [(i, "rare xylo wyrd" if i in rare else "the and of with", "rr" if i in rare else "en", "a", 0)
+            for i in range(400)]
+    docs = cases.frame(spark, data)
+    model = langid.train(docs)
+    assert model.langs == ["en", "rr"] and model.temperature > 0
+    whole = langid.build(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != langid.HELD_OUT))
+    for w in ("wyrd", "with", "xen"):
+        assert model.word_logp([w])[0] == pytest.approx(whole.word_logp([w])[0], rel=1e-6)
+    got = langid.identify(cases.frame(spark, [(1000, "xylo wyrd", None, "a", 0)]), model).first()
+    assert got.lang_pred == "rr"
+
+
 def test_held_out_languages_are_found(spark):
     from vocalis.llm.catalog import QUERIES
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
