@@ -85,6 +85,29 @@ def test_added_spans_keep_the_base_and_stay_apart(spark):
     assert clean == 0
 
 
+def test_loose_forms_are_added_and_clean_numbers_are_not(spark):
+    rng = random.Random(5)
+    rows = corpus()
+    for i in range(600, 800):
+        d = "".join(rng.choice("0123456789") for _ in range(15))
+        rows.append((i, f"{cases.sentence(rng, 12)} paid {next(d + c for c in '0123456789' if passes(d + c))} today"))
+    loose = [("email", "write me (at) mail (dot) com now"), ("email", "it is joe.doe[at]mail[dot]org there"),
+             ("ip", "seen 10[.]2[.]33[.]4 again"), ("ip", "seen 10(.)2(.)33(.)4 again"),
+             ("card", "paid 4111.1111.1111.1111 today"), ("card", "my card 4222222222222 today"),
+             ("phone", "please call 017 555 771 334 now"), ("phone", "try 0049 30 1234 5678 soon")]
+    clean = ["paid 4111.1111.1111.1112 today", "lot 4222222222222 is sold", "seen 10[.]2[.]333[.]4 again",
+             "rows 017 555 771 334 of all", "we met (at) home. Then we left", "on 2024-01-02 and 12/11/2023", "1 234 567 in all"]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [t for _, t in loose] + clean
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.detect(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(loose))] == [[k] for k, _ in loose]
+    assert [got[i] for i in range(len(loose), len(texts))] == [[]] * len(clean)
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        if r.doc_id < 600 and r.doc_id % 6 == 4:
+            assert [s.kind for s in r.spans] == ["email"]
+
+
 def test_trees_as_columns_score_like_the_model(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array

@@ -6,12 +6,16 @@ match that passes its check is always a span.
 ``candidates`` come from looser generators per kind (defanged and spelled-out
 addresses, digit groups with odd separators, numbers without a country
 prefix); they overlap freely.  Each candidate gets features of its format and
-of its context.  Gradient-boosted trees (MLlib), one model per kind, learn on
-a bounded sample which candidates the fixed detector of the kind confirms,
-from features that do not contain its checks.  On candidates held out by a
-hash a threshold per kind is calibrated: the lowest score from which on at
-least ``PRECISION`` of the held-out candidates are confirmed; a kind without
-enough evidence keeps a threshold above 1, so nothing is added.  The trees
+of its context.  Gradient-boosted trees (MLlib), one model per kind, learn
+from a bounded sample of documents: the values that the fixed detectors
+confirm there are rewritten into the loose forms in their own context
+(``rewritten``), with and without a cue, sound and broken; ``wanted`` says
+which of them are personal data.  Other candidates of the sample that are not
+wanted are negatives, those that are wanted are left out, so nothing that is
+to be found is learned as a negative.  On examples held out by a hash a
+threshold per kind is calibrated: the lowest score from which on at least
+``PRECISION`` of them are wanted; a kind without enough evidence keeps a
+threshold above 1, so nothing is added.  The trees
 are written out as column expressions and run inside the row, so the
 documents are never shuffled.
 
@@ -159,11 +163,91 @@ def base_spans(text: Column) -> Column:
 
 # ------------------------------------------------------------ candidates
 #: words that announce a kind, in the text just before a candidate
-CUES = r"(?i)(mail|contact|write|phone|tel|call|fax|mobile|card|visa|credit|account|ip|host|server|addr)"
+CUES = {"email": r"(?i)\b(e-?mail|mail|contact|write)", "ip": r"(?i)\b(ip|host|server|addr)",
+        "card": r"(?i)\b(card|visa|credit|account)", "phone": r"(?i)\b(phone|tel|call|fax|mobile)"}
+CUE_WORD = {"email": "mail", "ip": "host", "card": "card", "phone": "phone"}
 
 FEATURES = ("length", "n_digits", "digit_share", "n_groups", "first_group", "last_group", "n_seps",
             "n_kinds_of_sep", "n_dots", "n_spaces", "parens", "plus", "at", "cue_before",
-            "alnum_before", "alnum_after", "digit_after", "line_start")
+            "alnum_before", "alnum_after", "digit_after", "line_start", "sound", "spelled", "zeros", "announced")
+#: features the trees learn from; the others follow the values that happened to be rewritten
+LEARNED = ("cue_before", "alnum_before", "alnum_after", "sound", "spelled", "zeros", "announced")
+
+
+_SPELLED = r"[\[(](at|dot|\.)[\])]"
+
+
+def _sound(kind: str, v: Column) -> Column:
+    """Does a loose value keep what its kind demands?"""
+    if kind == "email":
+        return ~v.rlike(r"\x20\.|\.\x20")
+    if kind == "ip":
+        return F.regexp_replace(v, r"[\x20()\[\]]", "").rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$")
+    n = F.length(_digits(v))
+    return n.between(13, 19) & luhn(_digits(v)) if kind == "card" else n.between(10, 15)
+
+
+def _announced(kind: str, v: Column, cue: Column) -> Column:
+    """Does the form tell (spelled-out signs, a card's length, a phone's prefix
+    or area code in brackets) or a cue before it?"""
+    form = {"email": F.lit(True), "ip": v.rlike(_SPELLED), "card": F.length(_digits(v)) >= 14,
+            "phone": v.rlike(r"^00|[+(]")}
+    return form[kind] | cue
+
+
+def wanted(f: Column) -> Column:
+    """Is an example personal data?  It stands alone, keeps what its kind
+    demands, and is announced."""
+    at = lambda name: F.get(f, F.lit(FEATURES.index(name)))
+    return ((at("alnum_before") == 0) & (at("alnum_after") == 0) & (at("sound") > 0) & (at("announced") > 0))
+
+
+def rewritten(b: str, text: Column) -> Column:
+    """array<struct<kind,value,start,end,context>>: the base spans of a text in
+    loose forms, each without a cue, with one before it, and grown to a digit."""
+    def forms(s):
+        v, d = s.value, _digits(s.value)
+        name, host = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+        label, last = F.substring_index(host, ".", 1), F.substring_index(host, ".", -1)
+        dots = lambda x: F.replace(host, F.lit("."), F.lit(x))
+        fours = lambda x, y: F.regexp_replace(x, "(.{4})(?=.)", f"$1{y}")
+        checked = lambda n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(
+            F.substring(d, 1, n - 1), i.cast("string"))), luhn)[0]
+        bumped = F.concat(F.substring(d, F.lit(1), F.length(d) - 1),
+                          ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
+        plain = F.regexp_replace(v, r"^\+", "")
+        return (F.when(s.kind == "email", F.array(
+                    F.concat(name, F.lit(" (at) "), host), F.concat(name, F.lit(" (at) "), dots(" (dot) ")),
+                    F.concat(name, F.lit("[at]"), dots("[dot]")), F.concat(name, F.lit(" @ "), host),
+                    F.concat(name, F.lit(" @ "), label, F.lit(". "), last),
+                    F.concat(name, F.lit(" (at) "), label, F.lit(". "), last)))
+                .when(s.kind == "ip", F.array(
+                    F.replace(v, F.lit("."), F.lit("[.]")), F.replace(v, F.lit("."), F.lit("(.)")),
+                    F.replace(v, F.lit("."), F.lit(" . ")),
+                    F.replace(F.regexp_replace(v, "[0-9]+$", "999"), F.lit("."), F.lit("[.]")),
+                    F.replace(F.regexp_replace(v, "^[0-9]+", "391"), F.lit("."), F.lit("(.)"))))
+                .when(s.kind == "card", F.array(
+                    fours(d, "."), fours(d, "/"), fours(d, "--"), fours(checked(14), "."), checked(13), fours(checked(13), " "),
+                    fours(bumped, "."), fours(bumped, " "), bumped))
+                .otherwise(F.array(
+                    F.concat(F.lit("00"), plain), plain, F.regexp_replace(d, "(.{3})(?=..)", "$1 "),
+                    F.regexp_replace(d, "(.{3})(?=..)", "$1-"),
+                    fours(F.substring(F.concat(d, d), 1, 16), " "), fours(F.substring(F.concat(d, d), 1, 18), "."),
+                    F.regexp_replace(F.substring(d, 1, 8), "(.{3})(?=..)", "$1 "))))
+
+    def placed(s, v, cue, end=""):
+        left = F.substring(text, F.greatest(F.lit(1), s.start - CONTEXT + 1), F.least(F.lit(CONTEXT), s.start))
+        told = lambda of: reduce(lambda a, k: F.when(s.kind == k, of(k)).otherwise(a), KINDS, left)
+        if cue:
+            left = told(lambda k: F.concat(left, F.lit(f" {CUE_WORD[k]} {end}")))
+        else:
+            left = told(lambda k: F.concat(F.regexp_replace(left, CUES[k], "of"), F.lit(end)))
+        return F.struct(s.kind.alias("kind"), v.alias("value"), F.length(left).alias("start"),
+                        (F.length(left) + F.length(v)).alias("end"),
+                        F.concat(left, v, F.substring(text, s.end + 1, F.lit(CONTEXT))).alias("context"))
+
+    return F.flatten(F.transform(b, lambda s: F.flatten(F.transform(forms(s), lambda v: F.array(
+        placed(s, v, False), placed(s, v, True), placed(s, v, True, "7"))))))
 
 
 def features(c: Column, text: Column) -> list[Column]:
@@ -177,11 +261,14 @@ def features(c: Column, text: Column) -> list[Column]:
                          F.least(F.lit(CONTEXT), c.start))
     after = F.substring(text, c.end + 1, F.lit(1))
     count = lambda ch: F.length(v) - F.length(F.replace(v, F.lit(ch), F.lit("")))
+    of_kind = lambda f: reduce(lambda a, k: F.when(c.kind == k, f(k)).otherwise(a), KINDS, F.lit(False))
+    cue = of_kind(lambda k: before.rlike(CUES[k]))
     cols = [n, nd, nd / n, F.size(groups), size_at(F.lit(0)), size_at(F.size(groups) - 1),
             F.length(seps), F.size(F.array_distinct(F.split(seps, ""))), count("."), count(" "),
-            count("("), count("+"), count("@"), before.rlike(CUES),
+            count("("), count("+"), count("@"), cue,
             before.rlike("[A-Za-z0-9]$"), after.rlike("[A-Za-z0-9]"), after.rlike("[0-9]"),
-            (c.start == 0) | before.rlike("\n$")]
+            (c.start == 0) | before.rlike("\n$"), of_kind(lambda k: _sound(k, v)),
+            v.rlike(_SPELLED), v.startswith("00"), of_kind(lambda k: _announced(k, v, cue))]
     return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in cols]
 
 
@@ -235,28 +322,36 @@ def fit(docs: DataFrame) -> Model | None:
     one = (some.filter(F.col("text").isNotNull())
            .select("text", candidates(text).alias("c"), base_spans(text).alias("b"))
            .filter(F.size("c") > 0))
-    rows = one.select("text", "b", F.explode("c").alias("x"))
     x = F.col("x")
-    confirmed = F.exists("b", lambda s: (s.kind == x.kind) & (s.start <= x.start) & (s.end >= x.end)
-                         | (s.kind == x.kind) & (s.start >= x.start) & (s.end <= x.end))
-    rows = rows.select(x.kind.alias("kind"), confirmed.cast("double").alias("label"),
-                       F.array(*features(x, text)).alias("f"),
-                       F.md5(F.concat(x.value, F.substring(text, 1, 64))).alias("h"))
-    rows = stored(rows, "pii-candidates")          # one scan of the texts
+    hashed = lambda t: F.md5(F.concat(x.value, F.substring(t, 1, 64)))
+    apart = lambda s: (s.end <= x.start) | (x.end <= s.start)
+    found = (one.select("text", "b", F.explode("c").alias("x"))
+             .filter(~F.exists("b", lambda s: ~apart(s)))
+             .select(F.lit(0).alias("made"), x.kind.alias("kind"), F.array(*features(x, text)).alias("f"),
+                     hashed(text).alias("h")))
+    made = (one.select(F.explode(rewritten("b", text)).alias("x"))
+            .select(F.lit(1).alias("made"), x.kind.alias("kind"), F.array(*features(x, x.context)).alias("f"),
+                    hashed(x.context).alias("h")))
+    rows = found.unionByName(made).withColumn("label", wanted(F.col("f")).cast("double"))
+    # a wanted candidate of the corpus is what detection is to find: no example
+    rows = stored(rows.filter((F.col("made") == 1) | (F.col("label") == 0)), "pii-candidates")
     kept = []
     for kind in KINDS:
-        kept.append(rows.filter(F.col("kind") == kind).orderBy("h").limit(SAMPLE_CANDIDATES))
+        for origin in (0, 1):
+            kept.append(rows.filter((F.col("kind") == kind) & (F.col("made") == origin))
+                        .orderBy("h").limit(SAMPLE_CANDIDATES // 2))
     rows = cut_lineage(reduce(DataFrame.unionByName, kept))
     held = F.substring("h", -1, 1).isin("0", "1", "2", "3", "4")
     counted = {r.kind: r for r in rows.groupBy("kind").agg(
         F.sum(F.when(~held, F.col("label"))).alias("pos"),
         F.sum(F.when(~held, 1 - F.col("label"))).alias("neg")).collect()}
+    shown = F.array(*[F.col("f")[i] if x in LEARNED else F.lit(0.0) for i, x in enumerate(FEATURES)])
     trees, thresholds = {}, {}
     for kind, r in counted.items():
         if (r.pos or 0) < MIN_CONFIRMED or not r.neg:
             continue                       # one class only: nothing to tell apart
         train = rows.filter((F.col("kind") == kind) & ~held).select(
-            array_to_vector("f").alias("features"), "label")
+            array_to_vector(shown).alias("features"), "label")
         gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3, cacheNodeIds=False)
         model = gbt.fit(train.coalesce(2))
         java = model._java_obj
@@ -269,7 +364,7 @@ def fit(docs: DataFrame) -> Model | None:
     f = [F.col("f")[i] for i in range(len(FEATURES))]
     for kind in trees:
         scored = (rows.filter((F.col("kind") == kind) & held)
-                  .select(F.round(model.score(kind, f), 3).alias("s"), "label")
+                  .select((F.floor(model.score(kind, f) * 1000) / 1000).alias("s"), "label")
                   .groupBy("s").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
                   .orderBy(F.desc("s")).collect())
         pos = n = 0
@@ -298,7 +393,7 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     apart = lambda a, b: (a.end <= b.start) | (b.end <= a.start)
     new = F.filter(F.col("_c"), lambda c: ~F.exists("base", lambda b: ~apart(b, c)) & selected(c))
-    out = out.withColumn("_n", F.when(F.size("_c") > F.size("base"), new).otherwise(
+    out = out.withColumn("_n", F.when(F.size("_c") > 0, new).otherwise(
         F.array().cast(_SPANS)))
     longest_first = F.array_sort(F.transform("_n", lambda c: F.struct(
         c.start.alias("start"), (-c.end).alias("e"), c.alias("c"))))
