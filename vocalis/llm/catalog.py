@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, embedding_dedup, jaccard_join, langid, mixing, pii, sharding, substring_dedup, toxicity
+from . import (ann, bpe, embedding_dedup, jaccard_join, langid, mixing, periodic_runs, pii, sharding,
+               substring_dedup, toxicity)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
