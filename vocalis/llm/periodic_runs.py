@@ -275,16 +275,18 @@ def looped(text: Column, doc_id: Column) -> Column:
     of 10, each word from a on becomes original word a + (i - a) % p."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
-    w = F.regexp_extract_all(text, F.lit(f"({WORD})"))
-    n = F.size(w).cast("long")
 
     def turned(w: Column) -> Column:
-        a = g % n
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(
-            w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0), turned(w)).otherwise(text)
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        rounds = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), rounds), F.lit(1), n), " ")
+
+    # as a lambda's argument the words are cut once and not once per word
+    cut = F.array(F.regexp_extract_all(text, F.lit(f"({WORD})")))
+    return F.when((h % 10 == 0) & (F.regexp_count(text, F.lit(WORD)) > 0),
+                  F.get(F.transform(cut, turned), F.lit(0))).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
