@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (ann, bpe, embedding_dedup, jaccard_join, langid, mixing, periodic_runs, pii, sharding,
-               substring_dedup, toxicity)
+from . import (ann, bpe, embedding_dedup, html_extract, jaccard_join, langid, mixing, periodic_runs,
+               pii, sharding, substring_dedup, toxicity)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_html_extract": html_extract.op11_html_extract,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
