@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (ann, bpe, embedding_dedup, html_extract, jaccard_join, langid, mixing, periodic_runs,
-               pii, sharding, substring_dedup, toxicity)
+               pii, prefix_trie, sharding, substring_dedup, toxicity)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_html_extract": html_extract.op11_html_extract,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 SQL = {
     "op9_mixing": mixing.OP9_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
