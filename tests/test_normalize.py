@@ -1,11 +1,14 @@
 """Landed payloads -> posts (HTML forum pages, submissions, comments, tweets,
 page posts) and link extraction."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import EP
 from vocalis.operators import normalize as N
-from vocalis.operators.html_posts import parse_posts
+from vocalis.operators.html_posts import parse_links, parse_posts
 
 P = EP.with_(as_of="2025-02-20", months=12)
 
@@ -181,3 +184,48 @@ def test_search_scans_grow_with_the_keywords(spark):
         plan = N.collect_search_hits(hits, range(k), 5, 100)._jdf.queryExecution().optimizedPlan().toString()
         scans.append(plan.count("LogicalRDD") + plan.count("LocalRelation"))
     assert scans == [3, 7]
+
+
+@pytest.mark.parametrize("html, links", [
+    ('<a href="/1/a?x=&#9999999;">k</a>', [("/1/a?x=\ufffd", "k")]),
+    ('<a href="/1/a?x=&#38;lt;">k</a>', [("/1/a?x=&lt;", "k")]),
+    ('<!-- <a href="/2/b">gone</a> --><a href="/2/c">K<b> l</b></a>', [("/2/c", "kl")]),
+    ('<a title="a>b" href="/3/c">k</a>', [("/3/c", "k")]),
+    ('<a href="/4/d">one <a href="/5/e">two</a>', [("/4/d", "one"), ("/5/e", "two")]),
+    ('<ul><li><a href=/6>six</li><li>no</ul><p><a href=/7>seven</p>no', [("/6", "six"), ("/7", "seven")]),
+    ('<a href=/8><div>eight</div> more</a><a href="">x</a><a href=/9> </a><a name=n>n</a>', [("/8", "eightmore")]),
+    ("", []), (None, []),
+])
+def test_links_as_a_parser_sees_them(html, links):
+    assert [(h, t) for _, h, t in parse_links(html) if h and t] == links
+
+
+@pytest.mark.parametrize("page", ['<a href="/1/x">one ' * 100_000, "<a href=/1>" + "<div>" * 100_000, "<a " * 100_000])
+def test_unclosed_links_take_time_in_proportion(page):
+    began = time.process_time()
+    assert sum(1 for _ in parse_links(page)) in (0, 1, 100_000)
+    assert time.process_time() - began < 4
+
+
+def test_twenty_thousand_posts_in_one_table():
+    post = '<tr><td><div class="narrow">post {0}<span class="likes">{0} Likes</span></div></td></tr>'
+    page = '<table><tr><td><a class="user">ann</a> <span class="s">9:00am</span></td></tr>' + "".join(
+        post.format(i) for i in range(20_000)) + "</table>"
+    began = time.process_time()
+    got = list(parse_posts(page))
+    assert time.process_time() - began < 5
+    assert got[7] == (7, "post 7 7 Likes", "ann", "9:00am", "7 Likes") and len(got) == 20_000
+
+
+def test_author_and_date_come_from_the_cell_then_the_table():
+    page = ('<table><tr><td><div class=narrow>a</div><td><span class=s>d1</span><a class="x user">u1</a>'
+            '<div class=narrow>b<div class=narrow>c<span class=likes>3</span></div></div>'
+            '<table><tr><td><a class=user>u2</a></table></table><div class=narrow>d</div>')
+    assert list(parse_posts(page)) == [(0, "a", "u1", "d1", None), (1, "b c 3", "u1", "d1", "3"),
+                                       (2, "c 3", "u1", "d1", "3"), (3, "d", None, None, None)]
+
+
+def test_pair_ids_never_fail(spark):
+    rows = [(10**12, 5), (5, 10**12), (-1, 2), (2**62, 2**62), (3 * 10**9, 0), (0, 3 * 10**9), (None, 1)]
+    got = [r.i for r in spark.createDataFrame(rows, "a long, b long").select(N.pair_id("a", "b").alias("i")).collect()]
+    assert got[-1] is None and len(set(got)) == 7 and all(x < 0 for x in got[:4]) and min(got[4:6]) > 0

@@ -20,7 +20,7 @@ from ..functions.text import (absolute_url, anonymize_author, clean_text, col_,
                               parse_like_count)
 from ..params import Params
 from ..session import cut_lineage
-from .html_posts import raw_posts
+from .html_posts import raw_links, raw_posts
 
 POST_SCHEMA = T.StructType([
     T.StructField("post_id", T.LongType()), T.StructField("platform", T.StringType()),
@@ -74,10 +74,20 @@ def to_posts(df: DataFrame, *, post_id, platform, scope, text, author, date_raw,
                       "shares", "keyword")
 
 
+#: largest sum of two numbers whose Cantor number fits into a long
+MAX_PAIR_SUM = 3_000_000_000
+
+
 def pair_id(a, b) -> Column:
-    """One long for two non-negative ones (Cantor pairing: no two pairs share it)."""
-    s = col_(a).cast("long") + col_(b).cast("long")
-    return F.shiftright(s * (s + 1), 1) + col_(b).cast("long")
+    """One long for two: the Cantor number, which no two pairs share, for
+    non-negative numbers up to ``MAX_PAIR_SUM`` in sum; for others a negative
+    64-bit hash."""
+    a, b = col_(a).cast("long"), col_(b).cast("long")
+    fits = a.between(0, MAX_PAIR_SUM) & b.between(0, MAX_PAIR_SUM)
+    x, y = F.when(fits, a), F.when(fits, b)
+    s = F.when(x + y <= MAX_PAIR_SUM, x + y)
+    return F.when(a.isNotNull() & b.isNotNull(),
+                  F.coalesce(F.shiftright(s * (s + 1), 1) + y, F.xxhash64(a, b).bitwiseOR(F.lit(-(1 << 63)))))
 
 
 # NRM-1 ----------------------------------------------------------------------
@@ -187,42 +197,11 @@ def page_comment_posts(comments: DataFrame, scope, keyword, p: Params, max_comme
 
 
 # NRM-7 / FLT-5 / FN-10 ------------------------------------------------------------
-# an anchor element with a href: double-quoted, single-quoted or bare
-LINK_RE = r'(?is)<a\s[^>]*?href\s*=[^>]*>.*?</a>'
-HREF_RE = r"""(?is)^<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-
-
-def decode_entities(c) -> Column:
-    """Character references of an attribute value, each decoded once."""
-    s = col_(c)
-    ref = r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
-    code = F.regexp_extract_all(s, F.lit(ref), 1)
-    n = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x",
-                         F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("long")
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(n(x)), 8, "0")), "UTF-32")
-    gaps = F.split(s, ref, -1)
-    numeric = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(code)), F.transform(code, char),
-                                               lambda g, x: F.concat(g, x)), ""),
-                       F.get(gaps, F.size(gaps) - 1))
-    out = F.when(s.rlike(ref), numeric).otherwise(s)
-    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-                     ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(ch))
-    return out
-
-
 def page_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All ``<a href>`` of each page with their lower-cased text: ``(page_id,
-    url, *keep, ord, href, title)``; empty href or title skipped.  The page is
-    read by one regular expression, the rest works on the anchors."""
-    z = pages.select("page_id", "url", *keep, F.posexplode(
-        F.regexp_extract_all("html", F.lit(LINK_RE), F.lit(0))).alias("ord", "a"))
-    quoted = [F.regexp_extract("a", HREF_RE, k) for k in (1, 2, 3)]
-    href = decode_entities(F.concat(*quoted))
-    inner = F.regexp_extract("a", r"(?is)^<a\s[^>]*>(.*?)</a>$", 1)
-    title = F.lower(F.trim(F.regexp_replace(inner, r"<[^>]*>", "")))
-    return (z.select("page_id", "url", *keep, "ord", href.alias("href"), title.alias("title"))
-            .filter((F.col("href") != "") & (F.col("title") != "")))
+    url, *keep, ord, href, title)``; empty href or title skipped.  ``ord``
+    counts the links with a href."""
+    return raw_links(pages, keep).filter((F.col("href") != "") & (F.col("title") != ""))
 
 
 def base_of(url) -> Column:

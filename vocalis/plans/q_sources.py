@@ -126,8 +126,19 @@ def nrm1_forum_html(spark, sf):
     return N.forum_posts(pages, landed.page_lang(F.col("html")), P)
 
 
-# the same parser on the driver's raw pages (post element = <p>; no SQL can read them)
-@register("nrm1_page_paragraphs")
+# the same parser on the driver's raw pages: the post element is <p>, whose end tag may be missing
+@register("nrm1_page_paragraphs", f"""WITH pp AS (
+  SELECT page_id, url, regexp_extract(html, '<html[^>]*\\blang="([^"]*)"', 1) AS scope,
+    string_split(html, '<p>')[2:] AS ps FROM pages),
+p0 AS (SELECT page_id, url, scope, unnest(ps) AS h, unnest(generate_series(0, len(ps) - 1)) AS ord FROM pp),
+p1 AS (SELECT *, regexp_replace(regexp_extract(h, '(?s)^(.*?)(?:</p>|</article>|$)', 1), '<[^>]*>', ' ', 'g') AS t FROM p0),
+p2 AS (
+  SELECT ((page_id + ord) * (page_id + ord + 1) // 2 + ord)::BIGINT AS post_id, 'nairaland' AS platform, scope,
+    {CLEAN("replace(replace(replace(replace(t, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS text,
+    url FROM p1)
+SELECT post_id, platform, scope, text, {ANON("NULL::VARCHAR")} AS author, NULL::VARCHAR AS date, NULL::TIMESTAMP AS ts,
+  url, 0::BIGINT AS likes, 0::BIGINT AS shares, scope || ' governorship election' AS keyword
+FROM p2 WHERE length(text) >= 20""")
 def nrm1_page_paragraphs(spark, sf):
     pages = read_table(spark, sf, "pages")
     return N.forum_posts(pages, landed.page_lang(F.col("html")), P.with_(months=1200),
@@ -321,10 +332,13 @@ def nrm7_links(spark, sf):
     return N.distinct_links(l).select("page_id", "abs_url", F.col("ord").cast("long").alias("ord"))
 
 
-# the three forms of a link target, with encoded queries; the SQL takes the plain pages
+# the forms of a link target, with encoded queries, unclosed links and odd ones; the SQL takes the plain pages
 @register("nrm7_link_forms", f"""WITH {LINKS_SQL}
-SELECT page_id, ord::BIGINT AS ord,
-  CASE WHEN regexp_matches(href, '\\s') THEN href ELSE href || '?a=1&b=2' END AS href, title FROM alinks""")
+SELECT page_id, ord::BIGINT + 3 AS ord,
+  CASE WHEN regexp_matches(href, '\\s') THEN href ELSE href || '?a=1&b=2' END AS href, title FROM alinks
+UNION ALL SELECT page_id, o::BIGINT, h, t FROM pages,
+  (VALUES (0, '/3/c?x=' || chr(65533) || '&lt;', 'three'), (1, '/4/d', 'fourand a half'), (2, '/5/e', 'five')) v(o, h, t)
+WHERE contains(html, '<body>')""")
 def nrm7_link_forms(spark, sf):
     pages = landed.links_in_other_forms(read_table(spark, sf, "pages"))
     return N.page_links(pages).select("page_id", F.col("ord").cast("long").alias("ord"), "href", "title")

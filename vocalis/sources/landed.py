@@ -132,15 +132,25 @@ def forum_pages(documents: DataFrame) -> DataFrame:
                         .alias("url"), html.alias("html"))
 
 
+#: put at the start of every body: a link in a comment, a value that holds '>'
+#: with references (one out of range, one that must be decoded once only), and
+#: links that are not closed
+ODD_LINKS = ('<!-- <a href="/1/gone">gone</a> --><script>x = \'<a href="/2/s">s</a>\'</script>'
+             '<a title="a>b" href="/3/c?x=&#9999999;&#38;lt;">Three<a href=/4/d>four <i> and a half</i>'
+             '<table><tr><td><a href=\'/5/e\'>five<td>no link</table>')
+
+
 def links_in_other_forms(pages: DataFrame) -> DataFrame:
     """The pages with their link targets in single quotes, bare or in double
-    quotes by page, each with an encoded query."""
+    quotes by page, each with an encoded query, every fifth page without end
+    tags of links, and ``ODD_LINKS``."""
     k = F.col("page_id") % 3
     old = r'href="([^"\s]+)"'
     html = (F.when(k == 0, F.regexp_replace("html", old, "href='$1?a=1&amp;b=2'"))
             .when(k == 1, F.regexp_replace("html", old, "href=$1?a=1&#38;b=2"))
             .otherwise(F.regexp_replace("html", old, 'href="$1?a=1&#x26;b=2"')))
-    return pages.withColumn("html", html)
+    html = F.when(F.col("page_id") % 5 == 0, F.replace(html, F.lit("</a>"), F.lit(""))).otherwise(html)
+    return pages.withColumn("html", F.replace(html, F.lit("<body>"), F.lit("<body>" + ODD_LINKS)))
 
 
 def page_lang(html) -> F.Column:
