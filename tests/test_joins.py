@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helpers import make_posts
+from helpers import EP, make_posts
 from vocalis.operators.containment import anchor_key, contains_join, contains_join_small
 
 ALPHA = "ab c-'"
@@ -32,17 +33,60 @@ def test_anchor_join_equals_nested_loop(spark, texts, names):
     assert run(spark, texts, names, 10) == brute(texts, names)
 
 
-def test_anchor_join_shuffle_paths(spark, monkeypatch):
+def random_texts(seed=3, n=30):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice("ab  Ba") for _ in range(rnd.choice([0, 3, 60, 400]))) for _ in range(n)]
+
+
+NAMES = ["ab ba", "aab bba", "ab ab ab", "BA ab", "abb aab ba", "aa aa", "aa aa aa"]
+
+
+def test_anchor_join_beyond_the_limits(spark, monkeypatch):
     import vocalis.operators.containment as C
-    rnd = random.Random(3)
-    names = ["ab ba", "aab bba", "ab ab ab", "ba ab", "abb aab ba"]
-    texts = ["".join(rnd.choice("ab ") for _ in range(60)) for _ in range(30)]
-    want = brute(texts, names)
-    assert run(spark, texts, names, None) == want                  # plain shuffle join
+    texts = [*random_texts(), None, "", " ", " ab ba", "ab ba ", "ab  ba", "x\nab ba"]
+    want = brute(texts, NAMES)
+    assert run(spark, texts, NAMES, None) == want                  # fused
     monkeypatch.setattr(C, "BROADCAST_ANCHOR_ROWS", 1)
-    assert run(spark, texts, names, len(names)) == want            # broadcast key-set filter
+    assert run(spark, texts, NAMES, None) == want                  # windows, one part
     monkeypatch.setattr(C, "BROADCAST_KEY_ROWS", 1)
-    assert run(spark, texts, names, len(names)) == want            # shuffle, sizes checked
+    assert run(spark, texts, NAMES, None) == want                  # windows, a part for each key
+    posts = make_posts(spark, texts, scope="S")
+    nd = spark.createDataFrame([("S", n) for n in NAMES], "scope string, name string")
+    sized = contains_join(posts, nd, None, (), lambda tl, c: F.struct(F.length(tl).alias("n")))
+    assert {(r.post_id, r.name, r.x.n) for r in sized.collect()} == {(i, n, len(texts[i - 1])) for i, n in want}
+
+
+@pytest.mark.parametrize("limit", [200_000, 1])
+def test_counters_from_windows_are_those_of_the_text(spark, monkeypatch, limit):
+    import vocalis.operators.containment as C
+    from vocalis.operators import proximity as X
+    p = EP.with_(role_keywords=("bab", "aaa"), rival_keywords=("bbb",), context_words=("abab", "b b"), scopes=("ab",),
+                 scope_variants={}, role_window=7, scope_window=11)
+    texts = [*random_texts(5, 40), "aa aa aa aa", "ab ba" * 400]
+    posts = make_posts(spark, texts, scope="ab")
+    nd = spark.createDataFrame([("ab", n) for n in NAMES], "scope string, name string")
+    cols = ["post_id", "name", "occ", "role_hits", "rival_hits", "role_scope_hits", "context_score"]
+    want = sorted(map(tuple, X.pair_stats_join(posts, nd, 2, p).select(*cols).collect()))
+    monkeypatch.setattr(C, "BROADCAST_KEY_ROWS", limit)
+    got = sorted(map(tuple, X.window_stats_join(posts, nd, p).select(*cols).collect()))
+    assert got == want and sum(r[3] > 0 for r in got) > 5 and sum(r[4] > 0 for r in got) > 5
+
+
+@pytest.mark.parametrize("run_rows", [1_000, 2])
+def test_supplied_names_beyond_the_limit(spark, monkeypatch, run_rows):
+    import vocalis.operators.containment as C
+    monkeypatch.setattr(C, "RUN_CANDIDATES", run_rows)
+    names = ["a", "ab", "bab", "abab b", " ", "zzz", "AB ", "a.b", ""]
+    texts = [*random_texts(7), None, "", "a.b", "z"]
+    posts = make_posts(spark, texts, scope="S")
+    want = {(i + 1, n) for i, t in enumerate(texts) for n in names if n and n.lower() in (t or "").lower()}
+    nd = spark.createDataFrame([(n,) for n in names], "name string")
+    for rows in (0, 100):
+        got = contains_join_small(posts, nd, broadcast_rows=rows)
+        assert {(r.post_id, r.name) for r in got.collect()} == want
+    scoped = spark.createDataFrame([("S", "ab"), ("T", "ba")], "scope string, name string")
+    got = contains_join_small(posts, scoped, broadcast_rows=0)
+    assert {r.name for r in got.collect()} == {"ab"}
 
 
 def test_anchor_keys(spark):

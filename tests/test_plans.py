@@ -31,6 +31,44 @@ def test_fused_contains_join_has_no_shuffle(spark):
     assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
+def exchanged(df) -> list[set[str]]:
+    """The columns of every shuffle of a plan."""
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.initialPlan())
+            continue
+        out = node.output()
+        if node.nodeName() == "Exchange":
+            found.append({out.apply(i).name() for i in range(out.size())})
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_no_text_is_shuffled_beyond_the_broadcast_limits(spark, monkeypatch):
+    from vocalis.operators import containment as C
+    from vocalis.operators import proximity as X
+    monkeypatch.setattr(C, "BROADCAST_ANCHOR_ROWS", 1)
+    monkeypatch.setattr(C, "BROADCAST_KEY_ROWS", 1)
+    p = driver_params()
+    posts = posts_view(spark, SF).filter(F.col("scope").isin(list(p.scopes)))
+    names = spark.createDataFrame([("en", "Apache License"), ("de", "Stteen Erachtz")], "scope string, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [exchanged(df) for df in (X.pair_stats_join(posts, names, None, p), C.contains_join(posts, names))]
+        carrying = [c for c in exchanged(C.contains_join_small(posts, names.select("name"), broadcast_rows=0))
+                    if c & {"text", "tl"}]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for columns in shuffles:
+        assert any({"before", "after"} <= c for c in columns)
+        assert not any(c & {"text", "tl", "pieces"} for c in columns)
+    # the text meets the candidates in one join, without an explode before it
+    assert len(carrying) <= 1 and not any("key" in c or "cands" in c for c in carrying)
+
+
 def test_topk_windows_use_group_limit(spark):
     from vocalis.operators import profile as prof
     ep = spark.createDataFrame([("en", "A B", 1, "the words here")],

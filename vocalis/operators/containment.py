@@ -4,25 +4,21 @@
 A name has at least two words of at least two characters, so every text that
 contains it also contains the *anchor* around the name's first space: the 3
 characters on each side when both neighbouring words have 3 or more ("apache
-license" -> "che lic"), else 2 ("al gore" -> "al go").  The plan is:
-
-1. ``keys``: per post, the distinct space-centred 5- and 7-character
-   windows, exploded with **ids only** ``(post_id, scope, key)`` -- the text
-   is never copied into the exploded rows;
-2. ``keys`` equi-join ``anchors`` on ``(scope, key)`` -> candidate pairs.
-   The anchor side is broadcast only when its row count is under a checked
-   limit (the probe then happens in the scan stage and the keys never
-   shuffle); above it, the distinct anchor-key set is broadcast as a
-   semi-join filter when *it* is under a checked limit, so only keys that
-   can match reach the shuffle; otherwise both sides shuffle on
-   ``(scope, key)``;
-3. broadcast tier: the probe, the ``instr`` verification and the per-pair
-   work happen in the scan stage itself (the explode references the post
-   text without copying it in whole-stage codegen; only matches are
-   materialised).  Shuffle tiers: candidates are grouped per post, joined
-   with the post text **once**, and verified row-locally with
-   ``filter(cands, c -> instr(tl, c.nl) > 0)``; per-pair work is a
-   ``transform`` over the verified names in the same row.
+license" -> "che lic"), else 2 ("al gore" -> "al go").  No text goes through
+an exchange, whatever the number of names:
+
+* up to ``BROADCAST_ANCHOR_ROWS`` names the anchors are broadcast.  The probe,
+  the ``instr`` verification and the per-pair work happen in the scan stage
+  (``fused_join``): the explode references the post text without copying it
+  in whole-stage codegen, and only matches are materialised.
+* beyond that, ``occurrences`` broadcasts the distinct anchor *keys* instead,
+  in parts of ``BROADCAST_KEY_ROWS``, each part a scan of its own.  A place of
+  a text whose key is in the part leaves the scan as ids, per-post fields and
+  the characters around it, which are bounded by the longest name and the
+  asked margin.  These windows meet the names on ``(scope, key)``, and a name
+  is verified inside its window.  One verified row is one occurrence.
+* work that needs the whole text per pair (``pair_fn``) runs as fused joins
+  over parts of the names.
 
 The result equals the nested-loop join (checked in the tests).
 """
@@ -30,6 +26,7 @@ The result equals the nested-loop join (checked in the tests).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +37,8 @@ from ..functions.text import col_
 BROADCAST_ANCHOR_ROWS = 200_000
 # Distinct (scope, key) rows: ~30 bytes each.  1M rows ~ 30 MB.
 BROADCAST_KEY_ROWS = 1_000_000
-# A post's candidates are verified in so many rows in the shuffle tiers.
-CANDIDATE_RUNS = 8
+# Candidates of a post that are verified in one row, about.
+RUN_CANDIDATES = 1_000
 
 TEXT_KEYS_RE_2 = r"(?s)(?=([^ ]{2} [^ ]{2}))"
 TEXT_KEYS_RE_3 = r"(?s)(?=([^ ]{3} [^ ]{3}))"
@@ -88,24 +85,33 @@ def anchors_of(names: DataFrame) -> DataFrame:
                  .withColumn("key", anchor_key("nl")))
 
 
-def candidate_pairs(posts: DataFrame, names: DataFrame, name_rows: int,
-                    narrow: bool = True, wide: bool = True) -> DataFrame:
-    """Candidate ``(post_id, scope, name, nl)`` pairs sharing the anchor key,
-    for the shuffle tiers (see ``contains_join``).  Only keys that some anchor
-    has reach the shuffle."""
-    keys = posts.select("post_id", "scope",
-                        F.explode(text_keys(F.lower("text"), narrow, wide)).alias("key"))
-    anchors = anchors_of(names)
-    if name_rows <= BROADCAST_ANCHOR_ROWS:
-        anchors = F.broadcast(anchors)
-    else:
-        key_set = anchors.select("scope", "key").distinct()
-        if key_set.count() <= BROADCAST_KEY_ROWS:
-            keys = keys.join(F.broadcast(key_set), ["scope", "key"], "left_semi")
-    return keys.join(anchors, ["scope", "key"]).select("post_id", "scope", "name", "nl")
+PairFn = Callable[[Column, Column], Column]
 
 
-PairFn = Callable[[Column, Column], Column]
+def fused_join(posts: DataFrame, names: DataFrame, narrow: bool, wide: bool, post_columns=("platform",),
+               pair_fn: PairFn | None = None,
+               post_fn: Callable[[Column, Column], dict[str, Column]] | None = None) -> DataFrame:
+    """The join in the scan stage, for a broadcast name table."""
+    tl = F.col("tl")
+    base = spread(posts).select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
+    keyed = base.select(*base.columns, F.explode(text_keys(tl, narrow, wide)).alias("key"))
+    anchors = F.broadcast(anchors_of(names))
+    j = keyed.join(anchors, (keyed.scope == anchors.scope) & (keyed.key == anchors.key)
+                   & (F.instr(keyed.tl, anchors.nl) > 0)).drop(anchors.scope).drop("key")
+    extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
+    cols = ["post_id", "scope", *post_columns, *[v.alias(k) for k, v in extra.items()], "name", "nl"]
+    if pair_fn is not None:
+        cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
+    return j.select(*cols)
+
+
+def in_parts(df: DataFrame, rows: int, most: int, *keys: str) -> list[DataFrame]:
+    """``df`` dealt by a hash of ``keys`` into parts of about ``most`` rows."""
+    n = max(1, -(-rows // most))
+    if n == 1:
+        return [df]
+    part = F.pmod(F.xxhash64(*keys), F.lit(n))
+    return [df.filter(part == k) for k in range(n)]
 
 
 def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = None,
@@ -117,87 +123,129 @@ def contains_join(posts: DataFrame, names: DataFrame, name_rows: int | None = No
 
     ``pair_fn(tl, cand)`` (``cand`` a struct with ``name``, ``nl``) returns a
     struct of per-pair fields computed from the text (column ``x``);
-    ``post_fn(tl, scope)`` returns per-post fields.
-
-    Three tiers, each behind a size check on ``name_rows``:
-
-    * names <= ``BROADCAST_ANCHOR_ROWS``: **fused in the scan stage** -- the
-      text keys are exploded next to the (referenced, not copied) post text,
-      probed against the broadcast anchors with the ``instr`` verification in
-      the join condition, and the per-pair work runs on the matches; no
-      exchange at all, the text is read once and never shuffled;
-    * else distinct anchor keys <= ``BROADCAST_KEY_ROWS``: the key set is
-      broadcast as a semi-join filter before the shuffle join on the key;
-    * else both sides shuffle on ``(scope, key)``.
-
-    In the shuffle tiers candidates are grouped per post, joined with the
-    text once per post and verified row-locally.
+    ``post_fn(tl, scope)`` returns per-post fields.  ``names`` has distinct
+    ``(scope, name)``.
     """
-    tl = F.col("tl")
     counted, narrow, wide = anchor_sizes(names)
     name_rows = counted if name_rows is None else name_rows
     if name_rows <= BROADCAST_ANCHOR_ROWS:
-        base = spread(posts).select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
-        keyed = base.select(*base.columns, F.explode(text_keys(tl, narrow, wide)).alias("key"))
-        anchors = F.broadcast(anchors_of(names))
-        j = keyed.join(anchors, (keyed.scope == anchors.scope) & (keyed.key == anchors.key)
-                       & (F.instr(keyed.tl, anchors.nl) > 0)).drop(anchors.scope).drop("key")
-        extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
-        cols = ["post_id", "scope", *post_columns, *[v.alias(k) for k, v in extra.items()],
-                "name", "nl"]
-        if pair_fn is not None:
-            cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
-        return j.select(*cols)
-
-    cand = candidate_pairs(posts, names, name_rows, narrow, wide)
-    # candidates in runs, so a long post with common keys is no single wide row
-    run = F.pmod(F.xxhash64("name"), F.lit(CANDIDATE_RUNS))
-    per_post = (cand.groupBy("post_id", run.alias("_run"))
-                .agg(F.collect_list(F.struct("name", "nl")).alias("cands")).drop("_run"))
-    texts = posts.select("post_id", "scope", F.lower("text").alias("tl"), *post_columns)
-    j = per_post.join(texts, "post_id")
-    hits = F.filter("cands", lambda c: F.instr(tl, c["nl"]) > 0)
+        return fused_join(posts, names, narrow, wide, post_columns, pair_fn, post_fn)
     if pair_fn is not None:
-        hits = F.transform(hits, lambda c: F.struct(c["name"].alias("name"), c["nl"].alias("nl"),
-                                                    pair_fn(tl, c).alias("x")))
+        parts = in_parts(names, name_rows, BROADCAST_ANCHOR_ROWS, "scope", "name")
+        return reduce(DataFrame.unionByName, (
+            fused_join(posts, part, narrow, wide, post_columns, pair_fn, post_fn) for part in parts))
+    found = occurrences(posts, names, 0, post_columns, post_fn)
+    fields = [c for c in found.columns if c not in ("before", "after", "lead")]
+    return found.select(*fields).distinct()
+
+
+def occurrences(posts: DataFrame, names: DataFrame, margin: int, post_columns=("platform",),
+                post_fn: Callable[[Column, Column], dict[str, Column]] | None = None) -> DataFrame:
+    """One row per occurrence of a name: ``(post_id, scope, *post_columns, *post
+    fields, name, nl, lead, before, after)``.  ``before`` and ``after`` are the
+    text around the name's first space, ``lead`` the characters of the name
+    before it; both reach at least ``margin`` characters beyond the name,
+    where the text does."""
+    anchors = anchors_of(names).withColumn("lead", F.instr("nl", " ") - 1)
+    sizes = anchors.agg(F.max("lead").alias("lead"), F.max(F.length("nl") - F.col("lead")).alias("rest"),
+                        F.max(F.length("key") < 7).alias("narrow"), F.max(F.length("key") >= 7).alias("wide")).first()
+    before, after = (sizes["lead"] or 0) + margin, (sizes["rest"] or 1) + margin
+    tl = F.col("tl")
     extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
-    out = j.select("post_id", "scope", *post_columns,
-                   *[v.alias(k) for k, v in extra.items()],
-                   F.explode(hits).alias("h"))
-    fields = [F.col("h.name").alias("name"), F.col("h.nl").alias("nl")]
-    if pair_fn is not None:
-        fields.append(F.col("h.x").alias("x"))
-    return out.select("post_id", "scope", *post_columns, *extra.keys(), *fields)
+    # each piece but the first begins with a space; a piece has a character or
+    # more, so ``before`` pieces hold ``before`` characters
+    base = posts.select("post_id", "scope", *post_columns, F.lower("text").alias("tl"))
+    base = base.select("post_id", "scope", *post_columns, *[v.alias(k) for k, v in extra.items()],
+                       F.split(tl, "(?= )", -1).alias("pieces"))
+
+    def keys_at(i):
+        """The anchors around the space that piece i begins with."""
+        left, right = F.get("pieces", i - 1), F.get("pieces", i)
+        def key(width):
+            k = F.concat(F.right(left, F.lit(width)), F.left(right, F.lit(width + 1)))
+            return F.when((F.length(k) == 2 * width + 1) & (F.instr(F.substring(k, width + 2, width), " ") == 0)
+                          & (F.instr(F.substring(k, 1, width), " ") == 0), k)
+        widths = [w for w, want in ((2, sizes["narrow"]), (3, sizes["wide"])) if want]
+        return F.array(*[F.struct(i.alias("at"), key(w).alias("key")) for w in widths])
+
+    places = F.flatten(F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), keys_at))
+    placed = base.filter(F.size("pieces") > 1).select(*base.columns, F.explode(places).alias("_p"))
+    placed = placed.select(*base.columns, "_p.at", "_p.key").filter("key IS NOT NULL")
+    keys = anchors.select("scope", "key").distinct()
+    at = F.col("at")
+    windows = [
+        placed.join(F.broadcast(part), ["scope", "key"], "left_semi").select(
+            "post_id", "scope", *post_columns, *extra, "key",
+            F.right(F.array_join(F.slice("pieces", F.greatest(F.lit(1), at + 1 - before), F.least(at, F.lit(before))), ""),
+                    F.lit(before)).alias("before"),
+            F.left(F.array_join(F.slice("pieces", at + 1, F.lit(after)), ""), F.lit(after)).alias("after"))
+        for part in in_parts(keys, keys.count(), BROADCAST_KEY_ROWS, "scope", "key")]
+    found = reduce(DataFrame.unionByName, windows).join(anchors, ["scope", "key"])
+    name = F.concat(F.right("before", F.col("lead")), F.left("after", F.length("nl") - F.col("lead")))
+    return found.filter(name == F.col("nl")).select(
+        "post_id", "scope", *post_columns, *extra, "name", "nl", "lead", "before", "after")
+
+
+def around(radius: int) -> Column:
+    """The text of an occurrence with ``radius`` characters on each side."""
+    return F.concat(F.right("before", F.col("lead") + radius),
+                    F.left("after", F.length("nl") - F.col("lead") + radius))
 
 
 def contains_join_small(posts: DataFrame, names: DataFrame, pair_fn: PairFn | None = None,
-                        post_fn: Callable[[Column, Column], dict[str, Column]] | None = None
-                        ) -> DataFrame:
+                        post_fn: Callable[[Column, Column], dict[str, Column]] | None = None,
+                        broadcast_rows: int | None = None) -> DataFrame:
     """For user-supplied names of any form and number (single words allowed,
-    so no anchor around a space): a name's first ``min(3, length)`` characters
-    are its key, joined with the distinct windows of these lengths of the
-    text; a match is verified with ``instr``.  ``names`` has ``name`` and
-    optionally ``scope`` (then a name only matches posts of its scope).  The
-    names are counted and broadcast up to ``BROADCAST_ANCHOR_ROWS``, beyond
-    that both sides shuffle on the key.  Output as ``contains_join``:
-    ``(post_id, scope, platform, [post fields], name, nl[, x])``."""
+    so no anchor around a space).  ``names`` has ``name`` and optionally
+    ``scope`` (then a name only matches posts of its scope).  Output as
+    ``contains_join``: ``(post_id, scope, platform, [post fields], name, nl[, x])``.
+
+    Up to ``broadcast_rows`` (``BROADCAST_ANCHOR_ROWS``) names a name's first ``min(3, length)``
+    characters are its key, probed in the scan stage.  Beyond that the texts'
+    distinct windows of these lengths become postings of ids, a name's key is
+    its rarest window by their counts, and the texts join the verified-to-be
+    candidates once, a post's candidates in rows of about ``RUN_CANDIDATES``.
+    """
     has_scope = "scope" in names.columns
     nl = F.lower("name")
     heads = (names.filter(F.length("name") > 0)
              .select("name", nl.alias("nl"), F.substring(nl, 1, 3).alias("key"),
                      (F.col("scope") if has_scope else F.lit(None).cast("string")).alias("_of")).distinct())
     n_rows, widths = heads.agg(F.count(F.lit(1)), F.collect_set(F.length("key"))).first()
-    if n_rows <= BROADCAST_ANCHOR_ROWS:
-        heads = F.broadcast(heads)
     tl = F.col("tl")
-    base = spread(posts).select("post_id", "scope", "platform", F.lower("text").alias("tl"))
-    windows = [F.regexp_extract_all(tl, F.lit(rf"(?s)(?=(.{{{w}}}))"), 1) for w in sorted(widths)]
-    keys = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
-    keyed = base.select(*base.columns, F.explode(keys).alias("key"))
-    j = keyed.join(heads, "key").filter((F.instr(tl, F.col("nl")) > 0)
-                                        & (F.col("_of").isNull() | (F.col("_of") == F.col("scope"))))
+    base = posts.select("post_id", "scope", "platform", F.lower("text").alias("tl"))
+
+    def windows(t: Column) -> Column:
+        cut = [F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{w}}}))"), 1) for w in sorted(widths)]
+        return F.array_distinct(F.concat(*cut)) if cut else F.array().cast("array<string>")
+
+    matches = lambda n: F.instr(tl, n) > 0
     extra = post_fn(tl, F.col("scope")) if post_fn is not None else {}
     cols = ["post_id", "scope", "platform", *[v.alias(k) for k, v in extra.items()], "name", "nl"]
     if pair_fn is not None:
         cols.append(pair_fn(tl, F.struct("name", "nl")).alias("x"))
-    return j.select(*cols)
+    if n_rows <= (BROADCAST_ANCHOR_ROWS if broadcast_rows is None else broadcast_rows):
+        base = spread(posts).select("post_id", "scope", "platform", F.lower("text").alias("tl"))
+        keyed = base.select(*base.columns, F.explode(windows(tl)).alias("key"))
+        j = keyed.join(F.broadcast(heads), "key").filter(
+            matches(F.col("nl")) & (F.col("_of").isNull() | (F.col("_of") == F.col("scope"))))
+        return j.select(*cols)
+
+    postings = posts.select("post_id", "scope", F.explode(windows(F.lower("text"))).alias("key"))
+    counts = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # every window of a name, and the rarest one; a window that no text has
+    # leaves the name without candidates
+    own = heads.select("name", "nl", "_of", F.explode(F.array_distinct(F.regexp_extract_all(
+        "nl", F.concat(F.lit("(?s)(?=(.{"), F.length("key").cast("string"), F.lit("}))")), F.lit(1)))).alias("key"))
+    rarest = (own.join(counts, "key", "left").groupBy("name", "nl", "_of")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("key").alias("key"))).alias("_k"))
+              .filter("_k.n > 0").select("name", "nl", "_of", F.col("_k.key").alias("key")))
+    cand = postings.join(rarest, "key").filter(
+        F.col("_of").isNull() | (F.col("_of") == F.col("scope"))).select("post_id", "name", "nl")
+    per_post = cand.groupBy("post_id").agg(F.ceil(F.count(F.lit(1)) / RUN_CANDIDATES).alias("_runs"))
+    runs = (cand.join(per_post, "post_id")
+            .groupBy("post_id", F.pmod(F.xxhash64("name"), F.col("_runs")).alias("_run"))
+            .agg(F.collect_list(F.struct("name", "nl")).alias("cands")))
+    j = runs.join(base, "post_id").select(
+        *base.columns, F.explode(F.filter("cands", lambda c: matches(c["nl"]))).alias("_h"))
+    return j.select(*base.columns, "_h.name", "_h.nl").select(*cols)

@@ -9,7 +9,8 @@ intermediate results are written to the reliable checkpoint folder (names,
 pair stats, merge state) because each is reused several times.  The text is
 scanned twice: once for the name regex, once for the anchor probe, which up
 to ``BROADCAST_ANCHOR_ROWS`` names is fused with the verification and the
-window counters in the scan stage (no text shuffle).
+window counters in the scan stage, and beyond that ships the characters around
+anchor hits (no text shuffle either way).
 """
 
 from __future__ import annotations
@@ -124,15 +125,17 @@ def stage_funnel(d: Discovery) -> DataFrame:
 
 
 # ENT-16 ---------------------------------------------------------------------
-def role_detection(posts: DataFrame, supplied: DataFrame, p: Params) -> DataFrame:
+def role_detection(posts: DataFrame, supplied: DataFrame, p: Params,
+                   broadcast_rows: int | None = None) -> DataFrame:
     """Role / rival hits of supplied ``(scope, name)`` rows and a verdict;
-    rows with no hit of either kind are hidden."""
+    rows with no hit of either kind are hidden.  Beyond ``broadcast_rows``
+    names the join goes through postings (``contains_join_small``)."""
     from .proximity import pair_counters, scope_variants_col
 
     def pair_fn(tl, c):
         return pair_counters(tl, c["nl"], scope_variants_col(F.col("scope"), p), p)
 
-    stats = (contains_join_small(scoped_posts(posts, p), supplied, pair_fn=pair_fn)
+    stats = (contains_join_small(scoped_posts(posts, p), supplied, pair_fn=pair_fn, broadcast_rows=broadcast_rows)
              .select("scope", "name", F.col("x.g").alias("role_hits"), F.col("x.r").alias("rival_hits")))
     agg = (stats.groupBy("scope", "name")
            .agg(F.sum("role_hits").alias("role_hits"), F.sum("rival_hits").alias("rival_hits")))

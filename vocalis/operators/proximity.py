@@ -123,7 +123,10 @@ def pair_stats_join(posts: DataFrame, names: DataFrame, name_rows: int | None,
     """JOIN-2 + ENT-8..10: ``(post_id, scope, platform, name, occ, role_hits,
     rival_hits, role_scope_hits, context_score)`` for every (post, name) with
     the name in the post."""
-    from .containment import contains_join
+    from . import containment as C
+
+    if (names.count() if name_rows is None else name_rows) > C.BROADCAST_ANCHOR_ROWS:
+        return window_stats_join(posts, names, p)
 
     def pair_fn(tl, c):
         return pair_counters(tl, c["nl"], scope_variants_col(F.col("scope"), p), p)
@@ -131,12 +134,34 @@ def pair_stats_join(posts: DataFrame, names: DataFrame, name_rows: int | None,
     def post_fn(tl, scope):
         return {"context_score": context_score(tl, scope_variants_col(scope, p), p)}
 
-    j = contains_join(posts, names, name_rows, ("platform",), pair_fn, post_fn)
+    j = C.contains_join(posts, names, name_rows, ("platform",), pair_fn, post_fn)
     return j.select("post_id", "scope", "platform", "name", F.col("x.n").alias("occ"),
                     F.col("x.g").alias("role_hits"), F.col("x.r").alias("rival_hits"),
                     F.col("x.s").alias("role_scope_hits"), "context_score")
 
 
+def window_stats_join(posts: DataFrame, names: DataFrame, p: Params) -> DataFrame:
+    """``pair_stats_join`` for names beyond a broadcast: the counters of an
+    occurrence come from the characters shipped with it, the context score is
+    computed where the text is read."""
+    from .containment import around, occurrences
+
+    def post_fn(tl, scope):
+        return {"context_score": context_score(tl, scope_variants_col(scope, p), p)}
+
+    role = words_lit(dict.fromkeys(p.role_keywords))
+    rival = words_lit(dict.fromkeys(p.rival_keywords))
+    found = occurrences(posts, names, max(p.role_window, p.scope_window), ("platform",), post_fn).select(
+        "post_id", "scope", "platform", "name", "context_score", around(p.role_window).alias("_rw"),
+        around(p.scope_window).alias("_sw"))
+    hit = lambda c: F.sum(c.cast("int")).cast("int")
+    return found.groupBy("post_id", "scope", "platform", "name").agg(
+        F.count(F.lit(1)).cast("int").alias("occ"), hit(_any_in(F.col("_rw"), role)).alias("role_hits"),
+        hit(_any_in(F.col("_rw"), rival)).alias("rival_hits"),
+        hit(_any_in(F.col("_sw"), role) & _any_in(F.col("_sw"), scope_variants_col("scope", p))).alias("role_scope_hits"),
+        F.max("context_score").alias("context_score"))
+
+
 def pair_stats(pairs: DataFrame, p: Params) -> DataFrame:
     """The same counters for pairs that already carry ``tl``, ``nl``, scope."""
     v = scope_variants_col("scope", p)

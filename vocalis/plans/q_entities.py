@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.containment import contains_join
 from ..operators.entities import role_detection, stage_funnel
 from ..operators.mentions import NAME_RE, extract_mentions
-from ..operators.proximity import occurrence_count
+from ..operators.proximity import occurrence_count, window_stats_join
 from ..operators.variants import inclusion_edges, word_set
 from . import oracle as O
 from .catalog import P, discovery, joined, posts, register
@@ -138,6 +138,19 @@ def ent9_proximity(spark, sf):
                             ("occ", "role_hits", "rival_hits", "role_scope_hits", "context_score")])
 
 
+# the same counters from the characters around anchor hits, the way of more names than a broadcast holds
+@register("ent9_from_windows", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
+SELECT post_id, scope, name, occ::BIGINT AS occ, role_hits::BIGINT AS role_hits,
+       rival_hits::BIGINT AS rival_hits, role_scope_hits::BIGINT AS role_scope_hits,
+       context_score::BIGINT AS context_score
+FROM pair_stats""")
+def ent9_from_windows(spark, sf):
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    found = window_stats_join(ps, discovery(spark, sf).names, P)
+    return found.select("post_id", "scope", "name", *[F.col(c).cast("long").alias(c) for c in (
+        "occ", "role_hits", "rival_hits", "role_scope_hits", "context_score")])
+
+
 @register("ent10_context", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT scope, name, context_score FROM name_stats""")
 def ent10_context(spark, sf):
@@ -229,6 +242,26 @@ def ent16_roles(spark, sf):
         F.col("rival_hits").cast("long").alias("rival_hits"), "verdict")
 
 
+# ENT-16 through postings: every discovered name and its words, in any scope -------------------
+@register("ent16_many_names", f"""WITH RECURSIVE {O.mention_ctes(P)},
+sup AS (SELECT DISTINCT unnest(list_concat([lower(name)], string_split(lower(name), ' '))) AS nl FROM names),
+pr AS (SELECT ps.post_id, ps.scope, nl AS name, lower(ps.text) AS tl, nl
+       FROM posts ps JOIN sup ON contains(lower(ps.text), nl)),
+occ(post_id, scope, name, tl, nl, pos) AS (
+        SELECT post_id, scope, name, tl, nl, instr(tl, nl) FROM pr
+        UNION ALL
+        SELECT post_id, scope, name, tl, nl, pos + instr(substr(tl, pos + 1), nl)
+        FROM occ WHERE instr(substr(tl, pos + 1), nl) > 0),
+""" + _ROLE_SQL[_ROLE_SQL.index("win AS"):])
+def ent16_many_names(spark, sf):
+    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    words = F.concat(F.array(F.lower("name")), F.split(F.lower("name"), " "))
+    names = discovery(spark, sf).names.select(F.explode(words).alias("name")).distinct()
+    return role_detection(ps, names, P, broadcast_rows=0).select(
+        "scope", "name", F.col("role_hits").cast("long").alias("role_hits"),
+        F.col("rival_hits").cast("long").alias("rival_hits"), "verdict")
+
+
 # ENT-4 (optional column): up to 3 context snippets per name ---------------------------------
 @register("ent4_contexts", "WITH " + O.mention_ctes(P) + """,
 ranked AS (
