@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import cases
@@ -111,3 +112,26 @@ def test_columns_round_trip(spark, reference):
     assert len(both) == docs.count() and all(x.decoded == (x.text or "") and x.score == 1 for x in both)
     assert all(x.ids == reference.encode(x.text or "", add_special_tokens=False).ids for x in both)
     assert bpe.encoded(cases.frame(spark, [])).count() == 0
+
+
+def test_pair_ranks_find_and_rule_out(tables):
+    keys = list(zip(tables.left.tolist(), tables.right.tolist()))
+    first = {}
+    for i, k in enumerate(keys):
+        first.setdefault(k, i)
+    rng = random.Random(3)
+    asked = keys[::97] + [(b, a) for a, b in keys[::89]] + [(rng.randrange(60_000), rng.randrange(60_000)) for _ in range(3_000)]
+    left, right = (np.array(x, np.int64) for x in zip(*asked))
+    assert tables.pairs.of(left, right).tolist() == [first.get(k, len(keys)) for k in asked]
+
+
+def test_frequent_pieces_stay_when_the_table_is_full(tables, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 60)
+    e, whole = bpe.Encoder(tables), bpe.Encoder(tables)
+    rng = random.Random(5)
+    for k in range(30):
+        text = " ".join(["always", "the", "same"] + [f"word{rng.randrange(10_000)}x{k}" for _ in range(40)])
+        ids, _ = e.encode_batch([text])
+        assert ids.tolist() == whole.encode(text)
+        assert " same" in e.known.number and len(e.known.number) < 60 + 500
+    assert len(whole.known.number) <= 60 + 500

@@ -15,7 +15,8 @@ chunks and emits a token as soon as no later character can change it:
 So the state is a bounded buffer whatever the length of the text.  Short
 pieces come in large numbers: the unknown ones of a batch are merged together
 (``merge_words``, one vector step per merge round) and kept in a bounded
-dictionary per worker process.
+table per worker process, which lets go of those that came up in one batch
+only.  The ids of a batch are one gather from that table.
 
 Decoding.  ``Decoder`` turns ids to bytes and bytes to text with an
 incremental UTF-8 state machine; bytes that are no UTF-8 become U+FFFD.
@@ -32,6 +33,7 @@ import codecs
 import hashlib
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -62,6 +64,49 @@ def byte_letters() -> dict[str, int]:
     return table
 
 
+class PairRanks:
+    """Ranks of pairs of ids: an open hash table in arrays, sparse enough that
+    a few vector steps find or rule out every pair."""
+
+    def __init__(self, keys: np.ndarray):
+        self.none = len(keys)
+        bits = max(4, int(len(keys) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.full((1 << bits) + 1, -1, np.int64)
+        self.ranks = np.full((1 << bits) + 1, self.none, np.int64)
+        # the first of equal keys has the smaller rank
+        todo, rank = np.unique(keys, return_index=True)
+        slot, self.probes = self._slot(todo), 0
+        while len(todo):
+            self.probes += 1
+            free = self.keys[slot] == -1
+            _, first = np.unique(slot, return_index=True)
+            take = np.zeros(len(todo), bool)
+            take[first] = True
+            take &= free
+            self.keys[slot[take]], self.ranks[slot[take]] = todo[take], rank[take]
+            todo, rank, slot = todo[~take], rank[~take], (slot[~take] + 1) % (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``none`` for pairs that do not merge."""
+        keys = left << 32 | right
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.ranks[slot], self.none)
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != -1))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) % (len(self.keys) - 1)
+            have = self.keys[slot[open_]]
+            hit = have == keys[open_]
+            out[open_[hit]] = self.ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (have != -1)]
+        return out
+
+
 class Tables:
     """The merge list and the vocabulary as arrays; a few MB, the same for any corpus."""
 
@@ -87,9 +132,7 @@ class Tables:
         self.left = np.array([vocab[a] for a, _ in pairs], np.int64)
         self.right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        keys = self.left << 32 | self.right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order
+        self.pairs = PairRanks(self.left << 32 | self.right)
         self.lengths = np.array([len(r) for r in raw], np.int64)
         self.lookahead = sufficient_lookahead(self.left, self.right, self.made, self.lengths)
 
@@ -144,59 +187,110 @@ def merge_long(data: bytes, tables: Tables, ranks: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge_words(words: list[bytes], tables: Tables) -> list[tuple[int, ...]]:
+def merge_words(words: list[bytes], tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Merge many short pieces at once: in each round every piece applies its
-    earliest merge at all its places, from the left, without overlap."""
-    out: list = [()] * len(words)
+    earliest merge at all its places, from the left, without overlap; only
+    pairs next to a merge are looked up again.  The ids of all pieces, and
+    their number for each."""
+    counts = np.zeros(len(words), np.int64)
     lens = np.array([len(w) for w in words], np.int64)
     ids = tables.byte_id[np.frombuffer(b"".join(words), np.uint8)]
     who = np.flatnonzero(lens)
     lens = lens[who]
-    never = len(tables.rank)
-    last = len(tables.keys) - 1
+    never = tables.pairs.none
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    rank = np.full(len(ids), never, np.int64)
+    if len(ids):
+        rank[:-1] = tables.pairs.of(ids[:-1], ids[1:])
+        rank[np.cumsum(lens) - 1] = never
     while len(who):
         starts = np.cumsum(lens) - lens
-        key = ids[:-1] << 32 | ids[1:]
-        at = np.minimum(np.searchsorted(tables.keys, key), max(last, 0))
-        rank = np.full(len(ids), never, np.int64)
-        if last >= 0:
-            rank[:-1] = np.where(tables.keys[at] == key, tables.rank[at], never)
-        rank[starts + lens - 1] = never
         best = np.minimum.reduceat(rank, starts)
         done = best == never
         if done.any():
-            for k in np.flatnonzero(done).tolist():
-                s = starts[k]
-                out[who[k]] = tuple(ids[s:s + lens[k]].tolist())
             keep = np.repeat(~done, lens)
+            counts[who[done]] = lens[done]
+            parts.append((who[done], ids[~keep]))
             ids, rank = ids[keep], rank[keep]
             who, lens, best = who[~done], lens[~done], best[~done]
             if not len(who):
                 break
-        word = np.repeat(np.arange(len(lens)), lens)
-        hit = rank == best[word]
-        places = np.flatnonzero(hit)
+        places = np.flatnonzero(rank == np.repeat(best, lens))
         # in a run of one letter pairs overlap: every other one, from its start
-        fresh = np.ones(len(places), bool)
-        fresh[1:] = places[1:] != places[:-1] + 1
-        first = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        places = places[(places - first) % 2 == 0]
-        ids = ids.copy()
+        near = places[1:] == places[:-1] + 1
+        if near.any():
+            fresh = np.append(True, ~near)
+            first = places[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            places = places[(places - first) % 2 == 0]
+        ends = np.cumsum(lens)
         ids[places] = tables.made[rank[places]]
         keep = np.ones(len(ids), bool)
         keep[places + 1] = False
-        lens = lens - np.bincount(word[places], minlength=len(lens))
-        ids = ids[keep]
-    return out
+        word = np.searchsorted(ends, places, side="right")
+        lens = lens - np.bincount(word, minlength=len(lens))
+        at = np.cumsum(keep)[places] - 1              # where the merged ones stand now
+        ids, rank = ids[keep], rank[keep]
+        ends = np.cumsum(lens)
+        touched = np.concatenate([at, at[at > 0] - 1])
+        rank[touched] = never
+        inside = touched[touched + 1 < len(ids)]
+        rank[inside] = tables.pairs.of(ids[inside], ids[inside + 1])
+        rank[ends - 1] = never
+    if not parts:
+        return np.zeros(0, np.int64), counts
+    # back into the order of the pieces
+    begin = np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), np.int64)
+    for who, some in parts:
+        n = counts[who]
+        flat[np.repeat(begin[who] - (np.cumsum(n) - n), n) + np.arange(len(some))] = some
+    return flat, counts
+
+
+class Known:
+    """Pieces with their ids: a number for each piece, and the ids of all in
+    one array.  Beyond ``KEPT_PIECES`` those seen in one batch only go."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.batches: Counter = Counter()
+        self.flat = np.zeros(0, np.int32)
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+
+    def add(self, pieces: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.begin)
+        self.number.update(zip(pieces, range(n, n + len(pieces))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def used(self, pieces) -> None:
+        """A batch has these pieces."""
+        self.batches.update(pieces)
+        if len(self.number) > KEPT_PIECES:
+            stay = [p for p in self.number if self.batches[p] > 1][:KEPT_PIECES // 2]
+            numbers = np.array([self.number[p] for p in stay], np.int64)
+            flat, counts = self.ids_of(numbers)
+            # what stays starts over, half as much ahead
+            batches = Counter({p: self.batches[p] // 2 for p in stay})
+            self.__init__()
+            self.add(stay, flat, counts)
+            self.batches = batches
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces, one after another, and their number for each."""
+        n = self.count[numbers]
+        return self.flat[np.repeat(self.begin[numbers] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
 class Encoder:
     """Text in chunks to ids: ``feed`` each chunk, ``finish`` at the end."""
 
-    def __init__(self, tables: Tables, known: dict | None = None):
+    def __init__(self, tables: Tables):
         import regex
         self.t = tables
-        self.known = {} if known is None else known
+        self.known = Known()
         self.ranks = {(a, b): i for i, (a, b) in
                       enumerate(zip(tables.left.tolist(), tables.right.tolist()))}
         self.pieces = regex.compile(PIECES)
@@ -216,15 +310,14 @@ class Encoder:
 
     # -- pieces -------------------------------------------------------------
     def learn(self, pieces) -> None:
-        """Merge the unknown short pieces together."""
-        known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        new = [p for p in pieces if p not in known]
+        """Merge the unknown short pieces of a batch together."""
+        self.known.used(pieces)
+        number = self.known.number
+        new = [p for p in pieces if p not in number]
         coded = [p.encode("utf-8", "surrogatepass") for p in new]
         short = [i for i, c in enumerate(coded) if len(c) <= SHORT]
-        for i, ids in zip(short, merge_words([coded[i] for i in short], self.t)):
-            known[new[i]] = ids
+        if short:
+            self.known.add([new[i] for i in short], *merge_words([coded[i] for i in short], self.t))
 
     def _long(self, data: bytes, more: bool) -> tuple[list[int], bytes]:
         """Ids of the settled part of a piece, and the bytes not settled yet."""
@@ -249,14 +342,23 @@ class Encoder:
             if at + window > len(data) and more or not length:
                 return out, data[at:]
 
-    def _piece(self, p: str) -> tuple[int, ...] | list[int]:
-        ids = self.known.get(p)
-        if ids is not None:
-            return ids
+    def _piece(self, p: str) -> list[int]:
+        number = self.known.number.get(p)
+        if number is not None:
+            a = self.known.begin[number]
+            return self.known.flat[a:a + self.known.count[number]].tolist()
         data = p.encode("utf-8", "surrogatepass")
-        return (merge_words([data], self.t)[0] if len(data) <= SHORT
+        return (merge_words([data], self.t)[0].tolist() if len(data) <= SHORT
                 else self._long(data, False)[0])
 
+    def _pieces(self, found: list[str]) -> list[int]:
+        """Ids of pieces; the known ones in one gather."""
+        get = self.known.number.get
+        numbers = np.fromiter((get(p, -1) for p in found), np.int64, len(found))
+        if len(numbers) and numbers.min() >= 0:
+            return self.known.ids_of(numbers)[0].tolist()
+        return list(chain.from_iterable(map(self._piece, found)))
+
     def _segment(self, text: str, closed: bool) -> tuple[list[int], str]:
         """Ids of the settled pieces at the start of ``text``; the rest of it."""
         out: list[int] = []
@@ -282,10 +384,8 @@ class Encoder:
             while found and at + total > len(text) - PIECE_AHEAD:
                 total -= len(found.pop())
         self.learn(set(found))
-        for p in found:
-            out += self._piece(p)
-            ends += len(p)
-        rest = text[ends:]
+        out += self._pieces(found)
+        rest = text[ends + sum(map(len, found)):]
         if not closed and len(rest) > CHUNK:
             m = self.kind.match(rest)
             self.inside = m.lastgroup
@@ -342,15 +442,15 @@ class Encoder:
             if c:
                 fresh.update(c)
         self.learn(fresh)
-        known, parts, counts = self.known, [], np.zeros(len(texts) + 1, np.int64)
+        number, parts, counts = self.known.number, [], np.zeros(len(texts) + 1, np.int64)
         for k, (t, c) in enumerate(zip(texts, cut)):
             if c is None:
                 ids = np.array(self.encode(t), np.int32)
             else:
                 try:
-                    ids = np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.int32)
+                    ids = self.known.ids_of(np.fromiter(map(number.__getitem__, c), np.int64, len(c)))[0]
                 except KeyError:                      # a piece too long to be kept
-                    ids = np.fromiter(chain.from_iterable(map(self._piece, c)), np.int32)
+                    ids = np.array(self._pieces(c), np.int32)
             parts.append(ids)
             counts[k + 1] = len(ids)
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.cumsum(counts)
