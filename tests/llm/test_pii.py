@@ -141,3 +141,24 @@ def test_query_digest_matches_the_brute_force(spark):
         listed = ",".join(f"{k}:{a}:{b}" for k, a, b in by_hand(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert not listed or set(listed.split(",")) <= set(r.spans.split(","))
+
+
+def test_long_texts_full_of_numbers_take_time_in_proportion(spark):
+    import time
+    names = pii.FEATURES
+    tree = (names.index("cue_before"), 0.5, (-1.0,), (names.index("n_digits"), 9.5, (-1.0,), (1.0,)))
+    model = pii.Model({k: [(1.0, tree)] for k in pii.KINDS}, {k: 0.5 for k in pii.KINDS})
+
+    def seconds(n):
+        text = "on 2024-01-02 and 12/11/2023, phone 030 123 45 678 and +49 30 1234567, " * n
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        spans = pii.detect(df, model).first().spans
+        clean = pii.redact(df, model).first().text
+        took = time.time() - began
+        assert clean == "on 2024-01-02 and 12/11/2023, phone [PHONE] and [PHONE], " * n
+        assert [text[s.start:s.end] for s in spans] == ["030 123 45 678", "+49 30 1234567"] * n
+        return took
+
+    seconds(10)
+    assert seconds(8_000) < 8 * max(seconds(800), 1)

@@ -41,6 +41,8 @@ from .common import cut_lineage, documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
 RUN = 256
+#: characters in a chunk of a text, and chunks in a block
+CHUNK, BLOCK = 4096, 256
 #: expected number of documents in the fitting sample, chosen by a hash of the text
 SAMPLE_DOCS = 6000
 #: candidates of a kind in the fitting sample, at most
@@ -113,8 +115,8 @@ def located(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(found) - 1),
-                        lambda i: F.struct(F.get(gaps, i).alias("g"), F.get(found, i).alias("v")))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
+                       lambda g, v: F.struct(g.alias("g"), v.alias("v")))
 
     def fold(part):
         zero = F.struct(F.lit(0).alias("p"),
@@ -125,8 +127,10 @@ def located(text: Column, pattern: str) -> Column:
                                            (a.p + x.g + F.length(x.v)).alias("end"),
                                            x.v.alias("value")))).alias("o")))
 
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")),
-                       lambda k: fold(F.slice(pairs, k * RUN + 1, F.lit(RUN))))
+    # an array of one names the pairs, so that the text is cut once and not for each run
+    runs = F.flatten(F.transform(F.array(pairs), lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")),
+        lambda k: fold(F.slice(x, k * RUN + 1, F.lit(RUN))))))
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("o"))
     offsets = lambda rs: F.aggregate(rs, zero, lambda a, r: F.struct(
         (a.p + r.p).alias("p"), F.concat(a.o, F.array(a.p)).alias("o"))).o
@@ -250,16 +254,58 @@ def rewritten(b: str, text: Column) -> Column:
         placed(s, v, False), placed(s, v, True), placed(s, v, True, "7"))))))
 
 
-def features(c: Column, text: Column) -> list[Column]:
+_PLACED = _SPANS[:-2] + ",before:string,after:string,clear:boolean>>"
+
+
+def chunked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def in_place(found: Column, base: Column, text: Column) -> Column:
+    """Candidates with the ``CONTEXT`` characters before them, the one after
+    them, and whether they are clear of the base spans.
+
+    A cut at an offset walks the text up to it, so the text is cut once into
+    chunks, and the base spans are listed by the chunks they reach into (by
+    blocks of ``BLOCK`` chunks first): a candidate looks at its chunks only.
+    """
+    chunks = chunked(text)
+    reaches = lambda s, lo, hi: (s.start < hi) & (s.end > lo)
+
+    def by_chunk(n: Column) -> Column:
+        wide = BLOCK * CHUNK
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
+                             lambda j: F.filter(base, lambda s: reaches(s, j * wide, (j + 1) * wide)))
+        return F.flatten(F.transform(blocks, lambda spans, j: F.transform(
+            F.sequence(j * BLOCK, F.least(n, (j + 1) * BLOCK) - 1),
+            lambda k: F.filter(spans, lambda s: reaches(s, k * CHUNK, (k + 1) * CHUNK)))))
+
+    def one(c: Column, t: Column) -> Column:
+        at = lambda i: F.floor(i / CHUNK).cast("int")
+        first, last, end = at(c.start), at(c.end - 1), at(c.end)
+        left = F.concat(F.coalesce(F.get(t.chunks, first - 1), F.lit("")),
+                        F.left(F.get(t.chunks, first), c.start - first * CHUNK))
+        near = F.slice(t.spans, first + 1, last - first + 1)
+        return F.struct(*[c[x].alias(x) for x in ("start", "kind_no", "end", "kind", "value")],
+                        F.right(left, F.lit(CONTEXT)).alias("before"),
+                        F.coalesce(F.substring(F.get(t.chunks, end), c.end - end * CHUNK + 1, F.lit(1)),
+                                   F.lit("")).alias("after"),
+                        (~F.exists(near, lambda spans: F.exists(spans, lambda s: reaches(s, c.start, c.end))))
+                        .alias("clear"))
+
+    # arrays of one name the chunks and the lists, so that they are made once
+    named = F.transform(F.array(chunks), lambda x: F.struct(x.alias("chunks"), by_chunk(F.size(x)).alias("spans")))
+    return F.when(F.size(found) > 0, F.flatten(F.transform(named, lambda t: F.transform(found, lambda c: one(c, t))))) \
+        .otherwise(F.array().cast(_PLACED))
+
+
+def features(c: Column, before: Column, after: Column) -> list[Column]:
     """Format and context of one candidate as doubles, in the order of FEATURES."""
     v = c.value
     n, nd = F.length(v), F.length(_digits(v))
     seps = F.regexp_replace(v, "[A-Za-z0-9]", "")
     groups = F.filter(F.split(v, "[^0-9]+"), lambda x: x != "")
     size_at = lambda i: F.coalesce(F.length(F.get(groups, i)), F.lit(0))
-    before = F.substring(text, F.greatest(F.lit(1), c.start - CONTEXT + 1),
-                         F.least(F.lit(CONTEXT), c.start))
-    after = F.substring(text, c.end + 1, F.lit(1))
     count = lambda ch: F.length(v) - F.length(F.replace(v, F.lit(ch), F.lit("")))
     of_kind = lambda f: reduce(lambda a, k: F.when(c.kind == k, f(k)).otherwise(a), KINDS, F.lit(False))
     cue = of_kind(lambda k: before.rlike(CUES[k]))
@@ -324,14 +370,14 @@ def fit(docs: DataFrame) -> Model | None:
            .filter(F.size("c") > 0))
     x = F.col("x")
     hashed = lambda t: F.md5(F.concat(x.value, F.substring(t, 1, 64)))
-    apart = lambda s: (s.end <= x.start) | (x.end <= s.start)
-    found = (one.select("text", "b", F.explode("c").alias("x"))
-             .filter(~F.exists("b", lambda s: ~apart(s)))
-             .select(F.lit(0).alias("made"), x.kind.alias("kind"), F.array(*features(x, text)).alias("f"),
-                     hashed(text).alias("h")))
+    found = (one.select(F.substring("text", 1, 64).alias("t"), in_place(F.col("c"), F.col("b"), text).alias("c"))
+             .select("t", F.explode("c").alias("x")).filter("x.clear")
+             .select(F.lit(0).alias("made"), x.kind.alias("kind"), F.array(*features(x, x.before, x.after)).alias("f"),
+                     hashed(F.col("t")).alias("h")))
     made = (one.select(F.explode(rewritten("b", text)).alias("x"))
-            .select(F.lit(1).alias("made"), x.kind.alias("kind"), F.array(*features(x, x.context)).alias("f"),
-                    hashed(x.context).alias("h")))
+            .select(F.lit(1).alias("made"), x.kind.alias("kind"), F.array(*features(
+                x, F.substring(x.context, F.greatest(F.lit(1), x.start - CONTEXT + 1), F.least(F.lit(CONTEXT), x.start)),
+                F.substring(x.context, x.end + 1, F.lit(1)))).alias("f"), hashed(x.context).alias("h")))
     rows = found.unionByName(made).withColumn("label", wanted(F.col("f")).cast("double"))
     # a wanted candidate of the corpus is what detection is to find: no example
     rows = stored(rows.filter((F.col("made") == 1) | (F.col("label") == 0)), "pii-candidates")
@@ -382,25 +428,32 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None or all(t > 1 for t in model.thresholds.values()):
         return out.withColumn("spans", F.col("base"))
     out = out.withColumn("_c", candidates(text))
-
-    def selected(c):
-        f = features(c, text)
+    # the features of a candidate are an array of its own, made once
+    known = F.transform(F.filter(in_place(F.col("_c"), F.col("base"), text), lambda c: c.clear), lambda c: F.struct(
+        c.start.alias("start"), (-c.end).alias("e"),
+        F.struct(*[c[x].alias(x) for x in ("start", "kind_no", "end", "kind", "value")]).alias("c"),
+        F.array(*features(c, c.before, c.after)).alias("f")))
+
+    def selected(x):
+        f = [F.get(x.f, F.lit(i)) for i in range(len(FEATURES))]
         ok = F.lit(False)
         for kind, t in model.thresholds.items():
             if t <= 1:
-                ok = F.when(c.kind == kind, model.score(kind, f) >= F.lit(t)).otherwise(ok)
+                ok = F.when(x.c.kind == kind, model.score(kind, f) >= F.lit(t)).otherwise(ok)
         return ok
 
-    apart = lambda a, b: (a.end <= b.start) | (b.end <= a.start)
-    new = F.filter(F.col("_c"), lambda c: ~F.exists("base", lambda b: ~apart(b, c)) & selected(c))
-    out = out.withColumn("_n", F.when(F.size("_c") > 0, new).otherwise(
-        F.array().cast(_SPANS)))
-    longest_first = F.array_sort(F.transform("_n", lambda c: F.struct(
-        c.start.alias("start"), (-c.end).alias("e"), c.alias("c"))))
+    longest_first = F.array_sort(F.transform(F.filter(known, selected), lambda x: F.struct(x.start, x.e, x.c)))
+    out = out.withColumn("_n", F.when(F.size("_c") > 0, longest_first).otherwise(
+        F.array().cast(f"array<struct<start:int,e:int,c:{_SPANS[6:-1]}>>")))
+    # from the left, the longest first; in runs, so that no long list is copied for each span
     zero = F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("o"))
-    greedy = F.aggregate(longest_first, zero, lambda a, x: F.when(
-        x.start >= a.end, F.struct(x.c.end.alias("end"), F.concat(a.o, F.array(x.c)).alias("o")))
-        .otherwise(a)).o
+    of_run = lambda end, run: F.aggregate(run, F.struct(end.alias("end"), F.array().cast(_SPANS).alias("o")),
+                                          lambda a, x: F.when(x.start >= a.end, F.struct(
+                                              x.c.end.alias("end"), F.concat(a.o, F.array(x.c)).alias("o"))).otherwise(a))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_n") - 1) / RUN).cast("int")),
+                       lambda k: F.slice("_n", k * RUN + 1, F.lit(RUN)))
+    greedy = F.aggregate(runs, zero, lambda a, run: F.get(F.transform(F.array(of_run(a.end, run)), lambda r: F.struct(
+        r.end.alias("end"), F.concat(a.o, r.o).alias("o"))), F.lit(0))).o
     out = out.withColumn("spans", F.when(F.size("_n") > 0, F.array_sort(F.concat("base", greedy)))
                          .otherwise(F.col("base")))
     return out.drop("_c", "_n")
@@ -412,14 +465,27 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     columns = docs.columns
     own = {c: f"__own_{c}" for c in ("base", "spans") if c in columns}
     found = detect(docs.withColumnsRenamed(own), model)
-    zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
+    zero = lambda p: F.struct(p.alias("p"), F.array().cast("array<string>").alias("o"))
     text = F.col("text")
-    steps = F.aggregate("spans", zero, lambda a, s: F.when(s.start >= a.p, F.struct(
-        s.end.alias("p"),
-        F.concat(a.o, F.array(F.substring(text, a.p + 1, s.start - a.p),
-                              F.concat(F.lit("["), F.upper(s.kind), F.lit("]")))).alias("o")))
-        .otherwise(F.struct(F.greatest(a.p, s.end).alias("p"), a.o.alias("o"))))
-    cleaned = F.transform(F.array(steps), lambda a: F.concat(
+
+    def piece(t, a, b):
+        """Characters a to b of the text in chunks ``t``."""
+        first = F.floor(a / CHUNK).cast("int")
+        whole = F.array_join(F.slice(t, first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+        return F.substring(whole, a - first * CHUNK + 1, b - a)
+
+    def of_run(t, p, run):
+        return F.aggregate(run, zero(p), lambda a, s: F.when(s.start >= a.p, F.struct(
+            s.end.alias("p"), F.concat(a.o, F.array(piece(t, a.p, s.start), F.concat(
+                F.lit("["), F.upper(s.kind), F.lit("]")))).alias("o")))
+            .otherwise(F.struct(F.greatest(a.p, s.end).alias("p"), a.o.alias("o"))))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("spans") - 1) / RUN).cast("int")),
+                       lambda k: F.slice("spans", k * RUN + 1, F.lit(RUN)))
+    steps = lambda t: F.aggregate(runs, zero(F.lit(0)), lambda a, run: F.get(F.transform(
+        F.array(of_run(t, a.p, run)), lambda r: F.struct(
+            r.p.alias("p"), F.concat(a.o, F.array(F.array_join(r.o, ""))).alias("o"))), F.lit(0)))
+    cleaned = F.transform(F.transform(F.array(chunked(text)), steps), lambda a: F.concat(
         F.array_join(a.o, ""), F.substring(text, a.p + 1, F.length(text))))[0]
     out = found.withColumn("text", F.when(F.size("spans") > 0, cleaned).otherwise(text))
     return out.drop("base", "spans").withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
