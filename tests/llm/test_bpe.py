@@ -135,3 +135,15 @@ def test_frequent_pieces_stay_when_the_table_is_full(tables, monkeypatch):
         assert ids.tolist() == whole.encode(text)
         assert " same" in e.known.number and len(e.known.number) < 60 + 500
     assert len(whole.known.number) <= 60 + 500
+
+
+def test_long_texts_in_a_batch_while_the_table_starts_over(tables, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 50)
+    monkeypatch.setattr(bpe, "CHUNK", 400)
+    rng = random.Random(8)
+    e = bpe.Encoder(tables)
+    for _ in range(6):
+        batch = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (20, 900, 30, 700, 5, 0)]
+        ids, ends = e.encode_batch(batch)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [
+            reference.encode(t, add_special_tokens=False).ids for t in batch]

@@ -442,17 +442,18 @@ class Encoder:
             if c:
                 fresh.update(c)
         self.learn(fresh)
-        number, parts, counts = self.known.number, [], np.zeros(len(texts) + 1, np.int64)
-        for k, (t, c) in enumerate(zip(texts, cut)):
-            if c is None:
-                ids = np.array(self.encode(t), np.int32)
-            else:
+        # a long text learns pieces too, and the table may then start over: it comes last
+        number, parts = self.known.number, [None] * len(texts)
+        for k, c in enumerate(cut):
+            if c is not None:
                 try:
-                    ids = self.known.ids_of(np.fromiter(map(number.__getitem__, c), np.int64, len(c)))[0]
+                    parts[k] = self.known.ids_of(np.fromiter(map(number.__getitem__, c), np.int64, len(c)))[0]
                 except KeyError:                      # a piece too long to be kept
-                    ids = np.array(self._pieces(c), np.int32)
-            parts.append(ids)
-            counts[k + 1] = len(ids)
+                    parts[k] = np.array(self._pieces(c), np.int32)
+        for k, t in enumerate(texts):
+            if parts[k] is None:
+                parts[k] = np.array(self.encode(t), np.int32)
+        counts = np.array([0, *map(len, parts)], np.int64)
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.cumsum(counts)
 
 
