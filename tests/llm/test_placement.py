@@ -138,7 +138,66 @@ def test_mixed_documents_carry_the_words_taken(spark):
     assert +got == +want
 
 
+def sequential_schedule(blocks):
+    """(source, block) of every slot, one slot after the other."""
+    m = sum(blocks.values())
+    a = max(1, round(m * (math.sqrt(5) - 1) / 2))
+    while math.gcd(a, m) != 1:
+        a += 1
+    ends, out, seen = [], [], collections.Counter()
+    for s in sorted(blocks):
+        ends.append(((ends[-1][0] if ends else 0) + blocks[s], s))
+    for i in range(m):
+        s = next(s for end, s in ends if i * a % m < end)
+        out.append((s, seen[s]))
+        seen[s] += 1
+    return out
+
+
+def test_rows_leave_in_the_order_of_a_sequential_schedule(spark):
+    """Slots, the first slot of every document and the order of the mixed rows
+    against a walk through the schedule that fills one slot at a time."""
+    rng = __import__("random").Random(5)
+    data = [(i, cases.sentence(rng, rng.choice([0, 3, 40, 300])), "en", "abcd"[i % 7 % 4], 1)
+            for i in range(120)]
+    docs, size = cases.frame(spark, data), 64
+    made = mixing.mix(docs, block_words=size)
+    streams, take = collections.defaultdict(list), {}
+    for r in made.rows.orderBy("source_no", "start").collect():
+        if r["size"]:
+            streams[r.source_no].append(r)
+        take[r.source_no] = math.floor(r.target + 0.5)
+    schedule = sequential_schedule({s: -(-t // size) for s, t in take.items()})
+    assert [(r.source_no, r.block) for r in made.schedule.orderBy("slot").collect()] == schedule
+    order, first, given = [], {}, set()
+    for slot, (s, block) in enumerate(schedule):
+        position = 0
+        for epoch in (0, 1):
+            for r in streams[s]:
+                lo, hi = position, min(position + r["size"], take[s])
+                position += r["size"]
+                if max(lo, block * size) < min(hi, (block + 1) * size):
+                    first.setdefault(r.doc_id, slot)
+                    if (r.doc_id, epoch) not in given:
+                        given.add((r.doc_id, epoch))
+                        order.append((r.doc_id, slot))
+    assert {r.doc_id: r.first_slot for r in made.taken().collect() if r.taken} == first
+    rows = mixing.mixed_documents(docs, slot_column="at", block_words=size).collect()
+    wordless = {d for d, t, *_ in data if not cases.words_of(t)}
+    assert [(r.doc_id, r["at"]) for r in rows if r["at"] is not None] == order
+    assert sorted(r.doc_id for r in rows if r["at"] is None) == sorted(wordless)
+    assert all(r["at"] is None for r in rows[len(order):])
+
+
+def test_rows_without_words_stay_once(spark):
+    data = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \t", "en", "a", 2), (None, None, None, None, 0),
+            (2, "", "en", None, 0), (5, "one two three", "en", "a", 13)]
+    got = mixing.mixed_documents(cases.clashing(cases.frame(spark, data))).collect()
+    assert sorted(repr(r.doc_id) for r in got if not cases.words_of(r.text)) == ["1", "2", "2", "3", "None"]
+
+
 def test_mixing_empty_tables(spark):
+    assert mixing.mixed_documents(cases.frame(spark, [])).count() == 0
     assert mixing.mix(cases.frame(spark, [])).taken().count() == 0
     bare = mixing.mix(cases.frame(spark, [(1, None, "en", "a", 0), (2, "", "en", None, 0)])).taken()
     assert [(r.size, r.target, r.taken) for r in bare.collect()] == [(0, 0.0, 0)] * 2

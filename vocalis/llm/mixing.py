@@ -11,9 +11,12 @@
    points are a permutation, so each source gets exactly the blocks its
    target needs, spread evenly over the schedule.
 4. The k-th slot of a source is joined with the k-th block of its stream.
+   ``mixed_documents`` gives the rows in the order of the slots, each at the
+   slot that takes its first words, so a reader of the result meets the
+   sources in their proportions all along.
 
 Cases: a null text or a text without words has size 0 and nothing is taken
-from it.  A null source is a source of its own, last in the order.  A
+from it; ``mixed_documents`` keeps such rows once, after the last slot.  A null source is a source of its own, last in the order.  A
 repeated doc_id is another row with words of its own.  Ties in the hashed
 order fall to doc_id and size.  An empty table gives an empty mix, a corpus
 without words targets of 0.  Extra columns are ignored.  Reruns agree: every
@@ -87,7 +90,9 @@ def slots(spark: SparkSession, plan: DataFrame, m: int) -> DataFrame:
                   F.col("first_point") + F.col("_run") * run,
                   F.col("first_point") + F.least(F.col("_run") * run + run,
                                                  F.col("n_blocks")) - 1)).alias("point")))
-    at = points.select("source_no", ((F.col("point") * F.lit(back)) % F.lit(max(m, 1))).alias("slot"))
+    # the product of a point and the step can be beyond a long
+    slot = F.col("point").cast("decimal(18,0)") * F.lit(back).cast("decimal(18,0)") % F.lit(max(m, 1))
+    at = points.select("source_no", slot.cast("long").alias("slot"))
     at = at.withColumn("_b", F.floor(F.col("slot") / 65536))
     return running_total(at, ["source_no"], "_b", ["slot"], F.lit(1).cast("long"), "block").drop("_b")
 
@@ -100,13 +105,15 @@ class Mix:
         self.rows, self.schedule, self.pieces = rows, schedule, pieces
 
     def taken(self) -> DataFrame:
-        """Per document the words that all slots take from it."""
+        """Per document the words that all slots take from it, and the first
+        of these slots (null where nothing is taken)."""
         got = (self.pieces.groupBy("source_no", "start")
-               .agg(F.sum("n_words").alias("taken")))
+               .agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot")))
         some = self.rows.filter("size > 0").join(got, ["source_no", "start"], "left")
-        none = self.rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
+        none = self.rows.filter("size = 0").withColumns({"taken": F.lit(None).cast("long"),
+                                                         "first_slot": F.lit(None).cast("long")})
         return some.unionByName(none).select("doc_id", "source", "size", "source_size", "target",
-                                             F.coalesce("taken", F.lit(0)).alias("taken"))
+                                             F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
@@ -156,13 +163,16 @@ def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
     return Mix(rows.drop("_take"), schedule, pieces)
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows that the mix takes, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, slot_column: str | None = None, **params) -> DataFrame:
+    """The rows that the mix takes, with the columns of ``docs``, in the order
+    of the schedule; ``slot_column`` names a further column for the slot.
 
-    A document appears once per round in which words of it are taken, so a
-    source's words add up to what the mix takes.  Where a source's target ends
-    inside a document, that row's text holds the first words taken, joined by a
-    blank, and n_chars (if there is one) their length.
+    A document appears once per round in which words of it are taken, at the
+    slot of the first of them, so a source's words add up to what the mix
+    takes.  Where a source's target ends inside a document, that row's text
+    holds the first words taken, joined by a blank, and n_chars (if there is
+    one) their length.  Rows without words cost nothing: each appears once,
+    behind the last slot (null).
     """
     columns = docs.columns
     keyed = docs.withColumn("__h", F.md5("text"))
@@ -174,15 +184,20 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
         "source_no", "start", F.col("doc_id").alias("__id"), F.col("source").alias("__src"),
         F.col("__h").alias("__hash"), F.col("size").alias("__size"), F.row_number().over(alike).alias("__c"))
     copies = spans.agg(F.max("__c")).first()[0] or 1
-    taken = (made.pieces.groupBy("source_no", "start", "epoch").agg(F.sum("n_words").alias("__n"))
-             .join(spans, ["source_no", "start"]))
+    taken = (made.pieces.groupBy("source_no", "start", "epoch")
+             .agg(F.sum("n_words").alias("__n"), F.min("slot").alias("__slot"))
+             .withColumnsRenamed({"source_no": "__no", "start": "__start", "epoch": "__epoch"})
+             .join(spans.withColumnsRenamed({"source_no": "__no", "start": "__start"}), ["__no", "__start"]))
     match = (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
              & (F.col("__h") == F.col("__hash")))
     if copies > 1:
         keyed = keyed.withColumn("__copy", F.row_number().over(
             Window.partitionBy("doc_id", "source", "__h").orderBy("__h")))
         match = match & (F.col("__copy") == F.col("__c"))
-    rows = keyed.join(taken, match)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    rows = (keyed.join(taken, match, "left").filter(F.col("__n").isNotNull() | wordless)
+            .orderBy(F.col("__slot").asc_nulls_last(), "__epoch", "__start", "doc_id"))
+    # below, the text is cut after the sort, whose sampling would cut it twice
     cut = F.col("__n") < F.col("__size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1),
                                  F.col("__n").cast("int")), " ")
@@ -190,12 +205,14 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long"))
                                .otherwise(F.col("n_chars")))
+    if slot_column:
+        return rows.select(*columns, F.col("__slot").alias(slot_column))
     return rows.select(*columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mix(documents(spark, sf_dir)).taken()
-            .select("doc_id", "size", "source_size", "target", "taken"))
+            .select("doc_id", "size", "source_size", "target", "taken", "first_slot"))
 
 
 OP9_SQL = """
@@ -212,12 +229,23 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
                  - coalesce(sum(cap) OVER before, 0.0)) /
                 (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS lev
       FROM v WINDOW before AS (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, max(lev) OVER () * weight) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
+t AS (SELECT no, source, source_size, least(cap, max(lev) OVER () * weight) AS target FROM l),
+b AS (SELECT no, (floor(target + 0.5)::BIGINT + 4095) // 4096 AS n_blocks FROM t),
+p AS (SELECT no, n_blocks, coalesce(sum(n_blocks) OVER (ORDER BY no
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_point FROM b),
+m AS (SELECT sum(n_blocks)::BIGINT AS m, greatest(1, round(sum(n_blocks) * (sqrt(5.0) - 1) / 2))::BIGINT AS a0 FROM b),
+a AS (SELECT m, min(x) AS a FROM (SELECT m, unnest(range(a0, a0 + 1000)) AS x FROM m WHERE m > 0)
+      WHERE gcd(x, m) = 1 GROUP BY m),
+k AS (SELECT i AS slot, (i * a) % m AS point FROM (SELECT m, a, unnest(range(0, m)) AS i FROM a)),
+sched AS (SELECT p.no, k.slot, row_number() OVER (PARTITION BY p.no ORDER BY k.slot) - 1 AS block
+          FROM k JOIN p ON k.point >= p.first_point AND k.point < p.first_point + p.n_blocks),
+r AS (SELECT d.doc_id, d.size, t.no, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS take,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, take - start)) + greatest(0, least(size, take - source_size - start)))::BIGINT AS taken
-FROM r
+       (greatest(0, least(size, take - start)) + greatest(0, least(size, take - source_size - start)))::BIGINT AS taken,
+       sched.slot AS first_slot
+FROM r LEFT JOIN sched ON sched.no = r.no
+  AND sched.block = CASE WHEN r.size > 0 AND r.start < r.take THEN r.start // 4096 END
 """
