@@ -129,3 +129,19 @@ def test_scores_in_range_and_one_per_post(spark):
     got = scores(spark, texts)
     assert len(got) == 3
     assert all(lab in ("positive", "negative", "neutral") and -1.0 <= sc <= 1.0 for lab, sc, _ in got)
+
+
+def test_lexicon_table_equals_the_word_list(spark, monkeypatch):
+    """A table of words scores as the same words in the parameters, broadcast
+    or not; null words and weights add nothing, folded words count once."""
+    posts = make_posts(spark, ["Good good bad day", "a BAD one", "nothing here", "", "great Great GREAT"])
+    words = {"good": 1.5, "bad": -2.0, "great": 3.0}
+    want = sorted((r.post_id, r.label, r.score) for r in S.lexicon_scores(posts, P.with_(lexicon=words)).collect())
+    table = spark.createDataFrame([("Good", 1.5), ("good", 1.0), ("BAD", -2.0), ("great", 3.0), (None, 9.0),
+                                   ("here", None), ("great", 3.0)], "token string, weight double")
+    for bound in (500_000, 0):
+        monkeypatch.setattr(S, "BROADCAST_LEXICON_ROWS", bound)
+        got = S.lexicon_scores(posts, P, lexicon=table).collect()
+        assert sorted((r.post_id, r.label, r.score) for r in got) == want
+    none = S.lexicon_scores(posts, P, lexicon=table.limit(0)).collect()
+    assert {r.label for r in none} == {"neutral"} and len(none) == 5

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import col_, round_half_even
 from ..params import Params
+from ..session import cut_lineage
 
 TOKEN_RE = r"(\p{L}+)"
 LABELS = ("positive", "negative", "neutral")
@@ -80,18 +81,33 @@ def compound(s: Column, alpha: float = 15.0) -> Column:
 BROADCAST_LEXICON_ROWS = 500_000
 
 
-def lexicon_scores(posts: DataFrame, p: Params, keep=("post_id", "scope", "platform")) -> DataFrame:
-    """Score every row once: ``(*keep, label, score, confidence)``.
+def lexicon_table(lexicon: DataFrame) -> DataFrame:
+    """``token, weight`` rows of any number as one row per lower-cased token,
+    broadcast up to a counted size.  Null tokens or weights add nothing; of
+    words that fold together the largest weight counts (rows have no order)."""
+    words = cut_lineage(lexicon.filter("token IS NOT NULL AND weight IS NOT NULL")
+                        .groupBy(F.lower("token").alias("token"))
+                        .agg(F.max(F.col("weight").cast("double")).alias("weight")))
+    return F.broadcast(words) if words.count() <= BROADCAST_LEXICON_ROWS else words
+
+
+def lexicon_scores(posts: DataFrame, p: Params, keep=("post_id", "scope", "platform"),
+                   lexicon: DataFrame | None = None) -> DataFrame:
+    """Score every row once: ``(*keep, label, score, confidence)``, with the
+    words of ``p.lexicon`` or a ``lexicon`` table of ``token, weight`` rows.
 
     One path for lexicons of any size: each row's tokens are joined with the
     lexicon and summed per *row* (a row number, not an id, so copies that
     share an id are scored on their own).  A row's tokens sit in one partition,
     so the partial sum combines them before the shuffle, which carries the
     narrow ``keep`` columns and one number per row."""
-    lex = normalized_lexicon(p.lexicon)
-    words = posts.sparkSession.createDataFrame(list(lex.items()), "token string, weight double")
-    if len(lex) <= BROADCAST_LEXICON_ROWS:
-        words = F.broadcast(words)
+    if lexicon is not None:
+        words = lexicon_table(lexicon)
+    else:
+        lex = normalized_lexicon(p.lexicon)
+        words = posts.sparkSession.createDataFrame(list(lex.items()), "token string, weight double")
+        if len(lex) <= BROADCAST_LEXICON_ROWS:
+            words = F.broadcast(words)
     text = scorer_input("text", p.max_score_chars)
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 1)
     numbered = posts.select(*keep, "text", F.monotonically_increasing_id().alias("_row"))

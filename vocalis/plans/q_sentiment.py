@@ -207,7 +207,7 @@ def sen7_tier(spark, sf):
 # group gets a weight), on rows that share a post id
 _BIG_LEX = """lexw AS (
   SELECT DISTINCT w, (CASE WHEN length(w) % 2 = 0 THEN 0.5 ELSE -0.25 END)::DOUBLE AS weight
-  FROM (SELECT unnest(regexp_extract_all(lower(left(text, 400)), '(\\p{L}+)', 1)) AS w FROM benchmark))"""
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '(\\p{L}+)', 1)) AS w FROM benchmark))"""
 
 
 @register("sen5_large_lexicon", f"""WITH {_BIG_LEX},
@@ -220,11 +220,9 @@ SELECT post_id, turn, CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN '
 FROM c""")
 def sen5_large_lexicon(spark, sf):
     from ..operators.sentiment import lexicon_scores
-    b = read_table(spark, sf, "benchmark")
-    # the lexicon of a run is a parameter: one distinct word list, read once
-    words = [r[0] for r in b.select(F.explode(F.regexp_extract_all(
-        F.lower(F.substring("text", 1, 400)), F.lit(r"(\p{L}+)"), 1)).alias("w")).distinct().collect()]
-    lexicon = {w: 0.5 if len(w) % 2 == 0 else -0.25 for w in words}
+    words = read_table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("token")).distinct()
+    lexicon = words.withColumn("weight", F.when(F.length("token") % 2 == 0, 0.5).otherwise(-0.25))
     c = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("post_id"), "turn", "text")
-    return lexicon_scores(c, P.with_(lexicon=lexicon), keep=("post_id", "turn")).select(
+    return lexicon_scores(c, P, keep=("post_id", "turn"), lexicon=lexicon).select(
         "post_id", "turn", "label")
