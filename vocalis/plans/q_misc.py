@@ -17,6 +17,7 @@ from ..operators import report as R
 from ..operators.mentions import NAME_RE
 from ..session import ensure_checkpoint_dir
 from ..sinks import io as IO
+from ..sinks import log as LOG
 from ..sources.tables import read_table
 from . import oracle as O
 from .catalog import P, analysis, posts, register
@@ -259,6 +260,43 @@ def snk2_upsert_scope(spark, sf):
     return spark.read.schema(e.schema).parquet(path).select("scope", "name", "mention_count")
 
 
+# SNK-1: two writers stage all posts from the same version; the second to commit tries again
+@register("snk1_two_writers", VSQL(f"SELECT {', '.join(_P_COLS)}, 2 AS copies, 2 AS ids FROM posts_v"))
+def snk1_two_writers(spark, sf):
+    table = LOG.posts_log(spark, scratch_dir(spark, "posts-log"))
+    ps = posts(spark, sf).withColumnRenamed("post_id", "native_id")
+    first, second = table.stage(ps), table.stage(ps)
+    table.commit(second)
+    table.commit(first)
+    cols = [F.col("native_id" if c == "post_id" else c).alias(c) for c in _P_COLS]
+    return (table.read().groupBy(*cols)
+            .agg(F.count("*").alias("copies"), F.countDistinct(F.struct("post_id")).alias("ids")))
+
+
+# SNK-2 / SNK-3: a failing upsert leaves all rows, one that is overtaken is computed again
+@register("snk2_commit_log", full_sql("""SELECT scope, name,
+  CASE WHEN scope = 'en' THEN mention_count + 1 ELSE mention_count END AS mention_count FROM entities"""))
+def snk2_commit_log(spark, sf):
+    table = LOG.LoggedTable(spark, scratch_dir(spark, "entities-log"))
+    e = analysis(spark, sf).entities.select("scope", "name", "mention_count")
+    start = table.replace_scopes(e)
+    broken = e.withColumn("mention_count", F.when(
+        F.col("scope") == "en", F.raise_error(F.lit("stopped half way")).cast("long")).otherwise(F.lit(-1).cast("long")))
+    try:
+        table.upsert(broken)
+    except Exception as error:
+        if "stopped half way" not in str(error):
+            raise
+    late = table.stage(e.withColumn("mention_count", F.lit(0).cast("long")))
+    more = e.filter(F.col("scope") == "en").withColumn("mention_count", F.col("mention_count") + 1)
+    table.upsert(more)
+    try:
+        table.commit(late, replaces=True, computed_from=start)
+    except LOG.Conflict:
+        table.upsert(more)
+    return table.read()
+
+
 # SNK-6: sorted sentiment export -------------------------------------------------------
 @register("snk6_sentiment_json", full_sql("""SELECT f.post_id, f.entity, f.score, p.url
 FROM fanout f JOIN posts_v p USING (post_id)"""))
