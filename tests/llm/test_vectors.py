@@ -147,7 +147,54 @@ def test_pigeonhole_retrieves_every_code_in_the_radius():
     codes = rng.integers(0, 1 << 16, (500, 8)).astype(np.uint16)
     q = codes[:20] ^ (np.uint16(1) << rng.integers(0, 16, (20, 8)).astype(np.uint16))
     index = ann.MultiIndex(codes)
-    for radius in (0, 5, 8, 13, 40):
-        mask = index.within(q, radius)
-        near = ann.hamming(q, codes) <= radius
-        assert (mask | ~near).all()
+    ham = ann.hamming(q, codes)
+    for i in range(len(q)):
+        assert sorted(index.look_up(2, int(q[i, 2]), 0, 16)) == list(range(500))
+        for radius in (0, 5, 8, 13, 40):
+            rows, named = index.search(q[i], radius, 0)
+            assert rows.tolist() == np.flatnonzero(ham[i] <= radius).tolist() and named >= len(rows)
+        for k in (1, 3, 499, 500, 900):              # the radius grows until there are k
+            rows, _ = index.search(q[i], 2, k)
+            far = max(2, np.sort(ham[i])[min(k, 500) - 1])
+            assert rows.tolist() == np.flatnonzero(ham[i] <= far).tolist()
+
+
+def test_results_come_from_the_tables():
+    """Without a table's rows, codes that only it names are not found."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 16, (400, 8)).astype(np.uint16)
+    index = ann.MultiIndex(codes)
+    q = codes[7].copy()
+    q[1:] ^= np.uint16(0b1111)                        # 28 bits apart, equal on substring 0
+    assert 7 in index.search(q, 28, 0)[0]
+    index.first[0] = np.zeros_like(index.first[0])
+    assert 7 not in index.search(q, 24 + 7, 0)[0]
+
+
+def test_recall_above_one_sample_and_one_block(spark, tmp_out):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    rng = np.random.default_rng(8)
+    heads = rng.normal(size=(300, 32))
+    x = np.concatenate([heads[rng.integers(0, 300, 9_000)] + 0.3 * rng.normal(size=(9_000, 32)),
+                        rng.normal(size=(1_000, 32))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    assert len(x) > ann.SAMPLE_ROWS and len(x) > ann.BLOCK_ROWS
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}),
+                   tmp_out + "/v.parquet")
+    got = {}
+    for r in ann.nearest(spark.read.parquet(tmp_out + "/v.parquet"), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float)
+    right = 0
+    for q, found in got.items():
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        right += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 100 and right >= 0.9 * 10 * len(got)
+    # of clustered vectors the tables name a part only
+    codes = ann.learn(y[:ann.SAMPLE_ROWS])
+    c = codes.of(y[:ann.BLOCK_ROWS])
+    index = ann.MultiIndex(c)
+    share = np.mean([index.search(c[i], codes.radius, 10)[1] / len(c) for i in range(0, len(c), 100)])
+    assert share < 0.5, (share, codes.radius)

@@ -6,15 +6,17 @@
    ``BITS`` bits, and the Hamming radius that held ``COVER`` of the sample's
    true neighbours.
 2. Every vector is coded; a block of ``BLOCK_ROWS`` codes is indexed once per
-   substring of ``SUB_BITS`` bits: the distinct substring values with the codes
-   that have them.
-3. A query probes every substring table for the values within its share of
-   the radius.  By the pigeonhole principle two codes within Hamming radius r
-   of each other are within floor(r / m) on one of m substrings (one less on
-   the substrings beyond the remainder), so every code within r is retrieved.
-   Codes outside r are dropped, the others reranked by the float vectors.
-4. If fewer than k candidates of a block lie within r, the query takes the
-   nearest codes of that block instead, so k results are always found.
+   substring of ``SUB_BITS`` bits: the rows in the order of their substring
+   values, with the place of each value.
+3. A query enumerates, for every table, the values within its share of the
+   radius and looks each of them up.  By the pigeonhole principle two codes
+   within Hamming radius r of each other are within floor(r / m) on one of m
+   substrings (one less on the substrings beyond the remainder), so every code
+   within r is retrieved.  Only retrieved codes are compared: those outside r
+   are dropped, the others reranked by the float vectors.
+4. While fewer than k codes of a block lie within r, the radius grows by a bit
+   for each table and the values of that distance are looked up as well, so k
+   results are always found.
 5. Each block returns its k best per query; the k best of those remain.
 
 The queries go to the blocks in packed batches (a stated query set against all
@@ -115,52 +117,67 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: all substring differences, those of fewer bits first, and how many have at most so many bits
+MASKS = np.argsort(np.bitwise_count(np.arange(1 << SUB_BITS, dtype=np.uint32)), kind="stable")
+UP_TO = np.concatenate([[0], np.cumsum(np.bincount(np.bitwise_count(MASKS), minlength=SUB_BITS + 1))])
+
+
 class MultiIndex:
-    """Substring tables over a block of codes."""
+    """Substring tables over a block of codes: for each substring value the
+    rows that have it, as one array of rows with the place of every value."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = [np.unique(codes[:, t], return_inverse=True) for t in range(codes.shape[1])]
-
-    def within(self, q: np.ndarray, radius: int) -> np.ndarray:
-        """(queries, codes) mask of the codes that any table retrieves."""
-        m = len(self.tables)
-        share, rest = divmod(radius, m)
-        got = np.zeros((len(q), len(self.codes)), bool)
-        for t, (values, of) in enumerate(self.tables):
-            reach = share if t <= rest else share - 1
-            if reach >= 0:
-                hit = np.bitwise_count(values[None, :] ^ q[:, t][:, None]) <= reach
-                got |= hit[:, of]
-        return got
+        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        self.rows = [np.argsort(c, kind="stable").astype(np.int32) for c in codes.T]
+        self.first = [np.searchsorted(c[r], np.arange((1 << SUB_BITS) + 1)).astype(np.int32)
+                      for c, r in zip(codes.T, self.rows)]
+
+    def look_up(self, t: int, value: int, lo: int, hi: int) -> np.ndarray:
+        """Rows whose substring t differs from the value in lo to hi bits: each
+        such value is looked up in the table."""
+        probes = MASKS[UP_TO[lo]:UP_TO[min(hi, SUB_BITS) + 1]] ^ value
+        first = self.first[t][probes]
+        n = self.first[t][probes + 1] - first
+        hit = np.flatnonzero(n)
+        first, n = first[hit], n[hit]
+        ends = np.cumsum(n)
+        return self.rows[t][np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)]
+
+    def search(self, q: np.ndarray, radius: int, k: int, allowed: np.ndarray | None = None):
+        """Rows of the codes within the radius of one code, and how many rows
+        the tables named.  While fewer than k rows are inside, the radius grows
+        by a bit for each table; then the k nearest codes (and ties) are taken."""
+        m, asked = len(self.rows), radius
+        word, named = q.view(np.uint64), np.zeros(len(self.words), bool)
+        done = [-1] * m
+        while True:
+            share, rest = divmod(radius, m)
+            for t in range(m):
+                reach = share if t <= rest else share - 1
+                if reach > done[t]:
+                    named[self.look_up(t, int(q[t]), done[t] + 1, reach)] = True
+                    done[t] = reach
+            rows = np.flatnonzero(named if allowed is None else named & allowed)
+            ham = np.bitwise_count(self.words[rows] ^ word).sum(axis=1, dtype=np.int32)
+            inside = ham <= radius
+            if inside.sum() >= k or radius >= m * SUB_BITS:
+                break
+            radius = min(radius + m, m * SUB_BITS)
+        if radius > asked and inside.sum() > k:
+            inside = ham <= np.partition(ham, k - 1)[k - 1]
+        return rows[inside], int(named.sum())
 
 
 def nearest_in_block(ids, x, codes: Codes, q_ids, q, k: int):
     """The k best of a block for each query: query, vector id, distance."""
-    c, qc = codes.of(x), codes.of(q)
-    index = MultiIndex(c)
+    index = MultiIndex(codes.of(x))
     out_q, out_v, out_d = [], [], []
-    for lo in range(0, len(q), 64):
-        part = slice(lo, lo + 64)
-        other = q_ids[part][:, None] != ids[None, :]
-        ham = hamming(qc[part], c)
-        ok = index.within(qc[part], codes.radius) & (ham <= codes.radius) & other
-        few = np.flatnonzero(ok.sum(axis=1) < k)
-        if len(few):
-            d = np.where(other[few], ham[few], BITS + 1)
-            kth = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
-            ok[few] = (d <= kth[:, None]) & other[few]
-        i, j = np.nonzero(ok)
-        dist = np.empty(len(i))
-        for a in range(0, len(i), 50_000):
-            s = slice(a, a + 50_000)
-            dist[s] = np.sqrt(((x[j[s]] - q[part][i[s]]) ** 2).sum(axis=1))
-        by = np.lexsort((ids[j], dist, i))
-        i, j, dist = i[by], j[by], dist[by]
-        first = np.searchsorted(i, i)
-        top = np.arange(len(i)) - first < k
-        out_q.append(q_ids[part][i[top]])
-        out_v.append(ids[j[top]])
+    for q_id, v, code in zip(q_ids, q, codes.of(q)):
+        rows, _ = index.search(code, codes.radius, k, ids != q_id)
+        dist = np.sqrt(((x[rows] - v) ** 2).sum(axis=1))
+        top = np.lexsort((ids[rows], dist))[:k]
+        out_q.append(np.full(len(top), q_id, np.int64))
+        out_v.append(ids[rows[top]])
         out_d.append(dist[top])
     return tuple(np.concatenate(z) if z else np.zeros(0) for z in (out_q, out_v, out_d))
 
