@@ -9,12 +9,15 @@ prefix); they overlap freely.  Each candidate gets features of its format and
 of its context.  Gradient-boosted trees (MLlib), one model per kind, learn
 from a bounded sample of documents: the values that the fixed detectors
 confirm there are rewritten into the loose forms in their own context
-(``rewritten``), with and without a cue, sound and broken; ``wanted`` says
-which of them are personal data.  Other candidates of the sample that are not
-wanted are negatives, those that are wanted are left out, so nothing that is
-to be found is learned as a negative.  On examples held out by a hash a
-threshold per kind is calibrated: the lowest score from which on at least
-``PRECISION`` of them are wanted; a kind without enough evidence keeps a
+(``rewritten``), with and without a cue, whole and broken.  The label is how an
+example was made: a whole value in a form that tells its kind, or after a cue,
+is personal data; a broken value, one grown to a digit, or one without anything
+that tells its kind is not.  Other runs of the sample that the generators find
+are negatives, but for those that ``doubtful`` can't rule out: they may be what
+is to be found.  The trees see all features of format and context.  On
+documents that they have not seen a threshold per kind is calibrated: the
+lowest score from which on at least ``PRECISION`` of the examples are personal
+data; a kind without enough evidence keeps a
 threshold above 1, so nothing is added.  The trees
 are written out as column expressions and run inside the row, so the
 documents are never shuffled.
@@ -48,7 +51,7 @@ SAMPLE_DOCS = 6000
 #: candidates of a kind in the fitting sample, at most
 SAMPLE_CANDIDATES = 4000
 PRECISION, MIN_CONFIRMED = 0.97, 20
-TREES, DEPTH = 8, 3
+TREES, DEPTH = 8, 4
 CONTEXT = 24
 
 # Each pattern matches what the plain one does.  Possessive quantifiers and the
@@ -173,9 +176,7 @@ CUE_WORD = {"email": "mail", "ip": "host", "card": "card", "phone": "phone"}
 
 FEATURES = ("length", "n_digits", "digit_share", "n_groups", "first_group", "last_group", "n_seps",
             "n_kinds_of_sep", "n_dots", "n_spaces", "parens", "plus", "at", "cue_before",
-            "alnum_before", "alnum_after", "digit_after", "line_start", "sound", "spelled", "zeros", "announced")
-#: features the trees learn from; the others follow the values that happened to be rewritten
-LEARNED = ("cue_before", "alnum_before", "alnum_after", "sound", "spelled", "zeros", "announced")
+            "alnum_before", "alnum_after", "digit_after", "line_start", "sound", "spelled", "zeros")
 
 
 _SPELLED = r"[\[(](at|dot|\.)[\])]"
@@ -191,28 +192,27 @@ def _sound(kind: str, v: Column) -> Column:
     return n.between(13, 19) & luhn(_digits(v)) if kind == "card" else n.between(10, 15)
 
 
-def _announced(kind: str, v: Column, cue: Column) -> Column:
-    """Does the form tell (spelled-out signs, a card's length, a phone's prefix
-    or area code in brackets) or a cue before it?"""
+def doubtful(x: Column, before: Column, after: Column) -> Column:
+    """May a run of the sample be personal data?  It stands alone, keeps what
+    its kind demands, and has a form or a cue that tells its kind.  Such a run
+    is no example of either class."""
+    v, of_kind = x.value, lambda f: reduce(lambda a, k: F.when(x.kind == k, f(k)).otherwise(a), KINDS, F.lit(False))
     form = {"email": F.lit(True), "ip": v.rlike(_SPELLED), "card": F.length(_digits(v)) >= 14,
             "phone": v.rlike(r"^00|[+(]")}
-    return form[kind] | cue
-
-
-def wanted(f: Column) -> Column:
-    """Is an example personal data?  It stands alone, keeps what its kind
-    demands, and is announced."""
-    at = lambda name: F.get(f, F.lit(FEATURES.index(name)))
-    return ((at("alnum_before") == 0) & (at("alnum_after") == 0) & (at("sound") > 0) & (at("announced") > 0))
+    return (~before.rlike("[A-Za-z0-9]$") & ~after.rlike("[A-Za-z0-9]")
+            & of_kind(lambda k: _sound(k, v) & (form[k] | before.rlike(CUES[k]))))
 
 
 def rewritten(b: str, text: Column) -> Column:
-    """array<struct<kind,value,start,end,context>>: the base spans of a text in
-    loose forms, each without a cue, with one before it, and grown to a digit."""
+    """array<struct<kind,value,start,end,context,label>>: the base spans of a
+    text in loose forms, each without a cue, with one before it, and grown to a
+    digit; labelled by how they were made."""
+    def made(whole, tells, *values):
+        return [F.struct(v.alias("v"), F.lit(whole).alias("whole"), F.lit(tells).alias("tells")) for v in values]
+
     def forms(s):
         v, d = s.value, _digits(s.value)
         name, host = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
-        label, last = F.substring_index(host, ".", 1), F.substring_index(host, ".", -1)
         dots = lambda x: F.replace(host, F.lit("."), F.lit(x))
         fours = lambda x, y: F.regexp_replace(x, "(.{4})(?=.)", f"$1{y}")
         checked = lambda n: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(
@@ -220,26 +220,37 @@ def rewritten(b: str, text: Column) -> Column:
         bumped = F.concat(F.substring(d, F.lit(1), F.length(d) - 1),
                           ((F.substring(d, -1, 1).cast("int") + 1) % 10).cast("string"))
         plain = F.regexp_replace(v, r"^\+", "")
+        # phones of several lengths, so that the length of the confirmed ones tells nothing
+        threes = lambda n, y: F.regexp_replace(F.substring(F.concat(d, d), 1, n), "(.{3})(?=..)", f"$1{y}")
         return (F.when(s.kind == "email", F.array(
-                    F.concat(name, F.lit(" (at) "), host), F.concat(name, F.lit(" (at) "), dots(" (dot) ")),
-                    F.concat(name, F.lit("[at]"), dots("[dot]")), F.concat(name, F.lit(" @ "), host),
-                    F.concat(name, F.lit(" @ "), label, F.lit(". "), last),
-                    F.concat(name, F.lit(" (at) "), label, F.lit(". "), last)))
+                    *made(True, True, F.concat(name, F.lit(" (at) "), host), F.concat(name, F.lit(" (at) "), dots(" (dot) ")),
+                          F.concat(name, F.lit("[at]"), dots("[dot]")), F.concat(name, F.lit(" @ "), host)),
+                    *made(False, True, F.concat(name, F.lit(" @ "), dots(". ")), F.concat(name, F.lit(" (at) "), dots(". ")))))
                 .when(s.kind == "ip", F.array(
-                    F.replace(v, F.lit("."), F.lit("[.]")), F.replace(v, F.lit("."), F.lit("(.)")),
-                    F.replace(v, F.lit("."), F.lit(" . ")),
-                    F.replace(F.regexp_replace(v, "[0-9]+$", "999"), F.lit("."), F.lit("[.]")),
-                    F.replace(F.regexp_replace(v, "^[0-9]+", "391"), F.lit("."), F.lit("(.)"))))
+                    *made(True, True, F.replace(v, F.lit("."), F.lit("[.]")), F.replace(v, F.lit("."), F.lit("(.)"))),
+                    *made(True, False, F.replace(v, F.lit("."), F.lit(" . "))),
+                    *made(False, True, F.replace(F.regexp_replace(v, "[0-9]+$", "999"), F.lit("."), F.lit("[.]")),
+                          F.replace(F.regexp_replace(v, "^[0-9]+", "391"), F.lit("."), F.lit("(.)")))))
                 .when(s.kind == "card", F.array(
-                    fours(d, "."), fours(d, "/"), fours(d, "--"), fours(checked(14), "."), checked(13), fours(checked(13), " "),
-                    fours(bumped, "."), fours(bumped, " "), bumped))
+                    *made(True, True, fours(d, "."), fours(d, "/"), fours(d, "--"), fours(checked(14), ".")),
+                    *made(True, False, checked(13), fours(checked(13), " ")),
+                    *made(False, True, fours(bumped, "."), fours(bumped, " "), bumped)))
                 .otherwise(F.array(
-                    F.concat(F.lit("00"), plain), plain, F.regexp_replace(d, "(.{3})(?=..)", "$1 "),
-                    F.regexp_replace(d, "(.{3})(?=..)", "$1-"),
-                    fours(F.substring(F.concat(d, d), 1, 16), " "), fours(F.substring(F.concat(d, d), 1, 18), "."),
-                    F.regexp_replace(F.substring(d, 1, 8), "(.{3})(?=..)", "$1 "))))
-
-    def placed(s, v, cue, end=""):
+                    *made(True, True, F.concat(F.lit("00"), plain), *[F.concat(F.lit("00"), threes(n - 2, x))
+                                                                      for n, x in ((10, " "), (12, "-"), (14, " "))],
+                          *[F.concat(F.lit("00"), F.substring(d, 1, 2), F.lit(" "), fours(F.substring(F.concat(d, d), 3, n - 4), " "))
+                            for n in (12, 14)],
+                          *[F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), threes(n - 3, x))
+                            for n, x in ((10, "-"), (12, " "))]),
+                    F.struct(plain.alias("v"), F.lit(True).alias("whole"), F.contains(v, F.lit("(")).alias("tells")),
+                    *made(True, False, *[threes(n, x) for n, x in ((10, "-"), (11, " "), (12, " "), (13, "-"), (14, " "))],
+                          *[fours(F.substring(F.concat(d, d), 1, n), " ") for n in (12, 14)]),
+                    *made(False, True, fours(F.substring(F.concat(d, d), 1, 16), " "),
+                          fours(F.substring(F.concat(d, d), 1, 18), "."),
+                          threes(8, " ")))))
+
+    def placed(s, x, cue, end=""):
+        v = x.v
         left = F.substring(text, F.greatest(F.lit(1), s.start - CONTEXT + 1), F.least(F.lit(CONTEXT), s.start))
         told = lambda of: reduce(lambda a, k: F.when(s.kind == k, of(k)).otherwise(a), KINDS, left)
         if cue:
@@ -248,10 +259,11 @@ def rewritten(b: str, text: Column) -> Column:
             left = told(lambda k: F.concat(F.regexp_replace(left, CUES[k], "of"), F.lit(end)))
         return F.struct(s.kind.alias("kind"), v.alias("value"), F.length(left).alias("start"),
                         (F.length(left) + F.length(v)).alias("end"),
-                        F.concat(left, v, F.substring(text, s.end + 1, F.lit(CONTEXT))).alias("context"))
+                        F.concat(left, v, F.substring(text, s.end + 1, F.lit(CONTEXT))).alias("context"),
+                        (x.whole & (x.tells | F.lit(cue)) & F.lit(not end)).alias("label"))
 
-    return F.flatten(F.transform(b, lambda s: F.flatten(F.transform(forms(s), lambda v: F.array(
-        placed(s, v, False), placed(s, v, True), placed(s, v, True, "7"))))))
+    return F.flatten(F.transform(b, lambda s: F.flatten(F.transform(forms(s), lambda x: F.array(
+        placed(s, x, False), placed(s, x, True), placed(s, x, True, "7"))))))
 
 
 _PLACED = _SPANS[:-2] + ",before:string,after:string,clear:boolean>>"
@@ -314,7 +326,7 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
             count("("), count("+"), count("@"), cue,
             before.rlike("[A-Za-z0-9]$"), after.rlike("[A-Za-z0-9]"), after.rlike("[0-9]"),
             (c.start == 0) | before.rlike("\n$"), of_kind(lambda k: _sound(k, v)),
-            v.rlike(_SPELLED), v.startswith("00"), of_kind(lambda k: _announced(k, v, cue))]
+            v.rlike(_SPELLED), v.startswith("00")]
     return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in cols]
 
 
@@ -365,39 +377,39 @@ def fit(docs: DataFrame) -> Model | None:
     text = F.col("text")
     key = F.coalesce(F.col("doc_id").cast("string"), text, F.lit(""))
     some = sample_by_hash(docs.select("doc_id", "text"), F.concat(F.lit("pii:"), key), SAMPLE_DOCS)
+    held = F.substring(F.md5(text), 1, 1).isin("0", "1", "2", "3", "4").alias("held")
     one = (some.filter(F.col("text").isNotNull())
-           .select("text", candidates(text).alias("c"), base_spans(text).alias("b"))
+           .select("text", held, candidates(text).alias("c"), base_spans(text).alias("b"))
            .filter(F.size("c") > 0))
     x = F.col("x")
     hashed = lambda t: F.md5(F.concat(x.value, F.substring(t, 1, 64)))
-    found = (one.select(F.substring("text", 1, 64).alias("t"), in_place(F.col("c"), F.col("b"), text).alias("c"))
-             .select("t", F.explode("c").alias("x")).filter("x.clear")
-             .select(F.lit(0).alias("made"), x.kind.alias("kind"), F.array(*features(x, x.before, x.after)).alias("f"),
-                     hashed(F.col("t")).alias("h")))
-    made = (one.select(F.explode(rewritten("b", text)).alias("x"))
-            .select(F.lit(1).alias("made"), x.kind.alias("kind"), F.array(*features(
-                x, F.substring(x.context, F.greatest(F.lit(1), x.start - CONTEXT + 1), F.least(F.lit(CONTEXT), x.start)),
-                F.substring(x.context, x.end + 1, F.lit(1)))).alias("f"), hashed(x.context).alias("h")))
-    rows = found.unionByName(made).withColumn("label", wanted(F.col("f")).cast("double"))
-    # a wanted candidate of the corpus is what detection is to find: no example
-    rows = stored(rows.filter((F.col("made") == 1) | (F.col("label") == 0)), "pii-candidates")
+    found = (one.select(F.substring("text", 1, 64).alias("t"), "held",
+                        in_place(F.col("c"), F.col("b"), text).alias("c"))
+             .select("t", "held", F.explode("c").alias("x")).filter(x.clear & ~doubtful(x, x.before, x.after))
+             .select(F.lit(0).alias("made"), "held", x.kind.alias("kind"), F.lit(0.0).alias("label"),
+                     F.array(*features(x, x.before, x.after)).alias("f"), hashed(F.col("t")).alias("h")))
+    made = (one.select("held", F.explode(rewritten("b", text)).alias("x"))
+            .select(F.lit(1).alias("made"), "held", x.kind.alias("kind"), x.label.cast("double").alias("label"),
+                    F.array(*features(
+                        x, F.substring(x.context, F.greatest(F.lit(1), x.start - CONTEXT + 1), F.least(F.lit(CONTEXT), x.start)),
+                        F.substring(x.context, x.end + 1, F.lit(1)))).alias("f"), hashed(x.context).alias("h")))
+    rows = stored(found.unionByName(made), "pii-candidates")
     kept = []
     for kind in KINDS:
         for origin in (0, 1):
             kept.append(rows.filter((F.col("kind") == kind) & (F.col("made") == origin))
                         .orderBy("h").limit(SAMPLE_CANDIDATES // 2))
     rows = cut_lineage(reduce(DataFrame.unionByName, kept))
-    held = F.substring("h", -1, 1).isin("0", "1", "2", "3", "4")
+    held = F.col("held")
     counted = {r.kind: r for r in rows.groupBy("kind").agg(
         F.sum(F.when(~held, F.col("label"))).alias("pos"),
         F.sum(F.when(~held, 1 - F.col("label"))).alias("neg")).collect()}
-    shown = F.array(*[F.col("f")[i] if x in LEARNED else F.lit(0.0) for i, x in enumerate(FEATURES)])
     trees, thresholds = {}, {}
     for kind, r in counted.items():
         if (r.pos or 0) < MIN_CONFIRMED or not r.neg:
             continue                       # one class only: nothing to tell apart
         train = rows.filter((F.col("kind") == kind) & ~held).select(
-            array_to_vector(shown).alias("features"), "label")
+            array_to_vector("f").alias("features"), "label")
         gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3, cacheNodeIds=False)
         model = gbt.fit(train.coalesce(2))
         java = model._java_obj
