@@ -100,3 +100,32 @@ def test_small_name_list_join(spark):
     got = {(r["post_id"], r["name"]) for r in contains_join_small(posts, names).collect()}
     assert got == {(1, "gnu"), (1, "license"), (3, "gnu")}
     assert F is not None
+
+
+def test_one_walk_gives_places_and_counters(spark):
+    """Overlaps, names folding together, texts of other and null scopes, names
+    that share an anchor; a text is not walked again for each name."""
+    from vocalis.operators.containment import name_hits, name_index, text_walk
+    posts = make_posts(spark, ["on on on on x", "x Ada Obi", None, ""], scope="S")
+    other = make_posts(spark, ["on on on"], scope="T").unionByName(
+        make_posts(spark, ["on on on"], scope="S").withColumn("scope", F.lit(None).cast("string")))
+    nd = spark.createDataFrame([("S", n) for n in ("On On", "On On On", "Ada Obi", "ADA OBI", "On On Zed")]
+                               + [(None, "on on")], "scope string, name string")
+    near = {"x_near": (2, [F.array(F.lit("x"))])}
+    got = name_hits(posts.unionByName(other), nd, (), near).select("scope", "name", "n", "first", "last", "x_near")
+    assert sorted(map(tuple, got.collect())) == [
+        ("S", "ADA OBI", 1, 3, 3, 1), ("S", "Ada Obi", 1, 3, 3, 1),
+        ("S", "On On", 3, 1, 7, 1), ("S", "On On On", 2, 1, 4, 1)]
+    places, _, _ = text_walk()
+
+    class Counted(str):
+        found = 0
+
+        def find(self, *a):
+            Counted.found += 1
+            return str.find(self, *a)
+
+    names = [f"on on{i}" for i in range(500)]
+    text = Counted("on on7 and on on8")
+    assert places(text, name_index(["S"] * 500, names)["S"]) == {7: [0], 8: [11]}
+    assert Counted.found <= 6

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.containment import contains_join
+from ..operators.containment import contains_join, name_hits
 from ..operators.entities import role_detection, stage_funnel
 from ..operators.mentions import NAME_RE, extract_mentions
-from ..operators.proximity import occurrence_count, window_stats_join
+from ..operators.proximity import window_stats_join
 from ..operators.variants import inclusion_edges, word_set
 from . import oracle as O
-from .catalog import P, discovery, joined, posts, register
+from .catalog import P, discovery, joined, posts, register, stored_posts
 
 TITLED = P.with_(title_prefixes=("general",))
 ROLE_NAMES = ("apache license", "general public license", "gnu", "licensed")
@@ -59,7 +59,7 @@ def ent4_mentions(spark, sf):
 @register("join2_contains", "WITH RECURSIVE " + O.mention_ctes(P) + ",\n" + O.pair_ctes(P) + """
 SELECT post_id, scope, name, platform FROM pairs""")
 def join2_contains(spark, sf):
-    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    ps = stored_posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     names = discovery(spark, sf).names
     return contains_join(ps, names, names.count()).select("post_id", "scope", "name", "platform")
 
@@ -105,24 +105,10 @@ SELECT post_id, scope, name, count(*)::BIGINT AS occ, min(pos)::BIGINT AS first_
        max(pos)::BIGINT AS last_pos
 FROM occ GROUP BY post_id, scope, name""")
 def ent8_windows(spark, sf):
-    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
-    names = discovery(spark, sf).names
-
-    def positions(tl, c):
-        nl = c["nl"]
-        return F.aggregate(
-            F.sequence(F.lit(1), occurrence_count(tl, nl)),
-            F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last")),
-            lambda acc, _i: F.transform(
-                F.array(F.position(nl, tl, acc["last"] + 1)),
-                lambda q: F.struct((acc["n"] + 1).alias("n"),
-                                   F.when(acc["first"] == 0, q).otherwise(acc["first"]).alias("first"),
-                                   q.alias("last")))[0])
-
-    j = contains_join(ps, names, names.count(), (), positions)
-    return j.select("post_id", "scope", "name", F.col("x.n").cast("long").alias("occ"),
-                    F.col("x.first").cast("long").alias("first_pos"),
-                    F.col("x.last").cast("long").alias("last_pos"))
+    ps = stored_posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    return name_hits(ps, discovery(spark, sf).names, ()).select(
+        "post_id", "scope", "name", F.col("n").cast("long").alias("occ"),
+        F.col("first").cast("long").alias("first_pos"), F.col("last").cast("long").alias("last_pos"))
 
 
 # ENT-9 / ENT-10: proximity counters per pair --------------------------------------------
@@ -145,7 +131,7 @@ SELECT post_id, scope, name, occ::BIGINT AS occ, role_hits::BIGINT AS role_hits,
        context_score::BIGINT AS context_score
 FROM pair_stats""")
 def ent9_from_windows(spark, sf):
-    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    ps = stored_posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     found = window_stats_join(ps, discovery(spark, sf).names, P)
     return found.select("post_id", "scope", "name", *[F.col(c).cast("long").alias(c) for c in (
         "occ", "role_hits", "rival_hits", "role_scope_hits", "context_score")])
@@ -254,7 +240,7 @@ occ(post_id, scope, name, tl, nl, pos) AS (
         FROM occ WHERE instr(substr(tl, pos + 1), nl) > 0),
 """ + _ROLE_SQL[_ROLE_SQL.index("win AS"):])
 def ent16_many_names(spark, sf):
-    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    ps = stored_posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     words = F.concat(F.array(F.lower("name")), F.split(F.lower("name"), " "))
     names = discovery(spark, sf).names.select(F.explode(words).alias("name")).distinct()
     return role_detection(ps, names, P, broadcast_rows=0).select(
@@ -276,5 +262,5 @@ FROM ranked r JOIN posts p ON p.post_id = r.post_id
 WHERE strpos(p.text, r.raw) > 0""")
 def ent4_contexts(spark, sf):
     from ..operators.mentions import mention_contexts
-    ps = posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
+    ps = stored_posts(spark, sf).filter(F.col("scope").isin(list(P.scopes)))
     return mention_contexts(discovery(spark, sf).mentions, ps)
