@@ -115,3 +115,24 @@ def test_nested_profile_defaults(spark):
     assert rows["Jane Roe"]["sentiment"]["total_analyzed"] == 0
     assert rows["Jane Roe"]["key_themes"] == [] and rows["Jane Roe"]["post_count"] == 0
     assert rows["John Doe"]["platform_breakdown"]["twitter"]["count"] == 1
+
+
+def test_posts_are_kept_once_for_all_their_entities(spark):
+    """One row per post with its entities; parts of both forms are the same,
+    ids that occur twice count as often as their pairs."""
+    from helpers import make_posts
+    posts = make_posts(spark, ["ada obi great roads roads version", "bola ige great version"])
+    posts = posts.unionByName(posts.filter("post_id = 2"))
+    pairs = spark.createDataFrame([(1, "S", "ada obi"), (1, "S", "great roads"), (2, "S", "bola ige"),
+                                   (2, "S", "bola ige"), (None, "S", "ada obi")],
+                                  "post_id long, scope string, entity string")
+    by_post = prof.posts_with_entities(pairs, posts)
+    ep = pairs.join(posts.select("post_id", *prof.POST_FIELDS), "post_id")
+    assert by_post.count() == 3
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(prof.per_entity(by_post)) == rows(ep)
+    for part in (prof.key_themes, prof.theme_counts, prof.support_indicators, prof.regional_mentions):
+        assert rows(part(by_post, EP)) == rows(part(ep, EP))
+    got = {(r.entity, r.token): r["count"] for r in prof.theme_counts(by_post, EP).collect()}
+    assert got[("ada obi", "roads")] == 2 and got[("bola ige", "version")] == 4
+    assert ("great roads", "roads") not in got
