@@ -136,3 +136,33 @@ def test_posts_are_kept_once_for_all_their_entities(spark):
     got = {(r.entity, r.token): r["count"] for r in prof.theme_counts(by_post, EP).collect()}
     assert got[("ada obi", "roads")] == 2 and got[("bola ige", "version")] == 4
     assert ("great roads", "roads") not in got
+
+
+def test_only_tokens_that_can_lead_are_counted_per_entity(spark, monkeypatch):
+    """Themes equal those of all counts, whatever leaves a task at once and
+    whatever is broadcast; rare tokens of other entities' posts do not leave."""
+    texts = [f"common shared{'s' * (i % 3)} often often rare{'x' * i} only{'y' * i}" for i in range(40)]
+    ps = make_posts(spark, texts)
+    names = [("Ada Obi", 1), ("Often Bello", 2), ("Chi Eze", 5)]
+    pairs = [(i + 1, "Lagos", n) for n, k in names for i in range(0, 40, k)]
+    pairs += [(3, "Lagos", "Chi Eze")] * 2                # named twice in a post
+    pairs += [(7, None, "Ada Obi"), (9, "Kano", "The Only")]
+    by_post = prof.posts_with_entities(
+        spark.createDataFrame(pairs, "post_id long, scope string, entity string"), ps)
+    p = EP.with_(themes_top=3)
+
+    def top(counts):
+        held = {}
+        for r in counts.collect():
+            held.setdefault((r["scope"], r["entity"]), []).append((-r["count"], r["token"]))
+        return {k: [(t, -c) for c, t in sorted(v)[:3]] for k, v in held.items()}
+
+    want = top(prof.theme_counts(by_post, p))
+    assert len(want) == 5
+    for held, frequent in ((4_000_000, 500_000), (50, 500_000), (50, 2)):
+        monkeypatch.setattr(prof, "HELD_TOKENS", held)
+        monkeypatch.setattr(prof, "FREQUENT_TOKENS", frequent)
+        assert top(prof.key_themes(by_post, p).withColumnRenamed("theme", "token")) == want
+    monkeypatch.undo()
+    most = prof.leading_counts(by_post, p).filter("entity = 'Ada Obi' AND scope = 'Lagos'").count()
+    assert most < 10 < prof.theme_counts(by_post, p).filter("entity = 'Ada Obi' AND scope = 'Lagos'").count()
