@@ -261,3 +261,17 @@ def test_election_binding_wants_stop_words():
     with pytest.raises(ValueError):
         election_params()
     assert election_params(stop_words=()).stop_words == ()
+
+
+def test_names_are_absorbed_without_waiting_for_other_neighbours(spark, monkeypatch):
+    """A name next to a kept one is decided in the round the kept one is; the
+    rounds do not read again what earlier rounds decided."""
+    from vocalis.operators import variants
+    names = [" ".join(f"W{c}" for c in "abcdefghijklmnop"[i // 2:i // 2 + 2 + i % 2]) for i in range(24)]
+    calls = []
+    cut = variants.cut_lineage
+    monkeypatch.setattr(variants, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    got = {r["name"]: (r["cnt"], r["n_variants"]) for r in variants.merge_variants(
+        _nodes(spark, [(n, 100 - i, ["t"]) for i, n in enumerate(names)])).collect()}
+    assert got == {n: (100 - i + 99 - i, 2) for i, n in enumerate(names) if i % 2 == 0}
+    assert len(calls) <= 2 + 2 * 12

@@ -129,3 +129,21 @@ def test_one_walk_gives_places_and_counters(spark):
     text = Counted("on on7 and on on8")
     assert places(text, name_index(["S"] * 500, names)["S"]) == {7: [0], 8: [11]}
     assert Counted.found <= 6
+
+
+def test_walk_does_not_stop_at_every_space():
+    """No step of Python per word of a text, only per occurrence."""
+    from vocalis.operators.containment import name_index, text_walk
+    places, _, _ = text_walk()
+
+    class Counted(str):
+        found = 0
+
+        def find(self, *a):
+            Counted.found += 1
+            return str.find(self, *a)
+
+    text = Counted("a word of it " * 2000 + "ada obi ada obi")
+    index = name_index(["S", "S", "S"], ["ada obi", "obi ada", "it"])["S"]
+    assert places(text, index) == {0: [26000, 26008], 1: [26004]}
+    assert Counted.found <= 10
