@@ -117,3 +117,55 @@ def test_csv_keeps_every_text(spark, tmp_out):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     IO.export_posts_csv(df, path)
     assert {r["i"]: r["text"] for r in IO.read_csv_export(spark, path, df.schema).collect()} == dict(enumerate(texts))
+
+
+def test_sentiment_export_moves_a_text_once_and_keeps_the_order(spark, tmp_out):
+    """Posts of several scopes, each with many entities; a null entity, scope
+    and score, scores that differ within a post, an id that two posts share."""
+    import glob
+    import gzip
+    import json
+    import random
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij\n\" ", k=4000)) for _ in range(300)]
+    scopes = ["en", "de", None]
+    posts = make_posts(spark, [{"text": t, "scope": scopes[i % 3]} for i, t in enumerate(texts)])
+    posts = posts.unionByName(posts.filter("post_id = 7")).repartition(4)
+    entities = [None, "", "General", *(f"Name {i}/{c}" for i, c in enumerate("zyxwvutsrq"))]
+    rows = [(i, e, "positive", None if i % 17 == 0 else -0.0 if i % 5 == 0 else i % 7 / 7 + (i % 11 == 0) * k / 100)
+            for i in range(1, 301) for k, e in enumerate(entities) if (i * k) % 3 < 2] + [(None, "General", "neutral", 0.1)]
+    s = spark.createDataFrame(rows, "post_id long, entity string, label string, score double").repartition(4)
+    path = os.path.join(tmp_out, "sj")
+    IO.export_sentiment_json(s, posts, path)
+    back = IO.read_json_export(spark, path, "post_id long, entity string, label string, score double, text string, "
+                               "post_scope string")
+    assert back.columns == ["post_id", "entity", "label", "score", "text", "post_scope"]
+    want = (s.join(posts.select("post_id", "text", F.col("scope").alias("post_scope")), "post_id")
+            .select(*back.columns))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, want.collect()))
+    # the files in the order of their paths hold the rows in the order asked for
+    got = []
+    for file in sorted(glob.glob(os.path.join(path, "**", "*.json.gz"), recursive=True)):
+        got += [json.loads(line) for line in gzip.open(file, "rt", encoding="utf-8")]
+
+    def key(r):
+        scope, entity, score = r.get("post_scope"), r.get("entity"), r.get("score")
+        return (scope is not None, scope or "", entity is not None, entity or "", score is None, -(score or 0),
+                r["post_id"])
+    assert len(got) == want.count() and [key(r) for r in got] == sorted(map(key, got))
+    # one row per post meets its text, and no row of an entity is shuffled with it
+    from test_plans import exchanged
+    carrying = [c for c in exchanged(IO.sentiment_rows(s, posts)) if "text" in c]
+    assert carrying and not any(c & {"entity", "label"} for c in carrying)
+
+
+def test_sentiment_export_of_many_groups_or_no_rows(spark, tmp_out, monkeypatch):
+    s = spark.createDataFrame([(1, "A B", 0.1), (2, "C D", 0.9), (2, "A B", 0.9)], "post_id long, entity string, score double")
+    posts = make_posts(spark, ["x", "y"])
+    for k, (limit, rows) in enumerate([(1, s), (2, s), (2, s.limit(0))]):
+        monkeypatch.setattr(IO, "EXPORT_GROUPS", limit)
+        path = os.path.join(tmp_out, str(k))
+        IO.export_sentiment_json(rows, posts, path)
+        back = IO.read_json_export(spark, path, "post_id long, entity string, score double, text string")
+        assert (sorted(map(tuple, back.select("post_id", "entity", "score").collect()))
+                == sorted(map(tuple, rows.collect())))
