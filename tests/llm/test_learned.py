@@ -193,3 +193,40 @@ def test_fits_without_labels_or_rows(spark):
     empty = docs.filter("doc_id < 0")
     assert toxicity.fit(empty.select("doc_id", "text"), none).entries == {}
     assert toxicity.reject(empty, lexicon).count() == 0
+
+
+def test_language_threshold_comes_from_all_training_documents(spark, monkeypatch):
+    """Temperature and threshold are those that numpy finds from every training
+    document, scored by the model of the other half; more rows than the former
+    sample of 3,000 and than a bin of ranks."""
+    rng = np.random.default_rng(3)
+    words = {"x": ["abra", "kadabra", "zut", "bara"], "y": ["abra", "wyrd", "brawl", "zut"]}
+    docs = cases.frame(spark, [(i, " ".join(rng.choice(words["xy"[i % 2]], 1 + i % 4)), "xy"[i % 2], "a", 0)
+                               for i in range(8000)])
+    monkeypatch.setattr(langid, "RANK_BINS", 16)
+    model = langid.train(docs)
+    half = F.conv(F.substring(F.md5(F.concat(F.lit("lid:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long") % 2
+    rest = docs.filter(langid.fold(F.col("doc_id")) != langid.HELD_OUT).withColumn("half", half)
+    assert rest.count() > 5000
+    total, chars, truth = [], [], []
+    for k in (0, 1):
+        other = langid.build(rest.filter(F.col("half") != k))
+        rows = rest.filter(F.col("half") == k).collect()
+        got = langid.Scorer(other).totals(langid.pa.array([r.text for r in rows]))
+        total, chars = [*total, got[0]], [*chars, got[1]]
+        truth += [other.langs.index(r.lang) for r in rows]
+    total, chars, truth = np.concatenate(total), np.concatenate(chars), np.array(truth)
+    pick = np.arange(len(truth))
+    loss = {t: -np.log(langid.probabilities(total, chars, t)[pick, truth] + 1e-9).mean() for t in langid.TEMPERATURES}
+    assert model.temperature == min(loss, key=loss.get)
+    p = langid.probabilities(total, chars, model.temperature)
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
+    assert model.threshold == pytest.approx(right[int((1 - langid.KEEP) * len(right))], abs=1e-12)
+
+
+def test_value_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(langid, "RANK_BINS", 8)
+    values = [0.25] * 40 + [k / 997 for k in range(500)] + [1.0] * 3 + [0.5 + 1e-12 * k for k in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    for n in (0, 2, 100, 299, 350, len(values) - 1):
+        assert langid.nth_smallest(df, n) == sorted(values)[n]

@@ -21,9 +21,9 @@ A text is scored over all its letters: the cross-entropy per character is
 computed once per distinct word of a batch.  The language of the lowest
 cross-entropy wins; ``score`` is its calibrated probability, and ``accepted``
 says whether the probability reaches the threshold that keeps
-``KEEP`` of the calibration documents that are right.  The calibration sample
-is scored by a model without its own counts; the model that is used has the
-counts of all training documents, the sample's too.
+``KEEP`` of the training documents that are right.  For both, every training
+document is scored by the model of the half of them that it is not in; the
+model that is used has the counts of all training documents.
 
 Cases: null text and text without a letter: ``und``, score 0, not accepted.
 Ties fall to the first language by name.  Null languages are not learned
@@ -37,9 +37,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +50,15 @@ from .common import by_size, cut_lineage, documents, stored
 
 ORDER = 5
 HELD_OUT = 2
-#: of the training rows at most one in so many is in the calibration sample
-CALIBRATION_SHARE = 4
 #: n-grams of the highest order times languages, up to which the model is gathered
 BROADCAST_CELLS = 2_000_000
 #: a word with more than one in so many of the (text, word) rows is joined by broadcast
 HOT_WORDS = 1_000
-CALIBRATION_ROWS = 3_000
 DISCOUNT = 0.75
 KEEP = 0.995
+TEMPERATURES = (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
+#: values, or bins of them, that are looked at together to find one by its rank
+RANK_BINS = 4_096
 START, END = "\x02", "\x03"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: a word's part beyond this many letters starts a new word (junk without blanks)
@@ -389,10 +392,9 @@ class Scorer:
         if len(self.row) > KEPT_WORDS:
             self.row, self.table = {}, self.table[:0]
         cut = [letter_words(t) for t in texts]
-        seen: set = set()
-        for c in cut:
-            seen.update(c)
-        new = [w for w in seen if w not in self.row]
+        coded = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.row]
         base = len(self.row)
         self.row.update(zip(new, range(base, base + len(new))))
         parts = [self.table[:base]]
@@ -401,11 +403,14 @@ class Scorer:
         self.table = np.concatenate(parts)
         total = np.zeros((len(texts), len(self.model.langs)))
         chars = np.zeros(len(texts))
-        for k, c in enumerate(cut):
-            if c:
-                total[k] = self.table[np.fromiter(map(self.row.__getitem__, c), np.int64,
-                                                  len(c))].sum(axis=0)
-                chars[k] = sum(map(len, c)) + len(c)
+        found = np.fromiter(map(len, cut), np.int64, len(cut))
+        some = np.flatnonzero(found)
+        if len(some):
+            code = coded.indices.to_numpy()
+            first = (np.cumsum(found) - found)[some]
+            at = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+            total[some] = np.add.reduceat(self.table[at[code]], first, axis=0)
+            chars[some] = np.add.reduceat(pc.utf8_length(coded.dictionary).to_numpy()[code] + 1, first)
         return total, chars
 
 
@@ -428,29 +433,77 @@ def _totals_of(model: Model):
     return run
 
 
-def calibrate(model: Model | Tables, docs: DataFrame) -> Model | Tables:
-    """Temperature and acceptance threshold from a bounded sample of ``docs``."""
+def totals_of(model: Model | Tables, docs: DataFrame) -> DataFrame:
+    """(truth, chars, total) of the ``docs`` (lang, text) with a letter and a
+    language that the model knows; ``truth`` is its number."""
     if isinstance(model, Tables):
-        rows = model.totals(docs).filter("__chars > 0").select(
-            "lang", F.col("__chars").alias("chars"), F.col("__total").alias("total")).toArrow()
+        rows = model.totals(docs).select("lang", F.col("__chars").alias("chars"), F.col("__total").alias("total"))
     else:
-        rows = docs.mapInArrow(_totals_of(model), "lang string, chars double, total array<double>").toArrow()
-    known = [i for i, (x, c) in enumerate(zip(rows["lang"].to_pylist(), rows["chars"].to_pylist()))
-             if x in model.langs and c > 0]
-    if not known:
-        return model
-    total = np.array(rows["total"].to_pylist())[known]
-    chars = rows["chars"].to_numpy()[known]
-    truth = np.array([model.langs.index(rows["lang"][i].as_py()) for i in known])
-    pick = np.arange(len(truth))
-    loss = {t: -np.log(probabilities(total, chars, t)[pick, truth] + 1e-9).mean()
-            for t in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)}
-    model.temperature = min(loss, key=loss.get)
-    p = probabilities(total, chars, model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    if len(right):
-        model.threshold = float(right[int((1 - KEEP) * len(right))])
-    return model
+        rows = docs.select("lang", "text").mapInArrow(
+            _totals_of(model), "lang string, chars double, total array<double>")
+    truth = (F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")) - 1).cast("int")
+    return rows.select(truth.alias("truth"), "chars", "total").filter("truth >= 0 AND chars > 0")
+
+
+def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.array(batch["total"].to_pylist(), np.float64).reshape(len(batch), -1),
+            batch["chars"].to_numpy(zero_copy_only=False), batch["truth"].to_numpy(zero_copy_only=False))
+
+
+def _losses(batches):
+    """Summed loss of each temperature and the rows."""
+    for b in batches:
+        total, chars, truth = _arrays(b)
+        pick = np.arange(len(truth))
+        loss = [float(-np.log(probabilities(total, chars, t)[pick, truth] + 1e-9).sum()) for t in TEMPERATURES]
+        yield pa.RecordBatch.from_pydict({"t": pa.array(TEMPERATURES, pa.float64()),
+                                          "loss": pa.array(loss, pa.float64()),
+                                          "n": pa.array([len(truth)] * len(loss), pa.int64())})
+
+
+def _right(temperature: float):
+    def run(batches):
+        """The probability of the answers that are right."""
+        for b in batches:
+            total, chars, truth = _arrays(b)
+            p = probabilities(total, chars, temperature)
+            yield pa.RecordBatch.from_pydict({"p": pa.array(p.max(axis=1)[p.argmax(axis=1) == truth], pa.float64())})
+    return run
+
+
+def nth_smallest(values: DataFrame, n: int) -> float:
+    """The value of rank ``n`` (from 0) of the column ``p``, exactly: the values
+    are counted in bins, and those of the bin that holds it again, until they
+    are few or equal."""
+    while True:
+        count, low, high = values.agg(F.count("p"), F.min("p"), F.max("p")).first()
+        if low == high:
+            return low
+        if count <= RANK_BINS:
+            return sorted(r["p"] for r in values.collect())[n]
+        bin_ = F.least(F.floor((F.col("p") - F.lit(low)) / F.lit(high - low) * RANK_BINS), F.lit(RANK_BINS - 1))
+        for r in values.groupBy(bin_.alias("b")).count().orderBy("b").collect():
+            if n < r["count"]:
+                values = values.filter(bin_ == r["b"])
+                break
+            n -= r["count"]
+
+
+def calibration(scored: list[tuple[Model | Tables, DataFrame]]) -> tuple[float, float]:
+    """Temperature and acceptance threshold from all documents (lang, text) of
+    ``scored``, each frame beside the model that scores it."""
+    frames = [cut_lineage(totals_of(model, docs)) for model, docs in scored]
+    if not frames:
+        return 1.0, 0.0
+    sums = reduce(DataFrame.unionAll, (x.mapInArrow(_losses, "t double, loss double, n long") for x in frames))
+    loss = {r["t"]: r["loss"] / r["n"] for r in
+            sums.groupBy("t").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect() if r["n"]}
+    if not loss:
+        return 1.0, 0.0
+    temperature = min(TEMPERATURES, key=loss.get)
+    right = cut_lineage(reduce(DataFrame.unionAll, (x.mapInArrow(_right(temperature), "p double") for x in frames)))
+    found = right.count()
+    return temperature, float(nth_smallest(right, int((1 - KEEP) * found))) if found else 0.0
 
 
 def predict(text: Column, model: Model) -> Column:
@@ -499,24 +552,21 @@ def fold(doc_id: Column) -> Column:
 
 def train(docs: DataFrame) -> Model | Tables | None:
     """Model of all documents of the training folds; temperature and threshold
-    from a bounded sample of them, scored by a model without the sample."""
+    from all of them too, each scored by the model of the other half."""
     rest = docs.filter(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "lang", "text")
-    rows = rest.filter(F.col("lang").isNotNull()).count()
-    share = min(1 / CALIBRATION_SHARE, CALIBRATION_ROWS / max(1, rows))
     h = F.md5(F.concat(F.lit("lid:"), F.col("doc_id").cast("string")))
-    aside = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32)))
+    aside = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 2 == 1
     rest = rest.withColumn("aside", F.coalesce(aside, F.lit(False)))
     top = top_counts(rest)
-    fitted = from_counts(ngram_counts(top.filter("n_rest > 0").select("lang", "gram", F.col("n_rest").alias("n"))))
-    temperature, threshold = 1.0, 0.0
-    if fitted is not None:
-        some = rest.filter(F.col("aside") & F.col("lang").isNotNull())
-        fitted = calibrate(fitted, some.select("lang", "text"))
-        temperature, threshold = fitted.temperature, fitted.threshold
-        del fitted
+    scored = []
+    for half, n in ((True, F.col("n_rest")), (False, F.col("n") - F.col("n_rest"))):
+        other = from_counts(ngram_counts(top.select("lang", "gram", n.alias("n")).filter("n > 0")))
+        if other is not None:
+            scored.append((other, rest.filter((F.col("aside") == half) & F.col("lang").isNotNull())
+                           .select("lang", "text")))
     model = from_counts(ngram_counts(top.drop("n_rest")))
     if model is not None:
-        model.temperature, model.threshold = temperature, threshold
+        model.temperature, model.threshold = calibration(scored)
     return model
 
 
