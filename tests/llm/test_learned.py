@@ -230,3 +230,13 @@ def test_value_of_a_rank(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values], "p double")
     for n in (0, 2, 100, 299, 350, len(values) - 1):
         assert langid.nth_smallest(df, n) == sorted(values)[n]
+
+
+def test_words_are_runs_of_letters():
+    rng = random.Random(2)
+    pool = [chr(c) for c in range(256)] + list("½Ⅷ²ªıİſΣςß’—ŸŁ ") + ["y" * 70]
+    for _ in range(2000):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 40)))
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert langid.letter_words(text) == [w[i:i + langid.LONGEST] for w in runs
+                                             for i in range(0, len(w), langid.LONGEST)]

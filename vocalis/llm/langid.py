@@ -66,12 +66,20 @@ LONGEST = 64
 KEPT_WORDS = 200_000
 
 
+#: for each byte of Latin-1 the byte itself if it is a letter, else a blank
+_LATIN = bytes(i if chr(i).isalpha() else 32 for i in range(256))
+
+
 def letter_words(text: str | None) -> list[str]:
     if not text:
         return []
-    found = _LETTERS.findall(text.lower())
-    if not text.isascii() and not all(map(str.isalpha, found)):      # numbers like one half
-        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    text = text.lower()
+    try:
+        found = text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        found = _LETTERS.findall(text)
+        if not all(map(str.isalpha, found)):             # numbers like one half
+            found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
     if found and max(map(len, found)) > LONGEST:
         found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
@@ -392,8 +400,8 @@ class Scorer:
         if len(self.row) > KEPT_WORDS:
             self.row, self.table = {}, self.table[:0]
         cut = [letter_words(t) for t in texts]
-        coded = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in words if w not in self.row]
         base = len(self.row)
         self.row.update(zip(new, range(base, base + len(new))))
