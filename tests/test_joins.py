@@ -147,3 +147,27 @@ def test_walk_does_not_stop_at_every_space():
     index = name_index(["S", "S", "S"], ["ada obi", "obi ada", "it"])["S"]
     assert places(text, index) == {0: [26000, 26008], 1: [26004]}
     assert Counted.found <= 10
+
+
+def test_counters_of_a_walk_equal_each_name_on_its_own(spark, monkeypatch):
+    """Several posts leave a task at once, or each on its own, with the same rows."""
+    from vocalis.operators import containment as C
+    texts = ["on on on on x", "x Ada Obi y ada obi on on", "ada obi y", None, "", "y on on"]
+    posts = make_posts(spark, texts, scope="S").coalesce(1)
+    names = ["On On", "On On On", "Ada Obi", "ADA OBI"]
+    nd = spark.createDataFrame([("S", n) for n in names], "scope string, name string")
+    near = {"x_near": (3, [F.array(F.lit("x"))]), "both": (4, [F.array(F.lit("x"), F.lit("on")), F.array(F.lit("y"))])}
+    want = []
+    for i, t in enumerate(texts):
+        for name in names:
+            t, nl = t or "", name.lower()
+            at = [s for s in range(len(t)) if t.lower().startswith(nl, s)]
+            seen = [[any(w in t.lower()[max(0, s - r):s + len(nl) + r] for w in ws) for s in at]
+                    for r, ws in ((3, "x"), (4, ("x", "on")), (4, "y"))]
+            if at:
+                want.append((i + 1, name, len(at), at[0] + 1, at[-1] + 1, sum(seen[0]),
+                             sum(a and b for a, b in zip(seen[1], seen[2]))))
+    for rows in (1, 50_000):
+        monkeypatch.setattr(C, "FOUND_ROWS", rows)
+        got = C.name_hits(posts, nd, (), near).select("post_id", "name", "n", "first", "last", "x_near", "both")
+        assert sorted(map(tuple, got.collect())) == sorted(want)

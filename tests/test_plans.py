@@ -82,3 +82,24 @@ def test_scan_is_pruned_and_filtered(spark):
     text = plan(df)
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in text
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in text
+
+
+def test_pairs_are_summed_once_without_sorting(spark):
+    """Platforms of a name are bits of a number, so no task sorts its pairs, and
+    what reads the sums per name does not read the pairs again."""
+    from vocalis.operators import proximity as X
+    from vocalis.operators.entities import discover
+    from .helpers import EP, make_posts
+    rows = [("S", n, k, 1, 0, 2, 3, i) for i, (n, k) in enumerate(
+        [("A B", "web"), ("A B", None), ("A B", "forum"), ("A B", "web"), ("C D", None)])]
+    pairs = spark.createDataFrame(rows, "scope string, name string, platform string, role_hits int, rival_hits int, "
+                                        "role_scope_hits int, context_score int, post_id long")
+    kinds = X.platform_list(pairs)
+    assert kinds == ["forum", "web"]
+    summed = X.name_stats(pairs, kinds)
+    assert sorted(map(repr, summed.collect())) == sorted(map(repr, X.name_stats(pairs).collect()))
+    assert "ObjectHashAggregate" not in plan(summed) and "SortAggregate" not in plan(summed)
+    assert X.platform_list(spark.range(80).select(F.col("id").cast("string").alias("platform"))) is None
+    d = discover(make_posts(spark, ["Ada Obi governor of Lagos", "Ada Obi spoke"]), EP)
+    assert "ci_posts" in d.nodes._jdf.queryExecution().analyzed().toString()
+    assert "collect_set" not in plan(d.nodes) and "bit_or" not in plan(d.nodes)
