@@ -89,7 +89,7 @@ def test_pairs_are_summed_once_without_sorting(spark):
     what reads the sums per name does not read the pairs again."""
     from vocalis.operators import proximity as X
     from vocalis.operators.entities import discover
-    from .helpers import EP, make_posts
+    from helpers import EP, make_posts
     rows = [("S", n, k, 1, 0, 2, 3, i) for i, (n, k) in enumerate(
         [("A B", "web"), ("A B", None), ("A B", "forum"), ("A B", "web"), ("C D", None)])]
     pairs = spark.createDataFrame(rows, "scope string, name string, platform string, role_hits int, rival_hits int, "
@@ -103,3 +103,16 @@ def test_pairs_are_summed_once_without_sorting(spark):
     d = discover(make_posts(spark, ["Ada Obi governor of Lagos", "Ada Obi spoke"]), EP)
     assert "ci_posts" in d.nodes._jdf.queryExecution().analyzed().toString()
     assert "collect_set" not in plan(d.nodes) and "bit_or" not in plan(d.nodes)
+
+
+def test_a_text_is_lower_cased_once_per_post(spark):
+    """Not for each entity and keyword, in a filter before the rows are made or in them."""
+    from vocalis.operators import profile as prof
+    ep = spark.createDataFrame(
+        [("A work of Ada Obi and IBN Zed", [("s", "Ada Obi"), ("s", "Ibn Zed"), ("s", "Not There")]), (None, [("s", "x y")])],
+        "text string, ents array<struct<scope:string,entity:string>>")
+    p = driver_params()
+    for found, kind in ((prof.support_indicators(ep, p), "category"), (prof.regional_mentions(ep, p), "region")):
+        assert plan(found).count("lower(text") == 1
+        assert sorted((r["entity"], r[kind]) for r in found.collect()) == [
+            (e, "b" if kind == "category" else "work") for e in ("Ada Obi", "Ibn Zed")]
