@@ -2,6 +2,7 @@
 tables and exports through the batch job entry point."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -67,3 +68,25 @@ def test_demo_data_end_to_end(spark):
     a = run_analysis(posts, EP.with_(lexicon=LEX))
     got = {(r["scope"], r["name"]) for r in a.entities.collect()}
     assert got == {("Lagos", "Ada Okafor"), ("Lagos", "Tunde Bakare-Lawal"), ("Kano", "Musa Garba")}
+
+
+def test_counted_parts_keep_no_text(spark, tmp_out):
+    """Engagement and audience read, shuffle and keep no text; ids that occur
+    twice, a null id and null numbers count as in the posts with texts."""
+    from test_plans import plan
+    from vocalis.operators import profile as prof
+    path = os.path.join(tmp_out, "posts")
+    write_posts(make_posts(spark, POSTS), path)
+    a = run_analysis(spark.read.parquet(path), EP.with_(lexicon=LEX))
+    for part in ("engagement", "audience"):
+        assert not re.search(r"\btext\b", plan(a.part(part)))
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(a.part("engagement")) == rows(prof.engagement(a.entities, a.entity_posts))
+    assert rows(a.part("audience")) == rows(prof.platform_audience(a.entity_posts))
+
+    posts = make_posts(spark, ["one", "two", "three"]).withColumn("likes", F.when(F.col("post_id") > 1, F.col("likes")))
+    posts = posts.unionByName(posts.filter("post_id = 2"))
+    pairs = spark.createDataFrame([(1, "S", "A B"), (2, "S", "A B"), (2, "S", "A B"), (3, "S", None), (None, "S", "A B")],
+                                  "post_id long, scope string, entity string")
+    few = prof.counted_posts(pairs, posts)
+    assert rows(few) == rows(prof.entity_posts(pairs, posts).select(*few.columns))
