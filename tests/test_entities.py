@@ -255,6 +255,44 @@ def test_supplied_names_of_any_number(spark):
     assert [(r.name, r.verdict) for r in got] == [("Zed", "more role")]
 
 
+def test_supplied_names_are_summed_where_a_text_is_read(spark, monkeypatch):
+    """Hits of many names equal those of the fused join: overlaps, names that
+    fold together, names of one scope and of all, words of one letter, keywords
+    at the edges of a window and of a long text, null texts and scopes.  No text
+    is shuffled, and no row leaves a task per post and name."""
+    import random
+    from test_plans import exchanged
+    from vocalis.operators import containment as C
+    from vocalis.operators.entities import role_detection
+    rng = random.Random(11)
+    p = EP.with_(scopes=(), role_keywords=("gov", "aa b"), rival_keywords=("zz",), role_window=5)
+    texts = ["".join(rng.choices(["a", "b", " ", "A", "gov", "zz", "İ"], [6, 6, 4, 2, 1, 1, 1], k=rng.choice([5, 60, 400])))
+             for _ in range(120)] + [None, "", "gov", "zz" + "ab " * 4000 + "gov", "x" * 9000 + "ab gov ab" + "y" * 9000]
+    posts = make_posts(spark, [{"text": t, "scope": ["S", "T", None][i % 3]} for i, t in enumerate(texts)])
+    names = [(None, "ab"), (None, "AB"), (None, "a"), (None, "aa"), (None, "b a"), (None, "gov"), ("S", "aa b"),
+             ("T", "ba"), (None, "ba"), ("S", "gov zz"), (None, ""), (None, None), ("Q", "a"), (None, "i\u0307")]
+    supplied = spark.createDataFrame(names, "scope string, name string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(role_detection(posts, supplied, p))
+    assert len(want) > 20
+    many = role_detection(posts, supplied, p, broadcast_rows=0)
+    assert rows(many) == want
+    assert not any(c & {"text", "tl", "post_id"} for c in exchanged(many))
+    monkeypatch.setattr(C, "BROADCAST_KEY_ROWS", 2)
+    monkeypatch.setattr(C, "SUMMED_ROWS", 3)
+    assert rows(role_detection(posts, supplied, p, broadcast_rows=0)) == want
+    # posts that share an id meet all texts of it, beside the others
+    twice = posts.unionByName(posts.filter("post_id IN (3, 4)"))
+    single = rows(role_detection(posts.filter("post_id NOT IN (3, 4)"), supplied, p, broadcast_rows=0))
+    both = {(r.scope, r.name): (r.role_hits, r.rival_hits) for r in
+            role_detection(twice, supplied, p, broadcast_rows=0).collect()}
+    once = {(r.scope, r.name): (r.role_hits, r.rival_hits) for r in role_detection(posts, supplied, p).collect()}
+    left = {(r.scope, r.name): (r.role_hits, r.rival_hits) for r in
+            role_detection(posts.filter("post_id NOT IN (3, 4)"), supplied, p).collect()}
+    assert len(single) == len(left)
+    assert both == {k: tuple(a + 3 * (a - b) for a, b in zip(v, left.get(k, (0, 0)))) for k, v in once.items()}
+
+
 def test_election_binding_wants_stop_words():
     import pytest
     from vocalis.params import election_params
