@@ -169,3 +169,33 @@ def test_sentiment_export_of_many_groups_or_no_rows(spark, tmp_out, monkeypatch)
         back = IO.read_json_export(spark, path, "post_id long, entity string, score double, text string")
         assert (sorted(map(tuple, back.select("post_id", "entity", "score").collect()))
                 == sorted(map(tuple, rows.collect())))
+
+
+def test_stored_and_exported_texts_take_little_room(spark, tmp_out):
+    """Stored posts are zstd, the export is packed closer than the fastest level
+    does and comes back whole; a task sorts a bounded number of rows."""
+    import gzip
+    import glob
+    import random
+    import zlib
+    import duckdb
+    rng = random.Random(3)
+    syllables = ["ti", "on", "er", "sh", "nd", "the", "ing", "ble", "ou", "ha", " ", " ", " "]
+    texts = ["".join(rng.choices(syllables, k=1500)) for _ in range(400)]
+    path = os.path.join(tmp_out, "posts")
+    IO.write_posts(make_posts(spark, texts).repartition(2), path)
+    posts = spark.read.parquet(path)
+    kinds = duckdb.sql(f"SELECT DISTINCT compression FROM parquet_metadata('{path}/**/*.parquet')").fetchall()
+    assert kinds == [("ZSTD",)]
+    s = posts.select("post_id", F.explode(F.array(F.lit("A B"), F.lit("C D"))).alias("entity"), F.lit(0.5).alias("score"))
+    out = os.path.join(tmp_out, "sj")
+    IO.export_sentiment_json(s, posts, out)
+    files = glob.glob(os.path.join(out, "**", "*.json.gz"), recursive=True)
+    for file in files:
+        lines = gzip.open(file, "rb").read()
+        fast = zlib.compressobj(1, zlib.DEFLATED, 31)
+        assert os.path.getsize(file) < 0.97 * len(fast.compress(lines) + fast.flush())
+    back = IO.read_json_export(spark, out, "post_id long, entity string, text string")
+    want = s.join(posts, "post_id").select("post_id", "entity", "text")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, want.collect()))
+    assert IO.EXPORT_ROWS <= 20_000
